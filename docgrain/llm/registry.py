@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, token_file
+from . import bpe, licenses, mixing, simhash, token_file
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_simhash": simhash.op5_simhash,
+        "op6_mix": mixing.op6_mix,
         "op8_token_file": token_file.op8_token_file,
         "op9_bpe_replay": bpe.op9_bpe_replay,
+        "op10_licenses": licenses.op10_licenses,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_mix": mixing.OP6_SQL, "op10_licenses": licenses.OP10_SQL}
