@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, mixing, simhash, token_file
+from . import bpe, langid, licenses, mixing, quality, simhash, token_file
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_language": langid.op3_language,
         "op5_simhash": simhash.op5_simhash,
         "op6_mix": mixing.op6_mix,
+        "op7_quality": quality.op7_quality,
         "op8_token_file": token_file.op8_token_file,
         "op9_bpe_replay": bpe.op9_bpe_replay,
         "op10_licenses": licenses.op10_licenses,
