@@ -21,7 +21,7 @@ from .common import chunks, documents, small_batches
 WINDOW, HIDDEN, PAD = 96, 8, 256
 #: Labelled documents of each language that training reads about, and windows from each, spread over its whole text.
 PER_LANG, PER_DOC = 512, 4
-EPOCHS, BATCH, RATE = 4, 256, 0.01
+STEPS, BATCH, RATE = 260, 128, 0.02
 #: Windows that are labelled at once.
 LANES = 2048
 LETTER = re.compile(r"[^\W\d_]")
@@ -116,27 +116,24 @@ class BiGru:
                 dh = dh * z + gate @ p["u"][d].T
         return loss, g
 
-    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, batch: int = BATCH, rate: float = RATE, seed: int = 11) -> float:
-        """Adam over shuffled windows x (window, byte); the last epoch's mean loss."""
+    def train(self, x: np.ndarray, y: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = RATE, seed: int = 11) -> float:
+        """Adam over shuffled windows x (window, byte), the rate falling to zero; the mean loss of the last tenth."""
         rng = np.random.default_rng(seed)
         m, v = ({k: np.zeros_like(w) for k, w in self.p.items()} for _ in range(2))
-        step, loss = 0, 0.0
-        for epoch in range(epochs):
-            losses = []
-            order = rng.permutation(len(x))
-            for a in range(0, len(x), batch):
-                part = order[a : a + batch]
-                loss, g = self.gradients(np.ascontiguousarray(x[part].T), y[part])
-                losses.append(loss)
-                norm = float(np.sqrt(sum((w * w).sum() for w in g.values())))
-                step += 1
-                for k, w in self.p.items():
-                    d = g[k] * min(1.0, 1.0 / (norm + 1e-9))
-                    m[k] += 0.1 * (d - m[k])
-                    v[k] += 0.001 * (d * d - v[k])
-                    w -= rate / (1 + epoch) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-7)
-            loss = float(np.mean(losses)) if losses else 0.0
-        return loss
+        order, losses = np.zeros(0, np.int64), []
+        for step in range(steps):
+            while len(order) < batch:
+                order = np.concatenate([order, rng.permutation(len(x))])
+            part, order = order[:batch], order[batch:]
+            loss, g = self.gradients(np.ascontiguousarray(x[part].T), y[part])
+            losses.append(loss)
+            norm = float(np.sqrt(sum((w * w).sum() for w in g.values())))
+            for k, w in self.p.items():
+                d = g[k] * min(1.0, 1.0 / (norm + 1e-9))
+                m[k] += 0.1 * (d - m[k])
+                v[k] += 0.01 * (d * d - v[k])
+                w -= rate * (1 - step / steps) * (m[k] / (1 - 0.9 ** (step + 1))) / (np.sqrt(v[k] / (1 - 0.99 ** (step + 1))) + 1e-7)
+        return float(np.mean(losses[-max(1, steps // 10) :]))
 
 
 def windows(raw: bytes) -> np.ndarray:
@@ -189,8 +186,7 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, per_doc: int = PER_DOC) -> Bi
         return None
     model = BiGru(langs)
     if len(langs) > 1 and len(x):
-        # few windows are gone through more often
-        model.train(x, y, epochs=int(min(30, max(EPOCHS, EPOCHS * 4096 // len(x)))))
+        model.train(x, y)
     return model
 
 

@@ -141,19 +141,53 @@ class Shard:
         return self.ids[a:b]
 
 
+#: Characters of joined units that the library encodes in one call.
+JOINED = 1 << 16
 _ENCODERS: dict[tuple[str, int], UnitEncoder] = {}
 
 
 def encoder(path: str, width: int) -> UnitEncoder:
-    """The tokenizers library behind a cache of units."""
+    """The tokenizers library behind a cache of units.
+
+    New units are joined and encoded in one call, as no match of the split pattern goes over a unit's end; the bytes
+    that each id stands for tell which unit it belongs to. Without a byte-level vocabulary they go one by one.
+    """
     if (path, width) not in _ENCODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         many = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-        kind = "H" if width == 2 else "I"
-        _ENCODERS[path, width] = UnitEncoder(lambda texts: [array(kind, e.ids).tobytes() for e in many(texts, add_special_tokens=False)])
+        kind = np.dtype(f"<u{width}")
+        vocab = tokenizer.get_vocab()
+        lengths = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
+        lengths[list(vocab.values())] = [len(t) for t in vocab]  # a byte-level token has a character per byte
+
+        def each(texts: list[str]) -> list[bytes]:
+            return [np.array(e.ids, kind).tobytes() for e in many(texts, add_special_tokens=False)]
+
+        def joined(texts: list[str]) -> list[bytes]:
+            if not texts or any(t[:1] != " " for t in texts):
+                return each(texts)
+            out, start = [], 0
+            while start < len(texts):
+                size, stop = 0, start
+                while stop < len(texts) and (size < JOINED or stop == start):
+                    size += len(texts[stop])
+                    stop += 1
+                ids = np.array(many(["".join(texts[start:stop])], add_special_tokens=False)[0].ids, kind)
+                ends = np.cumsum([len(t.encode()) for t in texts[start:stop]])
+                cuts = np.searchsorted(np.cumsum(lengths[ids]), ends)
+                upto = ((cuts + 1) * width).tolist()
+                raw = ids.tobytes()
+                out += [raw[a:b] for a, b in zip([0, *upto[:-1]], upto, strict=True)]
+                start = stop
+            return out
+
+        own = UnitEncoder(each)
+        if '"ByteLevel"' in tokenizer.to_str():
+            own.encode_units = joined
+        _ENCODERS[path, width] = own
     return _ENCODERS[path, width]
 
 

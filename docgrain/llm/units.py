@@ -25,6 +25,7 @@ class UnitEncoder:
 
     def __init__(self, encode_many: Callable[[list[str]], list[bytes]], cache_units: int = CACHE_UNITS):
         self.encode_many, self.cache_units = encode_many, cache_units
+        self.encode_units = encode_many  # for units with their space, which may be joined
         self.rest: dict[str, bytes | None] = {}  # for " " + unit; None: not to be cut there
         self.first: dict[str, bytes] = {}
 
@@ -41,7 +42,7 @@ class UnitEncoder:
         new = [u for u in need if u not in self.rest]
         plain = [u for u in new if not _odd(u)]
         self.rest.update(dict.fromkeys(set(new).difference(plain)))
-        self.rest.update(zip(plain, self.encode_many([" " + u for u in plain]), strict=True))
+        self.rest.update(zip(plain, self.encode_units([" " + u for u in plain]), strict=True))
         self.first.update(zip(heads, self.encode_many(heads), strict=True))
         out: list[bytes] = []
         get = self.rest.__getitem__
