@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, licenses, mixing, quality, simhash, token_file
+from . import bpe, langid, licenses, lm, mixing, quality, simhash, token_file
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_language": langid.op3_language,
+        "op4_context_mixing": lm.op4_context_mixing,
         "op5_simhash": simhash.op5_simhash,
         "op6_mix": mixing.op6_mix,
         "op7_quality": quality.op7_quality,
