@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, licenses, lm, mixing, quality, simhash, token_file
+from . import bpe, langid, licenses, lm, mixing, quality, simhash, token_file, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ball_tree": topk.op1_ball_tree,
         "op3_language": langid.op3_language,
         "op4_context_mixing": lm.op4_context_mixing,
         "op5_simhash": simhash.op5_simhash,
@@ -23,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mix": mixing.OP6_SQL, "op10_licenses": licenses.OP10_SQL}
+    return {"op1_ball_tree": topk.OP1_SQL, "op6_mix": mixing.OP6_SQL, "op10_licenses": licenses.OP10_SQL}
