@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -64,3 +65,9 @@ def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = 8 << 20) ->
         total += n
     if start < len(sizes):
         yield batch.slice(start, len(sizes) - start)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of steps whose results are saved: it does so when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

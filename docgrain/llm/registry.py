@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, licenses, lm, mixing, quality, simhash, token_file, topk
+from . import bpe, langid, licenses, lm, mixing, quality, repeats, simhash, token_file, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ball_tree": topk.op1_ball_tree,
+        "op2_repeats": repeats.op2_repeats,
         "op3_language": langid.op3_language,
         "op4_context_mixing": lm.op4_context_mixing,
         "op5_simhash": simhash.op5_simhash,
