@@ -209,6 +209,34 @@ def label_texts(model: BiGru, raws: list[bytes]) -> np.ndarray:
     return out / np.maximum([len(r) for r in raws], 1)[:, None]
 
 
+def classify(model: BiGru | None, raws: list[bytes]) -> list[tuple[str, float]]:
+    """Language and score of each text; `und` and 0 without a letter or a model."""
+    lettered = [model is not None and LETTER.search(x.decode("utf-8", "replace")) is not None for x in raws]
+    if not any(lettered):
+        return [("und", 0.0)] * len(raws)
+    p = label_texts(model, [x if ok else b"" for x, ok in zip(raws, lettered, strict=True)])
+    best = p.argmax(1).tolist()
+    return [(model.langs[i], min(1.0, float(p[k, i]))) if ok else ("und", 0.0) for k, (i, ok) in enumerate(zip(best, lettered, strict=True))]
+
+
+def keep_known(docs: DataFrame, model: BiGru | None, least: float) -> DataFrame:
+    """The rows of docs, all columns as they are, whose language the network tells with a score of `least` or more.
+
+    Null texts, texts without a letter and, without a model, all rows go.
+    """
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").cast("binary").alias("raw"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in chunks(whole, "raw"):
+                found = classify(model, [x or b"" for x in batch.column("raw").to_pylist()])
+                yield batch.select(["row"]).filter(pa.array([lang != "und" and score >= least for lang, score in found], pa.bool_()))
+
+    kept = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}")
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 def predict(docs: DataFrame, model: BiGru | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score (the language's mean probability) of every row.
 
@@ -220,13 +248,9 @@ def predict(docs: DataFrame, model: BiGru | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in chunks(whole):
-                raws = [x or b"" for x in batch.column("text").to_pylist()]
-                lettered = [model is not None and LETTER.search(x.decode("utf-8", "replace")) is not None for x in raws]
-                p = label_texts(model, [x if ok else b"" for x, ok in zip(raws, lettered, strict=True)]) if model else np.zeros((len(raws), 1))
-                best = p.argmax(1)
-                langs = [model.langs[i] if ok else "und" for i, ok in zip(best.tolist(), lettered, strict=True)]
-                scores = [min(1.0, float(p[k, i])) if ok else 0.0 for k, (i, ok) in enumerate(zip(best.tolist(), lettered, strict=True))]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(langs), pa.array(scores)], ["doc_id", "held_out", "lang_pred", "score"])
+                found = classify(model, [x or b"" for x in batch.column("text").to_pylist()])
+                langs, scores = [x[0] for x in found], [x[1] for x in found]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("long").cast("string")) % 3 == 1, F.lit(False))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").cast("binary").alias("text"))

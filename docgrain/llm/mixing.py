@@ -59,7 +59,7 @@ def schedule(per: DataFrame, n_slots: int) -> DataFrame:
     spark = per.sparkSession
     everything = F.sum("target").over(Window.partitionBy())
     upto = F.sum("target").over(Window.orderBy("idx"))
-    edge = lambda x: F.floor(x / everything * PERIOD).cast("long")
+    edge = lambda x: F.floor(F.try_divide(x, everything) * PERIOD).cast("long")
     ranges = per.select("idx", edge(upto - F.col("target")).alias("lo"), edge(upto).alias("hi")).select("idx", F.coalesce(F.lag("hi").over(Window.orderBy("idx")), F.lit(0)).alias("lo"), "hi").filter("lo < hi")
     width = PERIOD // CELLS
     cells = ranges.select("*", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))).alias("cell"))
@@ -110,6 +110,20 @@ def mix(docs: DataFrame, share: float = 1.5, repeat: int = 2, weights: tuple[int
     return taken.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def repeat_taken(docs: DataFrame, share: float = 1.5, repeat: int = 2, weights: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
+    """The rows of docs, all columns as they are, each as often as the mix takes its words, to the nearest whole number.
+
+    Rows that share doc_id, source and size are taken alike: each as often as the mix takes them on average.
+    """
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    taken = mix(docs, share, repeat, weights)
+    times = taken.groupBy(F.col("doc_id").alias("id"), F.col("size").alias("words")).agg(F.round(F.try_divide(F.avg("taken"), F.max("size"))).cast("int").alias("times")).filter("times > 0")
+    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), size.alias("words"))
+    joined = own.alias("o").join(times.alias("t"), F.col("o.id").eqNullSafe(F.col("t.id")) & (F.col("o.words") == F.col("t.words")))
+    repeated = joined.select(F.col("o.row").alias("row"), F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
+    return repeated.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
 

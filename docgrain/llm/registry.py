@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from . import bpe, langid, licenses, lm, mixing, quality, repeats, simhash, token_file, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_ball_tree": topk.op1_ball_tree,
         "op2_repeats": repeats.op2_repeats,
         "op3_language": langid.op3_language,
