@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import chunks, documents, id_text, small_batches
+from .common import chunks, documents, id_text, small_batches, tidy
 from .units import UnitEncoder
 
 #: Pairs remembered by a worker; beyond it the memo starts afresh.
@@ -214,7 +214,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
                     ["doc_id", "n_tokens", "ids", "decoded"],
                 )
 
-    return id_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")
+    return id_text(docs).mapInArrow(tidy(run), "doc_id long, n_tokens long, ids binary, decoded binary")
 
 
 def digests(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -233,7 +233,7 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str = public_toke
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    return id_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return id_text(docs).mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op9_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:

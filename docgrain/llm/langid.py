@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, documents, small_batches
+from .common import chunks, documents, small_batches, tidy
 
 WINDOW, HIDDEN, PAD = 96, 8, 256
 #: Labelled documents of each language that training reads about, and windows from each, spread over its whole text.
@@ -174,7 +174,7 @@ def training_windows(docs: DataFrame, per_lang: int = PER_LANG, per_doc: int = P
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "y": pa.array(labels, pa.int64()), "x": pa.array(out, pa.binary())})
 
     some = rows.filter(drawn).select("doc_id", "lang", F.col("text").cast("binary").alias("text")).filter("length(text) > 0")
-    got = some.mapInArrow(cut, "doc_id long, y long, x binary").toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")])
+    got = some.mapInArrow(tidy(cut), "doc_id long, y long, x binary").toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")])
     x = np.frombuffer(b"".join(got["x"].to_pylist()), "<i2").reshape(-1, WINDOW)
     return langs, x, got["y"].to_numpy()
 
@@ -233,7 +233,7 @@ def keep_known(docs: DataFrame, model: BiGru | None, least: float) -> DataFrame:
                 found = classify(model, [x or b"" for x in batch.column("raw").to_pylist()])
                 yield batch.select(["row"]).filter(pa.array([lang != "und" and score >= least for lang, score in found], pa.bool_()))
 
-    kept = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}")
+    kept = rows.mapInArrow(tidy(run), f"row {rows.schema['row'].dataType.simpleString()}")
     return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
@@ -254,7 +254,7 @@ def predict(docs: DataFrame, model: BiGru | None) -> DataFrame:
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("long").cast("string")) % 3 == 1, F.lit(False))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").cast("binary").alias("text"))
-    return own.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return own.mapInArrow(tidy(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import GRAM, anchors
-from .common import chunks, documents, release, saved, small_batches
+from .common import chunks, documents, release, saved, small_batches, tidy
 
 LENGTH = 200
 #: Different contexts of one anchor that are indexed together; contexts of a shard.
@@ -122,7 +122,7 @@ def _occurrences(keyed: DataFrame, length: int) -> DataFrame:
                 c = np.fromiter((digest(texts[i][max(0, a - reach) : a + length], min(a, reach)) for i, a in zip(who.tolist(), at.tolist(), strict=True)), np.uint64, len(who))
                 yield pa.RecordBatch.from_pydict({"k": pa.array(batch.column("k").to_numpy()[who]), "pos": pa.array(at.astype(np.int32)), "h": pa.array(h.view(np.int64)), "c": pa.array(c.view(np.int64))})
 
-    return keyed.filter(F.col("n") >= length).select("k", "raw").mapInArrow(run, "k long, pos int, h long, c long")
+    return keyed.filter(F.col("n") >= length).select("k", "raw").mapInArrow(tidy(run), "k long, pos int, h long, c long")
 
 
 def _index(rows: DataFrame, wide: int, length: int, parts: int) -> DataFrame:
@@ -152,7 +152,7 @@ def _index(rows: DataFrame, wide: int, length: int, parts: int) -> DataFrame:
                 held.append(r)
         yield from flush()
 
-    return rows.select("key", "c", "m", "k", "base", "skip", "body").repartition(parts, "key").sortWithinPartitions("key", "c").mapInArrow(run, "k long, a int, b int")
+    return rows.select("key", "c", "m", "k", "base", "skip", "body").repartition(parts, "key").sortWithinPartitions("key", "c").mapInArrow(tidy(run), "k long, a int, b int")
 
 
 def _narrower(rows: DataFrame, wide: int, narrow: int, length: int) -> DataFrame:
@@ -176,7 +176,7 @@ def _narrower(rows: DataFrame, wide: int, narrow: int, length: int) -> DataFrame
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["key", "c", "m", "k", "base", "skip", "body"])
 
-    return rows.mapInArrow(run, "key long, c long, m long, k long, base int, skip int, body binary")
+    return rows.mapInArrow(tidy(run), "key long, c long, m long, k long, base int, skip int, body binary")
 
 
 def _hot(rows: DataFrame, wide: int, narrow: tuple[int, ...], length: int, hot: int, parts: int) -> list[DataFrame]:
@@ -278,7 +278,7 @@ def _apply(docs: DataFrame, each: Callable[[bytes, list[tuple[int, int]]], tuple
                 columns = list(zip(*values, strict=True)) or [()] * len(names)
                 yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["row", *names])
 
-    return joined.mapInArrow(run, f"row {joined.schema['row'].dataType.simpleString()}, {schema}")
+    return joined.mapInArrow(tidy(run), f"row {joined.schema['row'].dataType.simpleString()}, {schema}")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
@@ -316,7 +316,7 @@ def digests(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
                 n, removed, count, sha = list(zip(*values, strict=True)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

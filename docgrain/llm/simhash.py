@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, documents, id_text, saved, small_batches
+from .common import chunks, documents, id_text, saved, small_batches, tidy
 
 RADIUS = 3
 #: Distinct fingerprints that are compared with one another in one bucket.
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
                 fps = np.array([fingerprint(x, width, seed) for x in batch.column("text").to_pylist()], np.uint64)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, fp long")
+    return id_text(docs).mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def covering_masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
@@ -128,7 +128,7 @@ def _bucket_links(rows: DataFrame, radius: int) -> DataFrame:
         yield from flush(True)
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.select("key", "fp").repartition(parts, "key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long")
+    return rows.select("key", "fp").repartition(parts, "key").sortWithinPartitions("key", "fp").mapInArrow(tidy(run), "a long, b long")
 
 
 def _split(rows: DataFrame) -> DataFrame:
@@ -148,7 +148,7 @@ def _split(rows: DataFrame) -> DataFrame:
                 part = np.array([quarters[m][q] for m in free.tolist()], np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), q)), pa.array((fp & part).view(np.int64)), pa.array((free & ~part).view(np.int64)), pa.array(fp.view(np.int64))], ["old", "q", "bits", "free", "fp"])
 
-    split = rows.select("key", "free", "fp").mapInArrow(run, "old long, q long, bits long, free long, fp long")
+    split = rows.select("key", "free", "fp").mapInArrow(tidy(run), "old long, q long, bits long, free long, fp long")
     return split.select(F.xxhash64("old", "q", "bits").alias("key"), "free", "fp")
 
 

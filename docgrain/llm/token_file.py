@@ -30,7 +30,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import chunks, documents, fresh, id_text, small_batches
+from .common import chunks, documents, fresh, id_text, small_batches, tidy
 from .units import UnitEncoder
 
 MAGIC = b"DGTOKEN1"
@@ -222,7 +222,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = id_text(docs).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    rows = sorted(dealt.mapInArrow(run, "part long, seq long, shard string, n_docs long, n_tokens long").collect())
+    rows = sorted(dealt.mapInArrow(tidy(run), "part long, seq long, shard string, n_docs long, n_tokens long").collect())
     start, manifest = 0, []
     for r in rows:
         manifest.append({"shard": f"{folder}/{r['shard']}", "n_docs": r["n_docs"], "n_tokens": r["n_tokens"], "start": start})
@@ -248,7 +248,7 @@ def read_tokens(spark: SparkSession, manifest: list[dict]) -> DataFrame:
                     yield pa.RecordBatch.from_pydict({"doc_id": pa.array(shard.docs[a:b], pa.int64(), mask=shard.nulls[a:b]), "start": pa.array(ends[:-1] + before), "n_tokens": pa.array(np.diff(ends)), "ids_crc32": pa.array(crcs, pa.int64())})
 
     shards = spark.createDataFrame([(m["shard"], m["start"]) for m in manifest], "shard string, start long")
-    return shards.repartition(len(manifest)).mapInArrow(run, schema)
+    return shards.repartition(len(manifest)).mapInArrow(tidy(run), schema)
 
 
 def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import saved, small_batches
+from .common import saved, small_batches, tidy
 
 #: Vectors of a shard, of a leaf, and queries of a block at most.
 SHARD, LEAF, BLOCK = 8192, 64, 512
@@ -146,7 +146,7 @@ def _packed(vectors: DataFrame, size: int, tree: bool) -> DataFrame:
         for dim in list(held):
             yield pack(dim)
 
-    return vectors.mapInArrow(run, "dim long, payload binary")
+    return vectors.mapInArrow(tidy(run), "dim long, payload binary")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
@@ -190,14 +190,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHARD
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k)[there.ravel()]), pa.array(who[there]), pa.array(scores[there])], ["query_id", "vec_id", "score"])
 
     one = trees.join(pilot, ["dim", "shard"]).select("dim", F.col("payload").alias("tree"))
-    floors = saved(blocks.join(one, "dim").mapInArrow(pilots, "block long, floor binary"), "topk-floors")
+    floors = saved(blocks.join(one, "dim").mapInArrow(tidy(pilots), "block long, floor binary"), "topk-floors")
     blocks = blocks.join(floors, "block")
     # a row for every pair of a block and a shard, by an equality of block numbers
     numbers = [(r["block"], r["dim"]) for r in blocks.select("block", "dim").collect()]
     pairs = spark.createDataFrame(numbers, "block long, dim long").join(trees.select("dim", "shard"), "dim")
     pairs = pairs.repartition(max(parts, 1), "block", "shard")
     work = pairs.join(blocks.select("block", "payload", "floor"), "block").join(trees.select("shard", F.col("payload").alias("tree")), "shard")
-    hits = work.select("payload", "floor", "tree").mapInArrow(search, found).distinct()
+    hits = work.select("payload", "floor", "tree").mapInArrow(tidy(search), found).distinct()
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
