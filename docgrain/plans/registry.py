@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import retrieval
+from . import evaluate, retrieval
 
-MODULES = (retrieval,)
+MODULES = (retrieval, evaluate)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
