@@ -79,5 +79,5 @@ def scan(clauses: DataFrame, rules: DataFrame, key: str = "clause_id", only: lis
 
 def overall(severity: Column) -> Column:
     """The gravest of a group's severities, low if there is none."""
-    grade = F.array_position(F.array(*map(F.lit, SEVERITIES)), severity)
-    return F.coalesce(F.element_at(F.array(*map(F.lit, SEVERITIES)), F.max(grade).cast("int")), F.lit("low"))
+    grade = F.max(sum((F.when(severity == s, i).otherwise(0) for i, s in enumerate(SEVERITIES)), F.lit(0)))
+    return F.element_at(F.array(*map(F.lit, SEVERITIES)), (F.coalesce(grade, F.lit(0)) + 1).cast("int"))

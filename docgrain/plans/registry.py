@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evaluate, retrieval
+from . import evaluate, ingest, retrieval, review
 
-MODULES = (retrieval, evaluate)
+MODULES = (retrieval, ingest, evaluate, review)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
