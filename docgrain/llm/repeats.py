@@ -206,7 +206,8 @@ def spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     reach, wide = length - GRAM, length - GRAM + 1
     keyed = _keyed(docs)
     found = saved(_occurrences(keyed, length), "repeats-anchors")
-    again = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    # saved, so that the join below deals both sides anew and can split an anchor that holds many of the rows
+    again = saved(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "repeats-again")
     rows = saved(found.join(again, "h"), "repeats-candidates")
     release(spark)
     classes = saved(rows.groupBy("h", "c").agg(F.count("*").alias("m"), F.min(F.struct("k", "pos")).alias("one")), "repeats-classes")
