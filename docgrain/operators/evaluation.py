@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import answer_normal, answer_tokens
 
@@ -111,7 +112,7 @@ def error_rate_chars(reference: Column, text: Column) -> Column:
 CODES = 70
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _word_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     """Edit distance of two word lists, a row of the table at a time."""
 
