@@ -9,8 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-#: Units held by one Python worker; beyond it the cache starts afresh. Bounds memory only, never the result.
+#: Units held by one Python worker, in two generations; the older one goes when the younger is full. Bounds memory only,
+#: never the result.
 CACHE_UNITS = 500_000
+#: Marks at a unit's end that are a match of their own after a letter or digit, so that what they follow is encoded once.
+TAIL = ".,;:!?"
 
 
 def _odd(part: str) -> bool:
@@ -27,22 +30,50 @@ class UnitEncoder:
         self.encode_many, self.cache_units = encode_many, cache_units
         self.encode_units = encode_many  # for units with their space, which may be joined
         self.rest: dict[str, bytes | None] = {}  # for " " + unit; None: not to be cut there
+        self.old: dict[str, bytes | None] = {}
         self.first: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+
+    def _learn(self, need: set[str]) -> None:
+        """Put all of need into the younger generation."""
+        rest, old, plain, ended, stems = self.rest, self.old, [], [], set()
+        for u in need:
+            if u in rest:
+                continue
+            if u in old:
+                rest[u] = old[u]
+            elif _odd(u):
+                rest[u] = None
+            else:
+                stem = u.rstrip(TAIL)
+                if len(stem) < len(u) and stem and stem[-1].isalnum():
+                    ended.append((u, stem, u[len(stem) :]))
+                    if stem not in rest and stem not in need:
+                        if stem in old:
+                            rest[stem] = old[stem]
+                        else:
+                            stems.add(stem)
+                else:
+                    plain.append(u)
+        plain.extend(stems)
+        rest.update(zip(plain, self.encode_units([" " + u for u in plain]), strict=True))
+        marks = list({t for _, _, t in ended} - self.tails.keys())
+        self.tails.update(zip(marks, self.encode_many(marks), strict=True))
+        for u, stem, tail in ended:
+            rest[u] = rest[stem] + self.tails[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.rest) > self.cache_units:
-            self.rest.clear()
-        if len(self.first) > self.cache_units:
-            self.first.clear()
+        if len(self.rest) > self.cache_units // 2:
+            self.rest, self.old = {}, self.rest
+        for held in (self.first, self.tails):
+            if len(held) > self.cache_units // 2:
+                held.clear()
         cut = [t.split(" ") for t in texts]
         need: set[str] = set()
         for parts in cut:
             need.update(parts)
+        self._learn(need)
         heads = list({p[0] for p in cut} - self.first.keys())
-        new = [u for u in need if u not in self.rest]
-        plain = [u for u in new if not _odd(u)]
-        self.rest.update(dict.fromkeys(set(new).difference(plain)))
-        self.rest.update(zip(plain, self.encode_units([" " + u for u in plain]), strict=True))
         self.first.update(zip(heads, self.encode_many(heads), strict=True))
         out: list[bytes] = []
         get = self.rest.__getitem__
