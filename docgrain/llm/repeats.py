@@ -81,7 +81,7 @@ class RunIndex:
         """Longest match of each context's suffix from each window start with another context; short ones may read lower."""
         n, wide, length = len(self.symbols), self.wide, self.length
         x, y, c = self.head, self.before, self.at
-        some = np.minimum(c + 7, self.symbols.shape[1] - 1)
+        some = np.minimum(c + min(7, length - 1), self.symbols.shape[1] - 1)
         near = np.flatnonzero((self.symbols[x, c] == self.symbols[y, c]) & (self.symbols[x, some] == self.symbols[y, some]) & (self.stop[x] - c >= length) & (self.stop[y] - c >= length))
         up, down = np.zeros((n, wide), np.int64), np.zeros((n, wide), np.int64)
         column = np.arange(self.symbols.shape[1])
@@ -213,7 +213,7 @@ def spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     classes = saved(rows.groupBy("h", "c").agg(F.count("*").alias("m"), F.min(F.struct("k", "pos")).alias("one")), "repeats-classes")
     twice = classes.filter("m > 1").select("h", "c")
     full = saved(rows.join(twice, ["h", "c"]).select("k", F.greatest(F.col("pos") - reach, F.lit(0)).alias("a"), (F.col("pos") + length).alias("b")), "repeats-full")
-    groups = classes.groupBy("h").agg(F.count("*").alias("g")).filter("g > 1")
+    groups = saved(classes.groupBy("h").agg(F.count("*").alias("g")).filter("g > 1"), "repeats-groups")
     mixed = classes.join(groups, "h").select(F.col("h").alias("key"), "c", "m", "one.k", "one.pos", "g")
     begin = F.greatest(F.col("pos") - reach, F.lit(0))
     body = F.substring("raw", begin + 1, F.col("pos") + length - begin)
