@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 _LOCAL: dict[str, str] = {}
 
 #: White space of the word rule `[^\x20\x09-\x0D]+`, as bytes.
@@ -43,7 +45,8 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bound the rows of an Arrow batch, so that long texts don't fill a Python worker."""
+    """Bound the rows of an Arrow batch, so that long texts don't fill a Python worker; and give executors the package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
