@@ -2,7 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import zipfile
+from pathlib import Path
+
+from pyspark import SparkContext
+from pyspark.sql import DataFrame, SparkSession
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once an application: their Python functions import it."""
+    context: SparkContext = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp()) / f"{root.name}.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    context.addPyFile(str(path))
+    _SHIPPED.add(context.applicationId)
 
 
 def session(app: str = "docgrain", **conf: str) -> SparkSession:
@@ -17,5 +38,6 @@ def session(app: str = "docgrain", **conf: str) -> SparkSession:
     return SparkSession.builder.appName(app).config(map=settings).getOrCreate()
 
 
-def table(spark: SparkSession, sf_dir: str, name: str):
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.chunking import markdown_sections
+from ..session import ship
 from .semi import _leaves
 
 MARKDOWN, IMAGES = ("md", "txt"), ("png", "jpg", "jpeg", "webp", "bmp")
@@ -86,6 +87,7 @@ def other_blocks(found: DataFrame, ocr: Callable[[bytes], str] | None = None) ->
 
 def read_blocks(spark: SparkSession, folder: str, ocr: Callable[[bytes], str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(blocks, rejected) of all files below folder."""
+    ship(spark)
     found = files(spark, folder)
     every = markdown_blocks(found).unionByName(other_blocks(found, ocr))
     return every.filter("block_type <> 'error'"), every.filter("block_type = 'error'")
