@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import chunks, documents, id_text, small_batches, tidy
+from .common import documents, gathered, id_text, small_batches, tidy
 from .units import UnitEncoder
 
 #: Pairs remembered by a worker; beyond it the memo starts afresh.
@@ -159,7 +159,7 @@ class BpeCodec:
         self.replay = MergeReplay(load_ranks(path))
         self.find = unicode_pattern(pattern).findall
         self.words: dict[str, bytes] = {}
-        self.units = UnitEncoder(self._encode_many)
+        self.units = UnitEncoder(self._encode_many, 4)
         top = max(self.replay.token) + 1
         self.token = [self.replay.token.get(i, b"") for i in range(top)]
 
@@ -206,13 +206,12 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for whole in batches:
-            for batch in chunks(whole):
-                packed = own.encode([_text(x) for x in batch.column("text").to_pylist()])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array([len(x) // 4 for x in packed], pa.int64()), pa.array(packed, pa.binary()), pa.array([own.decode(x) for x in packed], pa.binary())],
-                    ["doc_id", "n_tokens", "ids", "decoded"],
-                )
+        for batch in gathered(batches):
+            packed = own.encode([_text(x) for x in batch.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([len(x) // 4 for x in packed], pa.int64()), pa.array(packed, pa.binary()), pa.array([own.decode(x) for x in packed], pa.binary())],
+                ["doc_id", "n_tokens", "ids", "decoded"],
+            )
 
     return id_text(docs).mapInArrow(tidy(run), "doc_id long, n_tokens long, ids binary, decoded binary")
 
@@ -225,13 +224,12 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str = public_toke
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for whole in batches:
-            for batch in chunks(whole):
-                packed = own.encode([_text(x) for x in batch.column("text").to_pylist()])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array([len(x) // 4 for x in packed], pa.int64()), pa.array([sha(x) for x in packed]), pa.array([sha(own.decode(x)) for x in packed])],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+        for batch in gathered(batches):
+            packed = own.encode([_text(x) for x in batch.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([len(x) // 4 for x in packed], pa.int64()), pa.array([sha(x) for x in packed]), pa.array([sha(own.decode(x)) for x in packed])],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
 
     return id_text(docs).mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

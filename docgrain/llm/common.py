@@ -7,9 +7,10 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,7 +62,7 @@ def id_text(docs: DataFrame) -> DataFrame:
 
 def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose column holds about limit bytes at most (or one row)."""
-    sizes = batch.column(column).to_pandas().map(lambda x: len(x) if x is not None else 0).tolist() if batch.num_rows else []
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start = total = 0
     for i, n in enumerate(sizes):
         if total + n > limit and i > start:
@@ -72,6 +73,21 @@ def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = 4 << 20) ->
         yield batch.slice(start, len(sizes) - start)
 
 
+def gathered(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches put together, or cut, so that each holds about limit bytes of the column."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for whole in batches:
+        for part in chunks(whole, column, limit):
+            held.append(part)
+            size += part.nbytes
+            if size >= limit:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of steps whose results are saved: it does so when the driver collects garbage."""
     gc.collect()

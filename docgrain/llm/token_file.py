@@ -30,7 +30,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import chunks, documents, fresh, id_text, small_batches, tidy
+from .common import documents, fresh, gathered, id_text, small_batches, tidy
 from .units import UnitEncoder
 
 MAGIC = b"DGTOKEN1"
@@ -184,7 +184,7 @@ def encoder(path: str, width: int) -> UnitEncoder:
                 start = stop
             return out
 
-        own = UnitEncoder(each)
+        own = UnitEncoder(each, width)
         if '"ByteLevel"' in tokenizer.to_str():
             own.encode_units = joined
         _ENCODERS[path, width] = own
@@ -208,13 +208,12 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, out = encoder(path, width), ShardWriter(folder, width, shard_ids)
         shards: list[tuple[str, int, int]] = []
-        for whole in batches:
-            for batch in chunks(whole):
-                packed = own.encode([(x or b"").decode("utf-8", "replace") for x in batch.column("text").to_pylist()])
-                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), packed, strict=True):
-                    out.add(doc_id, ids + end)
-                    if out.full():
-                        shards.append(out.close())
+        for batch in gathered(batches):
+            packed = own.encode([(x or b"").decode("utf-8", "replace") for x in batch.column("text").to_pylist()])
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), packed, strict=True):
+                out.add(doc_id, ids + end)
+                if out.full():
+                    shards.append(out.close())
         if len(out.docs):
             shards.append(out.close())
         part = TaskContext.get().partitionId()

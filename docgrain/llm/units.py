@@ -9,6 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Units held by one Python worker, in two generations; the older one goes when the younger is full. Bounds memory only,
 #: never the result.
 CACHE_UNITS = 500_000
@@ -23,23 +27,23 @@ def _odd(part: str) -> bool:
 class UnitEncoder:
     """encode(texts) -> ids of each text as packed bytes.
 
-    encode_many: packed ids of each of a list of strings, every one encoded by itself.
+    encode_many: packed ids of each of a list of strings, every one encoded by itself. width: bytes of a packed id.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], cache_units: int = CACHE_UNITS):
-        self.encode_many, self.cache_units = encode_many, cache_units
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], width: int, cache_units: int = CACHE_UNITS):
+        self.encode_many, self.width, self.cache_units = encode_many, width, cache_units
         self.encode_units = encode_many  # for units with their space, which may be joined
         self.rest: dict[str, bytes | None] = {}  # for " " + unit; None: not to be cut there
         self.old: dict[str, bytes | None] = {}
         self.first: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
 
-    def _learn(self, need: set[str]) -> None:
+    def _learn(self, need: list[str]) -> None:
         """Put all of need into the younger generation."""
         rest, old, plain, ended, stems = self.rest, self.old, [], [], set()
+        need = [u for u in need if u not in rest]
+        new = set(need)
         for u in need:
-            if u in rest:
-                continue
             if u in old:
                 rest[u] = old[u]
             elif _odd(u):
@@ -48,7 +52,7 @@ class UnitEncoder:
                 stem = u.rstrip(TAIL)
                 if len(stem) < len(u) and stem and stem[-1].isalnum():
                     ended.append((u, stem, u[len(stem) :]))
-                    if stem not in rest and stem not in need:
+                    if stem not in rest and stem not in new:
                         if stem in old:
                             rest[stem] = old[stem]
                         else:
@@ -68,23 +72,34 @@ class UnitEncoder:
         for held in (self.first, self.tails):
             if len(held) > self.cache_units // 2:
                 held.clear()
-        cut = [t.split(" ") for t in texts]
-        need: set[str] = set()
-        for parts in cut:
-            need.update(parts)
-        self._learn(need)
-        heads = list({p[0] for p in cut} - self.first.keys())
-        self.first.update(zip(heads, self.encode_many(heads), strict=True))
-        out: list[bytes] = []
-        get = self.rest.__getitem__
-        whole: list[int] = []
-        for i, parts in enumerate(cut):
-            found = list(map(get, parts[1:]))
-            if None in found or parts[0][-1:].isspace():
-                whole.append(i)
-                out.append(b"")
-            else:
-                out.append(self.first[parts[0]] + b"".join(found))
+        if not texts:
+            return []
+        # cut and numbered in Arrow; only the distinct units are looked up here
+        cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        start = cut.offsets.to_numpy()
+        coded = cut.flatten().dictionary_encode()
+        units = coded.dictionary.to_pylist()
+        self._learn(units)
+        heads = [t.split(" ", 1)[0] for t in texts]
+        self.first.update(zip(new := list(set(heads) - self.first.keys()), self.encode_many(new), strict=True))
+        packed = list(map(self.rest.__getitem__, units))
+        odd = np.fromiter((x is None for x in packed), bool, len(packed))
+        table = [x or b"" for x in packed] + [self.first[h] for h in heads]
+        number = coded.indices.to_numpy().copy()
+        uncut = np.add.reduceat(odd[number], start[:-1]) - odd[number[start[:-1]]] > 0
+        number[start[:-1]] = len(units) + np.arange(len(texts))
+        # the ids of all texts, one unit's after another's
+        length = np.fromiter(map(len, table), np.int64, len(table)) // self.width
+        flat = np.frombuffer(b"".join(table), f"<u{self.width}")
+        own = length[number]
+        ends = np.cumsum(own)
+        kind = np.int32 if max(len(flat), int(own.sum())) < 1 << 31 else np.int64
+        at = np.repeat(((np.cumsum(length) - length)[number] - (ends - own)).astype(kind), own)
+        at += np.arange(len(at), dtype=kind)
+        ids = flat[at].tobytes()
+        stops = (ends[start[1:] - 1] * self.width).tolist()
+        out = [ids[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
+        whole = [i for i, t in enumerate(heads) if uncut[i] or t[-1:].isspace()]
         for i, ids in zip(whole, self.encode_many([texts[i] for i in whole]), strict=True):
             out[i] = ids
         return out
