@@ -15,6 +15,7 @@ import heapq
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -43,7 +44,15 @@ class MergeReplay:
         self.ranks = ranks
         self.token = {i: t for t, i in ranks.items()}
         self.single = [ranks[bytes([b])] for b in range(256)]
-        self.memo: dict[tuple[int, int], int] = {}
+        # merges of two bytes, known from the start
+        self.pair = np.full((256, 256), -1, np.int64)
+        self.bytes_memo = {}
+        for a in range(256):
+            for b in range(256):
+                r = ranks.get(bytes([a, b]), -1)
+                self.pair[a, b] = r
+                self.bytes_memo[self.single[a], self.single[b]] = r
+        self.memo: dict[tuple[int, int], int] = dict(self.bytes_memo)
 
     def _rank(self, a: int, b: int) -> int:
         """Rank of the token that a and b merge to, -1 if there is none."""
@@ -55,35 +64,37 @@ class MergeReplay:
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each word. A word that is itself a token keeps that token."""
         if len(self.memo) > MEMO_PAIRS:
-            self.memo.clear()
+            self.memo = dict(self.bytes_memo)
         out: list[list[int]] = [[]] * len(words)
-        sym: list[int] = []
-        starts: list[tuple[int, int]] = []
-        single, whole = self.single, self.ranks.get
+        todo: list[int] = []
+        whole = self.ranks.get
         for i, w in enumerate(words):
             if (t := whole(w)) is not None:
                 out[i] = [t]
             elif w:
-                starts.append((i, len(sym)))
-                sym.extend([single[b] for b in w])
-                sym.append(-1)
+                todo.append(i)
+        # all words in a row, an end mark after each; the index of their pairs of bytes
+        joined = np.frombuffer(b"".join([words[i] + b"\0" for i in todo]), np.uint8)
+        sizes = np.fromiter((len(words[i]) + 1 for i in todo), np.int64, len(todo))
+        stops = np.cumsum(sizes) - 1
+        starts = list(zip(todo, (stops - sizes + 1).tolist(), strict=True))
+        symbols = np.array(self.single)[joined]
+        symbols[stops] = -1
+        sym: list[int] = symbols.tolist()
         n = len(sym)
+        index: dict[int, list[int]] = {}
+        if n:
+            first = self.pair[joined[:-1], joined[1:]]
+            first[symbols[:-1] < 0] = -1
+            first[symbols[1:] < 0] = -1
+            at = np.flatnonzero(first >= 0)
+            at = at[np.argsort(first[at], kind="stable")]
+            own, begin = np.unique(first[at], return_index=True)
+            for r, part in zip(own.tolist(), np.split(at, begin[1:]), strict=True) if len(at) else ():
+                index[r] = part.tolist()
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
         memo, rank = self.memo, self._rank
-        index: dict[int, list[int]] = {}
-        a = -1
-        for p, b in enumerate(sym):
-            if a >= 0 and b >= 0:
-                r = memo.get((a, b))
-                if r is None:
-                    r = rank(a, b)
-                if r >= 0:
-                    if r in index:
-                        index[r].append(p - 1)
-                    else:
-                        index[r] = [p - 1]
-            a = b
         heap = list(index)
         heapq.heapify(heap)
         while heap:
