@@ -22,29 +22,50 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("scope").agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col("text")))).alias("avgdl"))
 
 
-def term_stats(posts: DataFrame, stats: DataFrame, epsilon: float = EPSILON) -> DataFrame:
-    """scope, term, df, cf, idf. An idf below zero becomes epsilon times the mean over the scope's vocabulary."""
-    df = posts.groupBy("scope", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+def _idf(df: DataFrame, stats: DataFrame, epsilon: float) -> DataFrame:
+    """df (scope, term, df, ..) with idf. An idf below zero becomes epsilon times the mean over the scope's vocabulary."""
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     df = df.join(stats.select("scope", "n"), "scope").withColumn("raw", raw)
     mean = df.groupBy("scope").agg(F.avg("raw").alias("mean"))
     idf = F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw"))
-    return df.join(mean, "scope").select("scope", "term", "df", "cf", idf.alias("idf"))
+    return df.join(mean, "scope").withColumn("idf", idf).drop("raw", "mean", "n")
+
+
+def term_stats(posts: DataFrame, stats: DataFrame, epsilon: float = EPSILON) -> DataFrame:
+    """scope, term, df, cf, idf of postings."""
+    df = posts.groupBy("scope", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return _idf(df, stats, epsilon).select("scope", "term", "df", "cf", "idf")
+
+
+def document_frequencies(chunks: DataFrame) -> DataFrame:
+    """scope, term, df, counted from each chunk's distinct terms: only sums go through the shuffle."""
+    each = chunks.select("scope", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    return each.groupBy("scope", "term").agg(F.count("*").alias("df"))
+
+
+#: Query terms that are broadcast; beyond it the joins are left to the planner.
+BROADCAST_TERMS = 500_000
 
 
 def scores(queries: DataFrame, chunks: DataFrame, k1: float = K1, b: float = B, epsilon: float = EPSILON) -> DataFrame:
     """query_id, chunk_id, scope, score, hits (distinct shared terms) of chunks that share a term with a query.
 
     queries: query_id, scope, text; a query meets the chunks of its scope only. Repeated query terms count as often.
-    Scores are rounded to 6 places, so that the order of sums doesn't show.
+    Scores are rounded to 6 places, so that the order of sums doesn't show. Texts are dealt by chunk once; counting terms,
+    weighing them and adding up by query and chunk then stay in their partitions.
     """
-    posts, stats = postings(chunks), corpus_stats(chunks)
+    stats = corpus_stats(chunks)
     asked = queries.select("query_id", "scope", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "scope", "term").agg(F.count("*").alias("qtf"))
-    # only terms that are asked for need their postings
-    terms = term_stats(posts, stats, epsilon).join(asked.select("scope", "term").distinct(), ["scope", "term"], "left_semi")
+    few = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    small = F.broadcast if few else lambda df: df
+    wanted = asked.select("scope", "term").distinct()
+    terms = _idf(document_frequencies(chunks), stats, epsilon).join(small(wanted), ["scope", "term"], "left_semi").join(stats.select("scope", "avgdl"), "scope")
+    cut = chunks.repartition("scope", "chunk_id").select("scope", "chunk_id", tokens(F.col("text")).alias("t"))
+    each = cut.select("scope", "chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(small(wanted), ["scope", "term"])
+    tf = each.groupBy("scope", "chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    part = posts.join(terms, ["scope", "term"]).join(stats, "scope").select("scope", "chunk_id", "term", weight.alias("w"))
-    hits = part.join(asked, ["scope", "term"]).groupBy("query_id", "chunk_id", "scope")
+    part = tf.join(small(terms), ["scope", "term"]).select("scope", "chunk_id", "term", weight.alias("w"))
+    hits = part.join(small(asked), ["scope", "term"]).groupBy("query_id", "chunk_id", "scope")
     return hits.agg(F.round(F.sum(F.col("w") * F.col("qtf")), 6).alias("score"), F.count("*").alias("hits"))
 
 
