@@ -8,8 +8,6 @@ are small and fixed, so they are literals of the plan: no join, no shuffle.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,7 +120,7 @@ WITH cut AS (
   SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(translate(regexp_replace(coalesce(text, ''), '[.;!?]+[ \t\r\f]+|[.;!?]*[\r\n]+', chr(1), 'g'), '{UPPER}', '{LOWER}'), '[^a-z0-9\x01]+', ' ', 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '') AS cut
   FROM documents),
 ids AS (SELECT doc_id, len(cut)::BIGINT AS n_sentences, coalesce(array_to_string(list_transform(list_filter(cut, lambda s: s IN ({", ".join(map(quote, known))})), lambda s: {names}[s]), ','), '') AS sentence_ids FROM cut),
-{reduce(lambda a, b: a + "," + chr(10) + b, steps)}
+{("," + chr(10)).join(steps)}
 SELECT doc_id, n_sentences, sentence_ids, array_to_string(met, '|') AS licenses FROM s{len(RULES)}
 """
 
