@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import Fixture
 from ..functions.scores import overlap
-from ..functions.text import answer_tokens, space_normal, tokens
+from ..functions.text import space_normal, tokens
 from ..operators import answering, bm25, evaluation, fusion
 from ..operators.chunking import line_chunks
 from ..session import table

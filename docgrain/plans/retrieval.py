@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixtures import Fixture
-from ..functions.scores import cosine, jaccard
+from ..functions.scores import jaccard
 from ..functions.text import tokens
 from ..operators import access, answering, bm25, dense, fusion
 from ..session import table

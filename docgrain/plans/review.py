@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import Fixture
 from ..functions.text import tokens
-from ..operators import access, answering, evaluation, risk
+from ..operators import access, answering, risk
 from ..session import table
 from ..streaming import jobs
 from .common import tok_sql
