@@ -43,6 +43,13 @@ def document_frequencies(chunks: DataFrame) -> DataFrame:
     return each.groupBy("scope", "term").agg(F.count("*").alias("df"))
 
 
+def vocabulary(chunks: DataFrame, epsilon: float = EPSILON) -> DataFrame:
+    """term_stats() straight from chunks, without postings: only sums by term go through the shuffle."""
+    each = chunks.select("scope", F.explode(tokens(F.col("text"))).alias("term")).groupBy("scope", "term").agg(F.count("*").alias("cf"))
+    df = _idf(document_frequencies(chunks), corpus_stats(chunks), epsilon)
+    return df.join(each, ["scope", "term"]).select("scope", "term", "df", "cf", "idf")
+
+
 #: Query terms that are broadcast; beyond it the joins are left to the planner.
 BROADCAST_TERMS = 500_000
 

@@ -22,8 +22,7 @@ BM25_TOKENIZE = f"SELECT doc_id, len(t) AS n_tokens, md5(array_to_string(t, ' ')
 
 
 def bm25_term_stats(spark: SparkSession, d: str) -> DataFrame:
-    own = chunks(spark, d)
-    return bm25.term_stats(bm25.postings(own), bm25.corpus_stats(own)).select("term", "df", "cf", F.round("idf", 6).alias("idf"))
+    return bm25.vocabulary(chunks(spark, d)).select("term", "df", "cf", F.round("idf", 6).alias("idf"))
 
 
 BM25_TERM_STATS = f"WITH {CHUNK_SQL}, {ASK_SQL}, {SCORE_SQL} SELECT term, df, cf, round(idf, 6) AS idf FROM ts"

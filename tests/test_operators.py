@@ -63,6 +63,12 @@ def test_bm25_equals_loop(spark):
     assert all(abs(got[i] - want[i]) < 1e-5 for i in want)
 
 
+def test_vocabulary_equals_term_stats_of_postings(spark):
+    chunks = spark.createDataFrame([(i % 2, f"c{i}", "aa bb bb " + "cc " * (i % 3)) for i in range(9)], "scope int, chunk_id string, text string")
+    key = lambda df: sorted(map(tuple, df.withColumn("idf", F.round("idf", 9)).collect()))
+    assert key(bm25.vocabulary(chunks)) == key(bm25.term_stats(bm25.postings(chunks), bm25.corpus_stats(chunks)))
+
+
 def test_bm25_keeps_zero_scores_on_request_and_falls_back(spark):
     chunks = spark.createDataFrame([(0, f"c{i}", t) for i, t in enumerate(["alpha beta", "alpha beta", "alpha beta", "gamma"])], "scope int, chunk_id string, text string")
     asked = spark.createDataFrame([(1, 0, "alpha beta")], "query_id int, scope int, text string")
