@@ -8,46 +8,74 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.scores import cosine
+from ..session import ship
 
 #: Query vectors are broadcast up to this number; more are searched in blocks.
 BROADCAST_QUERIES = 2000
 
 
+def _few(queries: DataFrame) -> bool:
+    return queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
+
+
 def similarities(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     """query_id, chunk_id, score (cosine, 6 places) of every vector for every query; query_vec and vec are arrays."""
-    if queries.limit(BROADCAST_QUERIES + 1).count() > BROADCAST_QUERIES:
-        raise ValueError("too many queries to broadcast; use search_blocks")
-    pairs = vectors.join(F.broadcast(queries))
+    pairs = vectors.crossJoin(F.broadcast(queries) if _few(queries) else queries)
     return pairs.select("query_id", "chunk_id", F.round(cosine(F.col("query_vec"), F.col("vec")), 6).alias("score"))
 
 
 def search(queries: DataFrame, vectors: DataFrame, k: int = 20, others_only: bool = False) -> DataFrame:
-    """query_id, rank, chunk_id, score of the k best vectors, ties by chunk_id; others_only leaves a query's own id out."""
+    """query_id, rank, chunk_id, score of the k best vectors, ties by chunk_id; others_only leaves a query's own id out.
+
+    Exact for any number of queries: few are scored natively, more in blocks.
+    """
+    if not _few(queries):
+        return search_blocks(queries, vectors, k, others_only=others_only)
     scored = similarities(queries, vectors)
     if others_only:
         scored = scored.filter("query_id <> chunk_id")
+    return _ranked(scored, k)
+
+
+def _ranked(scored: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
 
 
-def search_blocks(queries: DataFrame, vectors: DataFrame, k: int = 20, block: int = 1000) -> DataFrame:
+def _best(s: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the k best of each row of s, ties by own; -inf never counts."""
+    if s.shape[1] > k:
+        least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+        row, column = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+    else:
+        row, column = np.nonzero(s > -np.inf)
+    order = np.lexsort((own[column], -s[row, column], row))
+    row, column = row[order], column[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], column[keep]
+
+
+def search_blocks(queries: DataFrame, vectors: DataFrame, k: int = 20, block: int = 1000, others_only: bool = False) -> DataFrame:
     """search() for any number of queries: blocks of them go over the vectors one after another, as matrix products;
-    each partition returns k rows a query at most."""
+    each batch of vectors returns k rows a query at most."""
+    ship(queries.sparkSession)
     n_blocks = max(1, -(-queries.count() // block))
     dealt = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)))
+    schema = StructType([StructField("query_id", queries.schema["query_id"].dataType), StructField("chunk_id", vectors.schema["chunk_id"].dataType), StructField("score", DoubleType())])
     out = None
     for number in range(n_blocks):
         part = dealt.filter(F.col("block") == number).select("query_id", "query_vec").toArrow()
         if not part.num_rows:
             continue
-        ids = np.array(part["query_id"].to_pylist())
+        ids, kind = np.array(part["query_id"].to_pylist()), part["query_id"].type
         q = np.array(part["query_vec"].to_pylist(), np.float64)
         length = np.sqrt((q * q).sum(1, keepdims=True))
         q /= np.where(length == 0, 1, length)
 
-        def run(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, q: np.ndarray = q) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, q: np.ndarray = q, kind: pa.DataType = kind) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 v = np.array(batch.column("vec").to_pylist(), np.float64)
                 if not len(v):
@@ -55,12 +83,13 @@ def search_blocks(queries: DataFrame, vectors: DataFrame, k: int = 20, block: in
                 n = np.sqrt((v * v).sum(1, keepdims=True))
                 s = np.round(q @ (v / np.where(n == 0, 1, n)).T, 6)
                 own = np.array(batch.column("chunk_id").to_pylist())
-                order = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :k]
-                yield pa.RecordBatch.from_pydict({"query_id": np.repeat(ids, order.shape[1]), "chunk_id": own[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
+                if others_only:
+                    s[ids[:, None] == own] = -np.inf
+                row, column = _best(s, own, k)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row], kind), batch.column("chunk_id").take(pa.array(column)), pa.array(s[row, column])], ["query_id", "chunk_id", "score"])
 
-        found = vectors.select("chunk_id", "vec").mapInArrow(run, "query_id long, chunk_id long, score double")
+        found = vectors.select("chunk_id", "vec").mapInArrow(run, schema)
         out = found if out is None else out.union(found)
     if out is None:
-        out = queries.select("query_id", F.col("query_id").alias("chunk_id"), F.lit(0.0).alias("score")).limit(0)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id")
-    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
+        out = queries.sparkSession.createDataFrame([], schema)
+    return _ranked(out, k)

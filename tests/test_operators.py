@@ -115,6 +115,20 @@ def test_dense_forms_agree(spark):
     assert key(dense.search(asked, vectors, 5)) == key(dense.search_blocks(asked, vectors, 5, block=3))
 
 
+def test_dense_search_takes_any_number_of_queries(spark):
+    rng = random.Random(6)
+    rows = [(f"v{i}", [float(rng.randint(-2, 2)) for _ in range(4)]) for i in range(dense.BROADCAST_QUERIES + 1)]  # many ties
+    vectors = spark.createDataFrame(rows[:60], "chunk_id string, vec array<float>")
+    asked = spark.createDataFrame(rows, "query_id string, query_vec array<float>")
+    key = lambda df: sorted(map(tuple, df.select("query_id", "rank", "chunk_id").collect()))
+    some = asked.limit(100)
+    for others_only in (False, True):
+        many, few = key(dense.search(asked, vectors, 3, others_only)), key(dense.search(some, vectors, 3, others_only))
+        assert len(many) == 3 * len(rows)
+        assert [r for r in many if r[0] in {f[0] for f in few}] == few
+    assert dense.similarities(asked, vectors).count() == 60 * len(rows)
+
+
 def test_metrics_worked_values(spark):
     r = ranked(spark, ["c1", "c2", "c3", "c4", "c5"])
     gold = spark.createDataFrame([(1, "c3"), (1, "c7")], "query_id int, chunk_id string")
