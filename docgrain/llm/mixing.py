@@ -74,6 +74,33 @@ def schedule(per: DataFrame, n_slots: int) -> DataFrame:
     return inside.join(runs, ["idx", "run"]).select("idx", (F.col("before") + F.col("at")).alias("rank"))
 
 
+def _placed(sizes: DataFrame, per: DataFrame, n_docs: int, repeat: int) -> DataFrame:
+    """Every row of sizes at each place (from) that its source's shuffled stream, which runs `repeat` times, has it; bucket and row tell rows apart."""
+    # buckets of about 256 documents if there were one source, up to 65536
+    bits = max(4, min(16, (max(n_docs, 1) // 256).bit_length()))
+    key = _order_key(F.col("doc_id"), F.col("size"))
+    rows = sizes.join(per.select(F.col("source").alias("s"), "idx", "source_size", "target"), F.col("source").eqNullSafe(F.col("s")))
+    rows = rows.select("doc_id", "size", "idx", "source_size", "target", key.alias("key")).withColumn("bucket", F.shiftright("key", 32 - bits))
+    totals = rows.groupBy("idx", "bucket").agg(F.sum("size").alias("words"))
+    before = F.coalesce(F.sum("words").over(Window.partitionBy("idx").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = totals.select("idx", "bucket", before.alias("before"))
+    order = Window.partitionBy("idx", "bucket").orderBy("key", F.col("doc_id").asc_nulls_last(), "size")
+    placed = rows.withColumn("row", F.row_number().over(order)).withColumn("at", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"))
+    placed = placed.join(totals, ["idx", "bucket"]).withColumn("start", F.col("before") + F.col("at"))
+    passes = F.explode_outer(F.when(F.col("size") > 0, F.transform(F.sequence(F.lit(0), F.lit(repeat - 1)), lambda p: F.col("start") + p * F.col("source_size"))))
+    return placed.select("doc_id", "size", "idx", "source_size", "target", "bucket", "row", passes.alias("from"))
+
+
+def _sizes(docs: DataFrame) -> DataFrame:
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    return saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")), "mix-sizes")
+
+
+def _totalled(rows: DataFrame, part: Column) -> DataFrame:
+    taken = rows.groupBy("idx", "bucket", "row", "doc_id", "size", "source_size", "target").agg(F.coalesce(F.sum(part), F.lit(0)).cast("long").alias("taken"))
+    return taken.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def mix(docs: DataFrame, share: float = 1.5, repeat: int = 2, weights: tuple[int, ...] = (5, 2, 1), block: int | None = None) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row of docs.
 
@@ -82,41 +109,38 @@ def mix(docs: DataFrame, share: float = 1.5, repeat: int = 2, weights: tuple[int
     are 0. Extra columns are left out; an empty table gives an empty one. block: words in a slot, 1/65536 of all
     words but at most 2048 by default. The same rows give the same mix, however they are partitioned.
     """
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")), "mix-sizes")
+    sizes = _sizes(docs)
     per = saved(targets(sizes, share, repeat, weights), "mix-targets")
     whole = per.agg(F.sum("source_size").alias("words"), F.sum("target").alias("target"), F.sum("n_docs").alias("docs")).first()
     words, n_docs = whole["words"] or 0, whole["docs"] or 0
     block = block or max(1, min(2048, words >> 16))
     n_slots = -int(-(whole["target"] or 0) // block)
-    # buckets of about 256 documents if there were one source, up to 65536
-    bits = max(4, min(16, (max(n_docs, 1) // 256).bit_length()))
-    key = _order_key(F.col("doc_id"), F.col("size"))
-    rows = sizes.join(per.select(F.col("source").alias("s"), "idx", "source_size", "target"), F.col("source").eqNullSafe(F.col("s")))
-    rows = rows.select("doc_id", "size", "idx", "source_size", "target", key.alias("key")).withColumn("bucket", F.shiftright("key", 32 - bits))
-    totals = rows.groupBy("idx", "bucket").agg(F.sum("size").alias("words"))
-    before = F.coalesce(F.sum("words").over(Window.partitionBy("idx").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    totals = totals.select("idx", "bucket", before.alias("before"))
-    order = Window.partitionBy("idx", "bucket").orderBy("key", F.col("doc_id").asc_nulls_last(), "size")
-    placed = rows.withColumn("row", F.row_number().over(order)).withColumn("at", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"))
-    placed = placed.join(totals, ["idx", "bucket"]).withColumn("start", F.col("before") + F.col("at"))
-    passes = F.explode_outer(F.when(F.col("size") > 0, F.transform(F.sequence(F.lit(0), F.lit(repeat - 1)), lambda p: F.col("start") + p * F.col("source_size"))))
-    blocks = placed.select("doc_id", "size", "idx", "source_size", "target", "bucket", "row", passes.alias("from"))
+    blocks = _placed(sizes, per, n_docs, repeat)
     blocks = blocks.select("*", F.explode_outer(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("from") + F.col("size") - 1) / block))).alias("rank"))
     slots = schedule(per, n_slots).select("idx", "rank", F.lit(True).alias("hit"))
     inside = F.least(F.col("from") + F.col("size"), (F.col("rank") + 1) * block) - F.greatest("from", F.col("rank") * block)
-    taken = blocks.join(slots, ["idx", "rank"], "left").groupBy("idx", "bucket", "row", "doc_id", "size", "source_size", "target")
-    taken = taken.agg(F.coalesce(F.sum(F.when(F.col("hit"), inside)), F.lit(0)).cast("long").alias("taken"))
-    return taken.select("doc_id", "size", "source_size", "target", "taken")
+    return _totalled(blocks.join(slots, ["idx", "rank"], "left"), F.when(F.col("hit"), inside))
+
+
+def quota(docs: DataFrame, share: float = 1.5, repeat: int = 2, weights: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
+    """mix() without slots: each source's stream is taken up to its target, to the nearest word, however small it is.
+
+    The slots of a source take its blocks from the first on, so this is what they take but for their rounding to blocks.
+    """
+    sizes = _sizes(docs)
+    per = saved(targets(sizes, share, repeat, weights), "mix-targets")
+    n_docs = per.agg(F.sum("n_docs")).first()[0] or 0
+    left = F.round("target").cast("long") - F.col("from")
+    return _totalled(_placed(sizes, per, n_docs, repeat), F.greatest(F.lit(0), F.least(F.col("size"), left)))
 
 
 def repeat_taken(docs: DataFrame, share: float = 1.5, repeat: int = 2, weights: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
-    """The rows of docs, all columns as they are, each as often as the mix takes its words, to the nearest whole number.
+    """The rows of docs, all columns as they are, each as often as quota() takes its words, to the nearest whole number.
 
     Rows that share doc_id, source and size are taken alike: each as often as the mix takes them on average.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    taken = mix(docs, share, repeat, weights)
+    taken = quota(docs, share, repeat, weights)
     times = taken.groupBy(F.col("doc_id").alias("id"), F.col("size").alias("words")).agg(F.round(F.try_divide(F.avg("taken"), F.max("size"))).cast("int").alias("times")).filter("times > 0")
     own = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), size.alias("words"))
     joined = own.alias("o").join(times.alias("t"), F.col("o.id").eqNullSafe(F.col("t.id")) & (F.col("o.words") == F.col("t.words")))

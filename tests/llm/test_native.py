@@ -4,6 +4,7 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from docgrain.llm import licenses, mixing
 from oracle import norm, same
@@ -75,6 +76,18 @@ def test_mix_of_nothing(docs):
     assert mixing.repeat_taken(docs([(1, None)])).count() == 0
 
 
+def test_small_sources_beside_a_large_one_are_taken(spark):
+    rows = [(10 * i + k, "w " * 20, f"small{i}") for i in range(8) for k in range(3)] + [(100, "w " * 400, "tiny")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    large = spark.range(1000, 1400).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), 30_000).alias("text"), F.lit("large").alias("source"))
+    every = df.union(large)
+    times = {r["source"]: r["count"] for r in mixing.repeat_taken(every).groupBy("source").count().collect()}
+    assert times.pop("large") in range(598, 603)
+    assert times == {f"small{i}": 6 for i in range(8)} | {"tiny": 2}
+    taken = [r for r in mixing.quota(every).collect() if r["source_size"] < 1000]
+    assert len(taken) == 25 and all(r["taken"] == 2 * r["size"] for r in taken)
+
+
 def test_repeat_taken_keeps_columns(odd):
     got = mixing.repeat_taken(odd)
     assert got.columns == odd.columns
