@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,13 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/docgrain/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def folder(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder or file and its path there, for workers that read or write it themselves."""
+    if "://" in uri or uri.startswith("file:"):
+        return fs.FileSystem.from_uri("file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri)
+    return fs.LocalFileSystem(), uri
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession

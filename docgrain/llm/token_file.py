@@ -26,11 +26,10 @@ from pathlib import PurePosixPath
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, fresh, gathered, id_text, small_batches, tidy
+from .common import documents, folder, fresh, gathered, id_text, small_batches, tidy
 from .units import UnitEncoder
 
 MAGIC = b"DGTOKEN1"
@@ -75,12 +74,6 @@ class EliasFano:
         return value.astype(np.int64)
 
 
-def _open(uri: str) -> tuple[fs.FileSystem, str]:
-    if "://" in uri or uri.startswith("file:"):
-        return fs.FileSystem.from_uri("file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri)
-    return fs.LocalFileSystem(), uri
-
-
 class ShardWriter:
     """Collects documents in memory up to a bound and writes them as one shard."""
 
@@ -107,7 +100,7 @@ class ShardWriter:
             crc = zlib.crc32(x, crc)
         parts.append(FOOTER.pack(n_tokens, n_docs, self.width, ef.bits, len(ef.low), len(ef.high), 4 * len(ef.directory), crc, MAGIC))
         name = f"{uuid.uuid4().hex}.dgtok"
-        store, root = _open(self.folder)
+        store, root = folder(self.folder)
         store.create_dir(root, recursive=True)
         with store.open_output_stream(f"{root}/{name}", compression=None) as f:
             for x in parts:
@@ -120,7 +113,7 @@ class Shard:
     """Random access to the documents of one shard file."""
 
     def __init__(self, uri: str):
-        store, path = _open(uri)
+        store, path = folder(uri)
         with store.open_input_file(path) as f:
             data = f.read()
         self.n_tokens, self.n_docs, self.width, bits, low, high, directory, crc, magic = FOOTER.unpack(data[-FOOTER.size :])
