@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_SPACE, chunks, documents, folder, fresh, saved, small_batches, tidy
+from .common import WORD_SPACE, chunks, documents, folder, fresh, release, saved, small_batches, tidy
 
 #: Tabled contexts: bytes of the word looked back on and the bits of the table's line number. The last table is for the first
 #: LEAD bytes of a word: the end of the word before (TAIL bytes) and what there is of the word.
@@ -49,7 +49,7 @@ ADD, QUANT = 0.05, 15.0
 #: First and last block of the online steps, in words; the strength of the start values, in decisions; the step.
 FIRST, LAST, PRIOR, RATE = 8, 2048, 200.0, 2.0
 #: Words that are mixed at once; bytes of text whose distinct words are looked up together; lines of a slab of a table.
-STRIDE, CHUNK, SLAB = 1 << 16, 16 << 20, 1 << 10
+STRIDE, CHUNK, SLAB = 1 << 16, 8 << 20, 1 << 10
 #: Weights stay within this (over QUANT), which keeps every sum of log-odds within what a float's exponential can hold.
 BOUND = 2.5 / QUANT
 #: Shares that the cache of a text's own words may have in its probabilities, and their weights at the start of a text.
@@ -157,15 +157,15 @@ class Spelling:
         return (h >> np.uint64(69 - bits)).astype(np.int64) + (1 << bits - 1) + (self.kinds[place][word] << (bits - 5))
 
     def keyed(self) -> tuple[np.ndarray, np.ndarray]:
-        """The bytes whose word so far has a key, and 48-bit keys of word so far and next symbol in the high bits of 56."""
+        """The bytes whose word so far has a key, and for each 44 bits of that key, the class (4 bits) and the symbol (8)."""
         at = np.flatnonzero((self.place >= LEAST) & (self.place <= MOST))
         n = len(self.joined)
         total = np.zeros(n + 1, np.uint64)
         with np.errstate(over="ignore"):
             np.cumsum((self.joined.astype(np.uint64) + np.uint64(1)) * _powers(pow(_BASE, -1, 1 << 64), n), out=total[1:])
             h = (total[at] - total[at - self.place[at]]) * _powers(_BASE, n)[at]
-        h = _scrambled(h) >> np.uint64(16)
-        return at, (h << np.uint64(8)) | self.symbol[at].astype(np.uint64)
+        h = _scrambled(h) >> np.uint64(20)
+        return at, (h << np.uint64(12)) | (self.kind[at].astype(np.uint64) << np.uint64(8)) | self.symbol[at].astype(np.uint64)
 
 
 def _classes(table: int) -> list[tuple[int, int, int]]:
@@ -235,9 +235,9 @@ class Code:
         self.trees = [Tree(c) for c in counts]
         paths = [p for t in self.trees for p in t.paths]
         self.length = np.array([len(p) for p in paths])
-        self.first = np.cumsum(self.length) - self.length
+        self.first = (np.cumsum(self.length) - self.length).astype(np.int32)
         tree = np.repeat(np.arange(len(paths)) // WIDTH, self.length)
-        self.node = np.array([n for p in paths for n, _ in p])
+        self.node = np.array([n for p in paths for n, _ in p], np.int16)
         self.sign = np.array([2 * b - 1 for p in paths for _, b in p], np.int8)
         self.leaf = np.array([t.leaf for t in self.trees])
         self.ranges = np.array([t.ranges for t in self.trees])[tree, self.node]
@@ -252,12 +252,13 @@ class Code:
         """How many decisions each (class, symbol) takes, and the numbers of them all in order."""
         which = kind.astype(np.int64) * WIDTH + symbol
         n = self.length[which]
-        return n, np.arange(int(n.sum())) + np.repeat(self.first[which] - (np.cumsum(n) - n), n)
+        upto = np.cumsum(n) - n
+        return n, np.repeat((self.first[which] - upto).astype(np.int32), n) + np.arange(int(n.sum()), dtype=np.int32)
 
-    def answers(self, keys: np.ndarray, counts: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of sorted distinct keys (context, symbol in the low byte), their counts and classes: how many decisions each takes,
-        the log-odds of every decision's bit as it came, and the weight set of each key's context."""
-        symbol = (keys & np.uint64(255)).astype(np.int64)
+    def answers(self, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of sorted distinct keys (see Spelling.keyed) and their counts: how many decisions each takes, the log-odds of every
+        decision's bit as it came, and the weight set of each key's context."""
+        symbol, kind = (keys & np.uint64(255)).astype(np.int64), ((keys >> np.uint64(8)) & np.uint64(15)).astype(np.int64)
         n, decision = self.runs(kind, symbol)
         head = np.flatnonzero(np.diff(keys >> np.uint64(8), prepend=np.uint64((1 << 64) - 1)) != 0) if len(keys) else np.zeros(0, np.int64)
         group = np.repeat(np.arange(len(head)), np.diff([*head, len(keys)]))
@@ -306,7 +307,7 @@ class Mixer:
         sign, node = code.sign[decision], code.node[decision]
         packed = np.empty((len(decision), 4), np.int8)
         for k, (table, line) in enumerate(zip(self.tables[:-1], spelling.lines(), strict=True)):
-            at = np.repeat(line * WIDTH, n)
+            at = np.repeat((line * WIDTH).astype(np.int32), n)
             at += node
             packed[:, k] = table[at] * sign
         gate = self.tables[1][line * WIDTH + WIDTH - 1].view(np.uint8)
@@ -330,7 +331,7 @@ class Mixer:
         for k in range(LEAD):
             there = spelling.sizes > k
             lead[there, k] = n[spelling.starts[there] + k]
-        return np.cumsum(per_word) - per_word, per_word, packed.view(np.uint32).ravel(), lead, (node * sign).astype(np.int16) + sign
+        return np.cumsum(per_word) - per_word, per_word, packed.view(np.uint32).ravel(), lead, (node + np.int16(1)) * sign
 
     def bits(self, count: np.ndarray, flat: np.ndarray, words: tuple, rest: np.ndarray, spelling: Spelling) -> np.ndarray:
         """Bits of the words of each text: count words each, flat their numbers, words as decisions() gives them, rest the
@@ -486,17 +487,33 @@ def _token_key(token: bytes) -> int:
     return xxhash.xxh3_64_intdigest(token)
 
 
+def word_keys(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of words in ascending order, and the words' places in that order."""
+    keys = np.fromiter(map(_token_key, words), np.uint64, len(words))
+    order = np.argsort(keys, kind="stable")
+    return keys[order], order
+
+
 def _part_of(high: np.ndarray, parts: int) -> np.ndarray:
     """The part of keys by their highest 32 bits: parts are ranges of keys."""
     return ((high.astype(np.uint64) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
 
 
 def _squeezed(x: object) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(x, protocol=5))
+    """x (a number or a tuple) in few bytes; arrays are laid out byte by byte of their items, so that equal bytes meet."""
+    plain = [("array", v.dtype.str, v.view(np.uint8).reshape(-1, v.dtype.itemsize).T.tobytes()) if isinstance(v, np.ndarray) else v for v in (x if isinstance(x, tuple) else (x,))]
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps((isinstance(x, tuple), plain), protocol=5))
 
 
-def _opened(x: bytes) -> tuple:
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(x))
+def _opened(x: bytes) -> object:
+    whole, plain = pickle.loads(zstandard.ZstdDecompressor().decompress(x))
+    out = []
+    for v in plain:
+        if isinstance(v, tuple) and v[:1] == ("array",):
+            kind = np.dtype(v[1])
+            v = np.frombuffer(np.frombuffer(v[2], np.uint8).reshape(kind.itemsize, -1).T.tobytes(), kind)
+        out.append(v)
+    return tuple(out) if whole else out[0]
 
 
 def _trained(docs: DataFrame) -> DataFrame:
@@ -533,23 +550,23 @@ def _read(docs: DataFrame, parts: int) -> DataFrame:
 
         def out(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nonlocal chunk, tokens, texts, sums
-            doc_ids = [x for r in rows for x in r.column("doc_id").to_pylist()]
+            doc_ids = pa.chunked_array([r.column("doc_id") for r in rows]).combine_chunks()
             held = np.array([x for r in rows for x in r.column("held_out").to_pylist()], bool)
             text = pa.chunked_array([r.column("text") for r in rows]).combine_chunks()
             count, flat, words = distinct_words(text)
             words.append(bytes([STOP]))
-            # words in the order of their keys; the mark that ends a text after its words
-            keys = np.fromiter(map(_token_key, words), np.uint64, len(words))
-            order = np.argsort(keys)
+            # the more often a word occurs, the smaller its number; the mark that ends a text after its words
+            times = np.append(np.bincount(flat, minlength=len(words) - 1), len(count))
+            order = np.argsort(-times, kind="stable")
             place = np.empty(len(words), np.int32)
             place[order] = np.arange(len(words))
             every = np.full(len(flat) + len(count), place[-1], np.int32)
             every[np.arange(len(flat)) + np.repeat(np.arange(len(count)), count)] = place[flat]
-            keys, words, count = keys[order], [words[i] for i in order.tolist()], count + 1
+            words, count = [words[i] for i in order.tolist()], count + 1
             own = gaps(text)
             trained = np.bincount(every[np.repeat(~held, count)], minlength=len(words))
             sums, tokens, texts = sums + own[~held].sum(0), tokens + int(count[~held].sum()), texts + int((~held).sum())
-            yield _row(chunk, HEAD, (doc_ids, held, count, every, b"\n".join(words), own.astype(np.uint32)))
+            yield _row(chunk, HEAD, (doc_ids, held, count, every, b"\n".join(words), own.astype(np.uint32).ravel()))
             spelling = Spelling(words)
             times = np.repeat(trained, spelling.sizes)
             learnt = np.flatnonzero(times)
@@ -567,15 +584,14 @@ def _read(docs: DataFrame, parts: int) -> DataFrame:
             at, key = spelling.keyed()
             key, which = np.unique(key, return_inverse=True)
             often = np.bincount(which, times[at], len(key)).astype(np.uint32)
-            kind = np.zeros(len(key), np.uint8)
-            kind[which] = spelling.kind[at]
+            keys, order = word_keys(words)
             word_part, key_part = _part_of(keys >> np.uint64(32), parts), _part_of(key >> np.uint64(24), parts)
             bounds = np.arange(parts + 1)
             a, b = np.searchsorted(word_part, bounds).tolist(), np.searchsorted(key_part, bounds).tolist()
             for part in range(parts):
                 i, j, k, l = a[part], a[part + 1], b[part], b[part + 1]
                 if j > i or l > k:
-                    yield _row(chunk, part, (np.diff(keys[i:j], prepend=np.uint64(0)), trained[i:j].astype(np.uint32), np.diff(key[k:l], prepend=np.uint64(0)), often[k:l], kind[k:l]))
+                    yield _row(chunk, part, (np.diff(keys[i:j], prepend=np.uint64(0)), trained[order[i:j]].astype(np.uint32), np.diff(key[k:l], prepend=np.uint64(0)), often[k:l]))
             chunk += 1
 
         size = 0
@@ -686,9 +702,7 @@ def _look_up(rows: DataFrame, pairs: np.ndarray, parts: int) -> DataFrame:
             yield _row(-1, part, int((c > 0).sum()))
             key, at = np.unique(np.concatenate([np.cumsum(x[2]) for x in opened]), return_inverse=True)
             n = np.bincount(at, np.concatenate([x[3] for x in opened]), len(key))
-            kind = np.zeros(len(key), np.uint8)
-            kind[at] = np.concatenate([x[4] for x in opened])
-            length, values, gate = code[0].answers(key, n, kind)
+            length, values, gate = code[0].answers(key, n)
             begin = np.cumsum(length) - length
             i = j = 0
             for (chunk, _), size, place in zip(held, sizes, places, strict=True):
@@ -712,8 +726,11 @@ def _look_up(rows: DataFrame, pairs: np.ndarray, parts: int) -> DataFrame:
 def _mixed(mixer: Mixer, head: tuple, answers: list[tuple], totals: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a chunk's texts the sums of log10(c + 0.1), the number of known tokens and the bits."""
     _, _, count, flat, joined, own = head
-    spelling = Spelling(joined.split(b"\n"))
-    c, values, gates = (np.concatenate(x) for x in zip(*answers, strict=True))
+    distinct = joined.split(b"\n")
+    spelling = Spelling(distinct)
+    sorted_c, values, gates = (np.concatenate(x) for x in zip(*answers, strict=True))
+    c = np.empty_like(sorted_c)
+    c[word_keys(distinct)[1]] = sorted_c
     starts = np.cumsum(count) - count
     upto = lambda x: np.add.reduceat(x[flat], starts)
     base, known = upto(np.log10(c + 0.1)), upto((c > 0).astype(np.int64))
@@ -721,7 +738,7 @@ def _mixed(mixer: Mixer, head: tuple, answers: list[tuple], totals: tuple) -> tu
     _, order = np.unique(key, return_inverse=True)
     words = mixer.decisions(spelling, values, gates, order)
     extra = np.add.reduceat(mixer.code.rest[(spelling.before.astype(np.int64) << 8) + spelling.joined], spelling.starts).astype(np.float64)
-    return base, known, mixer.bits(count, flat, words, extra, spelling) + gap_bits(own.astype(np.int64), totals[2], totals[1])
+    return base, known, mixer.bits(count, flat, words, extra, spelling) + gap_bits(own.reshape(-1, GAPS).astype(np.int64), totals[2], totals[1])
 
 
 def score(docs: DataFrame, parts: int | None = None) -> DataFrame:
@@ -744,6 +761,7 @@ def score(docs: DataFrame, parts: int | None = None) -> DataFrame:
     found = {r["part"]: _opened(r["body"]) for r in small}
     totals = found.get(TOTALS, (0, 0, np.zeros(GAPS, np.int64)))
     sums = saved(_look_up(rows, unpacked(found)[0], parts), "lm-answers")
+    release(spark)
     counted = sums.filter("chunk = -1").mapInArrow(_unpickled, "n long").agg(F.sum("n")).first()[0]
     tokens, distinct = totals[0], counted or 0
     floor = np.log10(tokens + 0.1 * (distinct + 1))
@@ -757,7 +775,7 @@ def score(docs: DataFrame, parts: int | None = None) -> DataFrame:
             base, known, bits = _mixed(_mixer(path), head, answers, totals)
             doc_ids, held, count = head[:3]
             yield pa.RecordBatch.from_pydict({
-                "doc_id": pa.array(doc_ids, pa.int64()),
+                "doc_id": doc_ids,
                 "held_out": pa.array(held),
                 "n_tokens": pa.array(count),
                 "n_known": pa.array(known),
