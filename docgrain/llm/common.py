@@ -53,6 +53,23 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def present(spark: SparkSession, path: str) -> list[str]:
+    """The path, if it is there."""
+    store, where = _hadoop(spark, path)
+    return [path] if store.exists(where) else []
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the work folder whose rows nothing reads again."""
+    store, where = _hadoop(spark, path)
+    store.delete(where, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Bound the rows of an Arrow batch, so that long texts don't fill a Python worker; and give executors the package."""
     ship(spark)

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_SPACE, chunks, documents, folder, fresh, release, saved, small_batches, tidy
+from .common import WORD_SPACE, chunks, discard, documents, folder, fresh, present, saved, small_batches, tidy
 
 #: Tabled contexts: bytes of the word looked back on and the bits of the table's line number. The last table is for the first
 #: LEAD bytes of a word: the end of the word before (TAIL bytes) and what there is of the word.
@@ -49,7 +49,7 @@ ADD, QUANT = 0.05, 15.0
 #: First and last block of the online steps, in words; the strength of the start values, in decisions; the step.
 FIRST, LAST, PRIOR, RATE = 8, 2048, 200.0, 2.0
 #: Words that are mixed at once; bytes of text whose distinct words are looked up together; lines of a slab of a table.
-STRIDE, CHUNK, SLAB = 1 << 16, 8 << 20, 1 << 10
+STRIDE, CHUNK, SLAB = 1 << 16, 10 << 20, 1 << 10
 #: Weights stay within this (over QUANT), which keeps every sum of log-odds within what a float's exponential can hold.
 BOUND = 2.5 / QUANT
 #: Shares that the cache of a text's own words may have in its probabilities, and their weights at the start of a text.
@@ -537,13 +537,23 @@ def _slabs(bits: int) -> int:
     return max(1, (1 << bits) // SLAB)
 
 
+def _moved(scratch: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The counts of a table (sorted cells, counts) with those of scratch, which is emptied."""
+    here = np.flatnonzero(scratch).astype(np.int32)
+    cells, place = np.unique(np.concatenate([table[0], here]), return_inverse=True)
+    often = np.bincount(place, np.concatenate([table[1], scratch[here]]), len(cells)).astype(np.int64)
+    scratch[here] = 0
+    return cells, often
+
+
 def _read(docs: DataFrame, parts: int) -> DataFrame:
     """The rows of the first step: the only one that reads texts."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32
-        tables = [np.zeros(WIDTH << bits, np.int32) for _, bits in CONTEXTS]
+        scratch = np.zeros(WIDTH << max(bits for _, bits in CONTEXTS), np.int32)
+        tables = [(np.zeros(0, np.int32), np.zeros(0, np.int64)) for _ in CONTEXTS]  # cells that occur, and how often
         pairs = np.zeros(1 << 16, np.int64)
         sums, tokens, texts = np.zeros(GAPS, np.int64), 0, 0
         held_rows: list[pa.RecordBatch] = []
@@ -571,16 +581,23 @@ def _read(docs: DataFrame, parts: int) -> DataFrame:
             times = np.repeat(trained, spelling.sizes)
             learnt = np.flatnonzero(times)
             pairs[:] += np.bincount((spelling.before[learnt].astype(np.int64) << 8) + spelling.joined[learnt], times[learnt], 1 << 16).astype(np.int64)
-            read = np.flatnonzero(np.repeat(~held, count))
-            word, end = every[read], tails(count, every, spelling)[read]
-            for k in range(LEAD):
-                some = spelling.sizes[word] > k
-                line = spelling.leads(end[some], word[some], k)
-                line *= WIDTH
-                line += spelling.symbol[spelling.starts[word[some]] + k]
-                np.add.at(tables[-1], line, np.int32(1))
-            for table, line in zip(tables[:-1], spelling.lines(), strict=True):
-                np.add.at(table, line[learnt] * WIDTH + spelling.symbol[learnt], times[learnt].astype(np.int32))
+            for table, line in enumerate(spelling.lines()):
+                np.add.at(scratch, line[learnt] * WIDTH + spelling.symbol[learnt], times[learnt].astype(np.int32))
+                tables[table] = _moved(scratch, tables[table])
+            del line, learnt, times
+            before = tails(count, every, spelling)
+            read = np.repeat(~held, count)
+            for a in range(0, len(every), STRIDE):
+                some = read[a : a + STRIDE]
+                word, end = every[a : a + STRIDE][some], before[a : a + STRIDE][some]
+                for k in range(LEAD):
+                    some = spelling.sizes[word] > k
+                    line = spelling.leads(end[some], word[some], k)
+                    line *= WIDTH
+                    line += spelling.symbol[spelling.starts[word[some]] + k]
+                    np.add.at(scratch, line, np.int32(1))
+            tables[-1] = _moved(scratch, tables[-1])
+            times = np.repeat(trained, spelling.sizes)
             at, key = spelling.keyed()
             key, which = np.unique(key, return_inverse=True)
             often = np.bincount(which, times[at], len(key)).astype(np.uint32)
@@ -608,12 +625,12 @@ def _read(docs: DataFrame, parts: int) -> DataFrame:
         here = np.flatnonzero(pairs)
         yield _row(-1, PAIRS, (here, pairs[here]))
         number = PAIRS
-        for table, (_, bits) in zip(tables, CONTEXTS, strict=True):
-            for a in range(0, len(table), SLAB * WIDTH):
+        for (cells, often), (_, bits) in zip(tables, CONTEXTS, strict=True):
+            cuts = np.searchsorted(cells, np.arange(_slabs(bits) + 1) * (SLAB * WIDTH)).tolist()
+            for slab, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                 number -= 1
-                here = np.flatnonzero(table[a : a + SLAB * WIDTH])
-                if len(here):
-                    yield _row(-1, number, (here.astype(np.int32), table[a + here]))
+                if b > a:
+                    yield _row(-1, number, (cells[a:b] - np.int32(slab * SLAB * WIDTH), often[a:b].astype(np.uint32)))
 
     return _trained(docs).mapInArrow(tidy(run), _ROWS)
 
@@ -644,8 +661,7 @@ def table_counts(rows: DataFrame) -> DataFrame:
                     total[own[0]] += own[1]
         yield from out()
 
-    few = rows.filter(F.col("part") <= TOTALS)
-    return few.repartition("part").sortWithinPartitions("part").mapInArrow(tidy(run), _ROWS)
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(tidy(run), _ROWS)
 
 
 def unpacked(found: dict[int, tuple]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
@@ -720,7 +736,7 @@ def _look_up(rows: DataFrame, pairs: np.ndarray, parts: int) -> DataFrame:
                 held.append((chunk, _opened(body)))
         yield from out()
 
-    return rows.filter("part >= 0").repartition(parts, "part").sortWithinPartitions("part", "chunk").mapInArrow(tidy(run), _ROWS)
+    return rows.repartition(parts, "part").sortWithinPartitions("part", "chunk").mapInArrow(tidy(run), _ROWS)
 
 
 def _mixed(mixer: Mixer, head: tuple, answers: list[tuple], totals: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -754,14 +770,23 @@ def score(docs: DataFrame, parts: int | None = None) -> DataFrame:
     if parts is None:
         size = int(str(docs.select("doc_id", "text")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         parts = max(least, min(size // PART, 1 << 16) if size < 1 << 60 else least)
-    rows = saved(_read(docs, parts), "lm-chunks")
+    rows, where = _read(docs, parts), fresh(spark, "lm-chunks")
+    kind = F.when(F.col("part") >= 0, "keys").when(F.col("part") == HEAD, "texts").otherwise("counts")
+    rows.withColumn("kind", kind).write.partitionBy("kind").parquet(where)
+
+    def part(k: str) -> DataFrame:
+        there = present(spark, f"{where}/kind={k}")
+        return spark.read.schema(rows.schema).parquet(*there) if there else spark.createDataFrame([], rows.schema)
+
+    texts, keys, counts = map(part, ("texts", "keys", "counts"))
     path = fresh(spark, "lm-tables")
-    table_counts(rows).write.parquet(path)
+    table_counts(counts).write.parquet(path)
     small = spark.read.schema(rows.schema).parquet(path).filter(F.col("part") >= PAIRS).collect()
     found = {r["part"]: _opened(r["body"]) for r in small}
     totals = found.get(TOTALS, (0, 0, np.zeros(GAPS, np.int64)))
-    sums = saved(_look_up(rows, unpacked(found)[0], parts), "lm-answers")
-    release(spark)
+    sums = saved(_look_up(keys, unpacked(found)[0], parts), "lm-answers")
+    for k in ("keys", "counts"):
+        discard(spark, f"{where}/kind={k}")
     counted = sums.filter("chunk = -1").mapInArrow(_unpickled, "n long").agg(F.sum("n")).first()[0]
     tokens, distinct = totals[0], counted or 0
     floor = np.log10(tokens + 0.1 * (distinct + 1))
@@ -793,7 +818,7 @@ def score(docs: DataFrame, parts: int | None = None) -> DataFrame:
                     answers.append(_opened(body))
         yield from out()
 
-    every = rows.filter(F.col("part") == HEAD).union(sums.filter("chunk >= 0"))
+    every = texts.union(sums.filter("chunk >= 0"))
     own = every.repartition(max(least, parts), "chunk").sortWithinPartitions("chunk", "part")
     return own.mapInArrow(tidy(run), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
