@@ -1,17 +1,18 @@
 """Exact top-k inner-product search with a ball tree per shard.
 
-Vectors are dealt to shards by a hash of their id; each shard holds a ball tree (centre, radius, smallest id of every
-node). Queries come in blocks. A block goes through a shard's nodes in descending order of their upper bound
-q.c + |q| r; at a node, only the queries go on whose bound can still reach their current k-th score. That k-th score is
-shared: each block first searches one pilot shard, and what it finds there prunes all shards. Every block meets every
-shard, blocks against blocks, and each pair returns k rows a query at most.
+Vectors are dealt to shards of SHARD rows; each shard holds a ball tree (centre, radius, smallest id of every node).
+Queries come in blocks. A block goes through a shard's nodes in descending order of their upper bound q.c + |q| r; at a
+node, only the queries go on whose bound can still reach their current k-th score. That k-th score is shared: shards are
+searched in rounds (one, then GROWTH times as many as before), and what all shards before found is the floor of the next
+round. Trees stay where they are: blocks of queries, up to WAVE bytes at a time, are broadcast to them, and a shard returns
+only rows that reach the floor, k a query at most.
 """
 
 from __future__ import annotations
 
 import heapq
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ from .common import saved, small_batches, tidy
 
 #: Vectors of a shard, of a leaf, and queries of a block at most.
 SHARD, LEAF, BLOCK = 8192, 64, 512
+#: Bytes of queries that are broadcast at once; how many times as many shards each round has as the one before.
+WAVE, GROWTH = 32 << 20, 8
 #: Exact integers of a float.
 EXACT = 1 << 53
 
@@ -119,12 +122,11 @@ class BallTree:
 
 
 def _packed(vectors: DataFrame, size: int, tree: bool) -> DataFrame:
-    """dim and payload rows: pickled trees, or pickled (ids, vectors) of queries. Rows of one id and vector count once."""
+    """dim and payload rows: pickled trees, or pickled (ids, vectors) of queries, of up to `size` rows each."""
     small_batches(vectors.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[int, np.ndarray]]] = {}
-        last: set[tuple[int, bytes]] = set()
 
         def pack(dim: int) -> pa.RecordBatch:
             rows = held.pop(dim)
@@ -134,12 +136,6 @@ def _packed(vectors: DataFrame, size: int, tree: bool) -> DataFrame:
 
         for batch in batches:
             for vec_id, x in zip(batch.column("vec_id").to_pylist(), batch.column("embedding").to_numpy(zero_copy_only=False), strict=True):
-                # rows come by id, so an id's repeats follow one another
-                if last and next(iter(last))[0] != vec_id:
-                    last = set()
-                if (vec_id, x.tobytes()) in last:
-                    continue
-                last.add((vec_id, x.tobytes()))
                 held.setdefault(len(x), []).append((vec_id, x))
                 if len(held[len(x)]) >= size:
                     yield pack(len(x))
@@ -149,13 +145,30 @@ def _packed(vectors: DataFrame, size: int, tree: bool) -> DataFrame:
     return vectors.mapInArrow(tidy(run), "dim long, payload binary")
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+def _dealt(rows: DataFrame, size: int, tree: bool, name: str) -> DataFrame:
+    """id, dim, payload, n_bytes: rows packed evenly, whatever their ids."""
+    rows = saved(rows, f"{name}-rows")
+    packed = _packed(rows.repartition(max(1, -(-rows.count() // size))), size, tree)
+    return saved(packed.select(F.monotonically_increasing_id().alias("id"), "dim", "payload", F.length("payload").alias("n_bytes")), name)
+
+
+def _rounds(n: int) -> list[tuple[float, float]]:
+    """Ranges of shares of n shards: one shard, then GROWTH times as many as before."""
+    out, a, step = [], 0, 1
+    while a < n:
+        out.append((a / n, min(1.0, (a + step) / n)))
+        a, step = a + step, step * GROWTH
+    return out
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHARD, block: int = BLOCK, made: list[int] | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest integer inner products of each query over all vectors but its own id.
 
     vectors and queries have vec_id and embedding. Components become floor(256 * x). Rows whose id or vector is null,
     or whose vector is empty or holds null or non-finite components, take no part; vectors of another length than the
-    query's are no candidates. Ties go to the smaller vec_id. Rows repeated whole count once; rows of one id with
-    different vectors are all candidates and together one query. Extra columns are left out.
+    query's are no candidates. Ties go to the smaller vec_id; scores beyond a long count as its ends. Every row is a
+    candidate of its own, repeated rows too; query rows that share an id are one query with the candidates of each. Extra
+    columns are left out. made: gets the number of products made and that of all pairs appended.
     """
     spark = vectors.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -165,41 +178,55 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHARD
         fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         return own.filter(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & fine)
 
-    trees = _packed(sound(vectors).repartition(parts, "vec_id").sortWithinPartitions("vec_id"), shard, True)
-    trees = saved(trees.withColumn("shard", F.monotonically_increasing_id()), "topk-trees")
-    asked = sound(queries)
-    spread = max(1, min(parts, -(-asked.count() // block)))
-    blocks = _packed(asked.repartition(spread, "vec_id").sortWithinPartitions("vec_id"), block, False)
-    blocks = saved(blocks.withColumn("block", F.monotonically_increasing_id()), "topk-blocks")
-    pilot = trees.groupBy("dim").agg(F.min("shard").alias("shard"))
-    found = "query_id long, vec_id long, score long"
-
-    def pilots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, payload, tree in zip(batch.column("block").to_pylist(), batch.column("payload").to_pylist(), batch.column("tree").to_pylist(), strict=True):
-                ids, own = pickle.loads(payload)
-                _, scores, _ = pickle.loads(tree).search(ids, own, k)
-                yield pa.RecordBatch.from_pydict({"block": pa.array([number]), "floor": pa.array([scores[:, -1].tobytes()], pa.binary())})
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for payload, floor, tree in zip(batch.column("payload").to_pylist(), batch.column("floor").to_pylist(), batch.column("tree").to_pylist(), strict=True):
-                ids, own = pickle.loads(payload)
-                who, scores, _ = pickle.loads(tree).search(ids, own, k, np.frombuffer(floor, np.int64))
-                there = who >= 0 if who.size else who.astype(bool)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k)[there.ravel()]), pa.array(who[there]), pa.array(scores[there])], ["query_id", "vec_id", "score"])
-
-    one = trees.join(pilot, ["dim", "shard"]).select("dim", F.col("payload").alias("tree"))
-    floors = saved(blocks.join(one, "dim").mapInArrow(tidy(pilots), "block long, floor binary"), "topk-floors")
-    blocks = blocks.join(floors, "block")
-    # a row for every pair of a block and a shard, by an equality of block numbers
-    numbers = [(r["block"], r["dim"]) for r in blocks.select("block", "dim").collect()]
-    pairs = spark.createDataFrame(numbers, "block long, dim long").join(trees.select("dim", "shard"), "dim")
-    pairs = pairs.repartition(max(parts, 1), "block", "shard")
-    work = pairs.join(blocks.select("block", "payload", "floor"), "block").join(trees.select("shard", F.col("payload").alias("tree")), "shard")
-    hits = work.select("payload", "floor", "tree").mapInArrow(tidy(search), found).distinct()
+    trees, blocks = _dealt(sound(vectors), shard, True, "topk-trees"), _dealt(sound(queries), block, False, "topk-blocks")
+    sizes = sorted((r["id"], r["n_bytes"]) for r in blocks.select("id", "n_bytes").collect())  # a few bytes for each block
+    n_shards = trees.count()
+    schema = "row long, query_id long, vec_id long, score long, made long, pairs long"
+    out = spark.createDataFrame([], schema)
+
+    def search(asked: object, floors: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for dim, payload in zip(batch.column("dim").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+                    tree = pickle.loads(payload)
+                    for no, (own_dim, queries_) in asked.value.items():
+                        if own_dim != dim:
+                            continue
+                        ids, own = pickle.loads(queries_)
+                        row = no * block + np.arange(len(ids))
+                        floor = np.array([floors.value.get(r, np.iinfo(np.int64).min) for r in row.tolist()], np.int64)
+                        who, scores, n = tree.search(ids, own, k, floor)
+                        there = (who >= 0) & (scores >= floor[:, None])
+                        rows = int(there.sum())
+                        # the counts of a pair of block and shard go with a row of no query
+                        yield pa.RecordBatch.from_arrays([pa.array(np.append(np.repeat(row, k).reshape(-1, k)[there], -1)), pa.array(np.append(np.repeat(ids, k).reshape(-1, k)[there], -1)), pa.array(np.append(who[there], -1)), pa.array(np.append(scores[there], 0)), pa.array(np.append(np.zeros(rows, np.int64), n)), pa.array(np.append(np.zeros(rows, np.int64), len(ids) * len(tree.ids)))], ["row", "query_id", "vec_id", "score", "made", "pairs"])
+
+        return run
+
+    at = 0
+    while at < len(sizes):
+        stop, size = at, 0
+        while stop < len(sizes) and (stop == at or size + sizes[stop][1] <= WAVE):
+            size += sizes[stop][1]
+            stop += 1
+        wave = blocks.filter(F.col("id").between(sizes[at][0], sizes[stop - 1][0])).collect()  # WAVE bytes at most, or one block
+        asked = spark.sparkContext.broadcast({r["id"]: (r["dim"], bytes(r["payload"])) for r in wave})
+        found, floors = None, {}
+        for a, b in _rounds(n_shards):
+            share = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / (1 << 30)
+            own = trees.filter((share >= a) & (share < b)).select("dim", "payload").repartition(max(1, min(round((b - a) * n_shards), max(4 * parts, 64))))
+            hits = saved(own.mapInArrow(tidy(search(asked, spark.sparkContext.broadcast(floors))), schema), "topk-hits")
+            found = hits if found is None else found.union(hits)
+            if b < 1:
+                best = F.row_number().over(Window.partitionBy("row").orderBy(F.col("score").desc()))
+                kth = found.filter("row >= 0").withColumn("n", best).filter(F.col("n") == k)
+                floors = {r["row"]: r["score"] for r in kth.select("row", "score").collect()}  # a number for each query of the wave
+        out = out if found is None else out.union(found)
+        at = stop
+    if made is not None:
+        made += list(out.agg(F.sum("made"), F.sum("pairs")).first())
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return out.filter("row >= 0").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op1_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
