@@ -94,10 +94,14 @@ def test_repeat_taken_keeps_columns(odd):
     assert all(r["text"] and r["k"] == "k" for r in got.collect())
 
 
+def first(key):
+    own = licenses.SENTENCES[key]
+    return own if isinstance(own, str) else own[0]
+
+
 def test_rules_take_longest_runs_first(docs):
-    s = licenses.SENTENCES
-    full = f"The MIT License\n{s['mit-grant']}: \n{s['mit-condition']}.\nReleased under the MIT License."
-    part = f"{s['mit-condition']}. {s['mit-grant']}."
+    full = f"The MIT License\n{first('mit-grant')}: \n{first('mit-condition')}.\nReleased under the MIT License."
+    part = f"{first('mit-condition')}. {first('mit-grant')}."
     rows = {r["doc_id"]: r for r in licenses.scan(docs([(1, full), (2, part), (3, "Licensed under the Apache License, Version 2.0."), (4, "It was released under the MIT license once.")])).collect()}
     assert rows[1]["licenses"] == "MIT:full|MIT:notice"
     assert rows[2]["licenses"] == "MIT:grant" and rows[2]["sentence_ids"] == "mit-condition,mit-grant"
@@ -105,6 +109,93 @@ def test_rules_take_longest_runs_first(docs):
     assert rows[4]["licenses"] == ""
 
 
+APACHE = """
+# Copyright 2020 Some Body
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+"""
+GPL = """/*
+ * This file is part of Thing.
+ *
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details.
+ *
+ * You should have received a copy of the GNU General Public License
+ * along with this program.  If not, see <https://www.gnu.org/licenses/>.
+ */"""
+BSD = """Copyright (c) 2020, Some Body
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+MPL = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"""
+WRAPPED = [
+    (APACHE, "Apache-2.0:header"), (GPL, "GPL-3.0-or-later:header"), (BSD, "BSD-2-Clause:full"), (BSD + BSD3, "BSD-3-Clause:full"), (MPL, "MPL-2.0:header"),
+    ("// SPDX-License-Identifier: GPL-2.0-only\nint x;", "GPL-2.0-only:tag"), ("some prose\nLicensed under CC BY 4.0\nmore prose", "CC-BY-4.0:notice"), ("Permission slips, warranty cards and licences are other things.", ""),
+    ("This is free and unencumbered\nsoftware released into the public domain.", "Unlicense:full"),
+]
+
+
+def test_wrapped_originals_are_met(docs, tmp_path):
+    df = docs([(i, t, None, None) for i, (t, _) in enumerate(WRAPPED)])
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(df).collect()}
+    assert [got[i] for i in range(len(WRAPPED))] == [want for _, want in WRAPPED]
+    rows = sorted((tuple(norm(x) for x in r) for r in licenses.scan(df).collect()), key=repr)
+    assert sql_rows(df, licenses.OP10_SQL, tmp_path)[0] == rows
+
+
+def test_every_sentence_and_rule_can_be_met(docs):
+    """Each known wording by itself, and each rule by its own sentences with an unknown one between."""
+    pairs = licenses.known()
+    filled = [s.replace("...", "some body") for s, _ in pairs]
+    got = {r["doc_id"]: r["sentence_ids"] for r in licenses.scan(docs([(i, s.capitalize() + ".") for i, s in enumerate(filled)])).collect()}
+    assert [got[i] for i in range(len(pairs))] == [k for _, k in pairs]
+    by_id = {k: s for (_, k), s in zip(pairs, filled)}
+    rules = licenses.expanded()
+    texts = [(i, ".\nSomething else. ".join(by_id[k] for k in run) + ".") for i, (_, run) in enumerate(rules)]
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(docs(texts)).collect()}
+    assert [got[i] for i in range(len(rules))] == [name for name, _ in rules]
+
+
+def test_scan_of_nothing_and_of_a_long_text(docs):
+    assert licenses.scan(docs([])).count() == 0
+    long = "word and word. " * 100_000 + "\nReleased under the MIT License.\n" + "x" * 1_000_000
+    r = licenses.scan(docs([(1, long), (2, None), (3, "")])).orderBy("doc_id").collect()
+    assert [x["licenses"] for x in r] == ["MIT:notice", "", ""] and [x["n_known"] for x in r] == [1, 0, 0]
+
+
 def test_no_python_in_the_plans(odd):
     for df in (mixing.mix(odd), licenses.scan(odd)):
         plan = df._jdf.queryExecution().executedPlan().toString()
