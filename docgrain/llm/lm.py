@@ -49,7 +49,9 @@ ADD, QUANT = 0.05, 15.0
 #: First and last block of the online steps, in words; the strength of the start values, in decisions; the step.
 FIRST, LAST, PRIOR, RATE = 8, 2048, 200.0, 2.0
 #: Words that are mixed at once; bytes of text whose distinct words are looked up together; lines of a slab of a table.
-STRIDE, CHUNK, SLAB = 1 << 16, 10 << 20, 1 << 10
+STRIDE, CHUNK, SLAB = 1 << 16, 8 << 20, 1 << 10
+#: Distinct words whose decisions are laid out at once.
+BLOCK = 1 << 13
 #: Weights stay within this (over QUANT), which keeps every sum of log-odds within what a float's exponential can hold.
 BOUND = 2.5 / QUANT
 #: Shares that the cache of a text's own words may have in its probabilities, and their weights at the start of a text.
@@ -302,42 +304,48 @@ class Mixer:
         came, by predictor, and the weight set); each word's decisions at the LEAD places; and every decision's node, from 1,
         negative where the bit is 0. values and gates: answers to the keyed bytes, sorted by key; order: which of them each
         keyed byte has."""
-        code = self.code
-        n, decision = code.runs(spelling.kind, spelling.symbol)
-        sign, node = code.sign[decision], code.node[decision]
-        packed = np.empty((len(decision), 4), np.int8)
-        for k, (table, line) in enumerate(zip(self.tables[:-1], spelling.lines(), strict=True)):
-            at = np.repeat((line * WIDTH).astype(np.int32), n)
-            at += node
-            packed[:, k] = table[at] * sign
-        gate = self.tables[1][line * WIDTH + WIDTH - 1].view(np.uint8)
-        packed[:, 2] = packed[:, 1]
+        code, starts = self.code, spelling.starts
+        n = code.length[spelling.kind.astype(np.int64) * WIDTH + spelling.symbol].astype(np.int32)
+        per_word = np.add.reduceat(n, starts)
+        first = np.cumsum(per_word, dtype=np.int64) - per_word
+        packed, nodes = np.zeros((int(per_word.sum()), 4), np.int8), np.zeros(int(per_word.sum()), np.int16)
         at, _ = spelling.keyed()
+        length = np.zeros(len(gates), np.int32)
+        length[order] = n[at]
+        begin = np.cumsum(length, dtype=np.int64) - length
+        lines = spelling.lines()
+        gate = self.tables[1][lines[1] * WIDTH + WIDTH - 1].view(np.uint8)
         gate[spelling.place >= LEAST] = 0
         gate[at] = gates[order]
-        packed[:, 3] = np.repeat(gate, n)
-        first = np.cumsum(n) - n
-        late = np.flatnonzero(spelling.place >= LEAST)
-        packed[np.arange(int(n[late].sum())) + np.repeat(first[late] - (np.cumsum(n[late]) - n[late]), n[late]), 2] = 0
-        own = n[at]
-        length = np.zeros(len(gates), np.int64)
-        length[order] = own
-        begin = np.cumsum(length) - length
-        upto = np.cumsum(own) - own
-        span = np.arange(int(own.sum()))
-        packed[span + np.repeat(first[at] - upto, own), 2] = values[span + np.repeat(begin[order] - upto, own)]
-        per_word = np.add.reduceat(n, spelling.starts) if len(spelling.starts) else n
-        lead = np.zeros((len(spelling.starts), LEAD), np.int64)
+        for a in range(0, len(starts), BLOCK):  # a few words at a time: their decisions take many times their bytes
+            i, j = int(starts[a]), int(spelling.ends[min(a + BLOCK, len(starts)) - 1])
+            own, base = n[i:j], int(first[a])
+            _, decision = code.runs(spelling.kind[i:j], spelling.symbol[i:j])
+            sign, node = code.sign[decision], code.node[decision]
+            part = packed[base : base + len(decision)]
+            for k in range(2):
+                cell = np.repeat((lines[k][i:j] * WIDTH).astype(np.int32), own)
+                cell += node
+                part[:, k] = self.tables[k][cell] * sign
+            part[:, 2] = np.where(np.repeat(spelling.place[i:j] < LEAST, own), part[:, 1], 0)
+            part[:, 3] = np.repeat(gate[i:j], own)
+            nodes[base : base + len(decision)] = (node + np.int16(1)) * sign
+            low, high = np.searchsorted(at, [i, j])
+            far, which = at[low:high] - i, order[low:high]
+            many = own[far].astype(np.int64)
+            upto, span = np.cumsum(many) - many, np.arange(int(many.sum()))
+            place = np.cumsum(own, dtype=np.int64) - own
+            part[span + np.repeat(place[far] - upto, many), 2] = values[span + np.repeat(begin[which] - upto, many)]
+        lead = np.zeros((len(starts), LEAD), np.int32)
         for k in range(LEAD):
             there = spelling.sizes > k
-            lead[there, k] = n[spelling.starts[there] + k]
-        return np.cumsum(per_word) - per_word, per_word, packed.view(np.uint32).ravel(), lead, (node + np.int16(1)) * sign
+            lead[there, k] = n[starts[there] + k]
+        return first, per_word.astype(np.int64), packed.view(np.uint32).ravel(), lead, nodes
 
     def bits(self, count: np.ndarray, flat: np.ndarray, words: tuple, rest: np.ndarray, spelling: Spelling) -> np.ndarray:
         """Bits of the words of each text: count words each, flat their numbers, words as decisions() gives them, rest the
         bits that a word costs besides."""
         starts = np.cumsum(count) - count
-        again, before = _earlier(count, flat), tails(count, flat, spelling)
         out = np.zeros((len(count), len(SHARES)))
         order = np.argsort(-count, kind="stable")
         at = 0
@@ -345,16 +353,20 @@ class Mixer:
             upto = np.cumsum(count[order[at : at + STRIDE]])
             stop = at + max(1, int(np.searchsorted(upto, STRIDE, side="right")))
             own = order[at:stop]
-            self._slab(starts[own], count[own], flat, again, before, words, rest, spelling, out, own)
+            self._slab(starts[own], count[own], flat, words, rest, spelling, out, own)
             at = stop
         # the shares are weighed by what each would have made of the whole text so far
         low = out.min(1, keepdims=True)
         return (low - np.log2((np.array(TRUST) * np.exp2(low - out)).sum(1, keepdims=True))).ravel()
 
-    def _slab(self, starts: np.ndarray, count: np.ndarray, flat: np.ndarray, again: np.ndarray, before: np.ndarray, words: tuple, rest: np.ndarray, spelling: Spelling, out: np.ndarray, who: np.ndarray) -> None:
+    def _slab(self, starts: np.ndarray, count: np.ndarray, flat: np.ndarray, words: tuple, rest: np.ndarray, spelling: Spelling, out: np.ndarray, who: np.ndarray) -> None:
         """Texts in descending order of size, read in step: adds their bits by share of the cache to rows `who` of out."""
         n = len(count)
         first, size, packed, lead, nodes = words
+        # the slab's own words, texts one after another
+        flat = flat[np.arange(int(count.sum())) + np.repeat(starts - (np.cumsum(count) - count), count)]
+        starts = np.cumsum(count) - count
+        again, before = _earlier(count, flat), tails(count, flat, spelling)
         w = [np.tile(v / np.float32(QUANT), n) for v in self.start.T]
         seen = np.full(n * GATES, PRIOR)
         begin, block = 0, FIRST
@@ -548,7 +560,7 @@ def _moved(scratch: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> tuple[n
 
 def _read(docs: DataFrame, parts: int) -> DataFrame:
     """The rows of the first step: the only one that reads texts."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32
