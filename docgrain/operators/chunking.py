@@ -11,12 +11,12 @@ CHILD_TOKENS, OVERLAP_TOKENS, PARENT_TOKENS = 250, 30, 1200
 LEVELS = 6
 
 
-def lines(docs: DataFrame, *keep: str) -> DataFrame:
+def lines(docs: DataFrame, *keep: str | Column) -> DataFrame:
     """The kept columns, pos (from 0) and text of every line of docs (text)."""
     return docs.select(*keep, F.posexplode(F.split("text", "\n")).alias("pos", "text"))
 
 
-def line_chunks(docs: DataFrame, *keep: str) -> DataFrame:
+def line_chunks(docs: DataFrame, *keep: str | Column) -> DataFrame:
     """Lines that aren't blank as chunks: chunk_id is <doc_id>_b<pos>."""
     own = lines(docs, "doc_id", *keep).filter(F.trim("text") != "")
     return own.withColumn("chunk_id", F.concat(F.col("doc_id").cast("string"), F.lit("_b"), F.col("pos").cast("string")))

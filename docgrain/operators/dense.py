@@ -1,4 +1,4 @@
-"""Dense retrieval: exact cosine top-k, natively for small query sets and in numpy blocks for large ones."""
+"""Dense retrieval: exact cosine top-k; blocks of queries go over the vectors as matrix products."""
 
 from __future__ import annotations
 
@@ -10,34 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ..functions.scores import cosine
 from ..session import ship
+from .bm25 import best
 
-#: Query vectors are broadcast up to this number; more are searched in blocks.
-BROADCAST_QUERIES = 2000
-
-
-def _few(queries: DataFrame) -> bool:
-    return queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-
-
-def similarities(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """query_id, chunk_id, score (cosine, 6 places) of every vector for every query; query_vec and vec are arrays."""
-    pairs = vectors.crossJoin(F.broadcast(queries) if _few(queries) else queries)
-    return pairs.select("query_id", "chunk_id", F.round(cosine(F.col("query_vec"), F.col("vec")), 6).alias("score"))
-
-
-def search(queries: DataFrame, vectors: DataFrame, k: int = 20, others_only: bool = False) -> DataFrame:
-    """query_id, rank, chunk_id, score of the k best vectors, ties by chunk_id; others_only leaves a query's own id out.
-
-    Exact for any number of queries: few are scored natively, more in blocks.
-    """
-    if not _few(queries):
-        return search_blocks(queries, vectors, k, others_only=others_only)
-    scored = similarities(queries, vectors)
-    if others_only:
-        scored = scored.filter("query_id <> chunk_id")
-    return _ranked(scored, k)
+#: Queries that go over the vectors together.
+BLOCK = 1000
 
 
 def _ranked(scored: DataFrame, k: int) -> DataFrame:
@@ -45,51 +22,83 @@ def _ranked(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
 
 
-def _best(s: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column of the k best of each row of s, ties by own; -inf never counts."""
-    if s.shape[1] > k:
-        least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-        row, column = np.nonzero((s >= least[:, None]) & (s > -np.inf))
-    else:
-        row, column = np.nonzero(s > -np.inf)
-    order = np.lexsort((own[column], -s[row, column], row))
-    row, column = row[order], column[order]
-    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
-    return row[keep], column[keep]
+def _blocks(queries: DataFrame, block: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Queries (query_id, query_vec, ..) in blocks, and their vectors at length 1 (a zero vector stays zero)."""
+    n_blocks = max(1, -(-queries.count() // block))
+    dealt = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)))
+    for number in range(n_blocks):
+        part = dealt.filter(F.col("_block") == number).drop("_block").toArrow()
+        if part.num_rows:
+            yield part, unit(part["query_vec"].to_pylist())
+
+
+def unit(rows: list) -> np.ndarray:
+    v = np.array(rows, np.float64)
+    n = np.sqrt((v * v).sum(1, keepdims=True))
+    return v / np.where(n == 0, 1, n)
+
 
+def search(queries: DataFrame, vectors: DataFrame, k: int = 20, block: int = BLOCK, others_only: bool = False) -> DataFrame:
+    """query_id, rank, chunk_id, score (cosine, 6 places) of the k best vectors, ties by chunk_id, for any number of queries.
 
-def search_blocks(queries: DataFrame, vectors: DataFrame, k: int = 20, block: int = 1000, others_only: bool = False) -> DataFrame:
-    """search() for any number of queries: blocks of them go over the vectors one after another, as matrix products;
-    each batch of vectors returns k rows a query at most."""
+    Blocks of queries go over the vectors one after another; each batch of vectors returns k rows a query at most.
+    others_only leaves a query's own id out. If both have a column `scope`, a query meets the vectors of its scope only.
+    """
     ship(queries.sparkSession)
-    n_blocks = max(1, -(-queries.count() // block))
-    dealt = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)))
+    scoped = ["scope"] if "scope" in queries.columns and "scope" in vectors.columns else []
     schema = StructType([StructField("query_id", queries.schema["query_id"].dataType), StructField("chunk_id", vectors.schema["chunk_id"].dataType), StructField("score", DoubleType())])
     out = None
-    for number in range(n_blocks):
-        part = dealt.filter(F.col("block") == number).select("query_id", "query_vec").toArrow()
-        if not part.num_rows:
-            continue
+    for part, q in _blocks(queries.select("query_id", "query_vec", *scoped), block):
         ids, kind = np.array(part["query_id"].to_pylist()), part["query_id"].type
-        q = np.array(part["query_vec"].to_pylist(), np.float64)
-        length = np.sqrt((q * q).sum(1, keepdims=True))
-        q /= np.where(length == 0, 1, length)
+        mine = np.array(part["scope"].to_pylist(), object) if scoped else None
 
-        def run(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, q: np.ndarray = q, kind: pa.DataType = kind) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, q: np.ndarray = q, kind: pa.DataType = kind, mine: np.ndarray | None = mine) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                v = np.array(batch.column("vec").to_pylist(), np.float64)
-                if not len(v):
+                if not batch.num_rows:
                     continue
-                n = np.sqrt((v * v).sum(1, keepdims=True))
-                s = np.round(q @ (v / np.where(n == 0, 1, n)).T, 6)
+                s = np.round(q @ unit(batch.column("vec").to_pylist()).T, 6)
+                if mine is not None:
+                    s[mine[:, None] != np.array(batch.column("scope").to_pylist(), object)] = -np.inf
                 own = np.array(batch.column("chunk_id").to_pylist())
                 if others_only:
                     s[ids[:, None] == own] = -np.inf
-                row, column = _best(s, own, k)
+                row, column = best(s, own, k)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[row], kind), batch.column("chunk_id").take(pa.array(column)), pa.array(s[row, column])], ["query_id", "chunk_id", "score"])
 
-        found = vectors.select("chunk_id", "vec").mapInArrow(run, schema)
+        found = vectors.select("chunk_id", "vec", *scoped).mapInArrow(run, schema)
         out = found if out is None else out.union(found)
     if out is None:
         out = queries.sparkSession.createDataFrame([], schema)
     return _ranked(out, k)
+
+
+def margins(queries: DataFrame, vectors: DataFrame, block: int = BLOCK) -> DataFrame:
+    """query_id, mean_same, mean_other, top, margin: of each query (query_id, query_vec, label) over the vectors (chunk_id, vec,
+    label) of other ids: the mean similarity to those of its label and of others, the highest one and its lead."""
+    ship(queries.sparkSession)
+    schema = "query_id long, same double, n_same long, other double, n_other long, top double, next double"
+    out = None
+    for part, q in _blocks(queries.select("query_id", "query_vec", "label"), block):
+        ids, labels = np.array(part["query_id"].to_pylist()), np.array(part["label"].to_pylist())
+
+        def run(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, q: np.ndarray = q, labels: np.ndarray = labels) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                s = np.round(q @ unit(batch.column("vec").to_pylist()).T, 6)
+                others = ids[:, None] != np.array(batch.column("chunk_id").to_pylist())
+                same = (labels[:, None] == np.array(batch.column("label").to_pylist())) & others
+                rest = others & ~same
+                two = np.sort(np.where(others, s, -np.inf), axis=1)[:, ::-1][:, :2]
+                two = np.pad(two, ((0, 0), (0, 2 - two.shape[1])), constant_values=-np.inf)
+                yield pa.RecordBatch.from_pydict({"query_id": ids, "same": (s * same).sum(1), "n_same": same.sum(1), "other": (s * rest).sum(1), "n_other": rest.sum(1), "top": two[:, 0], "next": two[:, 1]})
+
+        found = vectors.select("chunk_id", "vec", "label").mapInArrow(run, schema)
+        out = found if out is None else out.union(found)
+    if out is None:
+        out = queries.sparkSession.createDataFrame([], schema)
+    # the two highest of all batches' two highest
+    tops = F.slice(F.sort_array(F.flatten(F.collect_list(F.array("top", "next"))), False), 1, 2)
+    per = out.groupBy("query_id").agg(F.sum("same").alias("same"), F.sum("n_same").alias("n_same"), F.sum("other").alias("other"), F.sum("n_other").alias("n_other"), tops.alias("tops"))
+    mean = lambda x, n: F.round(F.try_divide(x, n), 4)
+    return per.select("query_id", mean(F.col("same"), F.col("n_same")).alias("mean_same"), mean(F.col("other"), F.col("n_other")).alias("mean_other"), F.col("tops")[0].alias("top"), F.round(F.col("tops")[0] - F.col("tops")[1], 6).alias("margin"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import answer_normal, answer_tokens
+from ..session import saved
 
 DEFAULT_KS = (5, 10, 20, 50, 100)
 
@@ -48,11 +49,36 @@ def summary(per: DataFrame, *by: str) -> DataFrame:
     return per.groupBy(*by, "k").agg(mean("hit").alias("hit"), mean("recall").alias("recall"), mean("ndcg").alias("ndcg"), mean("rr").alias("mrr"), F.count("*").alias("n_queries"))
 
 
-def nearest_percentile(x: Column, p: float) -> Column:
-    """sorted[int(n * p)], at most the last."""
-    values = F.sort_array(F.collect_list(x))
-    n = F.count(x)
-    return F.try_element_at(values, (F.least(F.floor(n * p), n - 1) + 1).cast("int"))
+def percentiles(df: DataFrame, by: str, value: str, shares: tuple[float, ...], linear: bool = True) -> DataFrame:
+    """by, p0, p1, .. (one for each share) and n: exact percentiles of each group, between neighbours (linear) or by place,
+    sorted[int(n * share)].
+
+    Equal values are counted first; the counts are dealt by ranges of (by, value), so that no group meets in one task:
+    running sums inside a range are moved by what lies in the ranges before. Null values take no part.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("c"))
+    # saved, so that the ranges are the same for both uses
+    dealt = saved(counts.repartitionByRange(by, value).withColumn("part", F.spark_partition_id()), "percentiles")
+    totals = dealt.groupBy(by, "part").agg(F.sum("c").alias("own"))
+    n = totals.groupBy(by).agg(F.sum("own").alias("n"))
+    before = F.coalesce(F.sum("own").over(Window.partitionBy(by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    moved = totals.select(by, "part", before.alias("before")).join(n, by)
+    upto = F.sum("c").over(Window.partitionBy(by, "part").orderBy(value))
+    placed = dealt.withColumn("upto", upto).join(F.broadcast(moved), [by, "part"])
+    last = F.col("before") + F.col("upto") - 1  # the last place, from 0, that holds the value
+    holds = lambda at: (at <= last) & (at > last - F.col("c"))
+    out = []
+    for i, share in enumerate(shares):
+        if linear:
+            at = (F.col("n") - 1) * F.lit(float(share))
+            out += [F.max(F.when(holds(F.floor(at)), F.col(value))).alias(f"low{i}"), F.max(F.when(holds(F.ceil(at)), F.col(value))).alias(f"high{i}")]
+        else:
+            out.append(F.max(F.when(holds(F.least(F.floor(F.col("n") * F.lit(float(share))), F.col("n") - 1)), F.col(value))).alias(f"p{i}"))
+    found = placed.groupBy(by, "n").agg(*out)
+    if not linear:
+        return found
+    between = lambda i, share: F.col(f"low{i}") + (F.col(f"high{i}") - F.col(f"low{i}")) * ((F.col("n") - 1) * F.lit(float(share)) - F.floor((F.col("n") - 1) * F.lit(float(share))))
+    return found.select(by, *[between(i, s).alias(f"p{i}") for i, s in enumerate(shares)], "n")
 
 
 def token_f1(answer: Column, truth: Column) -> Column:

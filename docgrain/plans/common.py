@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import cached_property
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..operators import bm25, dense, fusion
 from ..operators.chunking import line_chunks
-from ..session import table
+from ..session import saved, table
 
 LIST_K = 20
 
@@ -28,20 +30,59 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.lit("all").alias("scope"), "text")
 
 
-def sparse_list(spark: SparkSession, d: str) -> DataFrame:
-    """The first documents of each benchmark text by BM25."""
-    return bm25.search(questions(spark, d), doc_chunks(spark, d), LIST_K)
+class Lists:
+    """The ranked lists and the gold of the test tables, each made once and kept in the work folder, so that a query that
+    compares many of them reads the files once."""
+
+    def __init__(self, spark: SparkSession, d: str, k: int = LIST_K):
+        self.spark, self.d, self.k = spark, d, k
+
+    @cached_property
+    def questions(self) -> DataFrame:
+        return questions(self.spark, self.d)
+
+    @cached_property
+    def index(self) -> bm25.Index:
+        """Of whole documents."""
+        return bm25.Index.build(doc_chunks(self.spark, self.d))
+
+    @cached_property
+    def sparse(self) -> DataFrame:
+        """The first documents of each benchmark text by BM25."""
+        return saved(self.index.search(self.questions, self.k), "list-sparse")
 
+    @cached_property
+    def dense(self) -> DataFrame:
+        """The first vectors of each benchmark text, whose own vector is the one with its id."""
+        vectors = table(self.spark, self.d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vec"))
+        asked = vectors.join(table(self.spark, self.d, "benchmark").select(F.col("item_id").alias("chunk_id")), "chunk_id", "left_semi")
+        return saved(dense.search(asked.select(F.col("chunk_id").alias("query_id"), F.col("vec").alias("query_vec")), vectors, self.k), "list-dense")
 
-def dense_list(spark: SparkSession, d: str) -> DataFrame:
-    """The first vectors of each benchmark text, whose own vector is the one with its id."""
-    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vec"))
-    asked = vectors.join(table(spark, d, "benchmark").select(F.col("item_id").alias("chunk_id")), "chunk_id", "left_semi")
-    return dense.search(asked.select(F.col("chunk_id").alias("query_id"), F.col("vec").alias("query_vec")), vectors, LIST_K)
+    @cached_property
+    def fused(self) -> DataFrame:
+        return saved(fusion.reciprocal_rank(self.dense, self.sparse), "list-fused")
 
+    @cached_property
+    def parented(self) -> DataFrame:
+        return self.fused.withColumn("parent_id", parent_of(F.col("chunk_id")))
 
-def fused_list(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.reciprocal_rank(dense_list(spark, d), sparse_list(spark, d))
+    @cached_property
+    def capped(self) -> DataFrame:
+        """Two of each parent."""
+        return saved(fusion.cap_parents(self.parented, 2), "list-capped")
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        """The first capped ones, as many as a list has, with the stand-in reranker's score."""
+        return saved(lexical(self.spark, self.d, self.capped.filter(F.col("rank") <= self.k).select("query_id", "chunk_id", "rank", "rrf")), "list-scored")
+
+    def hybrid(self, top_n: int = 10) -> DataFrame:
+        """The canonical pipeline: two lists, rank fusion, two per parent, budget, rerank."""
+        return fusion.rerank(self.scored, F.col("overlap"), top_n)
+
+    @cached_property
+    def gold(self) -> DataFrame:
+        return saved(gold(self.spark, self.d), "gold")
 
 
 def parent_of(chunk_id: object) -> object:
@@ -52,30 +93,54 @@ def parent_of(chunk_id: object) -> object:
 def lexical(spark: SparkSession, d: str, ranked: DataFrame) -> DataFrame:
     """ranked with `overlap`: the share of the question's distinct words that the document has (a stand-in reranker)."""
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(tokens(F.col("text"))).alias("q"))
-    texts = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.array_distinct(tokens(F.col("text"))).alias("t"))
+    # only documents that are ranked are cut to words
+    needed = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text").join(ranked.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    texts = needed.select("chunk_id", F.array_distinct(tokens(F.col("text"))).alias("t"))
     joined = ranked.join(asked, "query_id").join(texts, "chunk_id", "left")
     share = F.coalesce(F.size(F.array_intersect("q", "t")) / F.greatest(F.size("q"), F.lit(1)), F.lit(0.0))
     return joined.withColumn("overlap", share).drop("q", "t")
 
 
-def gold(spark: SparkSession, d: str) -> DataFrame:
-    """query_id, chunk_id (doc_id): the documents that hold a benchmark text verbatim.
+#: Words and characters of a passage by which documents that may hold it are found.
+WORDS, CHARS = 6, 8
 
-    Texts are joined on a window of six words, from the second on, and compared whole only where it agrees; so the work
-    grows with the texts' words and not with the product of both tables.
+
+def holding(passages: DataFrame, docs: DataFrame) -> DataFrame:
+    """query_id, chunk_id: the documents (doc_id, text) that hold a passage (query_id, text) verbatim; an empty one is in all.
+
+    Words inside a passage are whole words of what holds it, so passages meet documents on a window of up to WORDS of them,
+    from the second on; passages without a word inside meet them on their first CHARS characters. Texts are compared whole
+    only where the keys agree, so the work grows with the texts and not with the product of both tables.
     """
-    width = 6
     cut = lambda t: F.split(F.trim(F.regexp_replace(t, r"\s+", " ")), " ")
-    key = lambda w, i: F.xxhash64(F.array_join(F.slice(w, i, width), " "))
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"), cut(F.col("text")).alias("w"))
-    items = items.select("query_id", "passage", key(F.col("w"), F.lit(2)).alias("key"))
-    docs = table(spark, d, "documents").select("doc_id", "text", cut(F.col("text")).alias("w")).filter(F.size("w") >= width)
-    windows = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - width + 1), lambda i: key(F.col("w"), i)))).alias("key"))
-    near = windows.join(F.broadcast(items.select("query_id", "key")), "key").select("query_id", "doc_id")
-    pairs = near.join(items.select("query_id", "passage"), "query_id").join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    key = lambda kind, width, x: F.xxhash64(F.lit(kind), width, x)
+    items = passages.select("query_id", "text", cut(F.col("text")).alias("w")).withColumn("inside", F.least(F.lit(WORDS), F.size("w") - 2))
+    by_words, n_chars = F.col("inside") > 0, F.least(F.lit(CHARS), F.length("text"))
+    items = items.select("query_id", F.col("text").alias("passage"), F.when(by_words, "w").otherwise("c").alias("kind"), F.when(by_words, F.col("inside")).otherwise(n_chars).alias("width"), "w")
+    part = F.when(F.col("kind") == "w", F.array_join(F.slice("w", 2, F.greatest(F.col("width"), F.lit(0))), " ")).otherwise(F.substr("passage", F.lit(1), F.col("width")))
+    items = items.filter("passage is not null").select("query_id", "passage", "kind", "width", F.xxhash64("kind", "width", part).alias("key"))
+    kinds = [(r["kind"], r["width"]) for r in items.select("kind", "width").distinct().collect()]  # WORDS + CHARS + 1 at most
+    if not kinds:
+        return items.select("query_id", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("chunk_id")).filter("false")
+    own = docs.filter("text is not null").select("doc_id", "text", cut(F.col("text")).alias("w"))
+
+    def windows(kind: str, width: int) -> Column:
+        n = F.size("w") if kind == "w" else F.length("text")
+        piece = (lambda i: F.array_join(F.slice("w", i, width), " ")) if kind == "w" else (lambda i: F.substr("text", i, F.lit(width)))
+        every = F.transform(F.sequence(F.lit(1), F.greatest(n - width + 1, F.lit(1)).cast("int")), lambda i: key(kind, F.lit(width), piece(i)))
+        return F.when(n >= width, every).otherwise(F.array().cast("array<bigint>"))
+
+    found = own.select("doc_id", F.explode(F.array_distinct(F.concat(*[windows(k, w) for k, w in kinds]))).alias("key"))
+    near = found.join(items.select("query_id", "key"), "key").select("query_id", "doc_id").distinct()
+    pairs = near.join(items.select("query_id", "passage"), "query_id").join(docs.select("doc_id", "text"), "doc_id")
     return pairs.filter(F.contains("text", "passage")).select("query_id", F.col("doc_id").alias("chunk_id")).distinct()
 
 
+def gold(spark: SparkSession, d: str) -> DataFrame:
+    """query_id, chunk_id (doc_id): the documents that hold a benchmark text verbatim."""
+    return holding(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), table(spark, d, "documents"))
+
+
 def tok_sql(x: str) -> str:
     return rf"list_filter(string_split_regex(trim(regexp_replace(lower({x}), '[^\pL\pM\pN_\s]', ' ', 'g')), '\s+'), lambda t: length(t) > 1)"
 
@@ -97,12 +162,18 @@ qt AS (SELECT query_id, scope, term, count(*) AS qtf FROM (SELECT query_id, scop
 sc AS (SELECT query_id, chunk_id, po.scope, round(sum(idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)) * qtf), 6) AS score, count(*) AS hits
   FROM qt JOIN po USING (scope, term) JOIN ts USING (scope, term) JOIN st USING (scope) GROUP BY ALL)"""
 POSITIVE_SQL = "sp0 AS (SELECT query_id, chunk_id, CASE WHEN score <= 0 THEN round(0.1 * hits, 6) ELSE score END AS score FROM sc)"
-SPARSE_SQL = f"""{DOC_SQL}, {ASK_SQL}, {SCORE_SQL}, {POSITIVE_SQL},
-sp AS (SELECT query_id, rank, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM sp0 WHERE score > 0) WHERE rank <= {LIST_K})"""
-DENSE_SQL = f"""dn0 AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
+
+
+def fused_sql(k: int) -> str:
+    """dn, sp and fu: the two lists of k and their fusion."""
+    return f"""{DOC_SQL}, {ASK_SQL}, {SCORE_SQL}, {POSITIVE_SQL},
+sp AS (SELECT query_id, rank, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM sp0 WHERE score > 0) WHERE rank <= {k}),
+dn0 AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
   FROM embeddings q JOIN benchmark b ON q.vec_id = b.item_id, embeddings c),
-dn AS (SELECT query_id, rank, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM dn0) WHERE rank <= {LIST_K})"""
-FUSED_SQL = f"""{SPARSE_SQL}, {DENSE_SQL},
+dn AS (SELECT query_id, rank, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM dn0) WHERE rank <= {k}),
 fu0 AS (SELECT query_id, chunk_id, round(sum(1 / (60 + rank)::DOUBLE), 9) AS rrf FROM (SELECT query_id, chunk_id, rank FROM dn UNION ALL SELECT query_id, chunk_id, rank FROM sp) GROUP BY ALL),
 fu AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, chunk_id)::INT AS rank FROM fu0)"""
+
+
+FUSED_SQL = fused_sql(LIST_K)
 GOLD_SQL = "gold AS (SELECT item_id AS query_id, d.doc_id AS chunk_id FROM benchmark b, documents d WHERE contains(d.text, b.text))"

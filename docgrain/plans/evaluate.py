@@ -10,16 +10,16 @@ from ..functions.scores import overlap
 from ..functions.text import space_normal, tokens
 from ..operators import answering, bm25, evaluation, fusion
 from ..operators.chunking import line_chunks
-from ..session import table
-from .common import CHUNK_SQL, FUSED_SQL, GOLD_SQL, SCORE_SQL, doc_chunks, fused_list, gold, lexical, questions, sparse_list, dense_list, tok_sql
-from .retrieval import CAP_SQL, RERANK_SQL, UNION_SQL, _parented, hybrid
+from ..session import saved, table
+from .common import CHUNK_SQL, FUSED_SQL, GOLD_SQL, SCORE_SQL, Lists, doc_chunks, fused_sql, gold, questions, tok_sql
+from .retrieval import CAP_SQL, RERANK_SQL, UNION_SQL
 
 KS = (1, 5, 10, 20)
 
 
-def _matches(spark: SparkSession, d: str) -> DataFrame:
+def _matches(spark: SparkSession, d: str, gold_pairs: DataFrame | None = None) -> DataFrame:
     """query_id, doc_id, chunk_id, how: lines of gold documents that hold the passage, or its first or last 30 characters."""
-    pairs = gold(spark, d).withColumnRenamed("chunk_id", "doc_id")
+    pairs = (gold(spark, d) if gold_pairs is None else gold_pairs).withColumnRenamed("chunk_id", "doc_id")
     passages = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), space_normal(F.col("text")).alias("g"))
     lines = line_chunks(table(spark, d, "documents")).select("doc_id", "chunk_id", space_normal(F.col("text")).alias("c"))
     rows = pairs.join(passages, "query_id").join(lines, "doc_id")
@@ -45,8 +45,9 @@ CLASSES = ("exact", "span", "boundary", "empty")
 
 def gold_mapping_histogram(spark: SparkSession, d: str) -> DataFrame:
     """How many benchmark texts are found as a whole line, as part of lines, only across lines, or nowhere."""
-    best = _matches(spark, d).groupBy("query_id").agg(F.min("how").alias("how"))
-    some = gold(spark, d).select("query_id").distinct().withColumn("some", F.lit(True))
+    pairs = Lists(spark, d).gold
+    best = _matches(spark, d, pairs).groupBy("query_id").agg(F.min("how").alias("how"))
+    some = pairs.select("query_id").distinct().withColumn("some", F.lit(True))
     each = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id")).join(best, "query_id", "left").join(some, "query_id", "left")
     label = F.coalesce("how", F.when(F.col("some"), "boundary").otherwise("empty"))
     counts = each.groupBy(label.alias("label")).agg(F.count("*").alias("n"))
@@ -74,108 +75,120 @@ SUMMARY = "k, round(avg(hit), 6) AS hit, round(avg(recall), 6) AS recall, round(
 
 
 def retrieval_metrics_at_k(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.summary(evaluation.per_query(sparse_list(spark, d), gold(spark, d), questions(spark, d), KS))
+    lists = Lists(spark, d)
+    return evaluation.summary(evaluation.per_query(lists.sparse, lists.gold, lists.questions, KS))
 
 
 RETRIEVAL_METRICS_AT_K = f"WITH {FUSED_SQL}, {GOLD_SQL} SELECT {SUMMARY} FROM {metric_sql('sp')} GROUP BY k"
 
 
 def retrieval_metrics_per_query(spark: SparkSession, d: str) -> DataFrame:
-    per = evaluation.per_query(fused_list(spark, d), gold(spark, d), questions(spark, d), KS)
+    lists = Lists(spark, d)
+    per = evaluation.per_query(lists.fused, lists.gold, lists.questions, KS)
     return per.select("query_id", "k", "hit", F.round("recall", 6).alias("recall"), F.round("ndcg", 6).alias("ndcg"), F.round("rr", 6).alias("rr"))
 
 
 RETRIEVAL_METRICS_PER_QUERY = f"WITH {FUSED_SQL}, {GOLD_SQL} SELECT query_id, k, hit, round(recall, 6) AS recall, round(ndcg, 6) AS ndcg, round(rr, 6) AS rr FROM {metric_sql('fu')}"
 
-BUDGETS = (5, 10, 15, 20)
+#: Rerank budgets, pools, and the lists that feed them.
+BUDGETS, POOLS, POOL_K = (5, 10, 15, 20, 30, 50, 75), (5, 10, 20, 50, 100), 100
 
 
-def _budgets(spark: SparkSession, d: str) -> DataFrame:
+def _budgets(lists: Lists) -> DataFrame:
     """budget and the reranked list within it, for every budget."""
-    pool = lexical(spark, d, fusion.cap_parents(_parented(spark, d), 2, 20).select("query_id", "chunk_id", "rank"))
-    cuts = spark.createDataFrame([(b,) for b in BUDGETS], "budget int")
-    cut = pool.join(F.broadcast(cuts), F.col("rank") <= F.col("budget"))
+    cuts = lists.spark.createDataFrame([(b,) for b in BUDGETS], "budget int")
+    cut = lists.scored.join(F.broadcast(cuts), F.col("rank") <= F.col("budget"))
     ranked = fusion.rerank(cut.withColumnRenamed("query_id", "qid").withColumn("query_id", F.concat_ws(":", "budget", "qid")), F.col("overlap"), 10)
     return ranked.select("budget", F.col("qid").alias("query_id"), "chunk_id", "rank")
 
 
-def _by(spark: SparkSession, d: str, ranked: DataFrame, by: str, ks: tuple[int, ...]) -> DataFrame:
+def _by(lists: Lists, ranked: DataFrame, by: str, ks: tuple[int, ...]) -> DataFrame:
     """summary() for each value of a column of ranked."""
+    ranked = saved(ranked, f"by-{by}")
     values = ranked.select(by).distinct()
     key = lambda df: df.withColumn("query_id", F.concat_ws(":", by, F.col("query_id")))
-    g, q = gold(spark, d).join(F.broadcast(values)), questions(spark, d).select("query_id").join(F.broadcast(values))
+    g, q = lists.gold.join(F.broadcast(values)), lists.questions.select("query_id").join(F.broadcast(values))
     per = evaluation.per_query(key(ranked), key(g), key(q), ks)
     return evaluation.summary(per.withColumn(by, F.split("query_id", ":")[0]), by)
 
 
 def candidate_budget_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """Metrics at 5 for each rerank budget, what they gain over the largest budget, and whether less work does as well."""
-    s = _by(spark, d, _budgets(spark, d), "budget", (5,)).withColumn("budget", F.col("budget").cast("int"))
-    top = s.filter(F.col("budget") == max(BUDGETS)).select(F.col("hit").alias("hit0"), F.col("mrr").alias("mrr0"))
-    label = F.when(F.col("budget") == max(BUDGETS), "baseline").when((F.col("hit") >= F.col("hit0")) & (F.col("mrr") >= F.col("mrr0")), "dominates").when((F.col("hit") < F.col("hit0")) & (F.col("mrr") < F.col("mrr0")), "dominated").otherwise("trade_off")
-    return s.join(F.broadcast(top)).select("budget", "hit", "recall", "mrr", F.round(F.col("hit") - F.col("hit0"), 6).alias("hit_delta"), F.round(F.col("mrr") - F.col("mrr0"), 6).alias("mrr_delta"), label.alias("label"))
+    """Metrics at 5 for each rerank budget, what they gain over a budget of 20, and whether less work does as well."""
+    lists = Lists(spark, d, POOL_K)
+    s = saved(_by(lists, _budgets(lists), "budget", (5,)).withColumn("budget", F.col("budget").cast("int")), "budgets")
+    base = s.filter("budget = 20").select(F.col("hit").alias("hit0"), F.col("mrr").alias("mrr0"))
+    label = F.when(F.col("budget") == 20, "baseline").when((F.col("hit") >= F.col("hit0")) & (F.col("mrr") >= F.col("mrr0")), "dominates").when((F.col("hit") < F.col("hit0")) & (F.col("mrr") < F.col("mrr0")), "dominated").otherwise("trade_off")
+    return s.join(F.broadcast(base)).select("budget", "hit", "recall", "mrr", F.round(F.col("hit") - F.col("hit0"), 6).alias("hit_delta"), F.round(F.col("mrr") - F.col("mrr0"), 6).alias("mrr_delta"), label.alias("label"))
 
 
+WIDE_RERANK = RERANK_SQL.replace("WHERE pc.rank <= 20", f"WHERE pc.rank <= {POOL_K}")
 BUDGET_SQL = f"""bs0 AS (SELECT budget, query_id, chunk_id, row_number() OVER (PARTITION BY budget, query_id ORDER BY score DESC, old)::INT AS rank FROM rr0 JOIN (SELECT unnest({list(BUDGETS)}) AS budget) ON old <= budget),
 bs AS (SELECT * FROM bs0 WHERE rank <= 10)"""
-CANDIDATE_BUDGET_SWEEP = f"""WITH {FUSED_SQL}, {GOLD_SQL}, {CAP_SQL}, {RERANK_SQL}, {BUDGET_SQL}, s AS (SELECT budget, {SUMMARY} FROM {metric_sql('bs', (5,), 'budget')} GROUP BY budget, k),
+CANDIDATE_BUDGET_SWEEP = f"""WITH {fused_sql(POOL_K)}, {GOLD_SQL}, {CAP_SQL}, {WIDE_RERANK}, {BUDGET_SQL}, s AS (SELECT budget, {SUMMARY} FROM {metric_sql('bs', (5,), 'budget')} GROUP BY budget, k),
 t AS (SELECT hit AS hit0, mrr AS mrr0 FROM s WHERE budget = 20)
 SELECT budget, hit, recall, mrr, round(hit - hit0, 6) AS hit_delta, round(mrr - mrr0, 6) AS mrr_delta, CASE WHEN budget = 20 THEN 'baseline' WHEN hit >= hit0 AND mrr >= mrr0 THEN 'dominates' WHEN hit < hit0 AND mrr < mrr0 THEN 'dominated' ELSE 'trade_off' END AS label FROM s, t"""
 
 
-def _variants(spark: SparkSession, d: str) -> DataFrame:
+def _variants(lists: Lists, names: tuple[str, ...] = ("bm25", "dense", "rrf", "rrf_cap", "union", "reranked", "expanded")) -> DataFrame:
     """variant, query_id, chunk_id, rank of the lists that the ablation compares."""
-    lists = {
-        "bm25": sparse_list(spark, d),
-        "dense": dense_list(spark, d),
-        "rrf": fused_list(spark, d),
-        "rrf_cap": fusion.cap_parents(_parented(spark, d), 2),
-        "union": fusion.interleaved(dense_list(spark, d), sparse_list(spark, d), 40),
-        "reranked": hybrid(spark, d),
+    made = {
+        "bm25": lambda: lists.sparse,
+        "dense": lambda: lists.dense,
+        "rrf": lambda: lists.fused,
+        "rrf_cap": lambda: lists.capped,
+        "union": lambda: fusion.interleaved(lists.dense, lists.sparse, 40),
+        "reranked": lambda: lists.hybrid(),
+        # the first chunk of each parent only
+        "expanded": lambda: fusion.expand_parents(lists.parented.withColumn("text", F.lit("")).withColumn("parent_text", F.lit(""))),
     }
     out = None
-    for name, df in lists.items():
-        own = df.select(F.lit(name).alias("variant"), "query_id", "chunk_id", "rank")
+    for name in names:
+        own = made[name]().select(F.lit(name).alias("variant"), "query_id", "chunk_id", "rank")
         out = own if out is None else out.unionByName(own)
     return out
 
 
 VARIANT_SQL = f"""{FUSED_SQL}, {GOLD_SQL}, {CAP_SQL}, {RERANK_SQL}, {UNION_SQL},
 va AS (SELECT 'bm25' AS variant, query_id, chunk_id, rank FROM sp UNION ALL SELECT 'dense', query_id, chunk_id, rank FROM dn UNION ALL SELECT 'rrf', query_id, chunk_id, rank FROM fu
-  UNION ALL SELECT 'rrf_cap', query_id, chunk_id, rank FROM pc UNION ALL SELECT 'union', query_id, chunk_id, rank FROM iu UNION ALL SELECT 'reranked', query_id, chunk_id, rank FROM rr WHERE rank <= 10)"""
+  UNION ALL SELECT 'rrf_cap', query_id, chunk_id, rank FROM pc UNION ALL SELECT 'union', query_id, chunk_id, rank FROM iu UNION ALL SELECT 'reranked', query_id, chunk_id, rank FROM rr WHERE rank <= 10
+  UNION ALL SELECT 'expanded', query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank)::INT FROM (SELECT *, row_number() OVER (PARTITION BY query_id, coalesce(parent_id::VARCHAR, '#' || chunk_id) ORDER BY rank) AS first FROM pc0) WHERE first = 1)"""
 
 
 def variant_ablation(spark: SparkSession, d: str) -> DataFrame:
-    return _by(spark, d, _variants(spark, d), "variant", (5, 10))
+    lists = Lists(spark, d)
+    return _by(lists, _variants(lists), "variant", (5, 10))
 
 
 VARIANT_ABLATION = f"WITH {VARIANT_SQL} SELECT variant, {SUMMARY} FROM {metric_sql('va', (5, 10), 'variant')} GROUP BY variant, k"
 
 
 def union_vs_rrf(spark: SparkSession, d: str) -> DataFrame:
-    return _by(spark, d, _variants(spark, d).filter(F.col("variant").isin("bm25", "dense", "rrf", "union")), "variant", (20,)).select("variant", "hit", "recall")
+    lists = Lists(spark, d)
+    return _by(lists, _variants(lists, ("bm25", "dense", "rrf", "union")), "variant", (20,)).select("variant", "hit", "recall")
 
 
 UNION_VS_RRF = f"WITH {VARIANT_SQL}, v4 AS (SELECT * FROM va WHERE variant IN ('bm25', 'dense', 'rrf', 'union')) SELECT variant, round(avg(hit), 6) AS hit, round(avg(recall), 6) AS recall FROM {metric_sql('v4', (20,), 'variant')} GROUP BY variant"
 
 
 def pool_sweep(spark: SparkSession, d: str) -> DataFrame:
-    return _by(spark, d, _variants(spark, d).filter(F.col("variant").isin("bm25", "dense", "rrf")), "variant", (5, 10, 20)).select("variant", "k", "recall", "hit")
+    lists = Lists(spark, d, POOL_K)
+    return _by(lists, _variants(lists, ("bm25", "dense", "rrf")), "variant", POOLS).select("variant", "k", "recall", "hit")
 
 
-POOL_SWEEP = f"WITH {VARIANT_SQL}, v3 AS (SELECT * FROM va WHERE variant IN ('bm25', 'dense', 'rrf')) SELECT variant, k, round(avg(recall), 6) AS recall, round(avg(hit), 6) AS hit FROM {metric_sql('v3', (5, 10, 20), 'variant')} GROUP BY variant, k"
+POOL_SWEEP = f"""WITH {fused_sql(POOL_K)}, {GOLD_SQL}, v3 AS (SELECT 'bm25' AS variant, query_id, chunk_id, rank FROM sp UNION ALL SELECT 'dense', query_id, chunk_id, rank FROM dn UNION ALL SELECT 'rrf', query_id, chunk_id, rank FROM fu)
+SELECT variant, k, round(avg(recall), 6) AS recall, round(avg(hit), 6) AS hit FROM {metric_sql('v3', POOLS, 'variant')} GROUP BY variant, k"""
 
 
 def waterfall(spark: SparkSession, d: str) -> DataFrame:
     """Hit and recall that are left after each stage of the pipeline."""
-    ranked = hybrid(spark, d).select("query_id", "chunk_id", "rank")
-    capped = fusion.cap_parents(_parented(spark, d), 2).select("query_id", "chunk_id", "rank")
-    stages = {"1_pool": fused_list(spark, d), "2_capped": capped, "3_budget": capped.filter("rank <= 20"), "4_rerank10": ranked, "5_rerank5": ranked.filter("rank <= 5")}
+    lists = Lists(spark, d)
+    ranked, capped = lists.hybrid(), lists.capped
+    stages = {"1_pool": lists.fused, "2_capped": capped, "3_budget": capped.filter("rank <= 20"), "4_rerank10": ranked, "5_rerank5": ranked.filter("rank <= 5")}
     out = None
     for name, df in stages.items():
         own = df.select(F.lit(name).alias("stage"), "query_id", "chunk_id", "rank")
         out = own if out is None else out.unionByName(own)
-    return _by(spark, d, out, "stage", (40,)).select("stage", "hit", "recall")
+    return _by(lists, out, "stage", (40,)).select("stage", "hit", "recall")
 
 
 WATERFALL = f"""WITH {FUSED_SQL}, {GOLD_SQL}, {CAP_SQL}, {RERANK_SQL}, wf AS (SELECT '1_pool' AS stage, query_id, chunk_id, rank FROM fu UNION ALL SELECT '2_capped', query_id, chunk_id, rank FROM pc
@@ -185,10 +198,10 @@ SELECT stage, round(avg(hit), 6) AS hit, round(avg(recall), 6) AS recall FROM {m
 
 def failure_taxonomy(spark: SparkSession, d: str) -> DataFrame:
     """Why a question fails: no gold, gold never retrieved, lost by the cap, the budget or the reranker; with shares."""
-    first = lambda df, name: df.join(gold(spark, d), ["query_id", "chunk_id"], "left_semi").groupBy("query_id").agg(F.min("rank").alias(name))
-    capped = fusion.cap_parents(_parented(spark, d), 2).select("query_id", "chunk_id", "rank")
-    rows = questions(spark, d).select("query_id").join(gold(spark, d).groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left")
-    rows = rows.join(first(fused_list(spark, d), "pool"), "query_id", "left").join(first(capped, "cap"), "query_id", "left").join(first(hybrid(spark, d), "final"), "query_id", "left")
+    lists = Lists(spark, d)
+    first = lambda df, name: df.join(lists.gold, ["query_id", "chunk_id"], "left_semi").groupBy("query_id").agg(F.min("rank").alias(name))
+    rows = lists.questions.select("query_id").join(lists.gold.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left")
+    rows = rows.join(first(lists.fused, "pool"), "query_id", "left").join(first(lists.capped, "cap"), "query_id", "left").join(first(lists.hybrid(), "final"), "query_id", "left")
     label = (
         F.when(F.col("n").isNull(), "NO_GOLD").when(F.col("pool").isNull(), "NOT_RETRIEVED").when(F.col("cap").isNull(), "LOST_BY_CAP")
         .when(F.col("cap") > 20, "LOST_BY_BUDGET").when(F.col("final").isNull(), "LOST_BY_RERANK").when(F.col("final") > 5, "LATE").otherwise("SUCCESS")
@@ -205,26 +218,43 @@ l AS (SELECT CASE WHEN n = 0 THEN 'NO_GOLD' WHEN pool IS NULL THEN 'NOT_RETRIEVE
 SELECT label, count(*) AS n, round(100 * count(*) / (SELECT count(*) FROM l)::DOUBLE, 4) AS percent FROM l GROUP BY label"""
 
 
-def _scoped_sparse(spark: SparkSession, d: str) -> DataFrame:
-    """BM25 inside the source of the question's number, with that source's own statistics."""
-    own = doc_chunks(spark, d, F.col("source"))
-    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("scope"), "text")
-    return bm25.search(asked, own, 20)
+def _scoped_sparse(lists: Lists) -> DataFrame:
+    """BM25 inside the source of a question's first gold document, with that source's own statistics; questions without gold
+    aren't asked."""
+    docs = table(lists.spark, lists.d, "documents")
+    first = lists.gold.groupBy("query_id").agg(F.min("chunk_id").alias("doc_id")).join(docs.select("doc_id", F.col("source").alias("scope")), "doc_id")
+    asked = lists.questions.drop("scope").join(first.select("query_id", "scope"), "query_id")
+    return bm25.search(asked, doc_chunks(lists.spark, lists.d, F.col("source")), 20)
 
 
 def global_vs_scoped(spark: SparkSession, d: str) -> DataFrame:
-    lists = sparse_list(spark, d).select(F.lit("global").alias("mode"), "query_id", "chunk_id", "rank").unionByName(_scoped_sparse(spark, d).select(F.lit("scoped").alias("mode"), "query_id", "chunk_id", "rank"))
-    return _by(spark, d, lists, "mode", (10,))
+    lists = Lists(spark, d)
+    both = lists.sparse.select(F.lit("global").alias("mode"), "query_id", "chunk_id", "rank").unionByName(_scoped_sparse(lists).select(F.lit("scoped").alias("mode"), "query_id", "chunk_id", "rank"))
+    return _by(lists, both, "mode", (10,))
 
 
 GLOBAL_VS_SCOPED = f"""WITH {FUSED_SQL}, {GOLD_SQL}, scoped AS (SELECT * FROM (WITH chunk AS (SELECT source AS scope, doc_id AS chunk_id, text FROM documents),
-  ask AS (SELECT item_id AS query_id, 'src' || (item_id % 20) AS scope, text FROM benchmark), {SCORE_SQL},
+  ask AS (SELECT item_id AS query_id, d.source AS scope, b.text FROM benchmark b JOIN (SELECT query_id, min(chunk_id) AS doc_id FROM gold GROUP BY query_id) g ON g.query_id = item_id JOIN documents d USING (doc_id)), {SCORE_SQL},
   pos AS (SELECT query_id, chunk_id, CASE WHEN score <= 0 THEN round(0.1 * hits, 6) ELSE score END AS score FROM sc)
   SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM pos WHERE score > 0) WHERE rank <= 20),
 gs AS (SELECT 'global' AS mode, query_id, chunk_id, rank FROM sp UNION ALL SELECT 'scoped', query_id, chunk_id, rank FROM scoped)
 SELECT mode, {SUMMARY} FROM {metric_sql('gs', (10,), 'mode')} GROUP BY mode, k"""
 
 
+def document_scoped_search(spark: SparkSession, d: str) -> DataFrame:
+    """Each question against the lines of each of its gold documents alone, with that document's own statistics."""
+    lists = Lists(spark, d)
+    asked = lists.gold.join(lists.questions.drop("scope"), "query_id").select(F.concat_ws(":", "query_id", "chunk_id").alias("query_id"), F.col("chunk_id").alias("scope"), "text")
+    lines = line_chunks(table(spark, d, "documents")).select(F.col("doc_id").alias("scope"), "chunk_id", "text")
+    return bm25.search(asked, lines.join(asked.select("scope").distinct(), "scope", "left_semi"), 5)
+
+
+DOCUMENT_SCOPED_SEARCH = f"""WITH {GOLD_SQL}, lines AS (SELECT * FROM (WITH {CHUNK_SQL} SELECT doc_id AS scope, chunk_id, text FROM chunk)),
+chunk AS (SELECT * FROM lines WHERE scope IN (SELECT chunk_id FROM gold)), ask AS (SELECT g.query_id || ':' || g.chunk_id AS query_id, g.chunk_id AS scope, b.text FROM gold g JOIN benchmark b ON b.item_id = g.query_id), {SCORE_SQL},
+pos AS (SELECT query_id, chunk_id, CASE WHEN score <= 0 THEN round(0.1 * hits, 6) ELSE score END AS score FROM sc)
+SELECT query_id, rank, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM pos WHERE score > 0) WHERE rank <= 5"""
+
+
 def query_ambiguity(spark: SparkSession, d: str) -> DataFrame:
     n = gold(spark, d).groupBy("query_id").agg(F.countDistinct("chunk_id").alias("n_docs"))
     bucket = F.when(F.col("n_docs") == 1, "1").when(F.col("n_docs") <= 3, "2-3").otherwise("4+")
@@ -237,10 +267,10 @@ SELECT CASE WHEN n_docs = 1 THEN '1' WHEN n_docs <= 3 THEN '2-3' ELSE '4+' END A
 
 def wrong_doc_rate(spark: SparkSession, d: str) -> DataFrame:
     """Share of the first ten that aren't gold, over questions with gold, by list."""
-    asked = gold(spark, d).select("query_id").distinct()
-    lists = _variants(spark, d).filter(F.col("variant").isin("bm25", "dense", "rrf") & (F.col("rank") <= 10)).join(asked, "query_id", "left_semi")
-    right = gold(spark, d).withColumn("right", F.lit(1))
-    rows = lists.join(right, ["query_id", "chunk_id"], "left")
+    lists = Lists(spark, d)
+    asked = lists.gold.select("query_id").distinct()
+    right = lists.gold.withColumn("right", F.lit(1))
+    rows = _variants(lists, ("bm25", "dense", "rrf")).filter("rank <= 10").join(asked, "query_id", "left_semi").join(right, ["query_id", "chunk_id"], "left")
     return rows.groupBy("variant").agg(F.round(F.avg(F.when(F.col("right").isNull(), 1.0).otherwise(0.0)), 6).alias("wrong_rate"), F.count("*").alias("n"))
 
 
@@ -391,6 +421,6 @@ SELECT query_id, doc_id, round(a, 6) AS title_overlap, round(b, 6) AS head_overl
 
 NAMES = (
     "gold_mapping_strict gold_mapping_histogram retrieval_metrics_at_k retrieval_metrics_per_query candidate_budget_sweep variant_ablation union_vs_rrf pool_sweep waterfall failure_taxonomy "
-    "global_vs_scoped query_ambiguity wrong_doc_rate citation_extract citation_metrics answerability outcome_classes token_f1 faithfulness evidence_coverage cer lexical_overlap_leakage"
+    "global_vs_scoped document_scoped_search query_ambiguity wrong_doc_rate citation_extract citation_metrics answerability outcome_classes token_f1 faithfulness evidence_coverage cer lexical_overlap_leakage"
 ).split()
 QUERIES = {n: (globals()[n], globals()[n.upper()]) for n in NAMES} | {"wer": (wer, None)}

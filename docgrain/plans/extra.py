@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..fixtures import Fixture
 from ..functions.text import safe_id, space_normal, tokens
-from ..operators import bm25, evaluation
+from ..operators import evaluation
 from ..operators.chunking import line_chunks
 from ..session import table
-from .common import CHUNK_SQL, DOC_SQL, GOLD_SQL, POSITIVE_SQL, SCORE_SQL, doc_chunks, gold, questions, tok_sql
+from .common import CHUNK_SQL, DOC_SQL, GOLD_SQL, POSITIVE_SQL, SCORE_SQL, Lists, gold, tok_sql
 from .evaluate import KS, NORM, SUMMARY, metric_sql
 
 #: Share of a passage's longer words that a line must have to count as loosely relevant.
@@ -43,17 +43,17 @@ def degraded(text: Column, key: Column, every: int) -> Column:
     A stand-in for recognition errors; the places are multiples of `every` from a start between 1 and `every`.
     """
     start = (key % every + 1).cast("int")
-    spots = F.transform(F.sequence(F.lit(0), F.floor((F.length(text) - start) / every).cast("int")), lambda i: start + i * every)
-    return F.when(F.length(text) < start, text).otherwise(F.aggregate(spots, text, lambda t, p: F.concat(F.substr(t, F.lit(1), p - 1), F.lit("#"), F.substr(t, p + 1))))
+    return F.array_join(F.transform(F.split(text, ""), lambda c, i: F.when((i + 1 >= start) & ((i + 1 - start) % every == 0), "#").otherwise(c)), "")
 
 
 def ocr_degradation(spark: SparkSession, d: str) -> DataFrame:
     """Retrieval metrics for questions as they are and with one character in 40 or in 12 replaced."""
-    asked = questions(spark, d)
+    lists = Lists(spark, d)
+    asked = lists.questions
     levels = {"0_clean": asked, "1_in_40": asked.withColumn("text", degraded(F.col("text"), F.col("query_id"), 40)), "2_in_12": asked.withColumn("text", degraded(F.col("text"), F.col("query_id"), 12))}
     out = None
     for name, df in levels.items():
-        found = evaluation.summary(evaluation.per_query(bm25.search(df, doc_chunks(spark, d), 20), gold(spark, d), asked, KS))
+        found = evaluation.summary(evaluation.per_query(lists.index.search(df, 20), lists.gold, asked, KS))
         found = found.select(F.lit(name).alias("level"), "*")
         out = found if out is None else out.unionByName(found)
     return out

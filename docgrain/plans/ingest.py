@@ -9,6 +9,7 @@ from ..fixtures import Fixture
 from ..functions import text as tx
 from ..operators import chunking
 from ..session import table
+from ..sources import sinks
 from ..sources.semi import json_leaves, strip_html
 from .common import CHUNK_SQL
 
@@ -142,22 +143,24 @@ FROM (SELECT *, regexp_extract(text, '([A-Z][A-Za-z]+(?: [A-Z][A-Za-z]+){0,3} (?
 
 
 def section_json(spark: SparkSession, d: str) -> DataFrame:
-    """One JSON object a source: sections (languages) with their document ids in order."""
-    sections = table(spark, d, "documents").groupBy("source", "lang").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
-    return sections.groupBy("source").agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("lang", "ids"))))).alias("json"))
+    """Every document as one JSON object: its title and its lines in order by section, a made-up one for every five lines."""
+    lines = chunking.line_chunks(table(spark, d, "documents"), F.col("source").alias("title"))
+    return sinks.section_json(lines.withColumn("section", F.when(F.col("pos") % 10 < 5, F.concat(F.lit("s"), F.floor(F.col("pos") / 5).cast("string")))))
 
 
-SECTION_JSON = """SELECT source, '{' || string_agg('"' || lang || '":[' || ids || ']', ',' ORDER BY lang) || '}' AS json
-FROM (SELECT source, lang, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids FROM documents GROUP BY ALL) GROUP BY source"""
+SECTION_JSON = f"""WITH {CHUNK_SQL}, b AS (SELECT doc_id, source, pos, CASE WHEN pos % 10 < 5 THEN 's' || (pos // 5) ELSE 'general' END AS section, text FROM chunk),
+s AS (SELECT doc_id, source, section, to_json(section) || ':' || to_json(list(text ORDER BY pos)) AS part FROM b GROUP BY doc_id, source, section)
+SELECT doc_id, '{{"title":' || to_json(source) || ',"sections":{{' || string_agg(part, ',' ORDER BY section) || '}}}}' AS json FROM s GROUP BY doc_id, source"""
 
 
 def html_text(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "pages")
-    return pages.select("page_id", F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1).alias("title"), F.length(strip_html(F.col("html"))).cast("long").alias("n_chars"))
+    text = strip_html(F.col("html"))
+    return pages.select("page_id", F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1).alias("title"), F.length(text).cast("long").alias("n_chars"), F.md5(text).alias("text_md5"))
 
 
-HTML_TEXT = r"""SELECT page_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title,
-length(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\n\r]+', ' ', 'g'))) AS n_chars FROM pages"""
+HTML_TEXT = r"""SELECT page_id, title, length(t) AS n_chars, md5(t) AS text_md5 FROM (SELECT page_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title,
+trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\n\r]+', ' ', 'g')) AS t FROM pages)"""
 
 
 def chunk_summary(spark: SparkSession, d: str) -> DataFrame:

@@ -9,8 +9,8 @@ from ..fixtures import Fixture
 from ..functions.scores import jaccard
 from ..functions.text import tokens
 from ..operators import access, answering, bm25, dense, fusion
-from ..session import table
-from .common import ASK_SQL, CHUNK_SQL, DENSE_SQL, FUSED_SQL, POSITIVE_SQL, SCORE_SQL, SPARSE_SQL, chunks, dense_list, fused_list, lexical, parent_of, sparse_list, tok_sql
+from ..session import saved, table
+from .common import ASK_SQL, CHUNK_SQL, FUSED_SQL, GOLD_SQL, POSITIVE_SQL, SCORE_SQL, Lists, chunks, tok_sql
 
 
 def bm25_tokenize(spark: SparkSession, d: str) -> DataFrame:
@@ -73,38 +73,28 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _vector_questions(spark: SparkSession, d: str) -> DataFrame:
-    return _vectors(spark, d).filter("chunk_id < 20").select(F.col("chunk_id").alias("query_id"), F.col("vec").alias("query_vec"))
+    return _vectors(spark, d).filter("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("vec").alias("query_vec"), "label")
 
 
 def dense_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     return dense.search(_vector_questions(spark, d), _vectors(spark, d), 10, others_only=True)
 
 
-PAIRS_SQL = "pairs AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, q.label AS ql, c.label AS cl, round(list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings c WHERE q.vec_id < 20 AND q.vec_id <> c.vec_id)"
+PAIRS_SQL = "pairs AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, q.label AS ql, c.label AS cl, round(list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)"
 DENSE_COSINE_TOPK = f"""WITH {PAIRS_SQL} SELECT query_id, rank, chunk_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM pairs) WHERE rank <= 10"""
 
 
 def dense_blocks_topk(spark: SparkSession, d: str) -> DataFrame:
-    return dense.search_blocks(_vector_questions(spark, d), _vectors(spark, d), 10, block=7)
+    return dense.search(_vector_questions(spark, d), _vectors(spark, d), 10, block=7)
 
 
-DENSE_BLOCKS_TOPK = """WITH pairs AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings c WHERE q.vec_id < 20)
+DENSE_BLOCKS_TOPK = """WITH pairs AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0)
 SELECT query_id, rank, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM pairs) WHERE rank <= 10"""
 
 
 def dense_margin_stats(spark: SparkSession, d: str) -> DataFrame:
-    labels = table(spark, d, "embeddings").select("vec_id", "label")
-    pairs = dense.similarities(_vector_questions(spark, d), _vectors(spark, d).select("chunk_id", "vec")).filter("query_id <> chunk_id")
-    pairs = pairs.join(labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql")), "query_id").join(labels.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("cl")), "chunk_id")
-    per = pairs.groupBy("query_id").agg(
-        F.avg(F.when(F.col("ql") == F.col("cl"), F.col("score"))).alias("same"),
-        F.avg(F.when(F.col("ql") != F.col("cl"), F.col("score"))).alias("other"),
-        F.max("score").alias("top"),
-        F.max_by("chunk_id", F.struct("score", -F.col("chunk_id"))).alias("best"),
-    )
-    second = pairs.join(per.select("query_id", "best"), "query_id").filter("chunk_id <> best").groupBy("query_id").agg(F.max("score").alias("next"))
-    return per.join(second, "query_id").select("query_id", F.round("same", 4).alias("mean_same"), F.round("other", 4).alias("mean_other"), "top", F.round(F.col("top") - F.col("next"), 6).alias("margin"))
+    return dense.margins(_vector_questions(spark, d), _vectors(spark, d))
 
 
 DENSE_MARGIN_STATS = f"""WITH {PAIRS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM pairs)
@@ -126,27 +116,24 @@ SELECT query_id, entry_id, score FROM (SELECT *, row_number() OVER (PARTITION BY
 
 
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
-    return fused_list(spark, d).select("query_id", "rank", "chunk_id", "rrf")
+    return Lists(spark, d).fused.select("query_id", "rank", "chunk_id", "rrf")
 
 
 RRF_FUSION = f"WITH {FUSED_SQL} SELECT query_id, rank, chunk_id, rrf FROM fu"
 
 
 def interleaved_union(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.interleaved(dense_list(spark, d), sparse_list(spark, d), 15)
+    lists = Lists(spark, d)
+    return fusion.interleaved(lists.dense, lists.sparse, 15)
 
 
 UNION_SQL = """iu0 AS (SELECT query_id, chunk_id, min(spot) AS spot FROM (SELECT query_id, chunk_id, 2 * (rank - 1) AS spot FROM dn UNION ALL SELECT query_id, chunk_id, 2 * (rank - 1) + 1 FROM sp) GROUP BY ALL),
 iu AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY spot)::INT AS rank FROM iu0)"""
-INTERLEAVED_UNION = f"WITH {SPARSE_SQL}, {DENSE_SQL}, {UNION_SQL} SELECT query_id, chunk_id, rank FROM iu WHERE rank <= 15"
-
-
-def _parented(spark: SparkSession, d: str) -> DataFrame:
-    return fused_list(spark, d).withColumn("parent_id", parent_of(F.col("chunk_id")))
+INTERLEAVED_UNION = f"WITH {FUSED_SQL}, {UNION_SQL} SELECT query_id, chunk_id, rank FROM iu WHERE rank <= 15"
 
 
 def parent_cap2(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.cap_parents(_parented(spark, d), 2, 20).select("query_id", "rank", "chunk_id", "parent_id")
+    return Lists(spark, d).capped.filter("rank <= 20").select("query_id", "rank", "chunk_id", "parent_id")
 
 
 CAP_SQL = """pc0 AS (SELECT *, CASE WHEN chunk_id % 7 <> 0 THEN chunk_id // 5 END AS parent_id FROM fu),
@@ -156,34 +143,28 @@ PARENT_CAP2 = f"WITH {FUSED_SQL}, {CAP_SQL} SELECT query_id, rank, chunk_id, par
 
 
 def parent_expand(spark: SparkSession, d: str) -> DataFrame:
-    texts = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.substring("text", 1, 40).alias("text"))
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     parent = F.when(F.col("parent_id") % 3 == 0, "").otherwise(F.concat(F.lit("parent "), F.col("parent_id").cast("string")))
-    rows = _parented(spark, d).join(texts, "chunk_id").withColumn("parent_text", parent)
+    rows = Lists(spark, d).parented.join(texts, "chunk_id").withColumn("parent_text", parent)
     return fusion.expand_parents(rows).select("query_id", "rank", "chunk_id", "parent_id", "text")
 
 
-PARENT_EXPAND = f"""WITH {FUSED_SQL}, pe0 AS (SELECT fu.*, CASE WHEN chunk_id % 7 <> 0 THEN chunk_id // 5 END AS parent_id, substr(d.text, 1, 40) AS text FROM fu JOIN documents d ON d.doc_id = chunk_id),
+PARENT_EXPAND = f"""WITH {FUSED_SQL}, pe0 AS (SELECT fu.*, CASE WHEN chunk_id % 7 <> 0 THEN chunk_id // 5 END AS parent_id, d.text FROM fu JOIN documents d ON d.doc_id = chunk_id),
 pe AS (SELECT *, row_number() OVER (PARTITION BY query_id, coalesce(parent_id::VARCHAR, '#' || chunk_id) ORDER BY rank) AS nth FROM pe0)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank)::INT AS rank, chunk_id, parent_id, CASE WHEN parent_id % 3 <> 0 THEN 'parent ' || parent_id ELSE text END AS text FROM pe WHERE nth = 1"""
 
 
 def candidate_merge_max(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.merge_best(dense_list(spark, d), sparse_list(spark, d)).select("query_id", "rank", "chunk_id", "score")
+    lists = Lists(spark, d)
+    return fusion.merge_best(lists.dense, lists.sparse).select("query_id", "rank", "chunk_id", "score")
 
 
-CANDIDATE_MERGE_MAX = f"""WITH {SPARSE_SQL}, {DENSE_SQL}, m AS (SELECT query_id, chunk_id, max(score) AS score FROM (SELECT query_id, chunk_id, score FROM dn UNION ALL SELECT query_id, chunk_id, score FROM sp) GROUP BY ALL)
+CANDIDATE_MERGE_MAX = f"""WITH {FUSED_SQL}, m AS (SELECT query_id, chunk_id, max(score) AS score FROM (SELECT query_id, chunk_id, score FROM dn UNION ALL SELECT query_id, chunk_id, score FROM sp) GROUP BY ALL)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank, chunk_id, score FROM m"""
 
 
-def hybrid(spark: SparkSession, d: str, budget: int = 20, top_n: int = 10) -> DataFrame:
-    """The canonical pipeline: two lists, rank fusion, two per parent, budget, rerank."""
-    pool = fusion.cap_parents(_parented(spark, d), 2, budget)
-    scored = lexical(spark, d, pool.select("query_id", "chunk_id", "rank", "rrf"))
-    return fusion.rerank(scored, F.col("overlap"), top_n)
-
-
 def hybrid_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    return hybrid(spark, d).select("query_id", "rank", "chunk_id", "score")
+    return Lists(spark, d).hybrid().select("query_id", "rank", "chunk_id", "score")
 
 
 RERANK_SQL = f"""qw AS (SELECT item_id AS query_id, list_distinct({tok_sql("text")}) AS q FROM benchmark),
@@ -194,12 +175,13 @@ HYBRID_PIPELINE = f"WITH {FUSED_SQL}, {CAP_SQL}, {RERANK_SQL} SELECT query_id, r
 
 
 def confidence_score(spark: SparkSession, d: str) -> DataFrame:
+    lists = Lists(spark, d)
     five = lambda df, name: df.filter("rank <= 5").groupBy("query_id").agg(F.collect_set("chunk_id").alias(name))
-    shared = five(dense_list(spark, d), "a").join(five(sparse_list(spark, d), "b"), "query_id", "full")
+    shared = five(lists.dense, "a").join(five(lists.sparse, "b"), "query_id", "full")
     none = F.array().cast("array<bigint>")
     shared = shared.select("query_id", jaccard(F.coalesce("a", none), F.coalesce("b", none)).alias("overlap5"))
-    two = fused_list(spark, d).filter("rank <= 2").groupBy("query_id").agg(F.max(F.when(F.col("rank") == 1, F.col("rrf"))).alias("r1"), F.coalesce(F.max(F.when(F.col("rank") == 2, F.col("rrf"))), F.lit(0.0)).alias("r2"))
-    ranked = hybrid(spark, d)
+    two = lists.fused.filter("rank <= 2").groupBy("query_id").agg(F.max(F.when(F.col("rank") == 1, F.col("rrf"))).alias("r1"), F.coalesce(F.max(F.when(F.col("rank") == 2, F.col("rrf"))), F.lit(0.0)).alias("r2"))
+    ranked = saved(lists.hybrid(), "list-hybrid")
     best = ranked.filter("rank = 1").select("query_id", "score")
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.filter(F.array_distinct(tokens(F.col("text"))), lambda w: F.length(w) > 3).alias("w"))
     about = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.lower(F.substring("text", 1, 200)).alias("about"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixtures import Fixture
 from ..functions.text import tokens
-from ..operators import access, answering, risk
+from ..operators import access, answering, evaluation, risk
 from ..session import table
 from ..streaming import jobs
 from .common import tok_sql
@@ -59,29 +59,38 @@ RISK_ROLLUP = f"""WITH {SCAN_SQL} SELECT c.clause_id, count(rule_id) AS n_findin
 FROM {CLAUSES.sql()} c LEFT JOIN ru ON ru.clause_id = c.clause_id GROUP BY c.clause_id"""
 
 FACETS = Fixture("facet_no int, facet string", ((0, "the of and to"), (1, "que les des"), (2, "licensed under"), (3, "und der die"), (4, "thing that")))
-SIDES = Fixture("pair int, a long, b long", ((0, 0, 1), (1, 2, 3), (2, 4, 7), (3, 5, 5)))
+
+
+def _sides(spark: SparkSession, d: str) -> DataFrame:
+    """pair, a, b: every two documents whose ids follow one another, and every seventh document with itself."""
+    ids = table(spark, d, "documents").select("doc_id")
+    two = ids.filter("doc_id % 2 = 0").select(F.floor(F.col("doc_id") / 2).alias("pair"), F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b"))
+    return two.unionByName(ids.filter("doc_id % 7 = 0").select((-1 - F.col("doc_id")).alias("pair"), F.col("doc_id").alias("a"), F.col("doc_id").alias("b")))
 
 
 def facet_compare(spark: SparkSession, d: str) -> DataFrame:
     """Each facet's best line in both documents of a pair, by shared words, side by side."""
     facets = FACETS.df(spark).select("facet_no", tokens(F.col("facet")).alias("f"))
-    sides = SIDES.df(spark).select("pair", F.explode(F.create_map(F.lit("a"), F.col("a"), F.lit("b"), F.col("b"))).alias("side", "doc_id"))
-    lines = table(spark, d, "documents").join(F.broadcast(sides), "doc_id").select("pair", "side", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    hits = lines.join(F.broadcast(facets)).select("pair", "side", "facet_no", "pos", F.size(F.array_intersect("f", tokens(F.col("line")))).alias("score")).filter("score > 0")
-    best = hits.groupBy("pair", "facet_no", "side").agg(F.max(F.struct("score", (-F.col("pos")).alias("neg"))).alias("m"))
-    wide = best.groupBy("pair", "facet_no").pivot("side", ["a", "b"]).agg(F.first("m"))
-    base = SIDES.df(spark).select("pair").join(FACETS.df(spark).select("facet_no"))
+    pairs = _sides(spark, d)
+    sides = pairs.select("pair", F.explode(F.create_map(F.lit("a"), F.col("a"), F.lit("b"), F.col("b"))).alias("side", "doc_id"))
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc_id", "pos", tokens(F.col("line")).alias("t"))
+    # a document's best lines are found once, however many pairs it is in; the facets are a handful of literals
+    hits = lines.join(F.broadcast(facets)).select("doc_id", "facet_no", "pos", F.size(F.array_intersect("f", "t")).alias("score")).filter("score > 0")
+    best = hits.groupBy("doc_id", "facet_no").agg(F.max(F.struct("score", (-F.col("pos")).alias("neg"))).alias("m"))
+    wide = sides.join(best, "doc_id").groupBy("pair", "facet_no").pivot("side", ["a", "b"]).agg(F.first("m"))
+    base = pairs.select("pair").join(F.broadcast(FACETS.df(spark).select("facet_no")))
     rows = base.join(wide, ["pair", "facet_no"], "left")
     status = F.when(F.col("a").isNull() & F.col("b").isNull(), "missing").when(F.col("a").isNull(), "only_b").when(F.col("b").isNull(), "only_a").otherwise("both")
     return rows.select("pair", "facet_no", (-F.col("a.neg")).alias("pos_a"), F.col("a.score").alias("score_a"), (-F.col("b.neg")).alias("pos_b"), F.col("b.score").alias("score_b"), status.alias("status"))
 
 
-FACET_COMPARE = f"""WITH f AS (SELECT facet_no, {tok_sql('facet')} AS f FROM {FACETS.sql()}), s0 AS (SELECT * FROM {SIDES.sql()}), s AS (SELECT pair, 'a' AS side, a AS doc_id FROM s0 UNION ALL SELECT pair, 'b', b FROM s0),
-l AS (SELECT pair, side, unnest(range(len(l))) AS pos, unnest(l) AS line FROM (SELECT pair, side, string_split(text, chr(10)) AS l FROM s JOIN documents USING (doc_id))),
-h AS (SELECT pair, side, facet_no, pos, len(list_intersect(f, {tok_sql('line')})) AS score FROM l, f),
-b AS (SELECT *, row_number() OVER (PARTITION BY pair, side, facet_no ORDER BY score DESC, pos) AS n FROM h WHERE score > 0)
+FACET_COMPARE = f"""WITH f AS (SELECT facet_no, {tok_sql('facet')} AS f FROM {FACETS.sql()}),
+s0 AS (SELECT doc_id // 2 AS pair, doc_id AS a, doc_id + 1 AS b FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT -1 - doc_id, doc_id, doc_id FROM documents WHERE doc_id % 7 = 0),
+l AS (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+t AS (SELECT doc_id, pos, {tok_sql('line')} AS t FROM l), h AS (SELECT doc_id, facet_no, pos, len(list_intersect(f, t)) AS score FROM t, f),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, facet_no ORDER BY score DESC, pos) AS n FROM h WHERE score > 0), o AS (SELECT * FROM b WHERE n = 1)
 SELECT p.pair, g.facet_no, x.pos::INT AS pos_a, x.score::INT AS score_a, y.pos::INT AS pos_b, y.score::INT AS score_b, CASE WHEN x.pos IS NULL AND y.pos IS NULL THEN 'missing' WHEN x.pos IS NULL THEN 'only_b' WHEN y.pos IS NULL THEN 'only_a' ELSE 'both' END AS status
-FROM s0 p CROSS JOIN f g LEFT JOIN b x ON x.pair = p.pair AND x.facet_no = g.facet_no AND x.side = 'a' AND x.n = 1 LEFT JOIN b y ON y.pair = p.pair AND y.facet_no = g.facet_no AND y.side = 'b' AND y.n = 1"""
+FROM s0 p CROSS JOIN f g LEFT JOIN o x ON x.doc_id = p.a AND x.facet_no = g.facet_no LEFT JOIN o y ON y.doc_id = p.b AND y.facet_no = g.facet_no"""
 
 
 def planner_route(spark: SparkSession, d: str) -> DataFrame:
@@ -97,38 +106,49 @@ PLANNER_ROUTE = rf"""SELECT conv_id, turn, p.task AS task, p.candidate_k AS cand
  WHEN len(list_filter(string_split_regex(lower(text), '\s+'), lambda w: w <> '')) <= 6 AND {_any(answering.GREETINGS)} THEN {{'task': 'conversational', 'candidate_k': 15, 'final_k': 5}}
  WHEN {_any(answering.COMPARE)} AND conv_id % 3 > 1 THEN {{'task': 'comparison', 'candidate_k': 25, 'final_k': 8}} ELSE {{'task': 'single_document_qa', 'candidate_k': 20, 'final_k': 5}} END AS p FROM conversations WHERE role = 'user')"""
 
-ACL = Fixture("doc_id long, role string, allow_read boolean", tuple((i, r, a) for i in range(0, 300, 3) for r, a in ((("finance", "hr", "*", "legal")[i % 4], i % 5 != 0), ("finance", i % 7 == 0))))
+ROLES = ("finance", "hr", "*", "legal")
+
+
+def _grants(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, role, allow_read: made-up grants for every third document."""
+    own = table(spark, d, "documents").filter("doc_id % 3 = 0").select("doc_id")
+    role = F.element_at(F.array(*map(F.lit, ROLES)), (F.col("doc_id") % 4 + 1).cast("int"))
+    one = own.select("doc_id", role.alias("role"), (F.col("doc_id") % 5 != 0).alias("allow_read"))
+    return one.unionByName(own.select("doc_id", F.lit("finance").alias("role"), (F.col("doc_id") % 7 == 0).alias("allow_read")))
+
+
+GRANTS_SQL = f"(SELECT doc_id, {list(ROLES)}[(doc_id % 4 + 1)::INT] AS role, doc_id % 5 <> 0 AS allow_read FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'finance', doc_id % 7 = 0 FROM documents WHERE doc_id % 3 = 0)"
 
 
 def acl_documents(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "source", "lang")
-    return access.accessible(docs, ACL.df(spark), "finance")
+    return access.accessible(docs, _grants(spark, d), "finance")
 
 
-ACL_DOCUMENTS = f"SELECT doc_id, source, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM {ACL.sql()} WHERE role IN ('finance', '*') AND allow_read)"
+ACL_DOCUMENTS = f"SELECT doc_id, source, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM {GRANTS_SQL} WHERE role IN ('finance', '*') AND allow_read)"
 
 
 def acl_denied(spark: SparkSession, d: str) -> DataFrame:
-    """Ids that a request for the first 60 documents and some that don't exist isn't granted."""
+    """Ids that a request for all documents and some that don't exist isn't granted."""
     docs = table(spark, d, "documents")
-    asked = docs.filter("doc_id < 60").select("doc_id").union(spark.range(10**9, 10**9 + 3).toDF("doc_id"))
-    return access.denied(asked, access.accessible(docs, ACL.df(spark), "finance"))
+    asked = docs.select("doc_id").union(spark.range(10**9, 10**9 + 3).toDF("doc_id"))
+    return access.denied(asked, access.accessible(docs, _grants(spark, d), "finance"))
 
 
-ACL_DENIED = f"""SELECT doc_id FROM (SELECT doc_id FROM documents WHERE doc_id < 60 UNION ALL SELECT unnest([1000000000, 1000000001, 1000000002])) WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM {ACL.sql()} WHERE role IN ('finance', '*') AND allow_read))"""
+ACL_DENIED = f"""SELECT doc_id FROM (SELECT doc_id FROM documents UNION ALL SELECT unnest([1000000000, 1000000001, 1000000002])) WHERE doc_id NOT IN (SELECT doc_id FROM {GRANTS_SQL} WHERE role IN ('finance', '*') AND allow_read)"""
 
 
 def conversation_last_message(spark: SparkSession, d: str) -> DataFrame:
-    """The last message of each conversation of one made-up user, and the conversation's title from its first."""
-    own = table(spark, d, "conversations").withColumn("username", F.concat(F.lit("u"), (F.col("conv_id") % 4).cast("string"))).filter("username = 'u1'")
-    first = own.groupBy("conv_id").agg(answering.short_title(F.min_by("text", "turn")).alias("title"), F.count("*").alias("n_turns"))
+    """The last message of each conversation, its made-up user, and its title from its first message."""
+    own = table(spark, d, "conversations").withColumn("username", F.concat(F.lit("u"), (F.col("conv_id") % 4).cast("string")))
+    first = own.groupBy("conv_id", "username").agg(answering.short_title(F.min_by("text", "turn")).alias("title"), F.count("*").alias("n_turns"))
     last = access.last_rows(own, "conv_id", "turn", "role", "text").select("conv_id", "turn", "role", F.length("text").cast("long").alias("n_chars"))
     return last.join(first, "conv_id")
 
 
-CONVERSATION_LAST_MESSAGE = """WITH o AS (SELECT * FROM conversations WHERE conv_id % 4 = 1), l AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS n FROM o),
-f AS (SELECT conv_id, arg_min(text, turn) AS t, count(*) AS n_turns FROM o GROUP BY conv_id)
-SELECT conv_id, turn, role, length(text) AS n_chars, CASE WHEN length(t) > 45 THEN substr(t, 1, 45) || '...' ELSE t END AS title, n_turns FROM l JOIN f USING (conv_id) WHERE n = 1"""
+CONVERSATION_LAST_MESSAGE = """WITH l AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS n FROM conversations),
+f AS (SELECT conv_id, arg_min(text, turn) AS t, count(*) AS n_turns FROM conversations GROUP BY conv_id)
+SELECT conv_id, turn, role, length(text) AS n_chars, 'u' || (conv_id % 4) AS username, CASE WHEN length(t) > 45 THEN substr(t, 1, 45) || '...' ELSE t END AS title, n_turns FROM l JOIN f USING (conv_id) WHERE n = 1"""
 
 
 def cache_keys(spark: SparkSession, d: str) -> DataFrame:
@@ -141,21 +161,17 @@ CACHE_KEYS = """SELECT item_id, substr(sha256('t1|u1|' || array_to_string(list_s
 
 
 def percentiles_linear(spark: SparkSession, d: str) -> DataFrame:
-    at = lambda p: F.round(F.percentile("value", F.lit(p)), 6)
-    return table(spark, d, "events").groupBy("event_type").agg(at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"), F.count("*").alias("n"))
+    rows = evaluation.percentiles(table(spark, d, "events"), "event_type", "value", (0.5, 0.95, 0.99))
+    return rows.select("event_type", F.round("p0", 6).alias("p50"), F.round("p1", 6).alias("p95"), F.round("p2", 6).alias("p99"), "n")
 
 
 PERCENTILES_LINEAR = "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, count(*) AS n FROM events GROUP BY event_type"
 
 
 def percentiles_nearest(spark: SparkSession, d: str) -> DataFrame:
-    """Latency percentiles by place in the sorted values, ranked in the shuffle rather than gathered in arrays."""
-    rows = table(spark, d, "lineitem").select("l_returnflag", "l_extendedprice")
-    n = rows.groupBy("l_returnflag").agg(F.count("*").alias("n"))
-    place = F.row_number().over(Window.partitionBy("l_returnflag").orderBy("l_extendedprice")) - 1
-    ranked = rows.withColumn("i", place).join(F.broadcast(n), "l_returnflag")
-    at = lambda p: F.max(F.when(F.col("i") == F.least(F.floor(F.col("n") * p), F.col("n") - 1), F.col("l_extendedprice")))
-    return ranked.groupBy("l_returnflag").agg(at(0.5).alias("p50"), at(0.95).alias("p95"))
+    """Latency percentiles by place in the sorted values."""
+    rows = evaluation.percentiles(table(spark, d, "lineitem"), "l_returnflag", "l_extendedprice", (0.5, 0.95), linear=False)
+    return rows.select("l_returnflag", F.col("p0").alias("p50"), F.col("p1").alias("p95"))
 
 
 PERCENTILES_NEAREST = """WITH r AS (SELECT l_returnflag, l_extendedprice, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) - 1 AS i, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -10,6 +11,7 @@ from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_LOCAL: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -41,3 +43,25 @@ def session(app: str = "docgrain", **conf: str) -> SparkSession:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def work_dir(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables: spark.checkpoint.dir. Only a local session may do without it."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = _LOCAL.get("dir") or _LOCAL.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="docgrain-"))
+    return path.rstrip("/")
+
+
+def fresh(spark: SparkSession, name: str) -> str:
+    """A path below the work folder that nothing has used yet."""
+    return f"{work_dir(spark)}/docgrain/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: cuts the lineage, and what uses it reads it once made."""
+    path = fresh(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

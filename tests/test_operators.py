@@ -2,10 +2,12 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from docgrain.functions import text as tx
+from docgrain.plans.common import holding
 from docgrain.operators import access, answering, bm25, chunking, dense, evaluation, fusion, risk
 
 
@@ -57,8 +59,10 @@ def test_bm25_equals_loop(spark):
     query = " ".join(rng.choices(words, k=6))
     chunks = spark.createDataFrame([(0, i, t) for i, t in docs.items()], "scope int, chunk_id string, text string")
     asked = spark.createDataFrame([(1, 0, query)], "query_id int, scope int, text string")
-    got = {r["chunk_id"]: r["score"] for r in bm25.scores(asked, chunks).collect()}
-    want = bm25_loop(query, docs)
+    got = {r["chunk_id"]: r["score"] for r in bm25.search(asked, chunks, 40).collect()}
+    # a negative idf can make a score that isn't positive, which falls back to its shared terms
+    shared = {i: len(set(query.split()) & set(t.split())) for i, t in docs.items()}
+    want = {i: x if round(x, 6) > 0 else 0.1 * shared[i] for i, x in bm25_loop(query, docs).items()}
     assert got.keys() == want.keys()
     assert all(abs(got[i] - want[i]) < 1e-5 for i in want)
 
@@ -106,27 +110,75 @@ def test_cap_and_expand(spark):
     assert [(r["chunk_id"], r["text"]) for r in fusion.expand_parents(df).orderBy("rank").collect()] == [("c1", "P"), ("c3", "t3"), ("c5", "t5"), ("c6", "t6")]
 
 
-def test_dense_forms_agree(spark):
-    rng = random.Random(5)
-    rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(50)] + [(50, [0.0] * 6)]
-    vectors = spark.createDataFrame(rows, "chunk_id long, vec array<double>")
-    asked = spark.createDataFrame(rows[:7], "query_id long, query_vec array<double>")
-    key = lambda df: sorted(map(tuple, df.select("query_id", "rank", "chunk_id").collect()))
-    assert key(dense.search(asked, vectors, 5)) == key(dense.search_blocks(asked, vectors, 5, block=3))
-
-
-def test_dense_search_takes_any_number_of_queries(spark):
+def test_index_grows_by_batches(spark, tmp_path):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(i % 2, f"c{i}", " ".join(rng.choices(words, k=rng.randint(0, 15)))) for i in range(60)]
+    asked = spark.createDataFrame([(q, q % 2, " ".join(rng.choices(words, k=4))) for q in range(9)], "query_id int, scope int, text string")
+    df = lambda part: spark.createDataFrame(part, "scope int, chunk_id string, text string")
+    index = bm25.Index.build(df(rows[:25]), str(tmp_path / "index"))
+    index.append(df(rows[25:40]), 1)
+    index.append(df(rows[40:]), 2)
+    index.append(df(rows[40:]), 2)  # written again after a failure: replaced, not added
+    key = lambda x: sorted(map(tuple, x.collect()))
+    for keep_zero in (False, True):
+        whole = key(bm25.search(asked, df(rows), 7, keep_zero))
+        assert key(index.search(asked, 7, keep_zero)) == whole == key(index.search(asked, 7, keep_zero, block=2))
+    terms = lambda x: sorted((*map(tuple, x.withColumn("idf", F.round("idf", 9)).collect()),))
+    assert terms(index.terms()) == terms(bm25.vocabulary(df(rows)))
+
+
+def cosine_loop(asked, rows, k, others_only=False):
+    def cosine(a, b):
+        n = lambda v: math.sqrt(sum(x * x for x in v)) or 1.0
+        return round(sum(x * y for x, y in zip(a, b)) / (n(a) * n(b)), 6)
+
+    out = []
+    for q, v in asked:
+        best = sorted((-cosine(v, w), c) for c, w in rows if not (others_only and c == q))[:k]
+        out += [(q, i, c) for i, (_, c) in enumerate(best, 1)]
+    return sorted(out)
+
+
+def test_dense_search_equals_loop_for_any_number_of_queries(spark):
     rng = random.Random(6)
-    rows = [(f"v{i}", [float(rng.randint(-2, 2)) for _ in range(4)]) for i in range(dense.BROADCAST_QUERIES + 1)]  # many ties
+    rows = [(f"v{i}", [float(rng.randint(-2, 2)) for _ in range(4)]) for i in range(2001)]  # many ties, zero vectors
     vectors = spark.createDataFrame(rows[:60], "chunk_id string, vec array<float>")
     asked = spark.createDataFrame(rows, "query_id string, query_vec array<float>")
     key = lambda df: sorted(map(tuple, df.select("query_id", "rank", "chunk_id").collect()))
-    some = asked.limit(100)
     for others_only in (False, True):
-        many, few = key(dense.search(asked, vectors, 3, others_only)), key(dense.search(some, vectors, 3, others_only))
-        assert len(many) == 3 * len(rows)
-        assert [r for r in many if r[0] in {f[0] for f in few}] == few
-    assert dense.similarities(asked, vectors).count() == 60 * len(rows)
+        assert key(dense.search(asked, vectors, 3, block=700, others_only=others_only)) == cosine_loop(rows, rows[:60], 3, others_only)
+    assert dense.search(asked.limit(0), vectors).count() == 0 and dense.search(asked, vectors.limit(0)).count() == 0
+
+
+def test_dense_search_keeps_to_scopes(spark):
+    vectors = spark.createDataFrame([("a", [1.0, 0.0], 1), ("b", [0.9, 0.1], 2), ("c", [0.0, 1.0], 2)], "chunk_id string, vec array<double>, scope int")
+    asked = spark.createDataFrame([(1, [1.0, 0.0], 2)], "query_id int, query_vec array<double>, scope int")
+    assert [r["chunk_id"] for r in dense.search(asked, vectors).orderBy("rank").collect()] == ["b", "c"]
+
+
+def test_holding_finds_passages_of_any_length(spark):
+    texts = ["one two three four five six seven eight nine ten", "xone two three four five six sevenx", "a  b\nc", "", None, "ab", "prefix tail here and on"]
+    passages = ["two three four five six seven eight nine", "one two three four five six seven", "ne two three", "wo thr", "ten", "e", "b\nc", "", "tail he", "not there at all", "x", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = spark.createDataFrame(list(enumerate(passages)), "query_id long, text string")
+    want = sorted((q, d) for q, p in enumerate(passages) for d, t in enumerate(texts) if p is not None and t is not None and p in t)
+    assert sorted(map(tuple, holding(asked, docs).collect())) == want
+    assert holding(asked.limit(0), docs).count() == 0
+
+
+def test_percentiles_equal_numpy(spark):
+    rng = random.Random(2)
+    rows = [(g, rng.choice([rng.random(), 0.5, 1.0])) for g in "abc" for _ in range({"a": 1, "b": 50, "c": 333}[g])] + [("a", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    shares = (0.0, 0.5, 0.95, 1.0)
+    for linear in (True, False):
+        for r in evaluation.percentiles(df, "g", "x", shares, linear).collect():
+            own = sorted(x for g, x in rows if g == r["g"] and x is not None)
+            assert r["n"] == len(own)
+            for i, p in enumerate(shares):
+                want = np.quantile(own, p) if linear else own[min(int(len(own) * p), len(own) - 1)]
+                assert abs(r[f"p{i}"] - want) < 1e-12
 
 
 def test_metrics_worked_values(spark):
