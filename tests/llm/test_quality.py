@@ -1,8 +1,10 @@
 import re
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docgrain.llm import quality
 
@@ -31,20 +33,32 @@ def test_plain_counts_equal_loops():
         assert quality.plain_counts(t.encode()) == slow(t), repr(t)
 
 
+def restored(raws):
+    codes, n = np.unique(np.concatenate([quality.gram_codes(r) for r in raws]), return_counts=True)
+    return quality.KneserNey.restored(quality.KneserNey(codes, n).arrays())
+
+
 def test_model_is_a_distribution():
-    raw = b"the cat sat on the mat and the dog sat on the log, " * 3
-    codes, n = np.unique(quality.gram_codes(raw), return_counts=True)
-    cost = quality.KneserNey(codes, n).direct()
-    total = (2.0 ** -cost.astype(float)).reshape(-1, quality.CLASSES).sum(1)
-    assert np.allclose(total, 1, atol=1e-3)
-    assert cost[quality.gram_codes(b"the cat")].mean() < cost[quality.gram_codes(b"xq zvj k")].mean()
+    model = restored([b"the cat sat on the mat and the dog sat on the log, " * 3])
+    for history in (b"the ", b"cat ", b"zzzz", b"t qq"):
+        code = int(quality.gram_codes(b" " + history)[-1]) % quality.CLASSES ** (quality.ORDER - 1) * quality.CLASSES
+        assert np.isclose((2.0 ** -model.bits(code + np.arange(quality.CLASSES)).astype(float)).sum(), 1, atol=1e-3)
+    assert model.bits(quality.gram_codes(b"the cat")).mean() < model.bits(quality.gram_codes(b"xq zvj k")).mean()
+
 
+def test_other_scripts_are_told_apart():
+    """Words of a script the model knows cost less than the same characters in any order."""
+    text = "кошка сидела на коврике и собака сидела на бревне "
+    model = restored([(text * 3).encode()])
+    mixed = "".join(np.random.default_rng(0).permutation(list(text)))
+    assert model.bits(quality.gram_codes(text.encode())).mean() < 0.5 * model.bits(quality.gram_codes(mixed.encode())).mean()
 
-def brute_bits(rows):
-    """Bits a byte by a plain recursion over dictionaries."""
+
+def brute_bits(texts):
+    """Bits a byte by a plain recursion over dictionaries, of the texts of one language."""
     c = quality.CLASSES
     counts = [Counter() for _ in range(quality.ORDER)]
-    for _, t, _ in rows:
+    for t in texts:
         if t:
             counts[-1].update(quality.gram_codes(t.encode()).tolist())
     for k in range(quality.ORDER - 2, -1, -1):
@@ -55,6 +69,7 @@ def brute_bits(rows):
         for g, n in x.items():
             follow[k].setdefault(g // c, []).append(n)
 
+    @lru_cache(None)
     def p(g, k):
         low = p(g % c**k, k - 1) if k else 1 / c
         own = follow[k].get(g // c)
@@ -64,28 +79,49 @@ def brute_bits(rows):
         weight = sum(d[min(x, 3)] for x in own) / total
         return (n - d[min(n, 3)] if n else 0) / total + weight * low
 
-    return [None if not t else float(np.mean([-np.log2(p(g, quality.ORDER - 1)) for g in quality.gram_codes(t.encode()).tolist()])) for _, t, _ in rows]
+    return [None if not t else float(np.mean([-np.log2(p(g, quality.ORDER - 1)) for g in quality.gram_codes(t.encode()).tolist()])) for t in texts]
 
 
 def test_query_equals_brute_force(spark, small):
-    rows = [tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang").collect()][:60]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    got = {r["doc_id"]: r for r in quality.judge(df).collect()}
-    bits = brute_bits(rows)
-    def cuts(xs):
-        a, b = np.percentile(np.round(xs, 2), [25, 75])
-        w = max(b - a, 0.02)
-        return a - 4 * w, b + 4 * w
-
-    low, high = cuts(bits)  # under 100 documents a language: all together
-    for (d, t, _), x in zip(rows, bits):
-        r = got[d]
-        assert tuple(r[k] for k in quality.COLUMNS) == slow(t)
-        assert r["bits"] == pytest.approx(x, abs=1e-4)
-        failed = slow(t)[0] < 20 or 100 * slow(t)[4] > 30 * slow(t)[0]
-        assert r["base_failed"] == failed
-        if min(abs(x - low), abs(x - high)) > 0.02:
-            assert r["kept"] == (not failed and low <= x <= high)
+    """All documents, and some junk in each language, each by its own language's model and band."""
+    rng = np.random.default_rng(1)
+    df = spark.read.parquet(f"{small}/documents.parquet").withColumn("lang", F.when(F.col("doc_id") % 9 > 0, F.col("lang")))
+    junk = [(10**6 + i, "".join(rng.choice(list("bcdfghjklmnpqrstvwxz0123456789@#    "), 900)), lang) for i, lang in enumerate(["en", "de", "fr", "es", None])]
+    df = df.select("doc_id", "text", "lang").union(spark.createDataFrame(junk, "doc_id long, text string, lang string"))
+    rows = [tuple(r) for r in df.collect()]
+    got = {r["doc_id"]: r for r in quality.judge(df.repartition(3)).collect()}
+    langs = {lang for _, _, lang in rows}
+    assert len(langs) > 3 and None in langs and len(got) == len(rows)
+    outside = 0
+    for lang in langs:
+        own = [(d, t) for d, t, x in rows if x == lang]
+        bits = brute_bits([t for _, t in own])
+        low, high = np.percentile(np.round([x for x in bits if x is not None], 2), [25, 75])
+        width = max(high - low, 0.02)
+        low, high = low - 4 * width, high + 2 * width
+        for (d, t), x in zip(own, bits):
+            r = got[d]
+            assert tuple(r[k] for k in quality.COLUMNS) == slow(t)
+            assert r["bits"] == (x if x is None else pytest.approx(x, abs=1e-4))
+            failed = slow(t)[0] < 20 or 100 * slow(t)[4] > 30 * slow(t)[0]
+            assert r["base_failed"] == failed
+            if x is not None and min(abs(x - low), abs(x - high)) > 0.02:
+                assert r["kept"] == (not failed and low <= x <= high)
+                outside += not failed and not low <= x <= high
+    assert outside
+
+
+def test_planted_junk_goes(docs):
+    """Prose of two languages; in each, letters in any order and the other language's words under its name are rejected."""
+    rng = np.random.default_rng(5)
+    words = {"en": "the cat sat on a mat while dogs ran over hills and birds sang about rain with some wind near our old house".split(), "xx": "kokko tatti muumuu vievii laala nenno rurra sisis pappa dodda".split()}
+    prose = lambda lang: " ".join(rng.choice(words[lang], 120))
+    rows = [(i, prose(lang), lang, "s") for i, lang in enumerate(["en", "xx"] * 60)]
+    junk = [(1000 + k, "".join(rng.choice(list("bcdfghjklmnpqrstvwxz   "), 600)), lang, "s") for k, lang in enumerate(["en", "xx"])]
+    wrong = [(2000, prose("xx"), "en", "s"), (2001, prose("en"), "xx", "s")]
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(docs(rows + junk + wrong)).collect()}
+    assert not any(got[d] for d in (1000, 1001, 2000, 2001))
+    assert all(got[i] for i, *_ in rows)
 
 
 def test_good_documents_stay(spark, small):
