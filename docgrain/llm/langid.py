@@ -3,28 +3,31 @@
 A text is cut into windows of WINDOW bytes, all of them, to the end. One recurrent layer reads each window forwards and
 another backwards; at every byte a softmax over both states gives probabilities of the languages. A document's
 probabilities are the mean over all its bytes. Training is backpropagation through time with Adam on a bounded,
-hash-chosen sample of windows of the labelled documents, PER_LANG documents a language.
+hash-chosen sample of the labelled rows, PER_LANG of each language, and of the windows of their whole texts.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, documents, small_batches, tidy
+from .common import chunks, documents, saved, small_batches, tidy
 
 WINDOW, HIDDEN, PAD = 96, 8, 256
-#: Labelled documents of each language that training reads about, and windows from each, spread over its whole text.
-PER_LANG, PER_DOC = 512, 4
+#: Labelled rows of each language that training reads about, and windows of these rows' whole texts that it draws for each
+#: language: both bound the sample that the classifier is fitted on, by hashes, wherever in a text a window lies.
+PER_LANG, PER_WINDOWS = 512, 2048
 STEPS, BATCH, RATE = 260, 128, 0.02
 #: Windows that are labelled at once.
 LANES = 2048
-LETTER = re.compile(r"[^\W\d_]")
+#: Unicode category L.
+LETTER = regex.compile(r"\p{L}")
 
 
 class BiGru:
@@ -174,48 +177,56 @@ def windows(raw: bytes) -> np.ndarray:
     return out.reshape(n, WINDOW)
 
 
-def training_windows(docs: DataFrame, per_lang: int = PER_LANG, per_doc: int = PER_DOC) -> tuple[list[str], np.ndarray, np.ndarray]:
+def training_windows(docs: DataFrame, per_lang: int = PER_LANG, per_windows: int = PER_WINDOWS) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, windows and their labels from labelled rows whose crc32(doc_id) mod 3 is not 1.
 
-    Rows are chosen by a hash with a chance that leaves about per_lang of each language; of each row, per_doc windows
-    spread over the whole text go to the driver.
+    Rows are drawn by a hash of the text with a chance that leaves about per_lang of each language, copies of a text once; of
+    the windows of their whole texts, a further hash of the window and its place draws about per_windows of each language, so
+    however many rows share an id or a text, what reaches the driver is bounded. A label may be any string, an empty one too.
+    Texts without a byte teach nothing.
     """
     label, text = F.col("lang").cast("string"), F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), label.alias("lang"), text.alias("text"))
-    rows = rows.filter((F.crc32(F.col("doc_id").cast("string")) % 3 != 1) & F.col("lang").isNotNull() & (F.col("lang") != ""))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = docs.filter(F.crc32(F.col("doc_id").cast("long").cast("string")) % 3 != 1).select(label.alias("lang"), text.cast("binary").alias("text"))
+    rows = rows.filter(F.col("lang").isNotNull())
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.greatest(F.approx_count_distinct(F.xxhash64("text")), F.lit(1)).alias("n")).collect()}  # distinct texts of each language
     langs = sorted(counts)
     if not langs:
         return [], np.zeros((0, WINDOW), np.int16), np.zeros(0, np.int64)
-    chance = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, per_lang / counts[k]))])
-    # hash the id once more, apart from the split above
-    drawn = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 20)) < chance[F.col("lang")] * (1 << 20)
-    code = {k: i for i, k in enumerate(langs)}
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, labels, out = [], [], []
-            for doc_id, lang, raw in zip(batch.column("doc_id").to_pylist(), batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                whole = windows(raw)
-                for k in sorted({int(i) for i in np.linspace(0, len(whole) - 1, per_doc)}):
-                    ids.append(doc_id)
-                    labels.append(code[lang])
-                    out.append(whole[k].astype("<i2").tobytes())
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "y": pa.array(labels, pa.int64()), "x": pa.array(out, pa.binary())})
-
-    some = rows.filter(drawn).select("doc_id", "lang", F.col("text").cast("binary").alias("text")).filter("length(text) > 0")
-    got = some.mapInArrow(tidy(cut), "doc_id long, y long, x binary").toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")])
+    share = lambda n, of: F.create_map(*[F.lit(x) for k in sorted(of) for x in (k, min(1.0, n / of[k]))])
+    below = lambda h, chance: F.pmod(h, F.lit(1 << 30)) < chance[F.col("lang")] * (1 << 30)
+    some = saved(rows.filter(F.length("text") > 0).filter(below(F.xxhash64(F.lit("langid"), "text"), share(per_lang, counts))).dropDuplicates(["lang", "text"]), "langid-rows")
+    cut = saved(some.mapInArrow(tidy(_cut), "lang string, x binary, h long").dropDuplicates(["lang", "h", "x"]), "langid-windows")
+    found = {r["lang"]: r["n"] for r in cut.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not found:
+        return langs, np.zeros((0, WINDOW), np.int16), np.zeros(0, np.int64)
+    got = cut.filter(below(F.col("h"), share(per_windows, found))).toArrow()
+    got = got.sort_by([("h", "ascending"), ("x", "ascending"), ("lang", "ascending")])
     x = np.frombuffer(b"".join(got["x"].to_pylist()), "<i2").reshape(-1, WINDOW)
-    return langs, x, got["y"].to_numpy()
+    return langs, x, np.array([langs.index(k) for k in got["lang"].to_pylist()], np.int64)
 
 
-def fit(docs: DataFrame, per_lang: int = PER_LANG, per_doc: int = PER_DOC) -> BiGru | None:
-    """A network trained on docs; None if no row is labelled."""
-    langs, x, y = training_windows(docs, per_lang, per_doc)
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, x, h: all windows of texts, with a hash of each and its place."""
+    for whole in batches:
+        for batch in chunks(whole):
+            langs, out, hashes = [], [], []
+            for lang, raw in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                for k, own in enumerate(windows(raw).astype("<i2")):
+                    langs.append(lang)
+                    out.append(own.tobytes())
+                    hashes.append(xxhash.xxh3_64_intdigest(out[-1], k) >> 1)
+            yield pa.RecordBatch.from_pydict({"lang": pa.array(langs, pa.string()), "x": pa.array(out, pa.binary()), "h": pa.array(hashes, pa.int64())})
+
+
+def fit(docs: DataFrame, per_lang: int = PER_LANG, per_windows: int = PER_WINDOWS) -> BiGru | None:
+    """A network trained on docs; None if no row is labelled. If no labelled row has a text, all languages are alike to it."""
+    langs, x, y = training_windows(docs, per_lang, per_windows)
     if not langs:
         return None
     model = BiGru(langs)
-    if len(langs) > 1 and len(x):
+    if not len(x):
+        model.p["w"][:] = 0
+    elif len(langs) > 1:
         model.train(x, y)
     return model
 
@@ -240,7 +251,8 @@ def label_texts(model: BiGru, raws: list[bytes]) -> np.ndarray:
 
 
 def classify(model: BiGru | None, raws: list[bytes]) -> list[tuple[str, float]]:
-    """Language and score of each text; `und` and 0 without a letter or a model."""
+    """Language and score of each text; `und` and 0 without a letter or a model. Of equal probabilities the first language in
+    the order of code points counts."""
     lettered = [model is not None and LETTER.search(x.decode("utf-8", "replace")) is not None for x in raws]
     if not any(lettered):
         return [("und", 0.0)] * len(raws)
@@ -270,7 +282,8 @@ def keep_known(docs: DataFrame, model: BiGru | None, least: float) -> DataFrame:
 def predict(docs: DataFrame, model: BiGru | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score (the language's mean probability) of every row.
 
-    lang_pred is `und` with score 0 if the text is null or has no letter, or if there is no model. A null doc_id is
+    lang_pred is `und` with score 0 if the text is null or has no letter (Unicode category L), or if there is no model;
+    ties go to the language that comes first by code point. A null doc_id is
     not held out. Repeated rows come out as often; extra columns are left out; an empty table gives an empty one.
     """
     small_batches(docs.sparkSession)

@@ -64,3 +64,52 @@ def test_every_byte_of_a_text_counts():
     p = langid.label_texts(model, [raw])[0]
     parts = np.concatenate([model.forward(np.ascontiguousarray(w[None].T))[: min(langid.WINDOW, len(raw) - langid.WINDOW * i), 0, 0] for i, w in enumerate(langid.windows(raw))])
     assert len(parts) == len(raw) and abs(p[0] - parts.mean()) < 1e-5 and abs(p.sum() - 1) < 1e-5
+
+
+def slow_label(model, raw):
+    """Mean probabilities over a text by loops over windows, directions, bytes and gates."""
+    k, total = langid.HIDDEN, np.zeros(len(model.langs))
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    for window in langid.windows(raw):
+        states = np.zeros((2, len(window), k))
+        for d in (0, 1):
+            e, u, c = (model.p[n][d].astype(float) for n in "euc")
+            h = np.zeros(k)
+            for t in range(len(window)) if d == 0 else reversed(range(len(window))):
+                z = sigmoid(e[window[t]][:k] + h @ u[:, :k])
+                r = sigmoid(e[window[t]][k : 2 * k] + h @ u[:, k : 2 * k])
+                s = np.tanh(e[window[t]][2 * k :] + r * (h @ u[:, 2 * k :] + c))
+                h = z * h + (1 - z) * s
+                states[d, t] = h
+        for t in np.flatnonzero(window != langid.PAD):
+            a = np.concatenate(states[:, t]) @ model.p["w"] + model.p["b"]
+            total += np.exp(a) / np.exp(a).sum()
+    return total / len(raw)
+
+
+def test_labels_equal_a_slow_pass():
+    model = langid.BiGru(["a", "b", "c"])
+    for raw in (b"x", "Grüße, Köln — 中文".encode() * 9, bytes(range(1, 128)) * 2):
+        assert np.allclose(langid.label_texts(model, [b"other", raw])[1], slow_label(model, raw), atol=1e-5)
+
+
+def test_only_letters_have_a_language():
+    model = langid.BiGru(["a", "b"])
+    got = langid.classify(model, [t.encode() for t in ("½ ²", "① ② Ⅷ", "123 _ !", "", "ª", "x", "中", "ё½")])
+    assert [lang == "und" for lang, _ in got] == [True, True, True, True, False, False, False, False]
+
+
+def test_ties_go_to_the_first_language():
+    model = langid.BiGru(["a", "b", "c"])
+    model.p["w"][:], model.p["b"][:] = 0, 0
+    assert langid.classify(model, [b"text"])[0][0] == "a"
+
+
+def test_labels_of_any_string_and_rows_that_share_an_id(docs):
+    """An empty label is a label; thousands of rows under one id, copies among them, give a bounded sample of whole texts."""
+    rows = [(7, f"alpha beta gamma {i % 50} " * 40, "", "s") for i in range(600)] + [(7, "zzz yyy xxx " * 60, "x", "s")] * 900
+    langs, x, y = langid.training_windows(docs(rows), per_lang=200, per_windows=100)
+    assert langs == ["", "x"] and 20 <= (y == 0).sum() <= 200 and 1 <= (y == 1).sum() <= 200
+    last = langid.windows(rows[0][1].encode())[-1]
+    whole = langid.training_windows(docs(rows[:50]), per_lang=10**6, per_windows=10**6)[1]
+    assert len(whole) == sum(len(langid.windows(t.encode())) for _, t, _, _ in rows[:50]) and (whole == last).all(1).any()
