@@ -41,7 +41,11 @@ def fingerprint(raw: bytes | None, width: int = 3, seed: int = 42) -> int:
     starts = [0, *ends[:-1].tolist()]
     stops = (ends[width - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts, stops, strict=False)], np.uint64)
+    return majority(np.array([digest(joined[a:b], seed) for a, b in zip(starts, stops, strict=False)], np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for a in range(0, len(hashes), 4096):
         ones += np.unpackbits(hashes[a : a + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -201,17 +205,5 @@ def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42, radius: int
     return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, width: int = 3, seed: int = 42, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs, all columns as they are, that have the smallest doc_id of their part; one row of each doc_id.
-
-    Rows without doc_id stay.
-    """
-    first = near_duplicates(docs.filter(F.col("doc_id").isNotNull()), width, seed, radius).filter("doc_id = component_id").select(F.col("doc_id").alias("first")).distinct()
-    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
-    kept = own.join(first, own["id"] == first["first"], "left_semi").dropDuplicates(["id"])
-    every = kept.union(own.filter("id is null"))
-    return every.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
-
-
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
