@@ -31,6 +31,41 @@ def answer_class(answer: Column) -> Column:
     return F.when(F.trim(answer).startswith(SENTINEL), "sentinel").when(prose, "prose").otherwise("answer")
 
 
+# Wordings that a lenient reading takes for a refusal, wherever they stand in an answer.
+SIGNALS = (
+    "insufficient_evidence", "insufficient evidence", "not contain information", "does not contain information", "do not specify or mention", "does not specify or mention", "cannot be determined from the provided",
+    "no mention of", "not mentioned in the provided", "not found in the provided", "neither contract mentions", "the provided contract does not", "the provided excerpts do not", "information is not present",
+)
+REFERENCE = r"(?i)\[(?:Reference|Document Reference|Source Block)\s*(\d+)\]"
+
+
+def lenient_decision(answer: Column) -> Column:
+    """ANSWER, or INSUFFICIENT_EVIDENCE for a blank answer and one that holds any refusal wording."""
+    refused = F.exists(F.array(*map(F.lit, SIGNALS)), lambda w: F.instr(F.lower(answer), w) > 0)
+    return F.when((F.trim(answer) == "") | refused, SENTINEL).otherwise("ANSWER")
+
+
+def lenient_citations(answer: Column, retrieved: Column, fallback: bool) -> Column:
+    """Retrieved ids that stand in an answer or whose place a bracketed reference names, sorted; fallback: an answer without
+    any cites the first retrieved one."""
+    named = F.filter(retrieved, lambda c: F.instr(answer, c) > 0)
+    places = F.transform(F.regexp_extract_all(answer, F.lit(REFERENCE), F.lit(1)), lambda n: F.try_element_at(retrieved, F.greatest(n.cast("int"), F.lit(1))))
+    cited = F.array_sort(F.array_distinct(F.array_compact(F.concat(named, places))))
+    if not fallback:
+        return cited
+    first = (lenient_decision(answer) == "ANSWER") & (F.size(cited) == 0) & (F.size(retrieved) > 0)
+    return F.when(first, F.slice(retrieved, 1, 1)).otherwise(cited)
+
+
+def category(question: Column, categories: tuple[tuple[str, str], ...], other: str = "General") -> Column:
+    """The category of the first word of the list that a question holds."""
+    low = F.lower(question)
+    out = F.lit(other)
+    for word, name in reversed(categories):
+        out = F.when(F.instr(low, word) > 0, name).otherwise(out)
+    return out
+
+
 def outcome(unanswerable: Column, refused: Column, grounded: Column) -> Column:
     return F.when(unanswerable & refused, "CORRECT_REFUSAL").when(unanswerable, "FALSE_ANSWER").when(refused, "FALSE_REFUSAL").when(grounded, "GROUNDED").otherwise("UNSUPPORTED")
 

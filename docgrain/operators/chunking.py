@@ -53,6 +53,28 @@ def markdown_sections(rows: DataFrame) -> DataFrame:
     return df.filter(F.col("code") | (F.trim("line") != "")).select("doc", "pos", kind.alias("kind"), "line", path.alias("section_path"))
 
 
+def markdown_paragraphs(rows: DataFrame) -> DataFrame:
+    """doc, pos (of the first line), kind, text, section_path: blocks of Markdown lines (doc, pos, line).
+
+    Lines that follow one another are a paragraph until a blank line, a heading or a fence ends it; a fenced block is one
+    block with its fences; a heading is a block of its own, its text the title.
+    """
+    order = Window.partitionBy("doc").orderBy("pos")
+    # blank lines only cut; they are told from the gaps that they leave among the numbered lines
+    numbered = rows.withColumn("at", F.row_number().over(order))
+    lines = markdown_sections(numbered.select("doc", "pos", "line")).join(numbered.select("doc", "pos", "at"), ["doc", "pos"])
+    kind, before, last = F.col("kind"), F.lag("kind").over(order), F.lag("at").over(order)
+    fence = F.col("line").startswith("```") & (kind == "code")
+    opens = fence & (F.sum(fence.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) % 2 == 1)
+    begins = before.isNull() | (kind != before) | (kind == "heading") | opens | ((kind == "paragraph") & (F.col("at") - last > 1))
+    grouped = lines.withColumn("no", F.sum(begins.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
+    blocks = grouped.groupBy("doc", "no").agg(F.min("pos").alias("pos"), F.first("kind").alias("kind"), text.alias("text"), F.min_by("section_path", "pos").alias("section_path"))
+    title = F.trim(F.regexp_extract("text", r"^(#{1,6})\s+(.*)", 2))
+    return blocks.select("doc", "pos", "kind", F.when(F.col("kind") == "heading", title).otherwise(F.col("text")).alias("text"), "section_path")
+
+
+#: Fixed value: how a heading of a page begins.
 HEADING = r"(?iu)^(Article|Section|Clause|Chapter|Part|\d+\.|\d+\.\d+)"
 
 

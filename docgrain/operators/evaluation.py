@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import answer_normal, answer_tokens
+from ..functions.text import answer_normal, answer_tokens, space_normal
 from ..session import saved
 
 DEFAULT_KS = (5, 10, 20, 50, 100)
@@ -92,6 +92,35 @@ def token_f1(answer: Column, truth: Column) -> Column:
     return F.when(both, 1.0).when(none, 0.0).when(shared == 0, 0.0).otherwise(2 * p * r / (p + r))
 
 
+def _shared_f1(a: Column, t: Column, shared: Column) -> Column:
+    p, r = shared / F.greatest(F.size(a), F.lit(1)), shared / F.greatest(F.size(t), F.lit(1))
+    return F.when(shared == 0, 0.0).otherwise(2 * p * r / (p + r))
+
+
+def _plain_words(text: Column) -> Column:
+    return F.filter(F.split(space_normal(text), " "), lambda w: w != "")
+
+
+def counted_f1(answer: Column, truth: Column) -> Column:
+    """F1 of the word multisets of two texts (in NFKC), articles and punctuation kept; 0 if either is empty."""
+    a, t = _plain_words(answer), _plain_words(truth)
+    count = lambda arr, x: F.size(F.filter(arr, lambda y: y == x))
+    return _shared_f1(a, t, F.aggregate(F.array_distinct(a), F.lit(0), lambda s, x: s + F.least(count(a, x), count(t, x))))
+
+
+def set_f1(answer: Column, truth: Column) -> Column:
+    """As counted_f1, with the number of distinct shared words over the lengths of the lists."""
+    a, t = _plain_words(answer), _plain_words(truth)
+    return _shared_f1(a, t, F.size(F.array_intersect(a, t)))
+
+
+def facet_coverage(cited: Column, facets: Column) -> Column:
+    """Share of the facets of which the cited text holds a word of over 3 letters; 1 without facets."""
+    low = F.lower(cited)
+    met = F.filter(facets, lambda f: F.exists(F.filter(F.split(F.lower(f), r"\s+"), lambda w: F.length(w) > 3), lambda w: F.instr(low, w) > 0))
+    return F.when(F.size(facets) == 0, 1.0).otherwise(F.size(met) / F.greatest(F.size(facets), F.lit(1)))
+
+
 def exact_match(answer: Column, truth: Column) -> Column:
     return answer_normal(answer) == answer_normal(truth)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SEVERITIES = ("low", "medium", "high", "critical")
@@ -77,6 +77,12 @@ def scan(clauses: DataFrame, rules: DataFrame, key: str = "clause_id", only: lis
     return pairs.filter(hit).select(key, "rule_no", "rule_id", "severity")
 
 
+def first_hits(hits: DataFrame, by: str, limit: int, *order: str) -> DataFrame:
+    """The first hits of each group in the given order, and their number: what a costly review of hits is limited to."""
+    ranked = hits.withColumn("nth", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+    return ranked.filter(F.col("nth") <= limit)
+
+
 def overall(severity: Column) -> Column:
     """The gravest of a group's severities, low if there is none."""
     grade = F.max(sum((F.when(severity == s, i).otherwise(0) for i, s in enumerate(SEVERITIES)), F.lit(0)))

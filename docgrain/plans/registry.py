@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evaluate, extra, ingest, retrieval, review
+from . import answers, evaluate, extra, ingest, retrieval, review
 
-MODULES = (retrieval, ingest, evaluate, review, extra)
+MODULES = (retrieval, ingest, evaluate, review, extra, answers)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
