@@ -25,6 +25,11 @@ def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
+def fallback_score(place: Column) -> Column:
+    """What a chunk at a place (from 0) scores where no reranker answers: 1 falling by a tenth, 0.1 at least."""
+    return F.greatest(F.lit(0.1), 1 - place * 0.1)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Shared share of two sets; 0 if both are empty."""
     union = F.size(F.array_union(a, b))

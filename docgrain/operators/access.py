@@ -43,6 +43,16 @@ def owned(conversations: DataFrame, conv_id: object, user: str, tenant: str) ->
     return conversations.filter((F.col("conv_id") == conv_id) & (F.col("username") == user) & (F.col("tenant_id") == tenant))
 
 
+def active_user(users: DataFrame, username: str) -> DataFrame:
+    """The user of that name, if active."""
+    return users.filter((F.col("username") == username) & F.col("is_active"))
+
+
+def role_allowed(role: Column, *allowed: str) -> Column:
+    """Whether a role may do what the allowed roles may; an admin may do all, no role nothing."""
+    return F.coalesce((role == "admin") | role.isin(*allowed), F.lit(False))
+
+
 def under(path: Column, root: str) -> Column:
     """Whether a storage path lies below root, dots resolved by refusing them."""
     return path.startswith(root.rstrip("/") + "/") & ~F.array_contains(F.split(path, "/"), "..")

@@ -4,19 +4,20 @@ from __future__ import annotations
 
 import io
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.chunking import markdown_sections
+from ..operators.chunking import markdown_paragraphs
 from ..session import ship
 from .semi import _leaves
 
 MARKDOWN, IMAGES = ("md", "txt"), ("png", "jpg", "jpeg", "webp", "bmp")
 #: block_type, text, page, section_path and a table's cells if there is one.
-BLOCK = "path string, pos int, block_type string, text string, page int, section_path array<string>, table_data array<array<string>>"
+BLOCK = "path string, pos int, block_type string, text string, page int, section_path array<string>, table_data array<array<string>>, bbox array<double>"
 
 
 def files(spark: SparkSession, folder: str) -> DataFrame:
@@ -26,10 +27,11 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def markdown_blocks(found: DataFrame) -> DataFrame:
-    """Blocks of md and txt files: runs of lines of one kind and section; bytes that aren't UTF-8 are dropped."""
-    text = F.decode(F.col("content"), "UTF-8") if found.sparkSession.conf.get("spark.sql.legacy.codingErrorAction", "false") == "true" else F.make_valid_utf8(F.col("content").cast("string"))
-    lines = found.filter(F.col("ext").isin(*MARKDOWN)).select(F.col("path").alias("doc"), F.posexplode(F.split(F.replace(text, F.lit("�"), F.lit("")), "\n")).alias("pos", "line"))
-    return markdown_sections(lines).select(F.col("doc").alias("path"), "pos", F.col("kind").alias("block_type"), F.col("line").alias("text"), F.lit(1).alias("page"), "section_path", F.lit(None).cast("array<array<string>>").alias("table_data"))
+    """Blocks of md and txt files: paragraphs, headings and fenced code; bytes that aren't UTF-8 are dropped."""
+    text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit(""))
+    lines = found.filter(F.col("ext").isin(*MARKDOWN)).select(F.col("path").alias("doc"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    blocks = markdown_paragraphs(lines)
+    return blocks.select(F.col("doc").alias("path"), "pos", F.col("kind").alias("block_type"), "text", F.lit(1).alias("page"), "section_path", F.lit(None).cast("array<array<string>>").alias("table_data"), F.lit(None).cast("array<double>").alias("bbox"))
 
 
 def _docx(content: bytes) -> Iterator[tuple]:
@@ -46,14 +48,47 @@ def _docx(content: bytes) -> Iterator[tuple]:
         yield "table", "\n".join("| " + " | ".join(r) + " |" for r in cells), 1, list(section), cells
 
 
-def _pdf(content: bytes) -> Iterator[tuple]:
+#: How a heading of a page begins; characters of a whole file below which its text isn't taken for all there is.
+PAGE_HEADING, LEAST_CHARS = re.compile(r"(Article|Section|Clause|Chapter|Part|\d+\.|\d+\.\d+)", re.I), 100
+
+
+def page_blocks(pages: Iterator[tuple[int, list[tuple]]]) -> Iterator[tuple]:
+    """Blocks of pages (number, [(x0, y0, x1, y1, text)]): a short one that begins like a heading names the section of what
+    follows, over page ends too."""
+    section: list[str] = []
+    for n, own in pages:
+        for x0, y0, x1, y1, text in own:
+            text = text.strip()
+            if not text:
+                continue
+            heading = text.count("\n") < 2 and len(text) < 120 and PAGE_HEADING.match(text) is not None
+            section = [text] if heading else section
+            yield "heading" if heading else "paragraph", text, n, list(section), None, [round(v, 2) for v in (x0, y0, x1, y1)]
+
+
+def needs_ocr(area: float, text: str, images: int) -> bool:
+    """Whether a page's own text won't do: the rules of chunking.ocr_gate()."""
+    odd = sum(not c.isprintable() and not c.isspace() for c in text) / max(len(text), 1)
+    return area <= 0 or len(text) < 40 or odd > 0.15 or (images >= 1 and len(text) < 150)
+
+
+def scanned(pages: list[tuple[int, float, int, list[tuple]]], ocr: Callable[[int], str] | None) -> list[tuple[int, list[tuple]]]:
+    """(number, blocks) of pages (number, area, images, blocks): their own text if the file has LEAST_CHARS of it, else with that of
+    an OCR function on pages that need it; a file without any text is an error, so that nothing is indexed empty."""
+    whole = lambda own: "".join(b[4] for b in own)
+    if sum(len(whole(own).strip()) for *_, own in pages) < LEAST_CHARS and ocr is not None:
+        pages = [(n, area, images, [(0.0, 0.0, 0.0, 0.0, ocr(n))] if needs_ocr(area, whole(own), images) else own) for n, area, images, own in pages]
+    if not any(whole(own).strip() for *_, own in pages):
+        raise ValueError("a scanned file without text")
+    return [(n, own) for n, _, _, own in pages]
+
+
+def _pdf(content: bytes, ocr: Callable[[bytes], str] | None = None) -> Iterator[tuple]:
     import fitz  # optional
 
     with fitz.open(stream=content, filetype="pdf") as pdf:
-        for n, page in enumerate(pdf, 1):
-            for b in page.get_text("blocks"):
-                if b[4].strip():
-                    yield "paragraph", b[4].strip(), n, [], None
+        pages = [(n, page.rect.width * page.rect.height, len(page.get_images()), [b[:5] for b in page.get_text("blocks")]) for n, page in enumerate(pdf, 1)]
+        yield from page_blocks(iter(scanned(pages, (lambda n: ocr(pdf[n - 1].get_pixmap().tobytes("png"))) if ocr else None)))
 
 
 def _json(content: bytes) -> Iterator[tuple]:
@@ -61,13 +96,13 @@ def _json(content: bytes) -> Iterator[tuple]:
         yield "clause", f"**{path}**: {value}", 1, [path], None
 
 
-PARSERS: dict[str, Callable[[bytes], Iterator[tuple]]] = {"json": _json, "docx": _docx, "doc": _docx, "pdf": _pdf}
+PARSERS: dict[str, Callable[[bytes], Iterator[tuple]]] = {"json": _json, "docx": _docx, "pdf": _pdf}
 
 
 def other_blocks(found: DataFrame, ocr: Callable[[bytes], str] | None = None) -> DataFrame:
     """Blocks of json, docx and pdf files and, with an OCR function, of images; a file that can't be read gives one block
     of type `error` with the reason, so that nothing is indexed empty without notice."""
-    parsers = PARSERS | ({e: lambda c: iter([("paragraph", ocr(c), 1, [], None)]) for e in IMAGES} if ocr else {})
+    parsers = PARSERS | ({e: lambda c: iter([("paragraph", ocr(c), 1, [], None)]) for e in IMAGES} | {"pdf": lambda c: _pdf(c, ocr)} if ocr else {})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -77,10 +112,10 @@ def other_blocks(found: DataFrame, ocr: Callable[[bytes], str] | None = None) ->
                     if ext not in parsers:
                         raise ValueError(f"no parser for .{ext}")
                     got = [(path, i, *b) for i, b in enumerate(parsers[ext](content))]
-                    rows += got or [(path, 0, "error", "no text", 1, [], None)]
+                    rows += [r if len(r) == 8 else (*r, None) for r in got] or [(path, 0, "error", "no text", 1, [], None, None)]
                 except Exception as e:  # noqa: BLE001  a file's fault is its own
-                    rows.append((path, 0, "error", f"{type(e).__name__}: {e}"[:300], 1, [], None))
-            yield pd.DataFrame(rows, columns=["path", "pos", "block_type", "text", "page", "section_path", "table_data"])
+                    rows.append((path, 0, "error", f"{type(e).__name__}: {e}"[:300], 1, [], None, None))
+            yield pd.DataFrame(rows, columns=["path", "pos", "block_type", "text", "page", "section_path", "table_data", "bbox"])
 
     return found.filter(~F.col("ext").isin(*MARKDOWN)).select("path", "ext", "content").mapInPandas(run, BLOCK)
 

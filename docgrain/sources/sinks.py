@@ -36,3 +36,21 @@ def section_json(blocks: DataFrame) -> DataFrame:
 
 def write_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
+
+
+def write_cache(tables: dict[str, DataFrame], folder: str) -> None:
+    """The tables of an evaluation, one folder each; those that are whole already stay as they are."""
+    for name, df in tables.items():
+        if not complete(df.sparkSession, folder, name):
+            df.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def complete(spark: SparkSession, folder: str, *names: str) -> bool:
+    """Whether every named table of a cache was written to its end."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return all((p := path(f"{folder}/{n}/_SUCCESS")).getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) for n in names)
+
+
+def read_cache(spark: SparkSession, folder: str, *names: str) -> dict[str, DataFrame] | None:
+    """The named tables of a cache, None unless all of them are whole."""
+    return {n: spark.read.parquet(f"{folder}/{n}") for n in names} if complete(spark, folder, *names) else None

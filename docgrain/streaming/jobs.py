@@ -32,6 +32,22 @@ def failure_streaks(calls: DataFrame, key: str, order: list[str], least: int = 5
     return df.filter("failed").groupBy(key, "grp").agg(F.min("n").alias("first"), F.count("*").alias("length")).filter(F.col("length") >= least).drop("grp")
 
 
+STAGES = ("route", "retrieve", "rerank", "generate", "verify")
+
+
+def stage_events(log: DataFrame) -> DataFrame:
+    """run_id, n_stages, last_stage, ended, in_order of an event log (run_id, seq, event, stage): a run ends with `final` or `error`,
+    after which nothing counts; whether its stages came in the order of STAGES."""
+    end = F.min(F.when(F.col("event").isin("final", "error"), F.col("seq")))
+    ends = log.groupBy("run_id").agg(end.alias("end"))
+    seen = log.join(ends, "run_id").filter((F.col("event") == "stage") & (F.col("end").isNull() | (F.col("seq") < F.col("end"))))
+    place = F.array_position(F.array(*map(F.lit, STAGES)), F.col("stage"))
+    before = F.max(place).over(Window.partitionBy("run_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    per = seen.withColumn("late", F.coalesce(place < before, F.lit(False))).groupBy("run_id").agg(F.count("*").alias("n_stages"), F.max_by("stage", "seq").alias("last_stage"), F.max("late").alias("late"))
+    rows = ends.join(per, "run_id", "left")
+    return rows.select("run_id", F.coalesce("n_stages", F.lit(0)).alias("n_stages"), "last_stage", F.col("end").isNotNull().alias("ended"), (~F.coalesce("late", F.lit(False))).alias("in_order"))
+
+
 def stream_rates(events: DataFrame, late: str = "10 minutes", width: str = "60 seconds", limit: int = 60) -> DataFrame:
     """rate_windows() of a stream, with a watermark."""
     return rate_windows(events.withWatermark("ts", late), width, limit)

@@ -24,7 +24,7 @@ FINANCE = Caller("alpha", "finance")
 
 def test_search_stays_in_scope(spark, engine):
     asked = spark.createDataFrame([(1, "when is the payment due", [1.0, 1.0]), (2, "liability", [0.0, 1.0])], "query_id int, text string, query_vec array<double>")
-    for options in (Options(), Options(idf_scope="corpus", keep_zero=False), Options(parent_cap=None, expand=True)):
+    for options in (Options(keep_zero=True), Options(), Options(parent_cap=None, expand=True)):
         rows = engine.search(asked, FINANCE, options=options).collect()
         assert {r["doc_id"] for r in rows} <= {1, 2} and {r["query_id"] for r in rows} == {1, 2}
         assert all(r["score"] is not None for r in rows)
@@ -39,6 +39,25 @@ def test_one_denied_document_refuses_the_request(spark, engine):
     assert engine.accessible(Caller("alpha", "x", admin=True)).count() == 3
 
 
+def test_questions_keep_to_their_document(spark, engine):
+    asked = spark.createDataFrame([(1, "payment due", [1.0, 1.0], 1), (2, "payment due", [1.0, 1.0], 2)], "query_id int, text string, query_vec array<double>, doc_id int")
+    for queries in (asked, asked.drop("query_vec")):
+        rows = engine.search(queries, FINANCE).collect()
+        assert {(r["query_id"], r["doc_id"]) for r in rows} == {(1, 1), (2, 2)}
+    with pytest.raises(PermissionError):
+        engine.search(asked.withColumn("doc_id", F.lit(4)), FINANCE).count()
+    plan = engine.search(asked, FINANCE)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan
+
+
+def test_only_sure_and_scoped_answers_are_cached(spark, engine):
+    asked = spark.createDataFrame([(1, "payment is due in 30 days contract", 1), (2, "zzz qqq", 1)], "query_id int, text string, doc_id int")
+    rows = {r["query_id"]: r for r in engine.answer(asked, FINANCE, options=Options(least_confidence=0.3)).collect()}
+    assert 0 <= rows[2]["confidence"] < rows[1]["confidence"] <= 1
+    assert rows[1]["cacheable"] and not rows[2]["cacheable"]
+    assert not any(r["cacheable"] for r in engine.answer(asked.drop("doc_id"), FINANCE, options=Options(least_confidence=0.0)).collect())
+
+
 def test_answers_cite_what_was_found(spark, engine):
     q = spark.createDataFrame([(1, "payment due"), (2, "zzz")], "query_id int, text string")
     rows = {r["query_id"]: r for r in engine.answer(q, FINANCE, options=Options(keep_zero=False)).collect()}
