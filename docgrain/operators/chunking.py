@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,19 +92,24 @@ def parent_groups(blocks: DataFrame, target: int = PARENT_TOKENS) -> DataFrame:
     """doc_id, pos, parent_no of blocks (doc_id, pos, tokens, top): a group ends before a block that would take its
     tokens over the target, or whose first path element differs where both paths have one.
 
-    One fold over each document's blocks; only numbers are gathered, never texts.
+    One pass over each document's blocks, in time proportional to them; only numbers are gathered, never texts.
     """
-    items = F.sort_array(F.collect_list(F.struct("pos", "tokens", "top")))
-    start = F.struct(F.lit(0).alias("no"), F.lit(0).alias("sum"), F.lit(None).cast("string").alias("top"), F.array().cast("array<int>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        changed = F.coalesce((acc["top"] != x["top"]) & (acc["top"] != "") & (x["top"] != ""), F.lit(False))
-        flush = (F.size(acc["out"]) > 0) & ((acc["sum"] + x["tokens"] > target) | changed)
-        no = acc["no"] + F.when(flush, 1).otherwise(0)
-        total = F.when(flush, x["tokens"]).otherwise(acc["sum"] + x["tokens"])
-        return F.struct(no.alias("no"), total.alias("sum"), x["top"].alias("top"), F.concat(acc["out"], F.array(no)).alias("out"))
+    @F.pandas_udf("array<int>")
+    def numbers(tokens: pd.Series, tops: pd.Series) -> pd.Series:
+        def one(tokens: np.ndarray, tops: np.ndarray) -> list[int]:
+            out, no, total, last = [], 0, 0, None
+            for n, top in zip(tokens, tops, strict=True):
+                if out and (total + n > target or (last and top and last != top)):
+                    no, total = no + 1, 0
+                total, last = total + n, top
+                out.append(no)
+            return out
+
+        return pd.Series([one(t, p) for t, p in zip(tokens, tops, strict=True)])
 
-    folded = blocks.groupBy("doc_id").agg(items.alias("items")).withColumn("no", F.aggregate("items", start, step, lambda a: a["out"]))
+    items = F.sort_array(F.collect_list(F.struct("pos", "tokens", "top")))
+    folded = blocks.groupBy("doc_id").agg(items.alias("items")).withColumn("no", numbers(F.col("items.tokens"), F.col("items.top")))
     zipped = folded.select("doc_id", F.explode(F.arrays_zip("items", "no")).alias("z"))
     return zipped.select("doc_id", F.col("z.items.pos").alias("pos"), F.col("z.no").alias("parent_no"))
 
@@ -111,27 +118,26 @@ def child_ranges(items: DataFrame, target: int = CHILD_TOKENS, overlap: int = OV
     """parent_id, child_no, first, last (sentence numbers from 0) of sentences (parent_id, pos, tokens).
 
     Sentences are packed greedily; a new chunk begins with the longest end of the last one that fits the overlap. Chunks
-    are ranges, so one fold over the token counts gives their bounds; a start is found in the running sums.
+    are ranges, so one pass over the token counts gives their bounds; a start is found in the running sums.
     """
+
+    @F.pandas_udf("array<struct<first:int,last:int>>")
+    def ranges(tokens: pd.Series) -> pd.Series:
+        def one(tokens: np.ndarray) -> list[dict]:
+            upto = np.concatenate([[0], np.cumsum(tokens)])
+            out, s = [], 0
+            for i, t in enumerate(tokens):
+                if i > s and upto[i] - upto[s] + t > target:
+                    out.append({"first": s, "last": i - 1})
+                    # the first sentence from which the tokens up to here fit the overlap, not before the chunk's own start
+                    s = max(s, int(np.searchsorted(upto, upto[i] - overlap)))
+            return [*out, {"first": s, "last": len(tokens) - 1}]
+
+        return pd.Series([one(t) for t in tokens])
+
     toks = F.transform(F.sort_array(F.collect_list(F.struct("pos", "tokens"))), lambda x: x["tokens"])
-    df = items.groupBy("parent_id").agg(toks.alias("toks"))
-    sums = F.aggregate("toks", F.array(F.lit(0)), lambda a, t: F.concat(a, F.array(F.element_at(a, -1) + t)))
-    df = df.withColumn("cum", sums)
-    empty = F.array().cast("array<struct<first:int,last:int>>")
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("s"), empty.alias("out"))
-    cum = lambda i: F.element_at("cum", i + 1)
-
-    def step(acc: Column, t: Column) -> Column:
-        i, s = acc["i"], acc["s"]
-        flush = (i > s) & (cum(i) - cum(s) + t > target)
-        # the first sentence from which the tokens up to here fit the overlap, not before the chunk's own start
-        fits = F.size(F.filter("cum", lambda c: c < cum(i) - overlap))
-        begin = F.when(flush, F.greatest(s, fits)).otherwise(s)
-        out = F.when(flush, F.concat(acc["out"], F.array(F.struct(s.alias("first"), (i - 1).alias("last"))))).otherwise(acc["out"])
-        return F.struct((i + 1).alias("i"), begin.alias("s"), out.alias("out"))
-
-    ended = F.aggregate("toks", start, step, lambda a: F.concat(a["out"], F.array(F.struct(a["s"].alias("first"), (a["i"] - 1).alias("last")))))
-    done = df.filter(F.size("toks") > 0).select("parent_id", F.posexplode(ended).alias("child_no", "c"))
+    per = items.groupBy("parent_id").agg(toks.alias("toks")).filter(F.size("toks") > 0)
+    done = per.select("parent_id", F.posexplode(ranges("toks")).alias("child_no", "c"))
     return done.select("parent_id", "child_no", F.col("c.first").alias("first"), F.col("c.last").alias("last"))
 
 
