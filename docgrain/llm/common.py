@@ -5,8 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -15,9 +13,9 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import fresh, saved, ship, work_dir
 
-_LOCAL: dict[str, str] = {}
+__all__ = ["fresh", "saved", "work_dir"]
 
 #: White space of the word rule `[^\x20\x09-\x0D]+`, as bytes.
 WORD_SPACE = b" \t\n\x0b\x0c\r"
@@ -25,19 +23,6 @@ WORD_SPACE = b" \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = _LOCAL.get("dir") or _LOCAL.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="docgrain-"))
-    return path.rstrip("/")
-
-
-def fresh(spark: SparkSession, name: str) -> str:
-    """A path below the work folder that nothing has used yet."""
-    return f"{work_dir(spark)}/docgrain/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def folder(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system of a folder or file and its path there, for workers that read or write it themselves."""
     if "://" in uri or uri.startswith("file:"):
@@ -45,14 +30,6 @@ def folder(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.LocalFileSystem(), uri
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = fresh(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _hadoop(spark: SparkSession, path: str) -> tuple:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where

@@ -15,12 +15,13 @@ in the manifest. The manifest has a row per shard, never per document.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import PurePosixPath
 
 import numpy as np
@@ -28,6 +29,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import documents, folder, fresh, gathered, id_text, small_batches, tidy
 from .units import UnitEncoder
@@ -37,6 +39,8 @@ FOOTER = struct.Struct("<QQBBQQQI8s")  # n_tokens, n_docs, id bytes, low bits, l
 BLOCK = 512
 #: A shard is closed at this many ids.
 SHARD_IDS = 16 << 20
+#: Bytes of texts that ranges of rows with one doc_id are told apart by.
+PREFIX = 64
 
 
 class EliasFano:
@@ -136,10 +140,17 @@ class Shard:
 
 #: Characters of joined units that the library encodes in one call.
 JOINED = 1 << 16
-_ENCODERS: dict[tuple[str, int], UnitEncoder] = {}
+_ENCODERS: dict[tuple[str, int], UnitEncoder | Whole] = {}
 
 
-def encoder(path: str, width: int) -> UnitEncoder:
+class Whole:
+    """Encodes every text as a whole."""
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
+        self.encode = encode
+
+
+def encoder(path: str, width: int) -> UnitEncoder | Whole:
     """The tokenizers library behind a cache of units.
 
     New units are joined and encoded in one call, as no match of the split pattern goes over a unit's end; the bytes
@@ -177,9 +188,14 @@ def encoder(path: str, width: int) -> UnitEncoder:
                 start = stop
             return out
 
-        own = UnitEncoder(each, width)
-        if '"ByteLevel"' in tokenizer.to_str():
+        parts = json.loads(tokenizer.to_str())
+        before = parts.get("pre_tokenizer") or {}
+        # units are cut where this split pattern cuts; a tokenizer that changes or splits texts otherwise gets them whole
+        if parts.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space"):
+            own = UnitEncoder(each, width)
             own.encode_units = joined
+        else:
+            own = Whole(each)
         _ENCODERS[path, width] = own
     return _ENCODERS[path, width]
 
@@ -213,7 +229,8 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
         yield pa.RecordBatch.from_pydict({"part": pa.array([part] * len(shards), pa.int64()), "seq": pa.array(range(len(shards)), pa.int64()), "shard": pa.array([x[0] for x in shards], pa.string()), "n_docs": pa.array([x[1] for x in shards], pa.int64()), "n_tokens": pa.array([x[2] for x in shards], pa.int64())})
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = id_text(docs).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    # the texts' first bytes deal an id's rows, or those without one, to many tasks
+    dealt = id_text(docs).repartitionByRange(parts, F.col("doc_id"), F.substring("text", 1, PREFIX)).sortWithinPartitions("doc_id", "text")
     rows = sorted(dealt.mapInArrow(tidy(run), "part long, seq long, shard string, n_docs long, n_tokens long").collect())
     start, manifest = 0, []
     for r in rows:
@@ -240,7 +257,8 @@ def read_tokens(spark: SparkSession, manifest: list[dict]) -> DataFrame:
                     yield pa.RecordBatch.from_pydict({"doc_id": pa.array(shard.docs[a:b], pa.int64(), mask=shard.nulls[a:b]), "start": pa.array(ends[:-1] + before), "n_tokens": pa.array(np.diff(ends)), "ids_crc32": pa.array(crcs, pa.int64())})
 
     shards = spark.createDataFrame([(m["shard"], m["start"]) for m in manifest], "shard string, start long")
-    return shards.repartition(len(manifest)).mapInArrow(tidy(run), schema)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return shards.repartition(min(len(manifest), 4 * parts)).mapInArrow(tidy(run), schema)
 
 
 def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,3 +124,29 @@ def test_broken_shard_is_refused(odd, tmp_path):
     open(path, "wb").write(data)
     with pytest.raises(ValueError, match="not a whole token shard"):
         token_file.Shard(path)
+
+
+def test_other_tokenizers_encode_whole_texts(docs, tmp_path):
+    """A tokenizer that lower-cases first, or splits by white space, isn't cut into units."""
+    from tokenizers import Tokenizer as T
+    from tokenizers import models, normalizers, pre_tokenizers
+
+    texts = ["Hello  World, hello world", "A b  C", ""]
+    for normal, before in ((normalizers.Lowercase(), pre_tokenizers.ByteLevel(add_prefix_space=False)), (None, pre_tokenizers.Whitespace()), (None, pre_tokenizers.ByteLevel(add_prefix_space=True))):
+        own = T(models.BPE({c: i for i, c in enumerate(sorted({*pre_tokenizers.ByteLevel.alphabet(), "he", "wo"}))}, [("h", "e"), ("w", "o")]))
+        if normal:
+            own.normalizer = normal
+        own.pre_tokenizer = before
+        path = str(tmp_path / f"{type(normal).__name__}{type(before).__name__}{before is None}{len(list(tmp_path.iterdir()))}.json")
+        own.save(path)
+        width = 2
+        want = [np.array(own.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+        assert token_file.encoder(path, width).encode(texts) == want
+
+
+def test_rows_of_one_id_are_dealt_to_many_tasks(spark, docs, tmp_path):
+    rows = [(None if i % 2 else 5, f"text {i * 7919 % 200:03d}") for i in range(200)]
+    manifest = token_file.write_tokens(docs(rows), f"file://{tmp_path}/t")
+    assert len(manifest) > 2
+    got = sorted((tuple(r) for r in token_file.read_tokens(spark, manifest).collect()), key=lambda r: r[1])
+    assert got == expected(rows)
