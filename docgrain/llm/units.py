@@ -20,8 +20,11 @@ CACHE_UNITS = 500_000
 TAIL = ".,;:!?"
 
 
-def _odd(part: str) -> bool:
-    return not part or part[0].isspace() or part[-1].isspace()
+def _ends(units: pa.Array, start: int, stop: int | None, holds: Callable[[str], bool]) -> np.ndarray:
+    """Whether the character of each unit there (none: no) has a property, which is asked once for each distinct character."""
+    coded = pc.utf8_slice_codeunits(units, start, stop).dictionary_encode()
+    met = np.array([bool(c) and holds(c) for c in coded.dictionary.to_pylist()], bool)
+    return met[coded.indices.to_numpy()] if len(met) else np.zeros(len(units), bool)
 
 
 class UnitEncoder:
@@ -40,30 +43,30 @@ class UnitEncoder:
 
     def _learn(self, need: list[str]) -> None:
         """Put all of need into the younger generation."""
-        rest, old, plain, ended, stems = self.rest, self.old, [], [], set()
+        rest, old = self.rest, self.old
         need = [u for u in need if u not in rest]
-        new = set(need)
-        for u in need:
-            if u in old:
-                rest[u] = old[u]
-            elif _odd(u):
-                rest[u] = None
-            else:
-                stem = u.rstrip(TAIL)
-                if len(stem) < len(u) and stem and stem[-1].isalnum():
-                    ended.append((u, stem, u[len(stem) :]))
-                    if stem not in rest and stem not in new:
-                        if stem in old:
-                            rest[stem] = old[stem]
-                        else:
-                            stems.add(stem)
-                else:
-                    plain.append(u)
-        plain.extend(stems)
+        rest.update({u: old[u] for u in need if u in old})
+        need = [u for u in need if u not in rest]
+        if not need:
+            return
+        units = pa.array(need, pa.large_string())
+        odd = _ends(units, 0, 1, str.isspace) | _ends(units, -1, None, str.isspace) | (pc.utf8_length(units).to_numpy() == 0)
+        stems = pc.utf8_rtrim(units, TAIL)
+        ended = ~odd & (pc.binary_length(stems).to_numpy() < pc.binary_length(units).to_numpy()) & _ends(stems, -1, None, str.isalnum)
+        rest.update(dict.fromkeys([need[i] for i in np.flatnonzero(odd).tolist()]))
+        at = np.flatnonzero(ended).tolist()
+        own = [need[i] for i in at]
+        roots = stems.take(pa.array(at, pa.int64())).to_pylist()
+        plain = [need[i] for i in np.flatnonzero(~odd & ~ended).tolist()]
+        # stems that no other unit brings along
+        rest.update({u: old[u] for u in roots if u not in rest and u in old})
+        new = set(roots).difference(plain)
+        plain += [u for u in new if u not in rest]
         rest.update(zip(plain, self.encode_units([" " + u for u in plain]), strict=True))
-        marks = list({t for _, _, t in ended} - self.tails.keys())
+        tails = [u[len(r) :] for u, r in zip(own, roots, strict=True)]
+        marks = list(set(tails) - self.tails.keys())
         self.tails.update(zip(marks, self.encode_many(marks), strict=True))
-        for u, stem, tail in ended:
+        for u, stem, tail in zip(own, roots, tails, strict=True):
             rest[u] = rest[stem] + self.tails[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
