@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..fixtures import Fixture
 from ..functions.text import safe_id, space_normal, tokens
-from ..operators import evaluation
-from ..operators.chunking import line_chunks
+from ..operators import evaluation, risk
+from ..operators.chunking import carry_heading, line_chunks
 from ..session import table
 from .common import CHUNK_SQL, DOC_SQL, GOLD_SQL, POSITIVE_SQL, SCORE_SQL, Lists, gold, tok_sql
 from .evaluate import KS, NORM, SUMMARY, metric_sql
+from .review import SCAN_SQL
 
 #: Share of a passage's longer words that a line must have to count as loosely relevant.
 LOOSE, LEAST_WORDS = 0.6, 3
@@ -103,5 +104,60 @@ def split_disjointness(spark: SparkSession, d: str) -> DataFrame:
 SPLIT_DISJOINTNESS = """WITH i AS (SELECT doc_id, CASE WHEN doc_id % 10 < 6 THEN 'train' WHEN doc_id % 10 < 8 THEN 'dev' ELSE 'test' END AS split FROM documents), n AS (SELECT unnest(['train', 'dev', 'test']) AS s)
 SELECT a.s AS one, b.s AS other, (SELECT count(*) FROM i x JOIN i y USING (doc_id) WHERE x.split = a.s AND y.split = b.s) AS shared FROM n a, n b"""
 
-NAMES = "gold_mapping_loose ocr_degradation judge_ratios safe_ids split_disjointness".split()
+
+
+def error_rates_benchmark(spark: SparkSession, d: str) -> DataFrame:
+    """Character and word error rates of every benchmark text with one character in 12 replaced."""
+    rows = table(spark, d, "benchmark").select("item_id", "text", degraded(F.col("text"), F.col("item_id"), 12).alias("scan"))
+    return rows.select("item_id", evaluation.error_rate_chars(F.col("text"), F.col("scan")).alias("cer"), evaluation.error_rate_words(F.col("text"), F.col("scan")).alias("wer"))
+
+
+_SCAN = "array_to_string(list_transform(string_split(text, ''), lambda c, i: CASE WHEN i >= item_id % 12 + 1 AND (i - item_id % 12 - 1) % 12 = 0 THEN '#' ELSE c END), '')"
+_CUT = r"list_filter(string_split_regex({x}, '\s+'), lambda w: w <> '')"
+# words as single ASCII characters, as DuckDB's distance counts bytes: those of both sides numbered, the others of a side alike
+ERROR_RATES_BENCHMARK = f"""WITH s AS (SELECT item_id, text, {_SCAN} AS scan FROM benchmark), w AS (SELECT *, {_CUT.format(x='text')} AS a, {_CUT.format(x='scan')} AS b FROM s),
+e AS (SELECT *, list_distinct(list_filter(a, lambda x: list_contains(b, x))) AS every FROM w),
+c AS (SELECT *, array_to_string(list_transform(a, lambda x: chr((47 + coalesce(list_position(every, x), -1))::INT)), '') AS ca, array_to_string(list_transform(b, lambda x: chr((47 + coalesce(list_position(every, x), -2))::INT)), '') AS cb FROM e)
+SELECT item_id, round(len(list_filter(string_split(text, ''), lambda x, i: x <> scan[i])) / length(text)::DOUBLE, 4) AS cer, round(levenshtein(ca, cb) / len(a)::DOUBLE, 4) AS wer FROM c"""
+
+
+def risk_rollup_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Findings and the gravest severity of every document, low where nothing is found."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    found = risk.scan(docs, risk.rules_table(spark), "doc_id")
+    rows = docs.select("doc_id").join(found, "doc_id", "left")
+    return rows.groupBy("doc_id").agg(F.count("rule_id").alias("n_findings"), risk.overall(F.col("severity")).alias("severity"))
+
+
+RISK_ROLLUP_DOCUMENTS = f"""WITH {SCAN_SQL} SELECT d.doc_id, count(rule_id) AS n_findings, coalesce(list_extract(['low', 'medium', 'high', 'critical'], max(list_position(['low', 'medium', 'high', 'critical'], severity))), 'low') AS severity
+FROM documents d LEFT JOIN ru ON ru.clause_id = -1 - d.doc_id GROUP BY d.doc_id"""
+
+
+def faithfulness_benchmark(spark: SparkSession, d: str) -> DataFrame:
+    """How far every benchmark text is borne out by the first half of each document that holds it."""
+    lists = Lists(spark, d)
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.substr("text", F.lit(1), F.floor(F.length("text") / 2).cast("int")).alias("context"))
+    rows = lists.gold.join(lists.questions.select("query_id", "text"), "query_id").join(docs, "chunk_id")
+    return rows.select("query_id", F.col("chunk_id").alias("doc_id"), F.round(evaluation.faithfulness(F.col("text"), F.col("context")), 6).alias("faithfulness"))
+
+
+FAITHFULNESS_BENCHMARK = rf"""WITH {GOLD_SQL}, s AS (SELECT g.query_id, g.chunk_id AS doc_id, b.text AS answer, lower(substr(d.text, 1, length(d.text) // 2)) AS c, list_filter(list_transform(string_split_regex(b.text, '[.!?]'), lambda x: trim(x)), lambda x: length(x) > 10) AS said
+  FROM gold g JOIN benchmark b ON b.item_id = g.query_id JOIN documents d ON d.doc_id = g.chunk_id),
+u AS (SELECT query_id, doc_id, c, unnest(said) AS x FROM s), v AS (SELECT query_id, doc_id, c, list_filter(string_split_regex(lower(x), '\s+'), lambda w: length(w) > 3) AS w FROM u),
+k AS (SELECT query_id, doc_id, count(*) FILTER (WHERE len(w) = 0 OR 2 * len(list_filter(w, lambda y: contains(c, y))) >= len(w)) AS ok, count(*) AS n FROM v GROUP BY ALL)
+SELECT query_id, doc_id, round(CASE WHEN trim(answer) = '' THEN 0 WHEN len(said) = 0 THEN 1 ELSE ok / n::DOUBLE END, 6) AS faithfulness FROM s LEFT JOIN k USING (query_id, doc_id)"""
+
+
+def headings_carried(spark: SparkSession, d: str) -> DataFrame:
+    """The section of every line of the documents, every fifth line being made to read like a heading."""
+    lines = line_chunks(table(spark, d, "documents"))
+    text = F.when(F.col("pos") % 5 == 0, F.concat(F.lit("Section "), F.col("text"))).otherwise(F.col("text"))
+    return carry_heading(lines.select("doc_id", "pos", text.alias("text"))).select("doc_id", "pos", "is_heading", F.md5("section").alias("section_md5"))
+
+
+HEADINGS_CARRIED = rf"""WITH {CHUNK_SQL}, b AS (SELECT doc_id, pos::INT AS pos, CASE WHEN pos % 5 = 0 THEN 'Section ' || text ELSE text END AS text FROM chunk),
+h AS (SELECT *, len(string_split(text, chr(10))) <= 2 AND length(text) < 120 AND regexp_matches(text, '(?i)^(Article|Section|Clause|Chapter|Part|\d+\.|\d+\.\d+)') AS is_heading FROM b)
+SELECT doc_id, pos, is_heading, md5(last_value(CASE WHEN is_heading THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos)) AS section_md5 FROM h"""
+
+NAMES = "gold_mapping_loose ocr_degradation judge_ratios safe_ids split_disjointness error_rates_benchmark risk_rollup_documents faithfulness_benchmark headings_carried".split()
 QUERIES = {n: (globals()[n], globals()[n.upper()]) for n in NAMES}
