@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import bpe, langid, licenses, lm, mixing, quality, repeats, simhash, token_file, topk
+from . import bpe, langid, licenses, lm, mixing, quality, repeats, runs, simhash, token_file, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_file": token_file.op8_token_file,
         "op9_bpe_replay": bpe.op9_bpe_replay,
         "op10_licenses": licenses.op10_licenses,
+        "op13_tandem_runs": runs.op13_tandem_runs,
     }
 
 
