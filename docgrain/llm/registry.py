@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import bpe, langid, licenses, lm, mixing, quality, repeats, runs, simhash, token_file, topk
+from . import bpe, langid, licenses, lm, mixing, quality, repeats, runs, simhash, token_file, topk, tput
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,9 +24,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_file": token_file.op8_token_file,
         "op9_bpe_replay": bpe.op9_bpe_replay,
         "op10_licenses": licenses.op10_licenses,
+        "op11_tput": tput.op11_tput,
         "op13_tandem_runs": runs.op13_tandem_runs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ball_tree": topk.OP1_SQL, "op6_mix": mixing.OP6_SQL, "op10_licenses": licenses.OP10_SQL}
+    return {"op1_ball_tree": topk.OP1_SQL, "op6_mix": mixing.OP6_SQL, "op10_licenses": licenses.OP10_SQL, "op11_tput": tput.OP11_SQL}
