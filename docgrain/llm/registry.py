@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import bpe, langid, licenses, lm, mixing, quality, repeats, runs, simhash, token_file, topk, tput
+from . import bpe, jaccard, langid, licenses, lm, mixing, quality, repeats, runs, simhash, token_file, topk, tput
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_bpe_replay": bpe.op9_bpe_replay,
         "op10_licenses": licenses.op10_licenses,
         "op11_tput": tput.op11_tput,
+        "op12_signature_trees": jaccard.op12_signature_trees,
         "op13_tandem_runs": runs.op13_tandem_runs,
     }
 
