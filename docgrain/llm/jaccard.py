@@ -413,3 +413,18 @@ def components(docs: DataFrame, tokens: int = TOKENS, most: int = MEMBERS) -> Da
 
 def op12_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(documents(spark, sf_dir))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sets AS (SELECT r, doc_id, list_distinct(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] END) AS s FROM docs),
+classes AS (SELECT list_sort(s) AS s, min(r) AS c, min(doc_id) AS least, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY ALL),
+grams AS (SELECT c, n, unnest(s) AS g FROM classes),
+shared AS (SELECT a.c AS a, b.c AS b, a.n AS an, b.n AS bn, count(*) AS both_n FROM grams a JOIN grams b ON a.g = b.g AND a.c < b.c GROUP BY ALL),
+links AS (SELECT a, b FROM shared WHERE 100 * both_n >= 80 * (an + bn - both_n)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT c, c AS node FROM classes UNION SELECT reach.c, edges.b FROM reach JOIN edges ON reach.node = edges.a),
+parts AS (SELECT reach.c, min(classes.least) AS component_id FROM reach JOIN classes ON reach.node = classes.c GROUP BY reach.c)
+SELECT doc_id, coalesce(len(sets.s), 0)::BIGINT AS n_shingles, CASE WHEN len(sets.s) > 0 THEN component_id ELSE doc_id END AS component_id
+FROM sets LEFT JOIN classes ON list_sort(sets.s) = classes.s LEFT JOIN parts USING (c)
+"""

@@ -31,4 +31,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ball_tree": topk.OP1_SQL, "op6_mix": mixing.OP6_SQL, "op10_licenses": licenses.OP10_SQL, "op11_tput": tput.OP11_SQL}
+    return {
+        "op1_ball_tree": topk.OP1_SQL,
+        "op6_mix": mixing.OP6_SQL,
+        "op10_licenses": licenses.OP10_SQL,
+        "op11_tput": tput.OP11_SQL,
+        "op12_signature_trees": jaccard.OP12_SQL,
+        "op13_tandem_runs": runs.OP13_SQL,
+    }

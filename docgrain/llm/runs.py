@@ -431,3 +431,26 @@ def digests(docs: DataFrame, choose: Choose = planted) -> DataFrame:
 
 def op13_tandem_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(documents(spark, sf_dir))
+
+
+OP13_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+hashed AS (SELECT *, len(ws)::BIGINT AS n, xor(list_reduce(list_prepend(4294967295::UBIGINT::BIGINT, flatten(list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: [ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda c, e: CASE WHEN e >= 0 THEN xor(c, e) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295::BIGINT) AS h FROM docs),
+placed AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n ELSE n END AS a FROM hashed),
+planted AS (SELECT r, doc_id, n, CASE WHEN a < n THEN list_transform(range(0, n), lambda i: ws[1 + CASE WHEN i >= a THEN a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) ELSE i END]) ELSE ws END AS ws FROM placed),
+words AS (SELECT r, unnest(range(0, n)) AS i, unnest(ws) AS w FROM planted),
+grams AS (SELECT r, i, string_agg(w, ' ') OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS g, count(*) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS k FROM words),
+-- a run of period q holds a string of eight words that comes again q words on
+periods AS (SELECT DISTINCT a.r, b.i - a.i AS q FROM grams a JOIN grams b ON a.r = b.r AND a.g = b.g AND b.i > a.i WHERE a.k = 8 AND b.k = 8),
+same AS (SELECT p.r, p.q, x.i, x.i - row_number() OVER (PARTITION BY p.r, p.q ORDER BY x.i) AS stretch FROM periods p JOIN words x ON x.r = p.r JOIN words y ON y.r = p.r AND y.i = x.i + p.q AND y.w = x.w),
+found AS (SELECT r, min(i) AS start, count(*) + q AS length, q AS period FROM same GROUP BY r, q, stretch HAVING count(*) + q >= greatest(24, 3 * q)),
+runs AS (SELECT * FROM found f WHERE NOT EXISTS (SELECT 1 FROM found s WHERE s.r = f.r AND s.period < f.period AND s.start <= f.start AND s.start + s.length >= f.start + f.length)),
+dropped AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT words.r, string_agg(w, ' ' ORDER BY words.i) AS txt FROM words LEFT JOIN dropped ON words.r = dropped.r AND words.i = dropped.i WHERE dropped.i IS NULL GROUP BY words.r),
+summary AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed FROM runs GROUP BY r),
+best AS (SELECT * FROM runs x WHERE NOT EXISTS (SELECT 1 FROM runs y WHERE y.r = x.r AND (y.length * x.period > x.length * y.period OR (y.length * x.period = x.length * y.period AND (y.start < x.start OR (y.start = x.start AND y.period < x.period))))))
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period, (1000 * length // period)::BIGINT AS exponent_milli,
+  sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(txt, '')) AS collapsed_sha256
+FROM planted LEFT JOIN summary USING (r) LEFT JOIN best USING (r) LEFT JOIN kept USING (r)
+"""

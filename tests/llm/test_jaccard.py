@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docgrain.llm import jaccard as J
 from docgrain.llm.common import documents, id_text
+from tests.oracle import same
 
 
 def grams(text):
@@ -84,6 +85,10 @@ def test_equals_brute_force_on_the_table(spark, small):
     assert got(df) == slow([tuple(r) for r in df.select("doc_id", "text").collect()])
 
 
+def test_sql(spark, small):
+    same(spark, small, J.op12_signature_trees, J.OP12_SQL)
+
+
 def test_bound_is_met_exactly(docs):
     words = [f"w{i}" for i in range(200)]
     # 96 shingles; the second has 12 more: 96 / 120 with 24 more, 96 / 121 with 25

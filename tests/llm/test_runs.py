@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 
 from docgrain.llm import runs as R
 from docgrain.llm.common import documents
+from tests.oracle import same
 
 
 def slow_runs(s, least=2, times=2):
@@ -78,6 +79,10 @@ def test_digests_of_all_documents(spark, small):
     assert sum(r[1] > 0 for r in got) > 5
 
 
+def test_sql(spark, small):
+    same(spark, small, R.op13_tandem_runs, R.OP13_SQL)
+
+
 def test_odd(spark, odd):
     got = _rows(R.digests(odd))
     assert got == sorted((slow(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()), key=repr)
