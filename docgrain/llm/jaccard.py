@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import chunks, documents, id_text, saved, small_batches, tidy
 from .lm import distinct_words
-from .simhash import connected
+from .simhash import connected, majority
 
 WIDTH = 5
 #: Least similarity, as a fraction.
@@ -240,8 +240,9 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition(parts, "cell").sortWithinPartitions("size", "cell")
 
 
-def hashed(docs: DataFrame) -> DataFrame:
-    """doc_id, row, n (shingles in its set), digest (128 bits, null without words), keys, bits of every row (doc_id, row, text)."""
+def hashed(docs: DataFrame, sims: bool = False) -> DataFrame:
+    """doc_id, row, n (shingles in its set), digest (128 bits, null without words), keys, bits, and, if asked, sim (the SimHash
+    fingerprint of the set) of every row (doc_id, row, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -255,23 +256,28 @@ def hashed(docs: DataFrame) -> DataFrame:
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*key, np.zeros(0, np.uint64)]).view(np.int64))),
                     pa.array([bitmap(x) if len(x) else None for x in sets], pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "n", "digest", "keys", "bits"])
+                if sims:
+                    columns.append(pa.array(np.array([majority(x) if len(x) else 0 for x in sets], np.uint64).view(np.int64)))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select("doc_id", "row", "text").mapInArrow(tidy(run), "doc_id long, row long, n long, digest binary, keys array<long>, bits binary")
+    names = ["doc_id", "row", "n", "digest", "keys", "bits", *["sim"] * sims]
+    schema = "doc_id long, row long, n long, digest binary, keys array<long>, bits binary" + ", sim long" * sims
+    return docs.select("doc_id", "row", "text").mapInArrow(tidy(run), schema)
 
 
 class Join:
     """The classes of docs (doc_id, text as bytes, row: a hash of both) and the links between them.
 
-    rows: doc_id, row, n, digest of every row. classes: c, digest, row (of one text), n, keys, bits of every set with a shingle.
+    rows: doc_id, row, n, digest of every row. classes: c, digest, row (of one text), n, keys, bits, and sim if asked, of every
+    set with a shingle.
     """
 
-    def __init__(self, docs: DataFrame):
+    def __init__(self, docs: DataFrame, sims: bool = False):
         small_batches(docs.sparkSession)
         self.docs = docs
-        made = saved(hashed(docs), "jaccard-rows")
+        made = saved(hashed(docs, sims), "jaccard-rows")
         self.rows = made.select("doc_id", "row", "n", "digest")
-        own = made.filter("n > 0").groupBy("digest").agg(F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("n", "keys", "bits")])
+        own = made.filter("n > 0").groupBy("digest").agg(F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("n", "keys", "bits", *["sim"] * sims)])
         self.classes = saved(own.select(F.monotonically_increasing_id().alias("c"), "*"), "jaccard-classes")
 
     def _texts(self, c: DataFrame, each: Callable[[np.ndarray], bytes | np.ndarray], kind: str) -> DataFrame:
