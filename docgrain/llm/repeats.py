@@ -25,7 +25,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import GRAM, anchors
@@ -103,10 +103,25 @@ class RunIndex:
         return whole & (self.matches() >= self.length)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs and its own key (of id and text), n (bytes) and raw (the text as bytes), under names that can't clash."""
-    raw = F.coalesce(F.col("text").cast("string").cast("binary"), F.lit(b""))
-    return docs.select(F.struct("*").alias("row"), F.xxhash64(F.col("doc_id").cast("long"), raw).alias("k"), F.length(raw).alias("n"), raw.alias("raw"))
+def _raw() -> Column:
+    return F.coalesce(F.col("text").cast("string").cast("binary"), F.lit(b""))
+
+
+def _hash(*salt: int) -> Column:
+    return F.xxhash64(*map(F.lit, salt), F.col("doc_id").cast("long"), _raw())
+
+
+def clashes(docs: DataFrame) -> list[int]:
+    """Hashes of id and text that different rows share: a second hash tells. Some 3 are to be expected in 10**10 rows, 300 in 10**11."""
+    twice = docs.select(_hash().alias("k"), _hash(1).alias("other")).groupBy("k").agg(F.min("other").alias("a"), F.max("other").alias("b"))
+    return [r.k for r in twice.filter("a <> b").select("k").collect()]
+
+
+def _keyed(docs: DataFrame, clashing: list[int]) -> DataFrame:
+    """docs and its own key (a hash of id and text, with another salt where that clashes), n (bytes) and raw (the text as bytes),
+    under names that can't clash."""
+    k = F.when(_hash().isin(clashing), _hash(2)).otherwise(_hash()) if clashing else _hash()
+    return docs.select(F.struct("*").alias("row"), k.alias("k"), F.length(_raw()).alias("n"), _raw().alias("raw"))
 
 
 def _occurrences(keyed: DataFrame, length: int) -> DataFrame:
@@ -195,16 +210,15 @@ def _hot(rows: DataFrame, wide: int, narrow: tuple[int, ...], length: int, hot:
     return out
 
 
-def spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """k and spans (array of a, b: byte offsets, half open, unordered, maybe overlapping) of the texts that hold repeats.
+def spans(keyed: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+    """k and spans (array of a, b: byte offsets, half open, unordered, maybe overlapping) of the texts (k, n, raw) that hold repeats.
 
-    k is xxhash64(doc_id, text bytes). Rows repeated whole are documents of their own, so all their windows repeat.
+    Rows repeated whole are documents of their own, so all their windows repeat; they share k, and each span is given once.
     """
-    spark = docs.sparkSession
+    spark = keyed.sparkSession
     small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     reach, wide = length - GRAM, length - GRAM + 1
-    keyed = _keyed(docs)
     found = saved(_occurrences(keyed, length), "repeats-anchors")
     # saved, so that the join below deals both sides anew and can split an anchor that holds many of the rows
     again = saved(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "repeats-again")
@@ -230,7 +244,7 @@ def spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
         every = every.union(df)
     every = saved(every, "repeats-spans")
     release(spark)
-    return every.groupBy("k").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    return every.groupBy("k").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
 def covered(n: int, own: list[dict] | None, length: int = LENGTH) -> list[tuple[int, int]]:
@@ -269,8 +283,8 @@ def whole_characters(raw: bytes, runs: list[tuple[int, int]]) -> list[tuple[int,
 
 def _apply(docs: DataFrame, each: Callable[[bytes, list[tuple[int, int]]], tuple], names: list[str], kinds: list[pa.DataType], schema: str, length: int, hot: int) -> DataFrame:
     """row (docs' columns as a struct) with the values that each(raw, runs) gives for every row of docs."""
-    keyed = _keyed(docs)
-    joined = keyed.join(spans(docs, length, hot), "k", "left").select("row", "raw", "spans")
+    keyed = _keyed(docs, clashes(docs))
+    joined = keyed.join(spans(keyed.drop("row"), length, hot), "k", "left").select("row", "raw", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -307,8 +321,8 @@ def digests(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     def each(raw: bytes, runs: list[tuple[int, int]]) -> tuple:
         return len(raw), sum(b - a for a, b in runs), len(runs), hashlib.sha256(cut(raw, runs)).hexdigest()
 
-    keyed = _keyed(own).select(F.struct("row.doc_id").alias("row"), "k", "raw")
-    joined = keyed.join(spans(own, length, hot), "k", "left").select(F.col("row.doc_id").alias("doc_id"), "raw", "spans")
+    keyed = _keyed(own, clashes(own)).select(F.col("row.doc_id").alias("doc_id"), "k", "n", "raw")
+    joined = keyed.join(spans(keyed.drop("doc_id"), length, hot), "k", "left").select("doc_id", "raw", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -97,3 +97,27 @@ def test_run_index_equals_pairs():
             for r in range(wide):
                 w = window(i, r)
                 assert got[i, r] == (w is not None and any(j != i and group[j] == group[i] and window(j, r) == w for j in range(n)))
+
+
+def test_rows_of_one_id_and_text_give_each_span_once(spark, docs):
+    rng = random.Random(9)
+    text = " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.random()) for _ in range(400))
+    other = text[: len(text) // 2] + " ".join(str(rng.random()) for _ in range(200))
+    rows = [(1, text)] * 1000 + [(2, other)]
+    df = docs(rows).repartition(8)
+    keyed = repeats._keyed(df, repeats.clashes(df)).drop("row")
+    held = {r.k: len(r.spans) for r in repeats.spans(keyed).collect()}
+    assert len(held) == 2 and max(held.values()) < len(text) / 20
+    got = sorted(tuple(r) for r in repeats.digests(df).distinct().collect())
+    assert got == brute([(1, text), (1, text), (2, other)])[1:]
+
+
+def test_clashing_hashes_are_told_apart(monkeypatch, docs):
+    from pyspark.sql import functions as F
+
+    real = repeats._hash
+    monkeypatch.setattr(repeats, "_hash", lambda *salt: F.pmod(real(*salt), F.lit(2)) if not salt else real(*salt))
+    rng = random.Random(3)
+    texts = [" ".join(str(rng.random()) for _ in range(60)) for _ in range(5)]
+    rows = [(i, t + t[:300] * (i % 2)) for i, t in enumerate(texts)]
+    assert sorted(tuple(r) for r in repeats.digests(docs(rows)).collect()) == sorted(brute(rows))
