@@ -58,6 +58,8 @@ BOUND = 2.5 / QUANT
 SHARES, TRUST = (0.0, 0.1, 0.3, 0.6), (0.1, 0.3, 0.3, 0.3)
 #: Bytes of input for each part of the keyed counts.
 PART = 16 << 20
+#: Groups in which the tasks' rows of a table are added up before their sums are.
+MERGED = 64
 #: Ends a word, and a text as a word of its own; neither occurs in words.
 DONE, STOP = 10, 0xFF
 _MULT, _BASE = 0x9E3779B97F4A7C15, 0x100000001B3
@@ -648,7 +650,8 @@ def _read(docs: DataFrame, parts: int) -> DataFrame:
 
 
 def table_counts(rows: DataFrame) -> DataFrame:
-    """The counts of all tasks added up: one row for TOTALS, PAIRS and every slab of a table, whatever the corpus."""
+    """The counts of all tasks added up: one row for TOTALS, PAIRS and every slab of a table, whatever the corpus. Tasks' rows are
+    added in MERGED groups first, so that no task reads a row of every other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at: int | None = None
@@ -673,7 +676,9 @@ def table_counts(rows: DataFrame) -> DataFrame:
                     total[own[0]] += own[1]
         yield from out()
 
-    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(tidy(run), _ROWS)
+    group = F.pmod(F.monotonically_increasing_id(), F.lit(MERGED)).alias("group")
+    some = rows.select("*", group).repartition("part", "group").sortWithinPartitions("part", "group").select("chunk", "part", "body").mapInArrow(tidy(run), _ROWS)
+    return some.repartition("part").sortWithinPartitions("part").mapInArrow(tidy(run), _ROWS)
 
 
 def unpacked(found: dict[int, tuple]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
@@ -726,7 +731,8 @@ def _look_up(rows: DataFrame, pairs: np.ndarray, parts: int) -> DataFrame:
             opened = [x for _, x in held]
             sizes, places = [len(x[0]) for x in opened], [len(x[2]) for x in opened]
             key, where = np.unique(np.concatenate([np.cumsum(x[0]) for x in opened]), return_inverse=True)
-            c = np.bincount(where, np.concatenate([x[1] for x in opened]), len(key)).astype(np.uint32)
+            c = np.bincount(where, np.concatenate([x[1] for x in opened]), len(key)).astype(np.int64)
+            c = c.astype(np.uint32) if c.max(initial=0) < 1 << 32 else c  # a few words of a large corpus need more
             yield _row(-1, part, int((c > 0).sum()))
             key, at = np.unique(np.concatenate([np.cumsum(x[2]) for x in opened]), return_inverse=True)
             n = np.bincount(at, np.concatenate([x[3] for x in opened]), len(key))
