@@ -28,6 +28,8 @@ CLASSES, SPACE = 1 << BITS, 27
 SYMBOLS = b"#*$%&|<>"
 #: Slabs that a language's counts are added up in, by the first class of an n-gram; models that a worker holds.
 SLABS, HELD = 16, 8
+#: Groups in which the tasks' rows of a slab are added up before their sums are.
+MERGED = 64
 #: How far a band reaches below the first quartile and above the third, in interquartile ranges: text that says the same again
 #: and again is to lie further off than text that no model knows.
 REACH = (4.0, 2.0)
@@ -127,7 +129,11 @@ def gram_counts(docs: DataFrame) -> DataFrame:
         yield from out()
 
     own = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").cast("binary").alias("text"))
-    return own.mapInArrow(tidy(count), _COUNTS).repartition("lang", "slab").sortWithinPartitions("lang", "slab").mapInArrow(tidy(add), _COUNTS)
+    counted = own.mapInArrow(tidy(count), _COUNTS)
+    # added in MERGED groups first, so that no task reads a row of every other
+    group = F.pmod(F.monotonically_increasing_id(), F.lit(MERGED)).alias("group")
+    some = counted.select("*", group).repartition("lang", "slab", "group").sortWithinPartitions("lang", "slab", "group").drop("group").mapInArrow(tidy(add), _COUNTS)
+    return some.repartition("lang", "slab").sortWithinPartitions("lang", "slab").mapInArrow(tidy(add), _COUNTS)
 
 
 def _discounts(n: np.ndarray) -> np.ndarray:
