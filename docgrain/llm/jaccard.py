@@ -36,7 +36,7 @@ WIDTH = 5
 #: Least similarity, as a fraction.
 LEAST = (4, 5)
 #: Keys of the first round.
-LEADS = 2
+LEADS = 1
 #: Shingles and members of a cell.
 TOKENS, MEMBERS = 1 << 20, 4096
 #: Children of a node of a signature tree, and pairs of nodes that are looked at together.
@@ -152,28 +152,32 @@ class Forest:
                 todo.append((level - 1, (first[u] + i + 0 * j)[real], (first[v] + j + 0 * i)[real]))
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sorted sets are similar enough."""
-    shared = len(a) + len(b) - len(np.unique(np.concatenate([a, b])))
-    return (LEAST[0] + LEAST[1]) * shared >= LEAST[0] * (len(a) + len(b))
-
-
 def joined(forest: Forest, comp: np.ndarray, sets: list[np.ndarray], cell: np.ndarray) -> list[tuple[int, int]]:
     """Links between members of different parts that join all parts of each cell which are linked."""
     _, label = np.unique(np.stack([cell, comp]), axis=1, return_inverse=True)
-    out = []
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    begin = np.cumsum(size) - size
+    mark, out = np.zeros(int(ids.max()) + 1, bool), []
     for x, y in forest.pairs():
-        at = 0
-        while True:
-            left = at + np.flatnonzero(label[x[at:]] != label[y[at:]])
-            for at in left.tolist():
-                if similar(sets[x[at]], sets[y[at]]):
-                    break
-            else:
-                break
-            out.append((int(x[at]), int(y[at])))
-            label[label == label[y[at]]] = label[x[at]]
-            at += 1
+        by = np.argsort(x, kind="stable")
+        x, y = x[by], y[by]
+        cuts = [*np.flatnonzero(np.diff(x, prepend=-1)).tolist(), len(x)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            one, others = int(x[a]), y[a:b]
+            others = others[label[others] != label[one]]
+            for c in range(0, len(others), 512):  # one against many
+                some = others[c : c + 512]
+                n = size[some]
+                stop = np.cumsum(n)
+                mark[ids[begin[one] : begin[one] + size[one]]] = True
+                there = mark[ids[np.arange(stop[-1]) + np.repeat(begin[some] - stop + n, n)]]
+                mark[ids[begin[one] : begin[one] + size[one]]] = False
+                shared = np.add.reduceat(there, stop - n, dtype=np.int64)
+                for other in some[(LEAST[0] + LEAST[1]) * shared >= LEAST[0] * (size[one] + n)].tolist():
+                    if label[other] != label[one]:
+                        out.append((one, other))
+                        label[label == label[other]] = label[one]
     return out
 
 
@@ -225,6 +229,9 @@ def _decided(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _cells(batches, lambda b: b.nbytes, 16 << 20):
+            # rows repeated whole bring their set more than once
+            _, once = np.unique(np.stack([table.column("cell").to_numpy(), table.column("c").to_numpy()]), axis=1, return_index=True)
+            table = table.take(pa.array(np.sort(once)))
             sets = [np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()]
             forest = _forest(table, list(map(bitmap, sets)))
             links = joined(forest, table.column("comp").to_numpy(), sets, table.column("cell").to_numpy())
@@ -241,8 +248,8 @@ def _dealt(rows: DataFrame) -> DataFrame:
 
 
 def hashed(docs: DataFrame, sims: bool = False) -> DataFrame:
-    """doc_id, row, n (shingles in its set), digest (128 bits, null without words), keys, bits, and, if asked, sim (the SimHash
-    fingerprint of the set) of every row (doc_id, row, text)."""
+    """uid (a number of its own), doc_id, row, n (shingles in its set), digest (128 bits, null without words), keys, bits, and, if
+    asked, sim (the SimHash fingerprint of the set) of every row (doc_id, row, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -251,7 +258,7 @@ def hashed(docs: DataFrame, sims: bool = False) -> DataFrame:
                 key = [first_keys(x) for x in sets]
                 ends = np.cumsum([0, *map(len, key)])
                 columns = [
-                    batch.column("doc_id"), batch.column("row"), pa.array([len(x) for x in sets], pa.int64()),
+                    batch.column("uid"), batch.column("doc_id"), batch.column("row"), pa.array([len(x) for x in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*key, np.zeros(0, np.uint64)]).view(np.int64))),
                     pa.array([bitmap(x) if len(x) else None for x in sets], pa.binary()),
@@ -260,51 +267,84 @@ def hashed(docs: DataFrame, sims: bool = False) -> DataFrame:
                     columns.append(pa.array(np.array([majority(x) if len(x) else 0 for x in sets], np.uint64).view(np.int64)))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    names = ["doc_id", "row", "n", "digest", "keys", "bits", *["sim"] * sims]
-    schema = "doc_id long, row long, n long, digest binary, keys array<long>, bits binary" + ", sim long" * sims
-    return docs.select("doc_id", "row", "text").mapInArrow(tidy(run), schema)
+    names = ["uid", "doc_id", "row", "n", "digest", "keys", "bits", *["sim"] * sims]
+    schema = "uid long, doc_id long, row long, n long, digest binary, keys array<long>, bits binary" + ", sim long" * sims
+    return docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "row", "text").mapInArrow(tidy(run), schema)
+
+
+def neighbours(rows: DataFrame) -> DataFrame:
+    """Of rows (key, c) sorted within partitions those whose key one next to them has, and the first and last of a partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: pa.RecordBatch | None = None
+        before: int | None = None  # the key before the last row; none at a partition's begin, where the next partition counts
+
+        def out(table: pa.RecordBatch, after: int | None) -> pa.RecordBatch:
+            key = table.column("key").to_numpy()
+            same = np.concatenate([[before is None or before == key[0]], key[1:] == key[:-1], [after is None or after == key[-1]]])
+            return table.filter(pa.array(same[1:] | same[:-1]))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if last is not None:
+                yield out(last, batch.column("key")[0].as_py())
+                before = last.column("key")[-1].as_py()
+            last = batch
+        if last is not None:
+            yield out(last, None)
+
+    return rows.mapInArrow(run, "key long, c long")
 
 
 class Join:
     """The classes of docs (doc_id, text as bytes, row: a hash of both) and the links between them.
 
-    rows: doc_id, row, n, digest of every row. classes: c, digest, row (of one text), n, keys, bits, and sim if asked, of every
-    set with a shingle.
+    rows: doc_id, row, n, uid, c of every row; c, a class, is the uid of its first row, null without words. made: uid, row, n,
+    digest, keys, bits, and sim if asked, of every row; those of a class stand where uid is c.
     """
 
     def __init__(self, docs: DataFrame, sims: bool = False):
         small_batches(docs.sparkSession)
         self.docs = docs
-        made = saved(hashed(docs, sims), "jaccard-rows")
-        self.rows = made.select("doc_id", "row", "n", "digest")
-        own = made.filter("n > 0").groupBy("digest").agg(F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("n", "keys", "bits", *["sim"] * sims)])
-        self.classes = saved(own.select(F.monotonically_increasing_id().alias("c"), "*"), "jaccard-classes")
+        self.made = saved(hashed(docs, sims), "jaccard-rows")
+        first = self.made.filter("n > 0").groupBy("digest").agg(F.min("uid").alias("c"))
+        self.rows = saved(self.made.select("doc_id", "row", "n", "uid", "digest").join(first, "digest", "left").drop("digest"), "jaccard-classes")
+
+    def classes(self, *columns: str) -> DataFrame:
+        """c and columns of made of every class."""
+        return self.made.select(F.col("uid").alias("c"), *columns).join(self.rows.filter("uid = c").select("c"), "c", "left_semi")
 
     def _texts(self, c: DataFrame, each: Callable[[np.ndarray], bytes | np.ndarray], kind: str) -> DataFrame:
-        """c and what each() gives for the sorted set of the classes c."""
-        own = self.classes.select("c", "digest", "row").join(c, "c")
+        """c and what each() gives for the sorted set of the classes c; more than once for rows repeated whole."""
+        # saved, so that its size is known when texts are joined: few classes are broadcast and no text is shuffled
+        own = saved(self.made.select(F.col("uid").alias("c"), "digest", "row").join(c, "c"), "jaccard-wanted")
         arrow = pa.binary() if kind == "binary" else pa.list_(pa.int64())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            given: set[int] = set()
             for whole in batches:
                 for batch in chunks(whole):
+                    c = batch.column("c").to_pylist()
+                    batch = batch.take(pa.array([i for i, x in enumerate(c) if x not in given], pa.int64()))
                     sets = [np.unique(x) for x in shingles(batch.column("text").fill_null(b""))[1]]
                     # rows whose hashes are equal may have other texts
                     same = [i for i, d in enumerate(batch.column("digest").to_pylist()) if xxhash.xxh3_128_digest(sets[i].tobytes()) == d]
-                    yield pa.RecordBatch.from_arrays([batch.column("c").take(pa.array(same, pa.int64())), pa.array([each(sets[i]) for i in same], arrow)], ["c", "x"])
+                    own = batch.column("c").take(pa.array(same, pa.int64()))
+                    given.update(own.to_pylist())
+                    yield pa.RecordBatch.from_arrays([own, pa.array([each(sets[i]) for i in same], arrow)], ["c", "x"])
 
-        found = self.docs.select("row", "text").join(own, "row").select("c", "digest", "text").mapInArrow(tidy(run), f"c long, x {kind}")
-        return found.groupBy("c").agg(F.first("x").alias("x"))
+        return self.docs.select("row", "text").join(own, "row").select("c", "digest", "text").mapInArrow(tidy(run), f"c long, x {kind}")
 
     def decide(self, cells: DataFrame) -> DataFrame:
         """a, b: links between members (cell, size, c, comp, n) of different parts of a cell; enough of them to join all parts that are linked."""
-        left = saved(_with_partner(cells.join(self.classes.select("c", "bits"), "c")), "jaccard-left")
+        left = saved(_with_partner(cells.join(self.made.select(F.col("uid").alias("c"), "bits"), "c")), "jaccard-left")
         sets = self._texts(left.select("c").distinct(), lambda x: x.tobytes(), "binary").withColumnRenamed("x", "grams")
         return saved(_decided(left.join(sets, "c")), "jaccard-links")
 
     def leads(self) -> DataFrame:
         """key, c, n by the first keys of each class."""
-        return self.classes.select(F.explode(F.slice("keys", 1, LEADS)).alias("key"), "c", "n")
+        return self.classes("n", F.slice("keys", 1, LEADS).alias("lead")).select(F.explode("lead").alias("key"), "c", "n")
 
     def near_keys(self, members: DataFrame, tokens: int = TOKENS, most: int = MEMBERS) -> DataFrame:
         """Links within buckets of members (key, c, n), each member its own part. Large buckets are dealt into cells that share
@@ -321,9 +361,13 @@ class Join:
         return connected(links).select(F.col("node").alias("c"), F.col("label").alias("comp"))
 
     def _shared(self, keyed: DataFrame) -> DataFrame:
-        """key, c, n of the keys (rows: c, n, keys) that two classes or more share."""
-        each = keyed.select(F.explode("keys").alias("key"), "c", "n")
-        return saved(each.join(each.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key"), "key"), "jaccard-shared")
+        """key, c, n of the keys (rows: c, keys) that two classes or more share; also of some that none other has."""
+        parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        each = keyed.select(F.explode("keys").alias("key"), "c")
+        # by range of key and class, so that a key that very many share fills several partitions
+        found = neighbours(each.repartitionByRange(parts, "key", "c").sortWithinPartitions("key", "c"))
+        own = self.rows.filter("uid = c").select("c", "n")
+        return saved(found.join(own, "c"), "jaccard-shared")
 
     def _buckets(self, shared: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Members key, band, c, comp, n of the buckets of shared, and a row for each bucket that has two parts or more."""
@@ -365,13 +409,13 @@ class Join:
                 upto = np.concatenate([[0], np.cumsum(marked)])[np.cumsum([0, *keys.value_lengths().to_pylist()])]
                 yield batch.select(["c"]).filter(pa.array(np.diff(upto) > 0))
 
-        some = saved(keyed.select("c", "keys").mapInArrow(run, "c long"), "jaccard-moved")
-        new = self._texts(some, lambda x: first_keys(x, held.value).view(np.int64), "array<long>")
-        return saved(keyed.join(new, "c", "left").select("c", "n", F.coalesce("x", "keys").alias("keys")), "jaccard-keys")
+        some = saved(keyed.select("c", "keys").mapInArrow(run, "c long").join(self.rows.filter("uid = c").select("c"), "c", "left_semi"), "jaccard-moved")
+        new = self._texts(some, lambda x: first_keys(x, held.value).view(np.int64), "array<long>").groupBy("c").agg(F.first("x").alias("x"))
+        return saved(keyed.join(new, "c", "left").select("c", F.coalesce("x", "keys").alias("keys")), "jaccard-keys")
 
     def rest(self, parts: DataFrame, tokens: int = TOKENS, most: int = MEMBERS) -> DataFrame:
         """Links that join all parts (c, comp) which some link joins."""
-        keyed, table = self.classes.select("c", "n", "keys"), np.zeros(BITS >> 6, np.uint64)
+        keyed, table = self.made.select(F.col("uid").alias("c"), "keys"), np.zeros(BITS >> 6, np.uint64)
         members, buckets = self._buckets(self._shared(keyed), parts)
         for _ in range(MOVES):
             if not self._last(members, buckets, table, tokens, most):
@@ -409,11 +453,11 @@ def components(docs: DataFrame, tokens: int = TOKENS, most: int = MEMBERS) -> Da
     own = id_text(docs)
     join = Join(own.withColumn("row", F.xxhash64("doc_id", "text")))
     parts = linked(join, join.leads(), tokens, most)
-    least = join.rows.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least"))
-    known = join.classes.select("c", "digest").join(parts, "c", "left").select("digest", F.coalesce("comp", "c").alias("comp")).join(least, "digest")
+    known = join.rows.filter("c is not null").groupBy("c").agg(F.min("doc_id").alias("least")).join(parts, "c", "left")
+    known = known.select("c", "least", F.coalesce("comp", "c").alias("comp"))
     firsts = known.groupBy("comp").agg(F.min("least").alias("component_id"))
-    ids = saved(known.join(firsts, "comp").select("digest", "component_id"), "jaccard-parts")
-    every = join.rows.join(ids, "digest", "left")
+    ids = saved(known.join(firsts, "comp").select("c", "component_id"), "jaccard-parts")
+    every = join.rows.join(ids, "c", "left")
     return every.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
