@@ -5,10 +5,14 @@ length against the mean; an item gives each of its terms a gain (weight times oc
 of gain times impact. Lists are cut into ranges of (term, impact), so a term that every document holds fills many
 partitions, and a file's statistics tell which impacts it holds.
 
-1. The k heads of every list give partial scores; the k-th highest of an item is a lower bound of its k-th score.
-2. An item with m lists fetches from each the postings worth bound / m or more: a document that has none can't reach the
-   bound. Partial sums raise the bound; with what each unseen list can still add (less than the threshold, and no more than
-   its head) they give an upper bound of every document seen, and those below the k-th partial sum go.
+1. The k heads of every list give partial scores; the HEADS * k documents of highest partial score of an item are looked up
+   in all of its lists, and the k-th highest score is a lower bound.
+2. An item fetches from each of its lists the postings worth a uniform threshold or more: such that less than the threshold
+   in every list, and no more than the head of a list whose head is below it, comes to less than a part (1 / PART) of the
+   bound. Lists of low gain aren't read at all. The fetched postings are dealt out by document and added up for a block of
+   items at a time; with what each unseen list can still add they give an upper bound of every document seen, and only those
+   that reach the bound come out of the task. Items of many terms have documents with one posting of any worth in great
+   number; that is why the threshold is set below what would do for correctness (PART = 1).
 3. What is left is looked up, by term and document, in the lists that its partial sum lacks.
 
 All bounds are whole numbers, and ties are kept to the end, so the result is exact. A bit table of fixed size, whatever the
@@ -18,7 +22,7 @@ the joins.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +35,12 @@ from .common import chunks, documents, id_text, saved, small_batches, tidy
 
 #: Bits of the table of asked terms; 1 MB, which every worker holds.
 BITS = 1 << 23
+#: Documents of an item that are looked up for its first bound, in times k.
+HEADS = 3
+#: The part of the bound that unseen postings may come to; items of a block, and rows of their terms.
+PART, ITEMS, ASKED = 4, 2048, 1 << 18
+#: Postings that are added up together.
+SLICE = 1 << 16
 #: Bytes of terms, with A-Z lowered; all others end a term.
 _CUT = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
@@ -150,6 +160,86 @@ def _worth(impact: str = "impact") -> Column:
     return F.sum(F.col("gain") * F.col(impact))
 
 
+class _Asked:
+    """A block of items: for each term, by number, the items that ask for it with gain, least impact and slack; by item its bound and slack."""
+
+    def __init__(self, rows: pa.Table, numbers: dict[str, int]):
+        term = np.array([numbers[t] for t in rows["term"].to_pylist()], np.int64)
+        self.items, item = np.unique(rows["item"].to_numpy(), return_inverse=True)
+        by = np.argsort(term, kind="stable")
+        self.at = np.searchsorted(term[by], np.arange(len(numbers) + 1))
+        self.item, self.gain, self.least, self.slack = item[by], *(rows[c].to_numpy()[by] for c in ("gain", "least", "slack"))
+        self.total = np.bincount(item, rows["slack"].to_numpy(), len(self.items)).astype(np.int64)
+        self.bound = np.zeros(len(self.items), np.int64)
+        self.bound[item] = rows["bound"].to_numpy()
+
+    def candidates(self, row: np.ndarray, term: np.ndarray, impact: np.ndarray) -> pa.RecordBatch:
+        """item, row, part, known of the documents that can reach their item's bound, from all fetched postings of some documents."""
+        rows, own = np.unique(row, return_inverse=True)
+        n = self.at[term + 1] - self.at[term]
+        which = np.arange(int(n.sum())) + np.repeat(self.at[term] - (np.cumsum(n) - n), n)
+        impact, own = np.repeat(impact, n), np.repeat(own, n)
+        there = np.flatnonzero(impact >= self.least[which])
+        which, cell = which[there], own[there] * len(self.items) + self.item[which[there]]
+        size = len(rows) * len(self.items)
+        part = np.bincount(cell, self.gain[which] * impact[there], size).astype(np.int64)  # below 2 ** 53, so exact
+        known = np.bincount(cell, self.slack[which], size).astype(np.int64)
+        reach = (part + np.tile(self.total, len(rows)) - known >= np.tile(self.bound, len(rows))) & (part > 0)
+        at = np.flatnonzero(reach)
+        own, item = np.divmod(at, len(self.items))
+        return pa.RecordBatch.from_pydict({"item": self.items[item], "row": rows[own], "part": part[at], "known": known[at]})
+
+
+def _seen(lists: TermLists, plan: DataFrame) -> DataFrame:
+    """item, row, part (the sum of what was fetched), known (the slack of those lists) of the documents that can reach the bound.
+
+    The items' terms are broadcast in blocks of ITEMS items at most, dealt out by hash, and of about ASKED rows.
+    """
+    spark = plan.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = plan.agg(F.count("*").alias("rows"), F.count_distinct("item").alias("items")).first()
+    blocks = max(1, -(-n.rows // ASKED), -(-n.items // ITEMS))
+    out = None
+    for number in range(blocks):
+        own = plan.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == number)
+        rows = own.select("item", "term", "gain", "least", "slack", "bound").toArrow()
+        if not rows.num_rows:
+            continue
+        numbers = {t: i for i, t in enumerate(dict.fromkeys(rows["term"].to_pylist()))}
+        held = spark.sparkContext.broadcast(_Asked(rows, numbers))
+        reach = own.filter("least <= top").groupBy("term").agg(F.min("least").alias("reach"))
+        number_of = spark.createDataFrame(list(numbers.items()), "term string, number int")
+        fetched = lists.lists.join(reach.join(number_of, "term"), "term").filter("impact >= reach").select("row", "number", "impact")
+        found = fetched.repartition(parts, "row").sortWithinPartitions("row").mapInArrow(tidy(_adder(held)), "item long, row long, part long, known long")
+        out = found if out is None else out.unionAll(found)
+    return out if out is not None else spark.createDataFrame([], "item long, row long, part long, known long")
+
+
+def _adder(held: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+        size = 0
+
+        def out(final: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal kept, size
+            row, term, impact = (np.concatenate([b.column(c).to_numpy() for b in kept]) for c in ("row", "number", "impact"))
+            end = len(row) if final else int(np.searchsorted(row, row[-1]))  # the last document may go on
+            if end:
+                yield held.value.candidates(row[:end], term[:end], impact[:end])
+            kept = [pa.RecordBatch.from_pydict({"row": row[end:], "number": term[end:], "impact": impact[end:]})]
+            size = len(row) - end
+
+        for batch in batches:
+            kept.append(batch)
+            size += batch.num_rows
+            if size >= SLICE:
+                yield from out(False)
+        if size:
+            yield from out(True)
+
+    return run
+
+
 def search(lists: TermLists, asked: DataFrame, k: int = 10, made: dict[str, int] | None = None) -> DataFrame:
     """item_id, rank, doc_id, score: the k documents of highest score above 0 for each item of asked (see item_terms).
 
@@ -158,29 +248,40 @@ def search(lists: TermLists, asked: DataFrame, k: int = 10, made: dict[str, int]
     items' lists hold, that were fetched and that were looked up.
     """
     gains, heads = lists.gains(asked, k)
-    # 1: heads
+    # 1: heads, and the scores of the best of them
     first = heads.join(gains, "term").groupBy("item", "row").agg(_worth().alias("part"))
-    bounds = _kth(first, k, "part")
-    per_item = gains.groupBy("item").agg(F.count("*").alias("m"))
-    least = F.expr("greatest(1L, (coalesce(bound, 0L) + m * gain - 1) div (m * gain))")
-    plan = gains.join(per_item, "item").join(bounds, "item", "left").withColumn("least", least)
-    plan = plan.withColumn("slack", F.col("gain") * F.least(F.col("least") - 1, F.col("top")))
-    plan = saved(plan.select("item", "item_id", "term", "gain", "top", "least", "slack", F.coalesce("bound", F.lit(0)).alias("bound")), "tput-plan")
-    # 2: all that reaches the threshold
-    fetch = plan.filter("least <= top").select("item", "term", "gain", "least", "slack")
-    hit = lists.lists.join(fetch, "term").filter("impact >= least")
-    seen = saved(hit.groupBy("item", "row").agg(_worth().alias("part"), F.sum("slack").alias("known"), F.min("doc_id").alias("doc_id")), "tput-seen")
+    best = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("part"), "row"))
+    first = saved(first.withColumn("at", best).filter(F.col("at") <= HEADS * k).select("item", "row"), "tput-first")
+    theirs = lists.lists.join(first.select("row").distinct(), "row").select("row", "term", "impact")
+    score = theirs.join(first, "row").join(gains.select("item", "term", "gain"), ["item", "term"]).groupBy("item", "row").agg(_worth().alias("score"))
+    bounds = _kth(score, k, "score")
+    # a document with less than the threshold in every list: what lists with lower heads give, and less than the threshold of each other
+    worth, per_item = F.col("gain") * F.col("top"), Window.partitionBy("item").orderBy("worth", "term")
+    plan = gains.withColumn("worth", worth).join(bounds, "item", "left").withColumn("bound", F.coalesce("bound", F.lit(0))).withColumn("share", F.expr(f"bound div {PART}"))
+    plan = plan.withColumn("others", F.count("*").over(Window.partitionBy("item")) - F.row_number().over(per_item) + 1)
+    plan = plan.withColumn("below", F.sum("worth").over(per_item.rowsBetween(Window.unboundedPreceding, 0)) - F.col("worth"))
+    reached = F.when(F.col("below") + F.col("worth") * F.col("others") >= F.col("share"), F.expr("(share - below + others - 1) div others"))
+    # the threshold comes from the first list, by rising worth, that reaches it
+    start = F.max(F.when(reached.isNotNull(), F.col("others"))).over(Window.partitionBy("item"))
+    plan = plan.withColumn("start", start).withColumn("t", F.max(F.when(F.col("others") == F.col("start"), reached)).over(Window.partitionBy("item")))
+    least = F.when(F.col("others") > F.col("start"), F.col("top") + 1).otherwise(F.expr("greatest(1L, (t + gain - 1) div gain)"))
+    plan = plan.withColumn("least", least).withColumn("slack", F.col("gain") * F.least(F.col("least") - 1, F.col("top")))
+    plan = saved(plan.select("item", "item_id", "term", "gain", "top", "least", "slack", "bound"), "tput-plan")
+    # 2: all that reaches the threshold, added up by document
+    seen = saved(_seen(lists, plan), "tput-seen")
     totals = plan.groupBy("item").agg(F.first("item_id").alias("item_id"), F.sum("slack").alias("slack"), F.max("bound").alias("low"))
     raised = totals.join(_kth(seen, k, "part"), "item", "left").withColumn("bound", F.greatest("low", F.coalesce("bound", F.lit(0))))
     left = seen.join(raised, "item").filter(F.col("part") + F.col("slack") - F.col("known") >= F.col("bound"))
-    left = saved(left.select("item", "item_id", "row", "doc_id", "part"), "tput-left")
+    left = saved(left.select("item", "item_id", "row", "part"), "tput-left")
     # 3: the lists that a candidate's sum lacks
     open_ = left.select("item", "row").join(plan.filter("least > 1").select("item", "term", "gain", "least"), "item")
     more = open_.join(lists.lists.select("term", "row", "impact"), ["term", "row"]).filter("impact < least").groupBy("item", "row").agg(_worth().alias("more"))
-    exact = left.join(more, ["item", "row"], "left").withColumn("score", F.col("part") + F.coalesce("more", F.lit(0))).filter("score > 0")
+    ids = lists.lists.join(left.select("row").distinct(), "row", "left_semi").groupBy("row").agg(F.first("doc_id").alias("doc_id"))
+    exact = left.join(more, ["item", "row"], "left").join(ids, "row").withColumn("score", F.col("part") + F.coalesce("more", F.lit(0))).filter("score > 0")
     if made is not None:
         made["held"] = lists.lists.join(plan.select("term"), "term").count()
-        made["fetched"] = hit.count()
+        made["fetched"] = lists.lists.join(plan.filter("least <= top").select("term", "least"), "term").filter("impact >= least").count()
+        made["seen"] = seen.count()
         made["looked up"] = open_.count()
     rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"), "row"))
     return exact.withColumn("rank", rank).filter(F.col("rank") <= k).select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")

@@ -63,7 +63,17 @@ def test_hot_terms_ties_and_long_lists(spark):
     made = {}
     d, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert rows(tput.rank_documents(d, q, 10, made)) == slow(docs, items, 10)
-    assert made["fetched"] < made["held"]
+    assert made["seen"] < made["held"]
+
+
+def test_lists_of_low_gain_are_not_read(spark):
+    """Most documents have the common terms; rare ones decide."""
+    docs = [(i, "alpha beta gamma " * (i % 5 > 0) + (f"rare{i % 40} rare{i % 41} " * 3 if i < 2000 else "") + "filler " * (i % 9)) for i in range(6000)]
+    items = [(j, f"alpha rare{j} rare{j % 41} beta gamma") for j in range(20)]
+    made = {}
+    d, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert rows(tput.rank_documents(d, q, 3, made)) == slow(docs, items, 3)
+    assert made["fetched"] < made["held"] / 20 and made["looked up"] < made["fetched"]
 
 
 def test_every_term_has_a_list_without_items(spark, odd):
