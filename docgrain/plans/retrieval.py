@@ -9,6 +9,7 @@ from ..fixtures import Fixture
 from ..functions.scores import jaccard
 from ..functions.text import tokens
 from ..operators import access, answering, bm25, dense, fusion
+from ..operators.postings import PostingIndex
 from ..session import saved, table
 from .common import ASK_SQL, CHUNK_SQL, FUSED_SQL, GOLD_SQL, POSITIVE_SQL, SCORE_SQL, Lists, chunks, tok_sql
 
@@ -37,6 +38,12 @@ BM25_TOPK_CORPUS = f"""WITH {CHUNK_SQL}, ask AS (SELECT item_id AS query_id, 0 A
 SELECT query_id, rank, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM sp0 WHERE score > 0) WHERE rank <= 10"""
 
 
+def bm25_postings_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The same from an inverted index: only blocks of postings that can matter are read."""
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.lit(0).alias("scope"), "text")
+    return PostingIndex.build(chunks(spark, d)).search(asked, 10)
+
+
 def bm25_topk_scoped(spark: SparkSession, d: str) -> DataFrame:
     own = chunks(spark, d).withColumn("scope", F.col("doc_id"))
     items = table(spark, d, "benchmark")
@@ -206,6 +213,7 @@ QUERIES = {
     "bm25_tokenize": (bm25_tokenize, BM25_TOKENIZE),
     "bm25_term_stats": (bm25_term_stats, BM25_TERM_STATS),
     "bm25_topk_corpus": (bm25_topk_corpus, BM25_TOPK_CORPUS),
+    "bm25_postings_topk": (bm25_postings_topk, BM25_TOPK_CORPUS),
     "bm25_topk_scoped": (bm25_topk_scoped, BM25_TOPK_SCOPED),
     "fail_closed_scope": (fail_closed_scope, FAIL_CLOSED_SCOPE),
     "dense_cosine_topk": (dense_cosine_topk, DENSE_COSINE_TOPK),
