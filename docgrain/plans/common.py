@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..operators import bm25, dense, fusion
+from ..operators import bm25, dense, fusion, matching
 from ..operators.chunking import line_chunks
 from ..session import saved, table
 
@@ -101,39 +101,9 @@ def lexical(spark: SparkSession, d: str, ranked: DataFrame) -> DataFrame:
     return joined.withColumn("overlap", share).drop("q", "t")
 
 
-#: Words and characters of a passage by which documents that may hold it are found.
-WORDS, CHARS = 6, 8
-
-
 def holding(passages: DataFrame, docs: DataFrame) -> DataFrame:
-    """query_id, chunk_id: the documents (doc_id, text) that hold a passage (query_id, text) verbatim; an empty one is in all.
-
-    Words inside a passage are whole words of what holds it, so passages meet documents on a window of up to WORDS of them,
-    from the second on; passages without a word inside meet them on their first CHARS characters. Texts are compared whole
-    only where the keys agree, so the work grows with the texts and not with the product of both tables.
-    """
-    cut = lambda t: F.split(F.trim(F.regexp_replace(t, r"\s+", " ")), " ")
-    key = lambda kind, width, x: F.xxhash64(F.lit(kind), width, x)
-    items = passages.select("query_id", "text", cut(F.col("text")).alias("w")).withColumn("inside", F.least(F.lit(WORDS), F.size("w") - 2))
-    by_words, n_chars = F.col("inside") > 0, F.least(F.lit(CHARS), F.length("text"))
-    items = items.select("query_id", F.col("text").alias("passage"), F.when(by_words, "w").otherwise("c").alias("kind"), F.when(by_words, F.col("inside")).otherwise(n_chars).alias("width"), "w")
-    part = F.when(F.col("kind") == "w", F.array_join(F.slice("w", 2, F.greatest(F.col("width"), F.lit(0))), " ")).otherwise(F.substr("passage", F.lit(1), F.col("width")))
-    items = items.filter("passage is not null").select("query_id", "passage", "kind", "width", F.xxhash64("kind", "width", part).alias("key"))
-    kinds = [(r["kind"], r["width"]) for r in items.select("kind", "width").distinct().collect()]  # WORDS + CHARS + 1 at most
-    if not kinds:
-        return items.select("query_id", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("chunk_id")).filter("false")
-    own = docs.filter("text is not null").select("doc_id", "text", cut(F.col("text")).alias("w"))
-
-    def windows(kind: str, width: int) -> Column:
-        n = F.size("w") if kind == "w" else F.length("text")
-        piece = (lambda i: F.array_join(F.slice("w", i, width), " ")) if kind == "w" else (lambda i: F.substr("text", i, F.lit(width)))
-        every = F.transform(F.sequence(F.lit(1), F.greatest(n - width + 1, F.lit(1)).cast("int")), lambda i: key(kind, F.lit(width), piece(i)))
-        return F.when(n >= width, every).otherwise(F.array().cast("array<bigint>"))
-
-    found = own.select("doc_id", F.explode(F.array_distinct(F.concat(*[windows(k, w) for k, w in kinds]))).alias("key"))
-    near = found.join(items.select("query_id", "key"), "key").select("query_id", "doc_id").distinct()
-    pairs = near.join(items.select("query_id", "passage"), "query_id").join(docs.select("doc_id", "text"), "doc_id")
-    return pairs.filter(F.contains("text", "passage")).select("query_id", F.col("doc_id").alias("chunk_id")).distinct()
+    """query_id, chunk_id: the documents (doc_id, text) that hold a passage (query_id, text) verbatim; an empty one is in all."""
+    return matching.containing(docs, passages).withColumnRenamed("doc_id", "chunk_id")
 
 
 def gold(spark: SparkSession, d: str) -> DataFrame:

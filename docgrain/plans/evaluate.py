@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..fixtures import Fixture
 from ..functions.scores import overlap
 from ..functions.text import space_normal, tokens
-from ..operators import answering, bm25, evaluation, fusion
+from ..operators import answering, bm25, evaluation, fusion, matching
 from ..operators.chunking import line_chunks
 from ..session import saved, table
 from .common import CHUNK_SQL, FUSED_SQL, GOLD_SQL, SCORE_SQL, Lists, doc_chunks, fused_sql, gold, questions, tok_sql
@@ -60,6 +60,34 @@ lab AS (SELECT coalesce(how, CASE WHEN EXISTS (SELECT 1 FROM gold g WHERE g.quer
 SELECT c.label, count(lab.label) AS n FROM (SELECT unnest(['exact', 'span', 'boundary', 'empty']) AS label) c LEFT JOIN lab USING (label) GROUP BY ALL"""
 
 
+#: What a bad reading of a page makes of common letter pairs, in every second document.
+MISREAD = (("th", "tb"), ("rn", "m"), ("ll", "11"))
+
+
+def _misread(spark: SparkSession, d: str) -> DataFrame:
+    """All documents, every second one damaged."""
+    bad = F.col("text")
+    for good, wrong in MISREAD:
+        bad = F.replace(bad, F.lit(good), F.lit(wrong))
+    return table(spark, d, "documents").withColumn("text", F.when(F.col("doc_id") % 2 == 1, bad).otherwise(F.col("text")))
+
+
+def approximate_gold(spark: SparkSession, d: str) -> DataFrame:
+    """Where documents hold benchmark texts with a tenth of the characters wrong at most, every second document being damaged."""
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return matching.closest(_misread(spark, d), asked, 0.1)
+
+
+def gold_mapping_damaged(spark: SparkSession, d: str) -> DataFrame:
+    """How many benchmark texts are found as they stand, only as a parser has damaged them, or nowhere."""
+    found = approximate_gold(spark, d).groupBy("query_id").agg(F.min("distance").alias("distance"))
+    each = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id")).join(found, "query_id", "left")
+    label = F.when(F.col("distance") == 0, "exact").when(F.col("distance") > 0, "parser").otherwise("empty")
+    counts = each.groupBy(label.alias("label")).agg(F.count("*").alias("n"))
+    every = spark.createDataFrame([(c,) for c in ("exact", "parser", "empty")], "label string")
+    return every.join(counts, "label", "left").select("label", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def metric_sql(ranked: str, ks: tuple[int, ...] = KS, by: str = "") -> str:
     """SQL of per_query() over a ranked CTE (by, query_id, chunk_id, rank) and gold; gives by, query_id, k and the metrics."""
     b = f"{by}, " if by else ""
@@ -423,4 +451,4 @@ NAMES = (
     "gold_mapping_strict gold_mapping_histogram retrieval_metrics_at_k retrieval_metrics_per_query candidate_budget_sweep variant_ablation union_vs_rrf pool_sweep waterfall failure_taxonomy "
     "global_vs_scoped document_scoped_search query_ambiguity wrong_doc_rate citation_extract citation_metrics answerability outcome_classes token_f1 faithfulness evidence_coverage cer lexical_overlap_leakage"
 ).split()
-QUERIES = {n: (globals()[n], globals()[n.upper()]) for n in NAMES} | {"wer": (wer, None)}
+QUERIES = {n: (globals()[n], globals()[n.upper()]) for n in NAMES} | {"wer": (wer, None), "approximate_gold": (approximate_gold, None), "gold_mapping_damaged": (gold_mapping_damaged, None)}
