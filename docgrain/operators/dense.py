@@ -22,6 +22,18 @@ def _ranked(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
 
 
+def sound(rows: DataFrame, column: str, size: int | None = None) -> DataFrame:
+    """Rows whose vector is there and holds finite numbers only; of `size` numbers, if given."""
+    v = F.col(column)
+    good = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return rows.filter(good & (F.size(v) == size) if size is not None else good)
+
+
+def width(rows: DataFrame, column: str) -> int | None:
+    """The length that most sound vectors have."""
+    return sound(rows, column).agg(F.mode(F.size(column), True)).first()[0]
+
+
 def _blocks(queries: DataFrame, block: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Queries (query_id, query_vec, ..) in blocks, and their vectors at length 1 (a zero vector stays zero)."""
     n_blocks = max(1, -(-queries.count() // block))
@@ -42,9 +54,12 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 20, block: int = BLO
     """query_id, rank, chunk_id, score (cosine, 6 places) of the k best vectors, ties by chunk_id, for any number of queries.
 
     Blocks of queries go over the vectors one after another; each batch of vectors returns k rows a query at most.
-    others_only leaves a query's own id out. If both have a column `scope`, a query meets the vectors of its scope only.
+    others_only leaves a query's own id out. If both have a column `scope`, a query meets the vectors of its scope only. Null
+    vectors, those that hold a null or no finite number, and those of another length than most queries have take no part.
     """
     ship(queries.sparkSession)
+    size = width(queries, "query_vec")
+    queries, vectors = sound(queries, "query_vec", size or 0), sound(vectors, "vec", size or 0)
     scoped = ["scope"] if "scope" in queries.columns and "scope" in vectors.columns else []
     schema = StructType([StructField("query_id", queries.schema["query_id"].dataType), StructField("chunk_id", vectors.schema["chunk_id"].dataType), StructField("score", DoubleType())])
     out = None
@@ -74,8 +89,11 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 20, block: int = BLO
 
 def margins(queries: DataFrame, vectors: DataFrame, block: int = BLOCK) -> DataFrame:
     """query_id, mean_same, mean_other, top, margin: of each query (query_id, query_vec, label) over the vectors (chunk_id, vec,
-    label) of other ids: the mean similarity to those of its label and of others, the highest one and its lead."""
+    label) of other ids: the mean similarity to those of its label and of others, the highest one and its lead. Vectors take
+    part as in search()."""
     ship(queries.sparkSession)
+    size = width(queries, "query_vec")
+    queries, vectors = sound(queries, "query_vec", size or 0), sound(vectors, "vec", size or 0)
     schema = "query_id long, same double, n_same long, other double, n_other long, top double, next double"
     out = None
     for part, q in _blocks(queries.select("query_id", "query_vec", "label"), block):
