@@ -2,8 +2,9 @@
 
 Cells are the parts of a distributed k-means over all vectors, taken at length 1. A vector is kept in its cell with a code: what
 its cell's centre leaves over, cut into PARTS pieces, each the number of the nearest of LEVELS codewords. A query scores the
-codes of the cells nearest to it from a table of its products with all codewords; the REFINE * k best are scored exactly.
-How many cells a query looks at is measured against the exact search (dense.search), which stands beside it.
+codes of the cells nearest to it from a table of its products with all codewords; some times k of the best are scored exactly.
+How many cells a query looks at, and how many times k, is measured against the exact search (dense.search), which stands
+beside it.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from . import dense
 from .bm25 import best
 
 #: Pieces of a vector, codewords of a piece, and how many times k are scored exactly.
-PARTS, LEVELS, REFINE = 8, 64, 10
+PARTS, LEVELS, REFINE = 16, 256, 10
 #: Cells at most, whatever the number of vectors; vectors, drawn by hash, that codewords are fitted on.
 CELLS, SAMPLE = 4096, 20_000
 #: Recall at k that calibrate() asks of a search, and queries that it tries at most.
@@ -51,9 +52,10 @@ class IvfIndex:
         self.spark, self.folder = spark, folder.rstrip("/")
         held = json.loads(spark.read.text(f"{self.folder}/model", wholetext=True).first()[0])
         self.centres, self.words, self.probes = np.array(held["centres"]), [np.array(w) for w in held["words"]], held["probes"]
+        self.refine = held["refine"]
 
     def _keep(self) -> None:
-        held = json.dumps({"centres": self.centres.tolist(), "words": [w.tolist() for w in self.words], "probes": self.probes})
+        held = json.dumps({"centres": self.centres.tolist(), "words": [w.tolist() for w in self.words], "probes": self.probes, "refine": self.refine})
         self.spark.createDataFrame([(held,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/model")
 
     @classmethod
@@ -77,7 +79,7 @@ class IvfIndex:
             self.centres, drawn = np.zeros((1, size)), np.zeros((1, size))
         rest = drawn - self.centres[self._cell(drawn)]
         self.words = [_codewords(piece, levels, seed + i) for i, piece in enumerate(np.array_split(rest, max(1, min(parts, size)), axis=1))]
-        self.probes = max(1, len(self.centres) // 4)
+        self.probes, self.refine = max(1, len(self.centres) // 4), REFINE
         held = spark.sparkContext.broadcast(self._state())  # CELLS centres and LEVELS codewords at most
         kind = vectors.schema["chunk_id"]
 
@@ -110,7 +112,7 @@ class IvfIndex:
     def search(self, queries: DataFrame, k: int = 20, probes: int | None = None, block: int = dense.BLOCK, others_only: bool = False) -> DataFrame:
         """query_id, rank, chunk_id, score as dense.search() gives them, from the `probes` cells nearest to each query (query_id,
         query_vec). A query whose vector isn't sound, or is of another length, gives nothing."""
-        probes = min(probes or self.probes, len(self.centres))
+        probes, most = min(probes or self.probes, len(self.centres)), self.refine * k
         queries = dense.sound(queries.select("query_id", "query_vec"), "query_vec", self.centres.shape[1])
         ids = StructType([StructField("query_id", queries.schema["query_id"].dataType), StructField("chunk_id", self.rows().schema["chunk_id"].dataType)])
         cuts = np.cumsum([0, *(w.shape[1] for w in self.words)])
@@ -139,7 +141,7 @@ class IvfIndex:
                         names_here = np.array([own[i] for i in mine.tolist()])
                         if others_only:
                             s[names[who][:, None] == names_here] = -np.inf
-                        row, column = best(s, names_here, REFINE * k)
+                        row, column = best(s, names_here, most)
                         yield pa.RecordBatch.from_arrays([pa.array(names[who[row]], kind), batch.column("chunk_id").take(pa.array(mine[column])), pa.array(s[row, column])], ["query_id", "chunk_id", "score"])
 
             needed = np.flatnonzero(probed.any(0)).tolist()
@@ -149,7 +151,7 @@ class IvfIndex:
         if near is None:
             return self.spark.createDataFrame([], StructType([*ids, StructField("score", DoubleType())])).selectExpr("query_id", "1 as rank", "chunk_id", "score")
         first = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
-        near = saved(near.withColumn("at", first).filter(F.col("at") <= REFINE * k).select("query_id", "chunk_id"), "ivf-near")
+        near = saved(near.withColumn("at", first).filter(F.col("at") <= most).select("query_id", "chunk_id"), "ivf-near")
         length = F.sqrt(F.aggregate("query_vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
         dot = F.aggregate(F.zip_with("vec", "query_vec", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
         scored = near.join(queries, "query_id").join(rows.select("chunk_id", "vec"), "chunk_id")
@@ -166,9 +168,12 @@ class IvfIndex:
         return saved(dense.search(queries, self.rows().select("chunk_id", "vec"), k, others_only=True).select("query_id", "chunk_id"), "ivf-exact")
 
     def calibrate(self, queries: DataFrame, k: int = 10, recall: float = RECALL) -> float:
-        """Sets and keeps the least number of cells, doubled from one, with which TRIED of the queries reach the recall; gives that recall."""
+        """Sets and keeps how many times k are scored exactly, doubled from REFINE until all cells give the recall, and then the least
+        number of cells, doubled from one, that does; as tried on TRIED of the queries. Gives the recall."""
         tried = saved(queries.select("query_id", "query_vec").orderBy(F.xxhash64("query_id")).limit(TRIED), "ivf-tried")
-        exact, self.probes = self._exact(tried, k), 1
+        exact, n, self.refine, self.probes = self._exact(tried, k), self.rows().count(), REFINE, 1
+        while self.recall(tried, k, len(self.centres), exact) < recall and self.refine * k < n:
+            self.refine *= 2
         while (got := self.recall(tried, k, exact=exact)) < recall and self.probes < len(self.centres):
             self.probes = min(2 * self.probes, len(self.centres))
         self._keep()
