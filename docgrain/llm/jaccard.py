@@ -39,6 +39,8 @@ LEAST = (4, 5)
 LEADS = 1
 #: Shingles and members of a cell.
 TOKENS, MEMBERS = 1 << 20, 4096
+#: A bucket of so many cells is crowded: its keys are put last instead of comparing its blocks two by two.
+CROWDED = 16
 #: Children of a node of a signature tree, and pairs of nodes that are looked at together.
 FAN, PAIRS = 4, 4096
 #: Bits of the table of shingles that come last, 1 MB; how often it may be added to.
@@ -413,12 +415,12 @@ class Join:
         new = self._texts(some, lambda x: first_keys(x, held.value).view(np.int64), "array<long>").groupBy("c").agg(F.first("x").alias("x"))
         return saved(keyed.join(new, "c", "left").select("c", F.coalesce("x", "keys").alias("keys")), "jaccard-keys")
 
-    def rest(self, parts: DataFrame, tokens: int = TOKENS, most: int = MEMBERS) -> DataFrame:
+    def rest(self, parts: DataFrame, tokens: int = TOKENS, most: int = MEMBERS, crowded: int = CROWDED) -> DataFrame:
         """Links that join all parts (c, comp) which some link joins."""
         keyed, table = self.made.select(F.col("uid").alias("c"), "keys"), np.zeros(BITS >> 6, np.uint64)
         members, buckets = self._buckets(self._shared(keyed), parts)
         for _ in range(MOVES):
-            if not self._last(members, buckets, table, tokens, most):
+            if not self._last(members, buckets, table, crowded * tokens, crowded * most):
                 break
             keyed = self._moved(keyed, table)
             members, buckets = self._buckets(self._shared(keyed), parts)
@@ -437,13 +439,13 @@ class Join:
         return self.decide(rows.select(F.xxhash64("key", "band", "at.i", "at.j").alias("cell"), F.col("band").alias("size"), "c", "comp", "n"))
 
 
-def linked(join: Join, first: DataFrame, tokens: int = TOKENS, most: int = MEMBERS) -> DataFrame:
+def linked(join: Join, first: DataFrame, tokens: int = TOKENS, most: int = MEMBERS, crowded: int = CROWDED) -> DataFrame:
     """c, comp: the part of each class that is linked with another one. first: buckets (key, c, n) that are searched before all."""
     links = join.near_keys(first, tokens, most)
-    return join.parts(links.unionAll(join.rest(join.parts(links), tokens, most)))
+    return join.parts(links.unionAll(join.rest(join.parts(links), tokens, most, crowded)))
 
 
-def components(docs: DataFrame, tokens: int = TOKENS, most: int = MEMBERS) -> DataFrame:
+def components(docs: DataFrame, tokens: int = TOKENS, most: int = MEMBERS, crowded: int = CROWDED) -> DataFrame:
     """doc_id, n_shingles (size of the set) and component_id (smallest doc_id reachable over links) of every row.
 
     Texts without words, and null ones, have an empty set and are linked with nothing, not with one another either. Repeated
@@ -452,7 +454,7 @@ def components(docs: DataFrame, tokens: int = TOKENS, most: int = MEMBERS) -> Da
     """
     own = id_text(docs)
     join = Join(own.withColumn("row", F.xxhash64("doc_id", "text")))
-    parts = linked(join, join.leads(), tokens, most)
+    parts = linked(join, join.leads(), tokens, most, crowded)
     known = join.rows.filter("c is not null").groupBy("c").agg(F.min("doc_id").alias("least")).join(parts, "c", "left")
     known = known.select("c", "least", F.coalesce("comp", "c").alias("comp"))
     firsts = known.groupBy("comp").agg(F.min("least").alias("component_id"))

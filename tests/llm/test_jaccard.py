@@ -77,7 +77,8 @@ def test_equals_brute_force(docs):
     df = docs(rows).repartition(3)
     assert got(df) == want
     # blocks of a few members: large buckets are dealt out, keys of many parts come last
-    assert got(df, tokens=1500, most=8) == want
+    assert got(df, tokens=1500, most=8, crowded=1) == want
+    assert got(df, tokens=3000, most=16) == want
 
 
 def test_equals_brute_force_on_the_table(spark, small):
@@ -142,7 +143,7 @@ def test_template_pages_below_the_bound_make_no_large_bucket(spark):
     own = id_text(spark.createDataFrame(rows, "doc_id long, text string"))
     join = J.Join(own.withColumn("row", F.xxhash64("doc_id", "text")))
     none = spark.createDataFrame([], "c long, comp long")
-    assert J.connected(join.rest(none, most=200)).count() == 5
+    assert J.connected(join.rest(none, most=200, crowded=1)).count() == 5
     table, keyed = np.zeros(J.BITS >> 6, np.uint64), join.made.select(F.col("uid").alias("c"), "keys")
     members, buckets = join._buckets(join._shared(keyed), none)
     assert join._last(members, buckets, table, J.TOKENS, 200)
