@@ -38,7 +38,10 @@ class Caller:
 
 class Engine:
     """documents: doc_id, tenant_id, ..; acl: doc_id, role, allow_read; parents and children as chunk_documents gives them;
-    vectors: chunk_id, vec. reranker: a Column of (question, text), a share of shared words by default."""
+    vectors: chunk_id, vec. reranker: a Column of (question, text), a share of shared words by default. rejected: documents that
+    ingest() didn't take."""
+
+    rejected: DataFrame | None = None
 
     def __init__(self, documents: DataFrame, acl: DataFrame, parents: DataFrame, children: DataFrame, vectors: DataFrame | None = None, reranker: Callable[[Column, Column], Column] | None = None):
         self.documents, self.acl, self.parents, self.children, self.vectors = documents, acl, parents, children, vectors
@@ -47,13 +50,13 @@ class Engine:
     @classmethod
     def ingest(cls, documents: DataFrame, acl: DataFrame, embed: Callable[[Column], Column] | None = None, **options: object) -> Engine:
         """Chunks documents (doc_id, tenant_id, text, section) and, with an embedding function, makes their vectors.
-        Documents without a chunk are refused, as nothing of them could be found."""
+        Documents without a chunk aren't taken, as nothing of them could be found; they are in `rejected`."""
         parents, children = chunking.chunk_documents(documents)
-        empty = documents.join(children.select("doc_id").distinct(), "doc_id", "left_anti")
-        if not empty.isEmpty():
-            raise ValueError("a document gives no chunk")
+        with_chunks = children.select("doc_id").distinct()
         vectors = children.select("chunk_id", embed(F.col("text")).alias("vec")) if embed else None
-        return cls(documents, acl, parents, children, vectors, **options)
+        engine = cls(documents.join(with_chunks, "doc_id", "left_semi"), acl, parents, children, vectors, **options)
+        engine.rejected = documents.join(with_chunks, "doc_id", "left_anti")
+        return engine
 
     def accessible(self, caller: Caller) -> DataFrame:
         own = self.documents.filter(access.in_tenant(F.col("tenant_id"), F.lit(caller.tenant)))

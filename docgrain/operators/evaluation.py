@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections import Counter
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import answer_normal, answer_tokens, space_normal
+from ..functions.text import answer_normal, answer_tokens
 from ..session import saved
 
 DEFAULT_KS = (5, 10, 20, 50, 100)
@@ -64,7 +68,7 @@ def percentiles(df: DataFrame, by: str, value: str, shares: tuple[float, ...], l
     before = F.coalesce(F.sum("own").over(Window.partitionBy(by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     moved = totals.select(by, "part", before.alias("before")).join(n, by)
     upto = F.sum("c").over(Window.partitionBy(by, "part").orderBy(value))
-    placed = dealt.withColumn("upto", upto).join(F.broadcast(moved), [by, "part"])
+    placed = dealt.withColumn("upto", upto).join(moved, [by, "part"])
     last = F.col("before") + F.col("upto") - 1  # the last place, from 0, that holds the value
     holds = lambda at: (at <= last) & (at > last - F.col("c"))
     out = []
@@ -92,26 +96,42 @@ def token_f1(answer: Column, truth: Column) -> Column:
     return F.when(both, 1.0).when(none, 0.0).when(shared == 0, 0.0).otherwise(2 * p * r / (p + r))
 
 
-def _shared_f1(a: Column, t: Column, shared: Column) -> Column:
-    p, r = shared / F.greatest(F.size(a), F.lit(1)), shared / F.greatest(F.size(t), F.lit(1))
-    return F.when(shared == 0, 0.0).otherwise(2 * p * r / (p + r))
+def _strict_words(text: str) -> list[str]:
+    return unicodedata.normalize("NFKC", text).lower().split()
+
+
+def _f1s(answers: pd.Series, truths: pd.Series, shared: Callable[[list[str], list[str]], int]) -> pd.Series:
+    out = []
+    for answer, truth in zip(answers, truths, strict=True):
+        if answer is None or truth is None:
+            out.append(None)
+            continue
+        a, t = _strict_words(answer), _strict_words(truth)
+        n = shared(a, t)
+        p, r = n / max(len(a), 1), n / max(len(t), 1)
+        out.append(2 * p * r / (p + r) if n else 0.0)
+    return pd.Series(out, dtype="float64")
 
 
-def _plain_words(text: Column) -> Column:
-    return F.filter(F.split(space_normal(text), " "), lambda w: w != "")
+@F.pandas_udf(T.DoubleType())
+def _counted(answers: pd.Series, truths: pd.Series) -> pd.Series:
+    return _f1s(answers, truths, lambda a, t: (Counter(a) & Counter(t)).total())
+
+
+@F.pandas_udf(T.DoubleType())
+def _distinct(answers: pd.Series, truths: pd.Series) -> pd.Series:
+    return _f1s(answers, truths, lambda a, t: len(set(a) & set(t)))
 
 
 def counted_f1(answer: Column, truth: Column) -> Column:
-    """F1 of the word multisets of two texts (in NFKC), articles and punctuation kept; 0 if either is empty."""
-    a, t = _plain_words(answer), _plain_words(truth)
-    count = lambda arr, x: F.size(F.filter(arr, lambda y: y == x))
-    return _shared_f1(a, t, F.aggregate(F.array_distinct(a), F.lit(0), lambda s, x: s + F.least(count(a, x), count(t, x))))
+    """F1 of the word multisets of two texts (in NFKC and lower case), articles and punctuation kept; 0 if either is empty, null if
+    either is null."""
+    return _counted(answer, truth)
 
 
 def set_f1(answer: Column, truth: Column) -> Column:
     """As counted_f1, with the number of distinct shared words over the lengths of the lists."""
-    a, t = _plain_words(answer), _plain_words(truth)
-    return _shared_f1(a, t, F.size(F.array_intersect(a, t)))
+    return _distinct(answer, truth)
 
 
 def facet_coverage(cited: Column, facets: Column) -> Column:

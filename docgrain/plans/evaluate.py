@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import Fixture
 from ..functions.scores import overlap
-from ..functions.text import space_normal, tokens
+from ..functions.text import strict_normal, tokens
 from ..operators import answering, bm25, evaluation, fusion, matching
 from ..operators.chunking import line_chunks
 from ..session import saved, table
@@ -20,9 +20,10 @@ KS = (1, 5, 10, 20)
 def _matches(spark: SparkSession, d: str, gold_pairs: DataFrame | None = None) -> DataFrame:
     """query_id, doc_id, chunk_id, how: lines of gold documents that hold the passage, or its first or last 30 characters."""
     pairs = (gold(spark, d) if gold_pairs is None else gold_pairs).withColumnRenamed("chunk_id", "doc_id")
-    passages = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), space_normal(F.col("text")).alias("g"))
-    lines = line_chunks(table(spark, d, "documents")).select("doc_id", "chunk_id", space_normal(F.col("text")).alias("c"))
-    rows = pairs.join(passages, "query_id").join(lines, "doc_id")
+    passages = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("g"))
+    lines = line_chunks(table(spark, d, "documents")).select("doc_id", "chunk_id", F.col("text").alias("c"))
+    # only lines of gold documents are brought to one form
+    rows = pairs.join(passages, "query_id").join(lines, "doc_id").withColumns({x: strict_normal(F.col(x)) for x in ("g", "c")})
     exact = F.contains("c", "g")
     edge = F.contains(F.col("c"), F.substring("g", 1, 30)) | F.contains(F.col("c"), F.right("g", F.lit(30)))
     inside = (F.length("c") >= 30) & F.contains("g", "c")
@@ -433,19 +434,23 @@ def wer(spark: SparkSession, d: str) -> DataFrame:
     return SCANS.df(spark).select("page", evaluation.error_rate_words(F.col("truth"), F.col("scan")).alias("wer"))
 
 
+#: A fixed value: texts that are shorter than this are answers given away.
+ANSWER_CHARS = 30
+
+
 def lexical_overlap_leakage(spark: SparkSession, d: str) -> DataFrame:
-    """Whether a benchmark text gives its answer away: share of its words in the name and in the start of a gold document."""
+    """Whether a benchmark text gives its answer away: share of its words in the name and in the text of a gold document."""
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), tokens(F.col("text")).alias("q"))
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), tokens(F.concat_ws(" ", "lang", "source")).alias("title"), tokens(F.substring("text", 1, 200)).alias("head"), F.length("text").alias("n"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), tokens(F.concat_ws(" ", "lang", "source")).alias("title"), tokens(F.col("text")).alias("head"), F.length("text").alias("n"))
     rows = gold(spark, d).join(q, "query_id").join(docs, "chunk_id")
     t, a = overlap(F.col("q"), F.col("title")), overlap(F.col("q"), F.col("head"))
-    flag = F.when(t > 0.6, "TITLE").when((a > 0.7) & (F.col("n") < 400), "ANSWER_SPAN").otherwise("NONE")
+    flag = F.when(t > 0.6, "TITLE").when((a > 0.7) & (F.col("n") < ANSWER_CHARS), "ANSWER_SPAN").otherwise("NONE")
     return rows.select("query_id", F.col("chunk_id").alias("doc_id"), F.round(t, 6).alias("title_overlap"), F.round(a, 6).alias("head_overlap"), flag.alias("flag"))
 
 
-LEXICAL_OVERLAP_LEAKAGE = f"""WITH {GOLD_SQL}, r AS (SELECT query_id, g.chunk_id AS doc_id, length(d.text) AS n, list_distinct({tok_sql("b.text")}) AS q, {tok_sql("d.lang || ' ' || d.source")} AS t, {tok_sql("substr(d.text, 1, 200)")} AS h FROM gold g JOIN benchmark b ON b.item_id = query_id JOIN documents d ON d.doc_id = g.chunk_id),
+LEXICAL_OVERLAP_LEAKAGE = f"""WITH {GOLD_SQL}, r AS (SELECT query_id, g.chunk_id AS doc_id, length(d.text) AS n, list_distinct({tok_sql("b.text")}) AS q, {tok_sql("d.lang || ' ' || d.source")} AS t, {tok_sql("d.text")} AS h FROM gold g JOIN benchmark b ON b.item_id = query_id JOIN documents d ON d.doc_id = g.chunk_id),
 o AS (SELECT query_id, doc_id, n, len(list_intersect(q, t)) / greatest(len(q), 1)::DOUBLE AS a, len(list_intersect(q, h)) / greatest(len(q), 1)::DOUBLE AS b FROM r)
-SELECT query_id, doc_id, round(a, 6) AS title_overlap, round(b, 6) AS head_overlap, CASE WHEN a > 0.6 THEN 'TITLE' WHEN b > 0.7 AND n < 400 THEN 'ANSWER_SPAN' ELSE 'NONE' END AS flag FROM o"""
+SELECT query_id, doc_id, round(a, 6) AS title_overlap, round(b, 6) AS head_overlap, CASE WHEN a > 0.6 THEN 'TITLE' WHEN b > 0.7 AND n < 30 THEN 'ANSWER_SPAN' ELSE 'NONE' END AS flag FROM o"""
 
 NAMES = (
     "gold_mapping_strict gold_mapping_histogram retrieval_metrics_at_k retrieval_metrics_per_query candidate_budget_sweep variant_ablation union_vs_rrf pool_sweep waterfall failure_taxonomy "

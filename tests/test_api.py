@@ -73,7 +73,7 @@ def test_compare_and_review(spark, engine):
     assert {r["doc_id"]: r["severity"] for r in overall.collect()} == {1: "critical", 2: "critical"}
 
 
-def test_documents_without_chunks_are_refused(spark):
-    docs = spark.createDataFrame([(1, "t", " \n ", "s")], "doc_id int, tenant_id string, text string, section string")
-    with pytest.raises(ValueError, match="no chunk"):
-        Engine.ingest(docs, spark.createDataFrame([], "doc_id int, role string, allow_read boolean"))
+def test_only_documents_without_chunks_are_refused(spark):
+    docs = spark.createDataFrame([(1, "t", " \n ", "s"), (2, "t", "Payment is due.", "s")], "doc_id int, tenant_id string, text string, section string")
+    engine = Engine.ingest(docs, spark.createDataFrame([], "doc_id int, role string, allow_read boolean"))
+    assert [r.doc_id for r in engine.rejected.collect()] == [1] and [r.doc_id for r in engine.documents.collect()] == [2]

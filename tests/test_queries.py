@@ -3,7 +3,7 @@ import pytest
 from docgrain.plans import registry
 from oracle import same
 
-QUERIES, SQL = registry.queries(), registry.oracle_sql()
+QUERIES, SQL = registry.queries(fixed=True), registry.oracle_sql(fixed=True)
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -18,3 +18,10 @@ def test_query_without_sql_runs(spark, small, name):
 
 def test_flagship(spark, small):
     assert registry.flagship(spark, small).count() > 0
+
+
+def test_registered_queries_read_tables(spark):
+    assert set(QUERIES) - set(registry.queries()) == set(registry.FIXED)
+    for query in registry.queries().values():
+        with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+            query(spark, "/nowhere").collect()
