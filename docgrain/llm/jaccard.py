@@ -73,8 +73,8 @@ def shingles(texts: pa.Array) -> tuple[list[int], list[np.ndarray]]:
 
 
 def bitmap(grams: np.ndarray) -> bytes:
-    """The low bits of a set's shingles, in a power of two of bits that is twice its size or more."""
-    wide = max(64, 1 << (2 * len(grams) - 1).bit_length())
+    """The low bits of a set's shingles, in a power of two of bits that is its size or more."""
+    wide = max(64, 1 << (len(grams) - 1).bit_length())
     bits = np.zeros(wide, np.uint8)
     bits[(grams & np.uint64(wide - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -209,8 +209,14 @@ def _cells(batches: Iterator[pa.RecordBatch], weight: Callable[[pa.RecordBatch],
         yield from out(pa.Table.from_batches(held).combine_chunks(), True)[0]
 
 
-def _forest(table: pa.Table, bits: list[bytes]) -> Forest:
-    return Forest(*(table.column(c).to_numpy() for c in ("cell", "comp", "n")), bits)
+def _forests(table: pa.Table, bits: list[bytes]) -> Iterator[tuple[np.ndarray, Forest]]:
+    """For each band of sizes the rows of that band and of the next, in cells as they are, and their trees."""
+    cell, comp, n = (table.column(c).to_numpy() for c in ("cell", "comp", "n"))
+    band = np.floor(np.log(n) / BAND).astype(np.int64)
+    for own in np.unique(band).tolist():
+        at = np.flatnonzero((band == own) | (band == own + 1))
+        if len(at) > 1:
+            yield at, Forest(cell[at], comp[at], n[at], [bits[i] for i in at.tolist()])
 
 
 def _with_partner(rows: DataFrame) -> DataFrame:
@@ -219,8 +225,9 @@ def _with_partner(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _cells(batches, lambda b: b.nbytes, 8 << 20):
             found = np.zeros(table.num_rows, bool)
-            for x, y in _forest(table, table.column("bits").to_pylist()).pairs():
-                found[x] = found[y] = True
+            for at, forest in _forests(table, table.column("bits").to_pylist()):
+                for x, y in forest.pairs():
+                    found[at[x]] = found[at[y]] = True
             yield from table.drop_columns(["bits"]).filter(pa.array(found)).to_batches()
 
     return _dealt(rows.select("cell", "size", "c", "comp", "n", "bits")).mapInArrow(tidy(run), "cell long, size long, c long, comp long, n long")
@@ -235,11 +242,10 @@ def _decided(rows: DataFrame) -> DataFrame:
             _, once = np.unique(np.stack([table.column("cell").to_numpy(), table.column("c").to_numpy()]), axis=1, return_index=True)
             table = table.take(pa.array(np.sort(once)))
             sets = [np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()]
-            forest = _forest(table, list(map(bitmap, sets)))
-            links = joined(forest, table.column("comp").to_numpy(), sets, table.column("cell").to_numpy())
-            c = table.column("c").to_numpy()
-            a, b = np.array(links, np.int64).reshape(-1, 2).T
-            yield pa.RecordBatch.from_pydict({"a": c[a], "b": c[b]})
+            c, comp, cell = (table.column(x).to_numpy() for x in ("c", "comp", "cell"))
+            for at, forest in _forests(table, list(map(bitmap, sets))):
+                a, b = np.array(joined(forest, comp[at], [sets[i] for i in at.tolist()], cell[at]), np.int64).reshape(-1, 2).T
+                yield pa.RecordBatch.from_pydict({"a": c[at[a]], "b": c[at[b]]})
 
     return _dealt(rows.select("cell", "size", "c", "comp", "n", "grams")).mapInArrow(tidy(run), "a long, b long")
 
@@ -274,29 +280,41 @@ def hashed(docs: DataFrame, sims: bool = False) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "row", "text").mapInArrow(tidy(run), schema)
 
 
-def neighbours(rows: DataFrame) -> DataFrame:
-    """Of rows (key, c) sorted within partitions those whose key one next to them has, and the first and last of a partition."""
+def live(rows: DataFrame, tokens: int, most: int) -> DataFrame:
+    """Of rows (key, comp, c, n), sorted within partitions, those whose key has two parts or more, and whether so many that they
+    make a large bucket. A partition's first and last key, which others may have too, count as such."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: pa.RecordBatch | None = None
-        before: int | None = None  # the key before the last row; none at a partition's begin, where the next partition counts
-
-        def out(table: pa.RecordBatch, after: int | None) -> pa.RecordBatch:
-            key = table.column("key").to_numpy()
-            same = np.concatenate([[before is None or before == key[0]], key[1:] == key[:-1], [after is None or after == key[-1]]])
-            return table.filter(pa.array(same[1:] | same[:-1]))
+        held: list[pa.RecordBatch] = []
+        size, first = 0, True
+
+        def out(final: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, size, first
+            table = pa.Table.from_batches(held).combine_chunks()
+            key, comp, n = (table.column(c).to_numpy() for c in ("key", "comp", "n"))
+            at = np.flatnonzero(np.diff(key, prepend=~key[0]) != 0)
+            group = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(key))))
+            parts, k, total = np.maximum.reduceat(comp, at) > np.minimum.reduceat(comp, at), np.bincount(group), np.bincount(group, n)
+            large = (k > most) | (total > tokens)
+            edge = np.zeros(len(at), bool)
+            edge[0], edge[-1] = first, True
+            some, end = parts | edge, len(key) if final else int(at[-1])
+            keep = some[group[:end]]
+            yield from table.slice(0, end).append_column("large", pa.array((large | edge)[group[:end]])).filter(pa.array(keep)).to_batches()
+            if end:
+                first = False
+            held = table.slice(end).to_batches()
+            size = len(key) - end
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            if last is not None:
-                yield out(last, batch.column("key")[0].as_py())
-                before = last.column("key")[-1].as_py()
-            last = batch
-        if last is not None:
-            yield out(last, None)
+            held.append(batch)
+            size += batch.num_rows
+            if size >= max(1 << 16, 2 * held[0].num_rows):
+                yield from out(False)
+        if size:
+            yield from out(True)
 
-    return rows.mapInArrow(run, "key long, c long")
+    return rows.mapInArrow(tidy(run), "key long, comp long, c long, n long, large boolean")
 
 
 class Join:
@@ -362,22 +380,22 @@ class Join:
         """c, comp: the part of each class that has a link."""
         return connected(links).select(F.col("node").alias("c"), F.col("label").alias("comp"))
 
-    def _shared(self, keyed: DataFrame) -> DataFrame:
-        """key, c, n of the keys (rows: c, keys) that two classes or more share; also of some that none other has."""
-        parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        each = keyed.select(F.explode("keys").alias("key"), "c")
-        # by range of key and class, so that a key that very many share fills several partitions
-        found = neighbours(each.repartitionByRange(parts, "key", "c").sortWithinPartitions("key", "c"))
-        own = self.rows.filter("uid = c").select("c", "n")
-        return saved(found.join(own, "c"), "jaccard-shared")
-
-    def _buckets(self, shared: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Members key, band, c, comp, n of the buckets of shared, and a row for each bucket that has two parts or more."""
+    def _buckets(self, keyed: DataFrame, parts: DataFrame, tokens: int, most: int) -> tuple[DataFrame, DataFrame]:
+        """Members key, band, c, comp, n of the buckets of two parts or more of keyed (c, keys), and a row for each of these. Large
+        buckets are cut by bands of size, into which members of the next band are taken too; others have no band."""
+        spark = keyed.sparkSession
+        own = saved(self.rows.filter("uid = c").select("c", "n").join(parts, "c", "left").select("c", "n", F.coalesce("comp", "c").alias("comp")), "jaccard-comps")
+        each = keyed.join(own, "c").select(F.explode("keys").alias("key"), "comp", "c", "n")
+        # by range, so that a key that very many share fills several partitions
+        order = ["key", "comp", "c"]
+        found = each.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+        shared = saved(live(found, tokens, most), "jaccard-shared")
         band = F.floor(F.log("n") / BAND)
-        split = F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("home")), F.struct((band - 1).alias("band"), F.lit(False).alias("home"))))
-        members = shared.join(parts, "c", "left").select("key", "c", F.coalesce("comp", "c").alias("comp"), "n", split.alias("s")).select("key", "s.*", "c", "comp", "n")
-        own = members.groupBy("key", "band", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("sum"), F.bit_xor(F.xxhash64("c")).alias("f"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("g"), F.max("home").alias("home"))
-        whole = own.groupBy("key", "band").agg(
+        member = lambda x, home: F.struct(x.alias("band"), F.lit(home).alias("home"))
+        split = F.when(F.col("large"), F.array(member(band, True), member(band - 1, False))).otherwise(F.array(member(F.lit(-9).cast("long"), True)))
+        members = shared.select("key", "c", "comp", "n", F.explode(split).alias("s")).select("key", "s.*", "c", "comp", "n")
+        sums = members.groupBy("key", "band", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("sum"), F.bit_xor(F.xxhash64("c")).alias("f"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("g"), F.max("home").alias("home"))
+        whole = sums.groupBy("key", "band").agg(
             F.count("*").alias("comps"), F.max("home").alias("home"), F.sum("k").alias("k"), F.sum("sum").alias("sum"), F.bit_xor("f").alias("f"), F.bit_xor("g").alias("g"),
             F.max(F.struct("k", "sum", "comp")).alias("top"),
         )
@@ -418,12 +436,12 @@ class Join:
     def rest(self, parts: DataFrame, tokens: int = TOKENS, most: int = MEMBERS, crowded: int = CROWDED) -> DataFrame:
         """Links that join all parts (c, comp) which some link joins."""
         keyed, table = self.made.select(F.col("uid").alias("c"), "keys"), np.zeros(BITS >> 6, np.uint64)
-        members, buckets = self._buckets(self._shared(keyed), parts)
+        members, buckets = self._buckets(keyed, parts, tokens, most)
         for _ in range(MOVES):
             if not self._last(members, buckets, table, crowded * tokens, crowded * most):
                 break
             keyed = self._moved(keyed, table)
-            members, buckets = self._buckets(self._shared(keyed), parts)
+            members, buckets = self._buckets(keyed, parts, tokens, most)
         # buckets of one band and the same members are searched once
         once = buckets.groupBy("band", "k", "f", "g").agg(F.min(F.struct("key", "sum", "top")).alias("one")).select("band", "one.key", "k", "one.sum", "one.top")
         blocks = [F.greatest(F.ceil(s / tokens), F.ceil(k / most)) for s, k in ((F.col("top.sum"), F.col("top.k")), (F.col("sum") - F.col("top.sum"), F.col("k") - F.col("top.k")))]

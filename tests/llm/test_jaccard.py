@@ -145,7 +145,7 @@ def test_template_pages_below_the_bound_make_no_large_bucket(spark):
     none = spark.createDataFrame([], "c long, comp long")
     assert J.connected(join.rest(none, most=200, crowded=1)).count() == 5
     table, keyed = np.zeros(J.BITS >> 6, np.uint64), join.made.select(F.col("uid").alias("c"), "keys")
-    members, buckets = join._buckets(join._shared(keyed), none)
+    members, buckets = join._buckets(keyed, none, J.TOKENS, 200)
     assert join._last(members, buckets, table, J.TOKENS, 200)
-    _, buckets = join._buckets(join._shared(join._moved(keyed, table)), none)
+    _, buckets = join._buckets(join._moved(keyed, table), none, J.TOKENS, 200)
     assert buckets.agg(F.max("k")).first()[0] < 200
