@@ -41,6 +41,8 @@ LEADS = 1
 TOKENS, MEMBERS = 1 << 20, 4096
 #: A bucket of so many cells is crowded: its keys are put last instead of comparing its blocks two by two.
 CROWDED = 16
+#: Pairs for each member of a cell from which on they aren't told apart.
+MANY = 4
 #: Children of a node of a signature tree, and pairs of nodes that are looked at together.
 FAN, PAIRS = 4, 4096
 #: Bits of the table of shingles that come last, 1 MB; how often it may be added to.
@@ -73,8 +75,8 @@ def shingles(texts: pa.Array) -> tuple[list[int], list[np.ndarray]]:
 
 
 def bitmap(grams: np.ndarray) -> bytes:
-    """The low bits of a set's shingles, in a power of two of bits that is its size or more."""
-    wide = max(64, 1 << (len(grams) - 1).bit_length())
+    """The low bits of a set's shingles, in a power of two of bits that is twice its size or more."""
+    wide = max(64, 1 << (2 * len(grams) - 1).bit_length())
     bits = np.zeros(wide, np.uint8)
     bits[(grams & np.uint64(wide - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -220,17 +222,42 @@ def _forests(table: pa.Table, bits: list[bytes]) -> Iterator[tuple[np.ndarray, F
 
 
 def _with_partner(rows: DataFrame) -> DataFrame:
-    """The members (cell, size, c, comp, n, bits) that have a possible partner of another part in their cell, without bits."""
+    """cell, c, comp, n: what is left to compare of the members (cell, size, c, comp, n, bits), in cells by their sets.
+
+    Members of a cell with many pairs left stay together. Of others each pair is put into a cell of its smaller class, so that
+    a pair that meets in many buckets is compared once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _cells(batches, lambda b: b.nbytes, 8 << 20):
-            found = np.zeros(table.num_rows, bool)
+            cell, c = table.column("cell").to_numpy(), table.column("c").to_numpy()
+            _, number, size = np.unique(cell, return_inverse=True, return_counts=True)
+            into, member = [], []
             for at, forest in _forests(table, table.column("bits").to_pylist()):
+                count, found, kept = np.zeros(len(size), np.int64), np.zeros(len(cell), bool), []
                 for x, y in forest.pairs():
-                    found[at[x]] = found[at[y]] = True
-            yield from table.drop_columns(["bits"]).filter(pa.array(found)).to_batches()
-
-    return _dealt(rows.select("cell", "size", "c", "comp", "n", "bits")).mapInArrow(tidy(run), "cell long, size long, c long, comp long, n long")
+                    x, y = at[x], at[y]
+                    count += np.bincount(number[x], minlength=len(size))
+                    found[x] = found[y] = True
+                    few = count[number[x]] <= MANY * size[number[x]]
+                    kept.append((x[few], y[few]))
+                many = count > MANY * size
+                dense = np.flatnonzero(found & many[number])
+                into.append(cell[dense])
+                member.append(dense)
+                for x, y in kept:
+                    few = ~many[number[x]]
+                    x, y = x[few], y[few]
+                    own = -1 - np.minimum(c[x], c[y])
+                    into += [own, own]
+                    member += [x, y]
+            if member:
+                pair = np.unique(np.stack([np.concatenate(into), np.concatenate(member)]), axis=1)
+                part = table.select(["c", "comp", "n"]).take(pa.array(pair[1]))
+                yield from part.add_column(0, "cell", pa.array(pair[0])).combine_chunks().to_batches()
+
+    found = _dealt(rows.select("cell", "size", "c", "comp", "n", "bits")).mapInArrow(tidy(run), "cell long, c long, comp long, n long")
+    return found.dropDuplicates(["cell", "c"]).withColumn("size", F.lit(0).cast("long"))
 
 
 def _decided(rows: DataFrame) -> DataFrame:
