@@ -36,6 +36,7 @@ SIGNALS = (
     "insufficient_evidence", "insufficient evidence", "not contain information", "does not contain information", "do not specify or mention", "does not specify or mention", "cannot be determined from the provided",
     "no mention of", "not mentioned in the provided", "not found in the provided", "neither contract mentions", "the provided contract does not", "the provided excerpts do not", "information is not present",
 )
+# Fixed value: how an answer names a numbered place.
 REFERENCE = r"(?i)\[(?:Reference|Document Reference|Source Block)\s*(\d+)\]"
 
 

@@ -166,6 +166,11 @@ def chunk_documents(docs: DataFrame, version: int = 1, child: int = CHILD_TOKENS
     return parents, children.select(cid.alias("chunk_id"), "doc_id", "parent_id", F.array("section").alias("section_path"), "text", token_estimate(F.col("text")).alias("token_count"), "refs")
 
 
+# Characters below which a page has too few, the share of unprintable ones that is too much, and characters
+# below which a page with pictures has too few.
+FEW_CHARS, ODD_SHARE, PICTURE_CHARS = 40, 0.15, 150
+
+
 def ocr_gate(area: Column, chars: Column, odd_ratio: Column, images: Column) -> Column:
     """Why a page needs OCR, or native: no area, few characters, many unprintable ones, or pictures with little text."""
-    return F.when(area <= 0, "no_area").when(chars < 40, "few_chars").when(odd_ratio > 0.15, "unprintable").when((images >= 1) & (chars < 150), "image_with_little_text").otherwise("native")
+    return F.when(area <= 0, "no_area").when(chars < FEW_CHARS, "few_chars").when(odd_ratio > ODD_SHARE, "unprintable").when((images >= 1) & (chars < PICTURE_CHARS), "image_with_little_text").otherwise("native")

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.chunking import markdown_paragraphs
+from ..operators.chunking import FEW_CHARS, ODD_SHARE, PICTURE_CHARS, markdown_paragraphs
 from ..session import ship
 from .semi import _leaves
 
@@ -48,7 +48,7 @@ def _docx(content: bytes) -> Iterator[tuple]:
         yield "table", "\n".join("| " + " | ".join(r) + " |" for r in cells), 1, list(section), cells
 
 
-#: How a heading of a page begins; characters of a whole file below which its text isn't taken for all there is.
+#: How a heading of a page begins; characters of a whole file below which its text isn't taken for all there is.
 PAGE_HEADING, LEAST_CHARS = re.compile(r"(Article|Section|Clause|Chapter|Part|\d+\.|\d+\.\d+)", re.I), 100
 
 
@@ -69,7 +69,7 @@ def page_blocks(pages: Iterator[tuple[int, list[tuple]]]) -> Iterator[tuple]:
 def needs_ocr(area: float, text: str, images: int) -> bool:
     """Whether a page's own text won't do: the rules of chunking.ocr_gate()."""
     odd = sum(not c.isprintable() and not c.isspace() for c in text) / max(len(text), 1)
-    return area <= 0 or len(text) < 40 or odd > 0.15 or (images >= 1 and len(text) < 150)
+    return area <= 0 or len(text) < FEW_CHARS or odd > ODD_SHARE or (images >= 1 and len(text) < PICTURE_CHARS)
 
 
 def scanned(pages: list[tuple[int, float, int, list[tuple]]], ocr: Callable[[int], str] | None) -> list[tuple[int, list[tuple]]]:
