@@ -344,6 +344,20 @@ def live(rows: DataFrame, tokens: int, most: int) -> DataFrame:
     return rows.mapInArrow(tidy(run), "key long, comp long, c long, n long, large boolean")
 
 
+def bit_table(rows: DataFrame, column: str) -> DataFrame:
+    """cell, bits: the low bits of a column of hashes as a bit table of BITS bits, in BITS / 64 rows at most."""
+    slot = rows.select(F.col(column).bitwiseAND(F.lit(BITS - 1)).alias("slot"))
+    return slot.groupBy(F.shiftright("slot", 6).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, int(slot & 63))")).alias("bits"))
+
+
+def marked(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """Rows whose hash may be among those wanted: all that are, and some others. The table that is broadcast has a fixed size."""
+    table = F.broadcast(bit_table(wanted, column))
+    own = F.col(column)
+    held = rows.withColumn("cell", F.shiftright(own.bitwiseAND(F.lit(BITS - 1)), 6)).join(table, "cell")
+    return held.filter(F.getbit("bits", own.bitwiseAND(F.lit(63)).cast("int")) == 1).select(*rows.columns)
+
+
 class Join:
     """The classes of docs (doc_id, text as bytes, row: a hash of both) and the links between them.
 
@@ -364,7 +378,7 @@ class Join:
 
     def _texts(self, c: DataFrame, each: Callable[[np.ndarray], bytes | np.ndarray], kind: str) -> DataFrame:
         """c and what each() gives for the sorted set of the classes c; more than once for rows repeated whole."""
-        # saved, so that its size is known when texts are joined: few classes are broadcast and no text is shuffled
+        # saved, as it is read twice: which texts can be wanted is told by a bit table before any text is shuffled
         own = saved(self.made.select(F.col("uid").alias("c"), "digest", "row").join(c, "c"), "jaccard-wanted")
         arrow = pa.binary() if kind == "binary" else pa.list_(pa.int64())
 
@@ -381,7 +395,7 @@ class Join:
                     given.update(own.to_pylist())
                     yield pa.RecordBatch.from_arrays([own, pa.array([each(sets[i]) for i in same], arrow)], ["c", "x"])
 
-        return self.docs.select("row", "text").join(own, "row").select("c", "digest", "text").mapInArrow(tidy(run), f"c long, x {kind}")
+        return marked(self.docs.select("row", "text"), own, "row").join(own, "row").select("c", "digest", "text").mapInArrow(tidy(run), f"c long, x {kind}")
 
     def decide(self, cells: DataFrame) -> DataFrame:
         """a, b: links between members (cell, size, c, comp, n) of different parts of a cell; enough of them to join all parts that are linked."""
@@ -437,8 +451,7 @@ class Join:
         there = saved(members.join(large, ["key", "band"]).filter("comp <> main").select("c", "n").distinct(), "jaccard-crowded")
         every = self._texts(there.select("c"), lambda x: x.view(np.int64), "array<long>").join(there, "c").select(F.explode("x").alias("x"), "n")
         often = every.groupBy("x").agg(F.count("*").alias("k"), F.sum("n").alias("sum")).filter((F.col("k") > most) | (F.col("sum") > tokens))
-        slot = often.select(F.col("x").bitwiseAND(F.lit(BITS - 1)).alias("slot"))
-        got = slot.groupBy(F.shiftright("slot", 6).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, int(slot & 63))")).alias("bits")).toArrow()  # BITS / 64 rows at most
+        got = bit_table(often, "x").toArrow()
         at, bits = got.column("cell").to_numpy(), got.column("bits").to_numpy().view(np.uint64)
         new = bool((bits & ~table[at]).any())
         table[at] |= bits
