@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .functions.scores import jaccard, overlap
 from .functions.text import tokens
 from .operators import access, answering, bm25, chunking, dense, fusion, risk
+from .operators.textvec import TextModel
 from .session import saved
 
 
@@ -48,12 +49,15 @@ class Engine:
         self.reranker = reranker or (lambda q, t: overlap(tokens(q), tokens(t)))
 
     @classmethod
-    def ingest(cls, documents: DataFrame, acl: DataFrame, embed: Callable[[Column], Column] | None = None, **options: object) -> Engine:
-        """Chunks documents (doc_id, tenant_id, text, section) and, with an embedding function, makes their vectors.
+    def ingest(cls, documents: DataFrame, acl: DataFrame, embed: Callable[[Column], Column] | TextModel | None = None, **options: object) -> Engine:
+        """Chunks documents (doc_id, tenant_id, text, section) and, with an embedding function or a fitted TextModel, makes their vectors.
         Documents without a chunk aren't taken, as nothing of them could be found; they are in `rejected`."""
         parents, children = chunking.chunk_documents(documents)
         with_chunks = children.select("doc_id").distinct()
-        vectors = children.select("chunk_id", embed(F.col("text")).alias("vec")) if embed else None
+        if isinstance(embed, TextModel):
+            vectors = embed.embed(children.select("chunk_id", "text"))
+        else:
+            vectors = children.select("chunk_id", embed(F.col("text")).alias("vec")) if embed else None
         engine = cls(documents.join(with_chunks, "doc_id", "left_semi"), acl, parents, children, vectors, **options)
         engine.rejected = documents.join(with_chunks, "doc_id", "left_anti")
         return engine

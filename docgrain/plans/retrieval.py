@@ -10,7 +10,9 @@ from ..functions.scores import jaccard
 from ..functions.text import tokens
 from ..operators import access, answering, bm25, dense, fusion
 from ..operators.ann import IvfIndex
+from ..operators.evaluation import per_query, summary
 from ..operators.postings import PostingIndex
+from ..operators.textvec import TextModel
 from ..session import saved, table
 from .common import ASK_SQL, CHUNK_SQL, FUSED_SQL, GOLD_SQL, POSITIVE_SQL, SCORE_SQL, Lists, chunks, tok_sql
 
@@ -125,6 +127,40 @@ SELECT query_id, round(avg(score) FILTER (WHERE ql = cl), 4) AS mean_same, round
   round(max(score) FILTER (WHERE rank = 1) - max(score) FILTER (WHERE rank = 2), 6) AS margin FROM r GROUP BY query_id"""
 
 
+def _text_model(lists: Lists) -> tuple[TextModel, DataFrame]:
+    """The model of all documents, and their vectors."""
+    docs = table(lists.spark, lists.d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    model = TextModel.fit(docs)
+    return model, saved(model.embed(docs), "text-vectors")
+
+
+def _asked(lists: Lists, model: TextModel) -> DataFrame:
+    return model.embed(lists.questions.select(F.col("query_id").alias("chunk_id"), "text")).select(F.col("chunk_id").alias("query_id"), F.col("vec").alias("query_vec"))
+
+
+def text_vector_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The documents whose text vector is closest to that of each question."""
+    lists = Lists(spark, d)
+    model, vectors = _text_model(lists)
+    return dense.search(_asked(lists, model), vectors, 10)
+
+
+def text_vector_compare(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics against the gold of all questions for vectors of all directions of the model, for its first 16, and for both lists
+    fused with BM25."""
+    lists = Lists(spark, d)
+    model, vectors = _text_model(lists)
+    asked, out = saved(_asked(lists, model), "text-questions"), None
+    for size in (len(model.values), 16):
+        cut = lambda c, n=size: F.slice(c, 1, n).alias(c)
+        found = saved(dense.search(asked.select("query_id", cut("query_vec")), vectors.select("chunk_id", cut("vec")), 20), "text-list")
+        fused = fusion.reciprocal_rank(found, lists.sparse)
+        for name, ranked in ((f"svd_{size}", found), (f"svd_{size}_bm25", fused)):
+            own = summary(per_query(ranked, lists.gold, lists.questions, (1, 5, 10, 20))).withColumn("model", F.lit(name))
+            out = own if out is None else out.unionAll(own)
+    return out
+
+
 def semantic_cache_lookup(spark: SparkSession, d: str) -> DataFrame:
     """The closest unexpired entry (label 3 counts as expired) of each look-up, if it is close enough."""
     vectors = _vectors(spark, d)
@@ -235,6 +271,8 @@ QUERIES = {
     "dense_cosine_topk": (dense_cosine_topk, DENSE_COSINE_TOPK),
     "dense_ann_topk": (dense_ann_topk, None),
     "ann_recall": (ann_recall, None),
+    "text_vector_topk": (text_vector_topk, None),
+    "text_vector_compare": (text_vector_compare, None),
     "dense_blocks_topk": (dense_blocks_topk, DENSE_BLOCKS_TOPK),
     "dense_margin_stats": (dense_margin_stats, DENSE_MARGIN_STATS),
     "semantic_cache_lookup": (semantic_cache_lookup, SEMANTIC_CACHE_LOOKUP),
