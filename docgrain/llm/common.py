@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import gc
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,9 +11,9 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import fresh, saved, ship, work_dir
+from ..session import fresh, saved, small_batches, tidy, work_dir
 
-__all__ = ["fresh", "saved", "work_dir"]
+__all__ = ["fresh", "saved", "small_batches", "tidy", "work_dir"]
 
 #: White space of the word rule `[^\x20\x09-\x0D]+`, as bytes.
 WORD_SPACE = b" \t\n\x0b\x0c\r"
@@ -47,12 +45,6 @@ def discard(spark: SparkSession, path: str) -> None:
     store.delete(where, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bound the rows of an Arrow batch, so that long texts don't fill a Python worker; and give executors the package."""
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -94,17 +86,3 @@ def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of steps whose results are saved: it does so when the driver collects garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-
-
-def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run, for mapInArrow, that gives freed memory back at its end: workers are kept for later tasks of other kinds."""
-
-    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            yield from run(batches)
-        finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL(None).malloc_trim(0)
-
-    return wrapped

@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.text import tokens
-from ..session import fresh, saved, ship
+from ..session import fresh, pieces, saved, small_batches, tidy
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Queries whose terms are broadcast together.
 BLOCK = 2000
+#: Tokens that a task looks at together, and scores that it makes at once, however long the texts and however many the queries.
+TOKENS, CELLS = 1 << 17, 1 << 20
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -111,7 +113,7 @@ class Index:
         by chunk_id. By default a score that isn't positive becomes 0.1 for each distinct shared term and chunks without one
         are left out; keep_zero ranks every chunk of the query's scope instead, as scored.
         """
-        ship(self.spark)
+        small_batches(self.spark)
         cut = self.tokens()
         asked = queries.select("query_id", "scope", tokens(F.col("text")).alias("t"))
         n_blocks = max(1, -(-asked.count() // block))
@@ -129,7 +131,7 @@ class Index:
             plain = own.select("query_id", "scope").distinct().toArrow()
             if plain.num_rows:
                 model = self.spark.sparkContext.broadcast(_Block(plain, weighed))
-                found = cut.mapInArrow(_scorer(model, k, keep_zero, k1, b), schema)
+                found = cut.mapInArrow(tidy(_scorer(model, k, keep_zero, k1, b)), schema)
                 out = found if out is None else out.unionAll(found)
         if out is None:
             out = self.spark.createDataFrame([], schema)
@@ -169,48 +171,105 @@ def _matrix(names: list[str], own: dict[str, list[tuple[int, float]]], n: int) -
 
 
 def _scorer(model: object, k: int, keep_zero: bool, k1: float, b: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = model.value
-        for batch in batches:
-            scopes = batch.column("scope").to_pylist()
-            names = batch.column("chunk_id")
-            listed = batch.column("t")
-            length = pc.fill_null(pc.list_value_length(listed), 0).to_numpy(zero_copy_only=False).astype(np.float64)
-            coded = listed.flatten().dictionary_encode()
-            words, number = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-            row_of = np.repeat(np.arange(len(scopes)), length.astype(np.int64))
-            order = np.empty(len(scopes), np.int64)  # of chunk ids, for ties
-            order[np.array(sorted(range(len(scopes)), key=names.to_pylist().__getitem__), np.int64)] = np.arange(len(scopes))
-            by_scope: dict[object, list[int]] = {}
-            for i, s in enumerate(scopes):
-                if s in block.queries:
-                    by_scope.setdefault(s, []).append(i)
-            for scope, rows in by_scope.items():
-                asked, mine = block.queries[scope], np.array(rows)
-                score, hits = np.zeros((len(asked), len(mine))), np.zeros((len(asked), len(mine)), np.int64)
-                if scope in block.weights:
-                    numbers, at, who, weight = block.weights[scope]
-                    place = np.full(len(scopes), -1)
-                    place[mine] = np.arange(len(mine))
-                    term = np.array([numbers.get(w, -1) for w in words], np.int64)[number] if len(words) else np.zeros(0, np.int64)
-                    there = np.flatnonzero((term >= 0) & (place[row_of] >= 0))
-                    pair, tf = np.unique(place[row_of[there]] * np.int64(len(numbers)) + term[there], return_counts=True)
-                    row, term = pair // max(len(numbers), 1), pair % max(len(numbers), 1)
-                    part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[mine[row]] / block.avgdl[scope]))
-                    n = at[term + 1] - at[term]
-                    which = np.arange(int(n.sum())) + np.repeat(at[term] - (np.cumsum(n) - n), n)
-                    cell = who[which] * len(mine) + np.repeat(row, n)
-                    score = np.round(np.bincount(cell, np.repeat(part, n) * weight[which], score.size).astype(np.float64), 6).reshape(score.shape)  # an empty count is of integers
-                    hits = np.bincount(cell, minlength=score.size).reshape(score.shape)
+    def scored(block: _Block, batch: pa.RecordBatch) -> Iterator[tuple[object, np.ndarray, np.ndarray, np.ndarray]]:
+        """scope, query, row and score of the k best rows of a batch for each query."""
+        scopes = batch.column("scope").to_pylist()
+        listed = batch.column("t")
+        length = pc.fill_null(pc.list_value_length(listed), 0).to_numpy(zero_copy_only=False).astype(np.float64)
+        coded = listed.flatten().dictionary_encode()
+        words, number = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        row_of = np.repeat(np.arange(len(scopes)), length.astype(np.int64))
+        order = np.empty(len(scopes), np.int64)  # of chunk ids, for ties
+        order[np.array(sorted(range(len(scopes)), key=batch.column("chunk_id").to_pylist().__getitem__), np.int64)] = np.arange(len(scopes))
+        by_scope: dict[object, list[int]] = {}
+        for i, s in enumerate(scopes):
+            if s in block.queries:
+                by_scope.setdefault(s, []).append(i)
+        for scope, rows in by_scope.items():
+            asked, mine = block.queries[scope], np.array(rows)
+            row = term = n = np.zeros(0, np.int64)
+            part = np.zeros(0)
+            if scope in block.weights:
+                numbers, at, who, weight = block.weights[scope]
+                place = np.full(len(scopes), -1)
+                place[mine] = np.arange(len(mine))
+                term = np.array([numbers.get(w, -1) for w in words], np.int64)[number] if len(words) else term
+                there = np.flatnonzero((term >= 0) & (place[row_of] >= 0))
+                pair, tf = np.unique(place[row_of[there]] * np.int64(len(numbers)) + term[there], return_counts=True)
+                row, term = pair // max(len(numbers), 1), pair % max(len(numbers), 1)
+                part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[mine[row]] / block.avgdl[scope]))
+                n = at[term + 1] - at[term]
+            # rows that make CELLS scores at most, or one; a row makes no more than the queries have terms
+            upto = np.concatenate([[0], np.cumsum(np.bincount(row, n, len(mine)))])
+            first = 0
+            while first < len(mine):
+                last = int(np.searchsorted(upto, upto[first] + CELLS, "right")) - 1
+                last = min(max(last, first + 1), first + max(1, CELLS // len(asked)), len(mine))
+                own = slice(*np.searchsorted(row, [first, last]))
+                shape = len(asked), last - first
+                score, hits = np.zeros(shape), np.zeros(shape, np.int64)
+                if own.stop > own.start:
+                    m = n[own]
+                    which = np.arange(int(m.sum())) + np.repeat(at[term[own]] - (np.cumsum(m) - m), m)
+                    cell = who[which] * shape[1] + np.repeat(row[own] - first, m)
+                    score = np.round(np.bincount(cell, np.repeat(part[own], m) * weight[which], score.size).astype(np.float64), 6).reshape(shape)
+                    hits = np.bincount(cell, minlength=score.size).reshape(shape)
                 if not keep_zero:
                     score = np.where(score <= 0, np.round(0.1 * hits, 6), score)
                     score[score <= 0] = -np.inf
-                q, c = best(score, order[mine], k)
-                yield pa.RecordBatch.from_arrays([pa.array([asked[i] for i in q.tolist()], block.kind), names.take(pa.array(mine[c])), pa.array(score[q, c])], ["query_id", "chunk_id", "score"])
+                q, c = best(score, order[mine[first:last]], k)
+                yield scope, q, mine[first:last][c], score[q, c]
+                first = last
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = model.value
+        held: dict[object, Best] = {}
+        for whole in batches:
+            for batch in pieces(whole, "t", TOKENS):
+                for scope, q, row, score in scored(block, batch):
+                    held.setdefault(scope, Best(len(block.queries[scope]), k)).add(q, score, batch.column("chunk_id").take(pa.array(row)))
+        for scope, own in held.items():
+            q, score, names = own.rows()
+            asked = block.queries[scope]
+            if len(q):
+                yield pa.RecordBatch.from_arrays([pa.array([asked[i] for i in q.tolist()], block.kind), names, pa.array(score)], ["query_id", "chunk_id", "score"])
 
     return run
 
 
+class Best:
+    """The k best rows of each of n queries among all that a task has met, ties by name: what a task holds doesn't grow with its rows."""
+
+    def __init__(self, n: int, k: int):
+        self.n, self.k, self.limit, self.size = n, k, 4 * n * k + 1024, 0
+        self.held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
+        self.floor = np.full(n, -np.inf)  # what k rows reach
+
+    def add(self, q: np.ndarray, score: np.ndarray, names: pa.Array) -> None:
+        some = score >= self.floor[q]
+        if some.any():
+            self.held.append((q[some], score[some], names.filter(pa.array(some))))
+            self.size += int(some.sum())
+        if self.size > self.limit:
+            self.held = [self.rows()]
+            q, score, _ = self.held[0]
+            self.size = len(q)
+            last = np.flatnonzero(np.bincount(q, minlength=self.n)[q] == self.k)
+            self.floor[q[last]] = np.inf
+            np.minimum.at(self.floor, q[last], score[last])
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Query, score and name of the rows that are left, by query, best first."""
+        if not self.held:
+            return np.zeros(0, np.int64), np.zeros(0), pa.nulls(0)
+        q, score = (np.concatenate([h[i] for h in self.held]) for i in (0, 1))
+        names = pa.concat_arrays([h[2] for h in self.held])
+        place = pc.rank(names, "ascending", tiebreaker="dense").to_numpy().astype(np.int64)
+        order = np.lexsort((place, -score, q))
+        keep = order[np.arange(len(order)) - np.searchsorted(q[order], q[order]) < self.k]
+        return q[keep], score[keep], names.take(pa.array(keep))
+
+
 def best(s: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and column of the k best of each row of s, ties by own; -inf never counts."""
     if s.shape[1] > k:

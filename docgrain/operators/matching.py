@@ -19,10 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import saved, ship
+from ..session import pieces as parts
+from ..session import saved, small_batches, tidy
 
 #: Characters of the passages that make an automaton.
 BLOCK = 4 << 20
+#: Bytes of the texts that a task holds as strings at once.
+TEXTS = 4 << 20
 _AUTOMATA: dict[str, tuple] = {}
 
 
@@ -53,7 +56,7 @@ def _numbered(patterns: DataFrame) -> DataFrame:
 def _searched(texts: DataFrame, key: str, patterns: DataFrame, find: Callable[[str, dict[int, str], str], Iterator[tuple]], columns: list[str]) -> DataFrame:
     """key, number and what find(text, passages by number, name of the block) gives besides a passage's number, for every text."""
     spark = texts.sparkSession
-    ship(spark)
+    small_batches(spark)
     schema = T.StructType([T.StructField(key, texts.schema[key].dataType), T.StructField("number", T.LongType())] + [T.StructField(n, T.LongType()) for n in columns])
     rows = texts.filter("text is not null").select(key, "text")
     out = None
@@ -63,7 +66,7 @@ def _searched(texts: DataFrame, key: str, patterns: DataFrame, find: Callable[[s
         name = uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch], held: object = held, name: str = name) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (part for whole in batches for part in parts(whole, "text", TEXTS)):
                 at, found = [], []
                 for i, text in enumerate(batch.column("text").to_pylist()):
                     for row in find(text, held.value, name):
@@ -72,7 +75,7 @@ def _searched(texts: DataFrame, key: str, patterns: DataFrame, find: Callable[[s
                 values = list(zip(*found, strict=True)) or [()] * (1 + len(columns))
                 yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(at, pa.int64())), *(pa.array(v, pa.int64()) for v in values)], [key, "number", *columns])
 
-        part = rows.mapInArrow(run, schema)
+        part = rows.mapInArrow(tidy(run), schema)
         out = part if out is None else out.unionAll(part)
     return out if out is not None else spark.createDataFrame([], schema)
 

@@ -17,12 +17,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions.text import tokens
-from ..session import saved, ship
+from ..session import pieces, saved, small_batches, tidy
 
 #: Slots of the hashed terms; directions kept and further ones that are carried along; passes over the texts.
 WIDTH, RANK, EXTRA, PASSES = 1 << 14, 64, 16, 4
 #: Slots that are added up together, and numbers that a task multiplies at once.
 SLAB, ENTRIES = 256, 1 << 15
+#: Terms of the texts that a task looks at together.
+TERMS = 1 << 17
 
 
 def slots(texts: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -74,7 +76,7 @@ class TextModel:
     def fit(cls, texts: DataFrame, rank: int = RANK, width: int = WIDTH, passes: int = PASSES, seed: int = 42) -> TextModel:
         """The model of all texts (chunk_id, text). Texts without terms count for nothing; without any others all vectors are zero."""
         spark = texts.sparkSession
-        ship(spark)
+        small_batches(spark)
         own = saved(slots(texts, width).filter(F.size("slots") > 0), "text-slots")
         slot = F.explode(F.array_distinct(F.transform("slots", lambda x: F.floor(x / 2).cast("int"))))
         seen = own.select(slot.alias("slot")).groupBy("slot").agg(F.count("*").alias("df")).toArrow()  # width rows at most
@@ -102,7 +104,7 @@ class TextModel:
             idf, q = held.value
             total, touched = np.zeros_like(q), np.zeros(-(-len(q) // SLAB), bool)
             lot = 0
-            for batch in batches:
+            for batch in (part for whole in batches for part in pieces(whole, "slots", TERMS)):
                 row, slot, w = weighted(batch.column("slots"), idf)
                 lot = (lot * 31 + batch.num_rows + int(slot.sum())) % (1 << 31)
                 touched[slot // SLAB] = True
@@ -116,7 +118,7 @@ class TextModel:
             for i in slabs.tolist():
                 yield pa.RecordBatch.from_pydict({"slab": pa.array([i], pa.int32()), "lot": pa.array([lot % groups], pa.int32()), "part": pa.array([total[i * SLAB : (i + 1) * SLAB].tobytes()], pa.binary())})
 
-        parts = own.select("slots").coalesce(tasks).mapInArrow(run, "slab int, lot int, part binary")
+        parts = own.select("slots").coalesce(tasks).mapInArrow(tidy(run), "slab int, lot int, part binary")
         got = _added(_added(parts, ["slab", "lot"]), ["slab"]).toArrow()  # one row a slab
         out = np.zeros_like(q)
         for i, part in zip(got.column("slab").to_pylist(), got.column("part").to_pylist(), strict=True):
@@ -126,13 +128,13 @@ class TextModel:
     def embed(self, texts: DataFrame) -> DataFrame:
         """chunk_id, vec of every text (chunk_id, text); a text without terms has a zero vector."""
         spark = texts.sparkSession
-        ship(spark)
+        small_batches(spark)
         held = spark.sparkContext.broadcast((self.idf, self.directions))
         schema = StructType([texts.schema["chunk_id"], StructField("vec", ArrayType(DoubleType()))])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             idf, directions = held.value
-            for batch in batches:
+            for batch in (part for whole in batches for part in pieces(whole, "slots", TERMS)):
                 out = np.zeros((batch.num_rows, directions.shape[1]))
                 row, slot, w = weighted(batch.column("slots"), idf)
                 for part, first, y in _product(row, slot, w, directions):
@@ -140,4 +142,4 @@ class TextModel:
                 ends = np.arange(batch.num_rows + 1, dtype=np.int32) * directions.shape[1]
                 yield pa.RecordBatch.from_arrays([batch.column("chunk_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()))], ["chunk_id", "vec"])
 
-        return slots(texts, len(self.idf)).mapInArrow(run, schema)
+        return slots(texts, len(self.idf)).mapInArrow(tidy(run), schema)

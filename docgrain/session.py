@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +33,39 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Bound the rows of an Arrow batch, so that long texts don't fill a Python worker; and give executors the package."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def pieces(batch: pa.RecordBatch, column: str, limit: int, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch that hold limit characters' bytes or list items of a column at most, or one row; and at most so many rows."""
+    size = pc.binary_length if pa.types.is_string(batch.column(column).type) or pa.types.is_binary(batch.column(column).type) else pc.list_value_length
+    start = total = 0
+    for i, n in enumerate(pc.fill_null(size(batch.column(column)), 0).to_pylist()):
+        if i > start and (total + n > limit or i - start >= rows):
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow, that gives freed memory back at its end: workers are kept for later tasks of other kinds."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def session(app: str = "docgrain", **conf: str) -> SparkSession:
     """An adaptive session in UTC; conf overrides or adds settings (dots as double underscores)."""
     settings = {
