@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ..session import ship
-from .bm25 import best
+from ..session import saved, small_batches, tidy
+from .bm25 import Best, best
 
 #: Queries that go over the vectors together.
 BLOCK = 1000
+#: Queries that the driver passes on at once, for a pass over the vectors; similarities that a task makes at once.
+GROUP, CELLS = 1 << 14, 1 << 21
 
 
 def _ranked(scored: DataFrame, k: int) -> DataFrame:
@@ -38,12 +40,34 @@ def _blocks(queries: DataFrame, block: int) -> Iterator[tuple[pa.Table, np.ndarr
     """Queries (query_id, query_vec, ..) in blocks, and their vectors at length 1 (a zero vector stays zero)."""
     n_blocks = max(1, -(-queries.count() // block))
     dealt = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)))
+    if n_blocks > 1:  # the files of a block hold no other
+        dealt = saved(dealt.repartitionByRange(n_blocks, "_block"), "dense-queries")
     for number in range(n_blocks):
         part = dealt.filter(F.col("_block") == number).drop("_block").toArrow()
         if part.num_rows:
             yield part, unit(part["query_vec"].to_pylist())
 
 
+def _slabs(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Vectors put together, so many that a block of queries makes CELLS similarities with them, and the same at length 1."""
+    rows, held, n = max(1, CELLS // max(1, block)), [], 0
+    rows = min(rows, 1 << 13)
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield from _cut(held, rows)
+            held, n = [], 0
+    yield from _cut(held, rows)
+
+
+def _cut(held: list[pa.RecordBatch], rows: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    for batch in pa.Table.from_batches(held).combine_chunks().to_batches(rows) if held else ():
+        if batch.num_rows:
+            vec = batch.column("vec").flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, -1)
+            yield batch, unit(vec)
+
+
 def unit(rows: list) -> np.ndarray:
     v = np.array(rows, np.float64)
     n = np.sqrt((v * v).sum(1, keepdims=True))
@@ -57,30 +81,34 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 20, block: int = BLO
     others_only leaves a query's own id out. If both have a column `scope`, a query meets the vectors of its scope only. Null
     vectors, those that hold a null or no finite number, and those of another length than most queries have take no part.
     """
-    ship(queries.sparkSession)
+    small_batches(queries.sparkSession)
     size = width(queries, "query_vec")
     queries, vectors = sound(queries, "query_vec", size or 0), sound(vectors, "vec", size or 0)
     scoped = ["scope"] if "scope" in queries.columns and "scope" in vectors.columns else []
     schema = StructType([StructField("query_id", queries.schema["query_id"].dataType), StructField("chunk_id", vectors.schema["chunk_id"].dataType), StructField("score", DoubleType())])
     out = None
-    for part, q in _blocks(queries.select("query_id", "query_vec", *scoped), block):
-        ids, kind = np.array(part["query_id"].to_pylist()), part["query_id"].type
-        mine = np.array(part["scope"].to_pylist(), object) if scoped else None
-
-        def run(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, q: np.ndarray = q, kind: pa.DataType = kind, mine: np.ndarray | None = mine) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                s = np.round(q @ unit(batch.column("vec").to_pylist()).T, 6)
-                if mine is not None:
-                    s[mine[:, None] != np.array(batch.column("scope").to_pylist(), object)] = -np.inf
-                own = np.array(batch.column("chunk_id").to_pylist())
-                if others_only:
-                    s[ids[:, None] == own] = -np.inf
-                row, column = best(s, own, k)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row], kind), batch.column("chunk_id").take(pa.array(column)), pa.array(s[row, column])], ["query_id", "chunk_id", "score"])
+    for part, q in _blocks(queries.select("query_id", "query_vec", *scoped), max(block, GROUP)):
+        held = queries.sparkSession.sparkContext.broadcast((np.array(part["query_id"].to_pylist()), part["query_id"].type, q, np.array(part["scope"].to_pylist(), object) if scoped else None))
 
-        found = vectors.select("chunk_id", "vec", *scoped).mapInArrow(run, schema)
+        def run(batches: Iterator[pa.RecordBatch], held: object = held) -> Iterator[pa.RecordBatch]:
+            ids, kind, q, mine = held.value
+            found = Best(len(ids), k)
+            for batch, v in _slabs(batches, block):
+                own = np.array(batch.column("chunk_id").to_pylist())
+                scopes = np.array(batch.column("scope").to_pylist(), object) if mine is not None else None
+                for a in range(0, len(ids), block):
+                    s = np.round(q[a : a + block] @ v.T, 6)
+                    if mine is not None:
+                        s[mine[a : a + block, None] != scopes] = -np.inf
+                    if others_only:
+                        s[ids[a : a + block, None] == own] = -np.inf
+                    row, column = best(s, own, k)
+                    found.add(a + row, s[row, column], batch.column("chunk_id").take(pa.array(column)))
+            row, score, names = found.rows()
+            if len(row):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row], kind), names, pa.array(score)], ["query_id", "chunk_id", "score"])
+
+        found = vectors.select("chunk_id", "vec", *scoped).mapInArrow(tidy(run), schema)
         out = found if out is None else out.union(found)
     if out is None:
         out = queries.sparkSession.createDataFrame([], schema)
@@ -91,27 +119,32 @@ def margins(queries: DataFrame, vectors: DataFrame, block: int = BLOCK) -> DataF
     """query_id, mean_same, mean_other, top, margin: of each query (query_id, query_vec, label) over the vectors (chunk_id, vec,
     label) of other ids: the mean similarity to those of its label and of others, the highest one and its lead. Vectors take
     part as in search()."""
-    ship(queries.sparkSession)
+    small_batches(queries.sparkSession)
     size = width(queries, "query_vec")
     queries, vectors = sound(queries, "query_vec", size or 0), sound(vectors, "vec", size or 0)
     schema = "query_id long, same double, n_same long, other double, n_other long, top double, next double"
     out = None
-    for part, q in _blocks(queries.select("query_id", "query_vec", "label"), block):
-        ids, labels = np.array(part["query_id"].to_pylist()), np.array(part["label"].to_pylist())
-
-        def run(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, q: np.ndarray = q, labels: np.ndarray = labels) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                s = np.round(q @ unit(batch.column("vec").to_pylist()).T, 6)
-                others = ids[:, None] != np.array(batch.column("chunk_id").to_pylist())
-                same = (labels[:, None] == np.array(batch.column("label").to_pylist())) & others
-                rest = others & ~same
-                two = np.sort(np.where(others, s, -np.inf), axis=1)[:, ::-1][:, :2]
-                two = np.pad(two, ((0, 0), (0, 2 - two.shape[1])), constant_values=-np.inf)
-                yield pa.RecordBatch.from_pydict({"query_id": ids, "same": (s * same).sum(1), "n_same": same.sum(1), "other": (s * rest).sum(1), "n_other": rest.sum(1), "top": two[:, 0], "next": two[:, 1]})
-
-        found = vectors.select("chunk_id", "vec", "label").mapInArrow(run, schema)
+    for part, q in _blocks(queries.select("query_id", "query_vec", "label"), max(block, GROUP)):
+        held = queries.sparkSession.sparkContext.broadcast((np.array(part["query_id"].to_pylist()), np.array(part["label"].to_pylist()), q))
+
+        def run(batches: Iterator[pa.RecordBatch], held: object = held) -> Iterator[pa.RecordBatch]:
+            ids, labels, q = held.value
+            total, n, most = np.zeros((2, len(ids))), np.zeros((2, len(ids)), np.int64), np.full((len(ids), 2), -np.inf)
+            for batch, v in _slabs(batches, block):
+                own, kinds = np.array(batch.column("chunk_id").to_pylist()), np.array(batch.column("label").to_pylist())
+                for a in range(0, len(ids), block):
+                    at = slice(a, a + block)
+                    s = np.round(q[at] @ v.T, 6)
+                    others = ids[at, None] != own
+                    same = (labels[at, None] == kinds) & others
+                    for i, some in enumerate((same, others & ~same)):
+                        total[i, at] += (s * some).sum(1)
+                        n[i, at] += some.sum(1)
+                    two = np.concatenate([most[at], np.where(others, s, -np.inf)], axis=1)
+                    most[at] = np.sort(np.partition(two, two.shape[1] - 2, axis=1)[:, -2:], axis=1)[:, ::-1]
+            yield pa.RecordBatch.from_pydict({"query_id": ids, "same": total[0], "n_same": n[0], "other": total[1], "n_other": n[1], "top": most[:, 0], "next": most[:, 1]})
+
+        found = vectors.select("chunk_id", "vec", "label").mapInArrow(tidy(run), schema)
         out = found if out is None else out.union(found)
     if out is None:
         out = queries.sparkSession.createDataFrame([], schema)

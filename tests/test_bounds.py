@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from docgrain.operators import bm25
+from docgrain.operators import bm25, dense
 from docgrain.session import pieces
 
 
@@ -57,3 +57,11 @@ def test_best_rows_are_those_of_a_sort():
 def test_pieces_hold_the_limit_or_a_row():
     batch = pa.RecordBatch.from_pydict({"text": ["a" * n for n in (3, 4, 20, 1, 1, 0)] + [None], "t": [[1]] * 7})
     assert [p.num_rows for p in pieces(batch, "text", 8)] == [2, 1, 4] and [p.num_rows for p in pieces(batch, "t", 3)] == [3, 3, 1]
+
+
+def test_queries_go_over_the_vectors_in_one_pass(spark):
+    rows = spark.createDataFrame([(i, [float(i % 13), 1.0, float(i % 7)]) for i in range(300)], "chunk_id long, vec array<double>")
+    asked = rows.selectExpr("chunk_id as query_id", "vec as query_vec")
+    few = dense.search(asked, rows, 3, block=7)
+    assert few._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1  # not one of each of 43 blocks
+    assert few.collect() == dense.search(asked, rows, 3).collect() and few.count() == 900
