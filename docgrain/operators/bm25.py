@@ -290,5 +290,8 @@ def top(scored: DataFrame, k: int) -> DataFrame:
 
 
 def search(queries: DataFrame, chunks: DataFrame, k: int = 20, keep_zero: bool = False, **options: float) -> DataFrame:
-    """Index.search() over an index of chunks (scope, chunk_id, text) made for it."""
-    return Index.build(chunks).search(queries, k, keep_zero, **options)
+    """Index.search() over an index of chunks (scope, chunk_id, text) made for it, which holds the scopes that are asked only: a
+    query meets no others, and statistics are those of a scope."""
+    asked = F.broadcast(queries.select(F.col("scope").alias("asked")).distinct())
+    own = chunks.join(asked, F.col("scope").eqNullSafe(F.col("asked")), "left_semi")
+    return Index.build(own).search(queries, k, keep_zero, **options)

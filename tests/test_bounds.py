@@ -65,3 +65,12 @@ def test_queries_go_over_the_vectors_in_one_pass(spark):
     few = dense.search(asked, rows, 3, block=7)
     assert few._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1  # not one of each of 43 blocks
     assert few.collect() == dense.search(asked, rows, 3).collect() and few.count() == 900
+
+
+def test_only_scopes_that_are_asked_are_indexed(spark, monkeypatch):
+    chunks = spark.createDataFrame([(s, f"{s}-{i}", f"word{i} common") for s in ("a", "b", None, "c") for i in range(4)], "scope string, chunk_id string, text string")
+    asked = spark.createDataFrame([(1, "a", "word1 common"), (2, None, "word2"), (3, "unknown", "common")], "query_id int, scope string, text string")
+    want = sorted(tuple(r) for r in bm25.Index.build(chunks).search(asked, 3, keep_zero=True).collect())
+    build, held = bm25.Index.build, []
+    monkeypatch.setattr(bm25.Index, "build", lambda own: held.append(own.count()) or build(own))
+    assert sorted(tuple(r) for r in bm25.search(asked, chunks, 3, keep_zero=True).collect()) == want and held == [8]
