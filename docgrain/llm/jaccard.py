@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import chunks, documents, id_text, saved, small_batches, tidy
 from .lm import distinct_words
-from .simhash import connected, majority
+from .simhash import connected
 
 WIDTH = 5
 #: Least similarity, as a fraction.
@@ -282,9 +282,9 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition(parts, "cell").sortWithinPartitions("size", "cell")
 
 
-def hashed(docs: DataFrame, sims: bool = False) -> DataFrame:
-    """uid (a number of its own), doc_id, row, n (shingles in its set), digest (128 bits, null without words), keys, bits, and, if
-    asked, sim (the SimHash fingerprint of the set) of every row (doc_id, row, text)."""
+def hashed(docs: DataFrame) -> DataFrame:
+    """uid (a number of its own), doc_id, row, n (shingles in its set), digest (128 bits, null without words), keys and bits of every
+    row (doc_id, row, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -298,12 +298,10 @@ def hashed(docs: DataFrame, sims: bool = False) -> DataFrame:
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*key, np.zeros(0, np.uint64)]).view(np.int64))),
                     pa.array([bitmap(x) if len(x) else None for x in sets], pa.binary()),
                 ]
-                if sims:
-                    columns.append(pa.array(np.array([majority(x) if len(x) else 0 for x in sets], np.uint64).view(np.int64)))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    names = ["uid", "doc_id", "row", "n", "digest", "keys", "bits", *["sim"] * sims]
-    schema = "uid long, doc_id long, row long, n long, digest binary, keys array<long>, bits binary" + ", sim long" * sims
+    names = ["uid", "doc_id", "row", "n", "digest", "keys", "bits"]
+    schema = "uid long, doc_id long, row long, n long, digest binary, keys array<long>, bits binary"
     return docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "row", "text").mapInArrow(tidy(run), schema)
 
 
@@ -362,13 +360,13 @@ class Join:
     """The classes of docs (doc_id, text as bytes, row: a hash of both) and the links between them.
 
     rows: doc_id, row, n, uid, c of every row; c, a class, is the uid of its first row, null without words. made: uid, row, n,
-    digest, keys, bits, and sim if asked, of every row; those of a class stand where uid is c.
+    digest, keys, bits of every row; those of a class stand where uid is c.
     """
 
-    def __init__(self, docs: DataFrame, sims: bool = False):
+    def __init__(self, docs: DataFrame):
         small_batches(docs.sparkSession)
         self.docs = docs
-        self.made = saved(hashed(docs, sims), "jaccard-rows")
+        self.made = saved(hashed(docs), "jaccard-rows")
         first = self.made.filter("n > 0").groupBy("digest").agg(F.min("uid").alias("c"))
         self.rows = saved(self.made.select("doc_id", "row", "n", "uid", "digest").join(first, "digest", "left").drop("digest"), "jaccard-classes")
 
