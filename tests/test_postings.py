@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from docgrain.operators import bm25
+from docgrain.operators import bm25, postings
 from docgrain.operators.postings import PostingIndex
 from docgrain.plans.common import chunks
 
@@ -58,3 +58,17 @@ def test_maxima_are_read_without_postings(spark, small):
     index = PostingIndex.build(chunks(spark, small))
     plan = index._table("blocks").select("term", "max_tf").filter("term = 'the'")._jdf.queryExecution().toString()
     assert "tfs" not in plan.split("ReadSchema")[1] and "EqualTo(term,the)" in plan
+
+
+def test_a_segment_has_one_row_a_term_and_no_posting_is_shuffled(spark, monkeypatch):
+    own, asked = made(spark, 2000, 2)
+    index = PostingIndex.build(own.coalesce(1))
+    assert index._table("blocks").count() == index._table("terms").count()  # not one of each of 16 windows
+    writes = postings._segments(index._table("tokens"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in writes
+    want = rows(bm25.search(asked, own, 7))
+    monkeypatch.setattr(postings, "LOT", 700)
+    monkeypatch.setattr(postings, "CELLS", 50)
+    monkeypatch.setattr(postings, "BLOCK", 9)
+    small = PostingIndex.build(own)
+    assert small._table("blocks").select("seg").distinct().count() > 20 and rows(small.search(asked, 7)) == want
