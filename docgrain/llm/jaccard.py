@@ -9,7 +9,9 @@ buckets of classes that share a key. Buckets are searched in two rounds:
 2. By all keys: a bucket within one part is done. Others are cut by bands of size, those of equal members are taken once, and
    one too large for a task is dealt into blocks: the members of its largest part into some, all others into further ones,
    and every two blocks that can hold a new link meet in a cell. Keys that would make large buckets of many parts (a passage
-   of countless documents) are put last in the order of all shingles instead, which a bit table of fixed size marks.
+   of countless documents) are put last in the order of all shingles instead, which a bit table of fixed size marks. A pair is
+   looked for at the first key that it shares: of the smaller set no more than (1 - LEAST) / (1 + LEAST) * n shingles come
+   before that, so a bucket without such a member is left out. Small buckets of one least member share cells.
 
 A cell is a forest of signature trees: its members' token bitmaps are OR-combined node by node, with the range of their
 sizes, the most shingles that share a bit, and their part. Two nodes are taken down together, and go unless their largest
@@ -25,7 +27,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, documents, id_text, saved, small_batches, tidy
@@ -221,11 +223,22 @@ def _forests(table: pa.Table, bits: list[bytes]) -> Iterator[tuple[np.ndarray, F
             yield at, Forest(cell[at], comp[at], n[at], [bits[i] for i in at.tolist()])
 
 
+def connected_rows(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """For each of n rows the first row that pairs (x, y) connect it with."""
+    label = np.arange(n)
+    while (label[x] != label[y]).any():
+        low = np.minimum(label[x], label[y])
+        for z in (label[x], label[y], x, y):
+            np.minimum.at(label, z, low)
+        label = label[label]
+    return label
+
+
 def _with_partner(rows: DataFrame) -> DataFrame:
     """cell, c, comp, n: what is left to compare of the members (cell, size, c, comp, n, bits), in cells by their sets.
 
-    Members of a cell with many pairs left stay together. Of others each pair is put into a cell of its smaller class, so that
-    a pair that meets in many buckets is compared once.
+    Members of a cell with many pairs left stay together. Of others those that pairs connect are put into a cell of their
+    smallest class, so that a member of many pairs, or of one that meets in many buckets, brings its set once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,12 +258,14 @@ def _with_partner(rows: DataFrame) -> DataFrame:
                 dense = np.flatnonzero(found & many[number])
                 into.append(cell[dense])
                 member.append(dense)
-                for x, y in kept:
-                    few = ~many[number[x]]
-                    x, y = x[few], y[few]
-                    own = -1 - np.minimum(c[x], c[y])
-                    into += [own, own]
-                    member += [x, y]
+                x, y = (np.concatenate([k[i] for k in kept] or [dense[:0]]) for i in (0, 1))
+                few = ~many[number[x]]
+                own = connected_rows(x[few], y[few], len(cell))
+                least = c.copy()
+                np.minimum.at(least, own, c)
+                few = np.union1d(x[few], y[few])
+                into.append(-1 - least[own[few]])
+                member.append(few)
             if member:
                 pair = np.unique(np.stack([np.concatenate(into), np.concatenate(member)]), axis=1)
                 part = table.select(["c", "comp", "n"]).take(pa.array(pair[1]))
@@ -306,8 +321,10 @@ def hashed(docs: DataFrame) -> DataFrame:
 
 
 def live(rows: DataFrame, tokens: int, most: int) -> DataFrame:
-    """Of rows (key, comp, c, n), sorted within partitions, those whose key has two parts or more, and whether so many that they
-    make a large bucket. A partition's first and last key, which others may have too, count as such."""
+    """Of rows (key, comp, c, n, early in the lowest bit of n), sorted within partitions, those whose key has two parts or more, and
+    whether so many that they make a large bucket. early: whether the key comes early enough for the smaller set of a link; rows
+    that have no such partner, and aren't such themselves, go. A partition's first and last key, which others may have too, are
+    taken whole and as large."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -319,13 +336,18 @@ def live(rows: DataFrame, tokens: int, most: int) -> DataFrame:
             key, comp, n = (table.column(c).to_numpy() for c in ("key", "comp", "n"))
             at = np.flatnonzero(np.diff(key, prepend=~key[0]) != 0)
             group = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(key))))
-            parts, k, total = np.maximum.reduceat(comp, at) > np.minimum.reduceat(comp, at), np.bincount(group), np.bincount(group, n)
-            large = (k > most) | (total > tokens)
             edge = np.zeros(len(at), bool)
             edge[0], edge[-1] = first, True
-            some, end = parts | edge, len(key) if final else int(at[-1])
-            keep = some[group[:end]]
-            yield from table.slice(0, end).append_column("large", pa.array((large | edge)[group[:end]])).filter(pa.array(keep)).to_batches()
+            early, n = n % 2 == 1, n >> 1
+            least = np.minimum.reduceat(np.where(early, n, 1 << 62), at)
+            keep = edge[group] | (n >= least[group])  # early ones reach their least
+            low, high = (f.reduceat(np.where(keep, comp, x), at) for f, x in ((np.minimum, 1 << 62), (np.maximum, -1)))
+            k, total = np.bincount(group, keep), np.bincount(group, n * keep)
+            large = (k > most) | (total > tokens)
+            some, end = (high > low) | edge, len(key) if final else int(at[-1])
+            keep = (keep & some[group])[:end]
+            whole = table.set_column(table.schema.get_field_index("n"), "n", pa.array(n))
+            yield from whole.slice(0, end).append_column("large", pa.array((large | edge)[group[:end]])).filter(pa.array(keep)).to_batches()
             if end:
                 first = False
             held = table.slice(end).to_batches()
@@ -424,7 +446,9 @@ class Join:
         buckets are cut by bands of size, into which members of the next band are taken too; others have no band."""
         spark = keyed.sparkSession
         own = saved(self.rows.filter("uid = c").select("c", "n").join(parts, "c", "left").select("c", "n", F.coalesce("comp", "c").alias("comp")), "jaccard-comps")
-        each = keyed.join(own, "c").select(F.explode("keys").alias("key"), "comp", "c", "n")
+        each = keyed.join(own, "c").select(F.posexplode("keys").alias("at", "key"), "comp", "c", "n")
+        early = (LEAST[0] + LEAST[1]) * F.col("at") <= (LEAST[1] - LEAST[0]) * F.col("n")
+        each = each.select("key", "comp", "c", (2 * F.col("n") + early.cast("long")).alias("n"))
         # by range, so that a key that very many share fills several partitions
         order = ["key", "comp", "c"]
         found = each.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
@@ -433,10 +457,10 @@ class Join:
         member = lambda x, home: F.struct(x.alias("band"), F.lit(home).alias("home"))
         split = F.when(F.col("large"), F.array(member(band, True), member(band - 1, False))).otherwise(F.array(member(F.lit(-9).cast("long"), True)))
         members = shared.select("key", "c", "comp", "n", F.explode(split).alias("s")).select("key", "s.*", "c", "comp", "n")
-        sums = members.groupBy("key", "band", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("sum"), F.bit_xor(F.xxhash64("c")).alias("f"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("g"), F.max("home").alias("home"))
+        sums = members.groupBy("key", "band", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("sum"), F.bit_xor(F.xxhash64("c")).alias("f"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("g"), F.max("home").alias("home"), F.min("c").alias("pivot"))
         whole = sums.groupBy("key", "band").agg(
             F.count("*").alias("comps"), F.max("home").alias("home"), F.sum("k").alias("k"), F.sum("sum").alias("sum"), F.bit_xor("f").alias("f"), F.bit_xor("g").alias("g"),
-            F.max(F.struct("k", "sum", "comp")).alias("top"),
+            F.max(F.struct("k", "sum", "comp")).alias("top"), F.min("pivot").alias("pivot"),
         )
         return members, saved(whole.filter("comps > 1 and home"), "jaccard-buckets")
 
@@ -481,9 +505,12 @@ class Join:
             keyed = self._moved(keyed, table)
             members, buckets = self._buckets(keyed, parts, tokens, most)
         # buckets of one band and the same members are searched once
-        once = buckets.groupBy("band", "k", "f", "g").agg(F.min(F.struct("key", "sum", "top")).alias("one")).select("band", "one.key", "k", "one.sum", "one.top")
+        once = buckets.groupBy("band", "k", "f", "g").agg(F.min(F.struct("key", "sum", "top", "pivot")).alias("one")).select("band", "one.key", "k", "one.sum", "one.top", "one.pivot")
         blocks = [F.greatest(F.ceil(s / tokens), F.ceil(k / most)) for s, k in ((F.col("top.sum"), F.col("top.k")), (F.col("sum") - F.col("top.sum"), F.col("k") - F.col("top.k")))]
-        once = once.select("key", "band", F.col("top.comp").alias("main"), blocks[0].alias("p"), blocks[1].alias("q"))
+        # buckets of one block each that have the same least member, no more than its keys, fill cells of about the usual size together
+        upto = Window.partitionBy("pivot", "band").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+        lot = F.coalesce(F.greatest(F.floor(F.sum("sum").over(upto) / tokens), F.floor(F.sum("k").over(upto) / most)), F.lit(0).cast("long"))
+        once = once.select("key", "band", F.col("top.comp").alias("main"), blocks[0].alias("p"), blocks[1].alias("q"), "pivot", lot.alias("lot"))
         rows = members.join(once, ["key", "band"])
         # cells: a block i of the largest part with a block j of the others (i, j), two blocks of the others (-1 - i, j)
         main, zero = F.col("comp") == F.col("main"), F.lit(0).cast("long")
@@ -492,7 +519,8 @@ class Join:
         with_main = F.transform(F.sequence(zero, F.col("p") - 1), lambda x: F.struct(x.alias("i"), j.alias("j")))
         among = F.transform(F.filter(F.sequence(zero, F.col("q") - 1), lambda x: x != j), lambda x: F.struct((-1 - F.least(x, j)).alias("i"), F.greatest(x, j).alias("j")))
         rows = rows.withColumn("at", F.explode(F.when(main, with_others).otherwise(F.concat(with_main, among))))
-        return self.decide(rows.select(F.xxhash64("key", "band", "at.i", "at.j").alias("cell"), F.col("band").alias("size"), "c", "comp", "n"))
+        cell = F.when((F.col("p") == 1) & (F.col("q") == 1), F.xxhash64("pivot", "band", "lot")).otherwise(F.xxhash64("key", "band", "at.i", "at.j"))
+        return self.decide(rows.select(cell.alias("cell"), F.col("band").alias("size"), "c", "comp", "n").dropDuplicates(["cell", "c"]))
 
 
 def linked(join: Join, first: DataFrame, tokens: int = TOKENS, most: int = MEMBERS, crowded: int = CROWDED) -> DataFrame:

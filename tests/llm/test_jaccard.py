@@ -149,3 +149,32 @@ def test_template_pages_below_the_bound_make_no_large_bucket(spark):
     assert join._last(members, buckets, table, J.TOKENS, 200)
     _, buckets = join._buckets(join._moved(keyed, table), none, J.TOKENS, 200)
     assert buckets.agg(F.max("k")).first()[0] < 200
+
+
+def test_connected_rows():
+    x, y = np.array([5, 2, 7, 4]), np.array([2, 0, 6, 7])
+    assert J.connected_rows(x, y, 9).tolist() == [0, 1, 0, 3, 4, 0, 4, 4, 8]
+    assert J.connected_rows(x[:0], y[:0], 3).tolist() == [0, 1, 2]
+
+
+def test_a_member_of_many_pairs_brings_its_set_once(spark):
+    """Near-copies that meet in two buckets: a row a class is left, not one a pair."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 200, np.uint64)
+    sets = [np.unique(np.concatenate([base, rng.integers(0, 1 << 63, 4, np.uint64)])) for _ in range(8)]
+    rows = [(cell, -9, c, c, len(s), J.bitmap(s)) for cell in (1, 2) for c, s in enumerate(sets)]
+    left = J._with_partner(spark.createDataFrame(rows, "cell long, size long, c long, comp long, n long, bits binary"))
+    assert left.count() == 8 and left.select("c").distinct().count() == 8
+
+
+def test_late_keys_make_no_bucket(spark):
+    """Sets that share half of their shingles meet in the first ninth of these at most."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(50_000)]
+    page = rng.choices(words, k=400)
+    own = id_text(spark.createDataFrame([(i, " ".join(page + rng.choices(words, k=250))) for i in range(20)], "doc_id long, text string"))
+    join = J.Join(own.withColumn("row", F.xxhash64("doc_id", "text")))
+    keyed = join.made.select(F.col("uid").alias("c"), "keys")
+    members, _ = join._buckets(keyed, spark.createDataFrame([], "c long, comp long"), J.TOKENS, J.MEMBERS)
+    keys = keyed.select(F.explode("keys").alias("key"), "c").groupBy("key").count().filter("count > 1").count()
+    assert 0 < members.select("key").distinct().count() < 0.75 * keys
