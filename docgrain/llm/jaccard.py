@@ -11,7 +11,9 @@ buckets of classes that share a key. Buckets are searched in two rounds:
    and every two blocks that can hold a new link meet in a cell. Keys that would make large buckets of many parts (a passage
    of countless documents) are put last in the order of all shingles instead, which a bit table of fixed size marks. A pair is
    looked for at the first key that it shares: of the smaller set no more than (1 - LEAST) / (1 + LEAST) * n shingles come
-   before that, so a bucket without such a member is left out. Small buckets of one least member share cells.
+   before that, so a bucket without such a member is left out. Nor are more than so many of its keys below CUT, which all sets
+   give whole, missing in the other set: members that share fewer with sets of about their size are left out, as those are
+   that share a passage only. Small buckets of one least member share cells.
 
 A cell is a forest of signature trees: its members' token bitmaps are OR-combined node by node, with the range of their
 sizes, the most shingles that share a bit, and their part. Two nodes are taken down together, and go unless their largest
@@ -49,6 +51,10 @@ MANY = 4
 FAN, PAIRS = 4, 4096
 #: Bits of the table of shingles that come last, 1 MB; how often it may be added to.
 BITS, MOVES = 1 << 23, 3
+#: All unmarked shingles below it are keys: a little less than the fifth of all hashes that the first keys reach to.
+CUT = int(0.18 * 2**64)
+#: What no number of keys reaches.
+NEVER = 1 << 62
 #: Bands of size: members of one band or of two that follow each other can be similar enough, others can't.
 BAND = math.log(1.26)
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -84,14 +90,21 @@ def bitmap(grams: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+def in_table(grams: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which shingles a bit table marks."""
+    slot = (grams & np.uint64(BITS - 1)).astype(np.int64)
+    return (table[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
 def first_keys(grams: np.ndarray, last: np.ndarray | None = None) -> np.ndarray:
-    """A sorted set's keys; shingles that the bit table marks come last in the order."""
+    """A sorted set's keys; shingles that the bit table marks come last in the order. All others below CUT are among them."""
     n = len(grams)
+    low = int(np.searchsorted(grams, np.uint64(CUT)))
     if last is not None:
-        slot = (grams & np.uint64(BITS - 1)).astype(np.int64)
-        marked = (last[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+        marked = in_table(grams, last)
+        low -= int(marked[:low].sum())
         grams = np.concatenate([grams[~marked], grams[marked]])
-    return grams[: n - -(-LEAST[0] * n // LEAST[1]) + 1]
+    return grams[: max(low, n - -(-LEAST[0] * n // LEAST[1]) + 1)]
 
 
 class Forest:
@@ -320,11 +333,9 @@ def hashed(docs: DataFrame) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "row", "text").mapInArrow(tidy(run), schema)
 
 
-def live(rows: DataFrame, tokens: int, most: int) -> DataFrame:
-    """Of rows (key, comp, c, n, early in the lowest bit of n), sorted within partitions, those whose key has two parts or more, and
-    whether so many that they make a large bucket. early: whether the key comes early enough for the smaller set of a link; rows
-    that have no such partner, and aren't such themselves, go. A partition's first and last key, which others may have too, are
-    taken whole and as large."""
+def _by_key(rows: DataFrame, judged: Callable[[pa.Table, np.ndarray, np.ndarray], pa.Table], schema: str) -> DataFrame:
+    """What judged(table, group, edge) gives for rows with a key, sorted by it within partitions: whole keys, the number of each
+    row's key, and which keys are a partition's first or last one, so that others may have rows of them too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -333,23 +344,16 @@ def live(rows: DataFrame, tokens: int, most: int) -> DataFrame:
         def out(final: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, size, first
             table = pa.Table.from_batches(held).combine_chunks()
-            key, comp, n = (table.column(c).to_numpy() for c in ("key", "comp", "n"))
+            key = table.column("key").to_numpy()
             at = np.flatnonzero(np.diff(key, prepend=~key[0]) != 0)
-            group = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(key))))
-            edge = np.zeros(len(at), bool)
-            edge[0], edge[-1] = first, True
-            early, n = n % 2 == 1, n >> 1
-            least = np.minimum.reduceat(np.where(early, n, 1 << 62), at)
-            keep = edge[group] | (n >= least[group])  # early ones reach their least
-            low, high = (f.reduceat(np.where(keep, comp, x), at) for f, x in ((np.minimum, 1 << 62), (np.maximum, -1)))
-            k, total = np.bincount(group, keep), np.bincount(group, n * keep)
-            large = (k > most) | (total > tokens)
-            some, end = (high > low) | edge, len(key) if final else int(at[-1])
-            keep = (keep & some[group])[:end]
-            whole = table.set_column(table.schema.get_field_index("n"), "n", pa.array(n))
-            yield from whole.slice(0, end).append_column("large", pa.array((large | edge)[group[:end]])).filter(pa.array(keep)).to_batches()
+            end = len(key) if final else int(at[-1])
             if end:
+                at = at[at < end]
+                edge = np.zeros(len(at), bool)
+                edge[-1] = final
+                edge[0] |= first
                 first = False
+                yield from judged(table.slice(0, end), np.repeat(np.arange(len(at)), np.diff(np.append(at, end))), edge).to_batches()
             held = table.slice(end).to_batches()
             size = len(key) - end
 
@@ -361,7 +365,67 @@ def live(rows: DataFrame, tokens: int, most: int) -> DataFrame:
         if size:
             yield from out(True)
 
-    return rows.mapInArrow(tidy(run), "key long, comp long, c long, n long, large boolean")
+    return rows.mapInArrow(tidy(run), schema)
+
+
+def near_sizes(group: np.ndarray, comp: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each member of a group, whether another part has a member there of its size or so much above that they can be similar,
+    and whether of its size or so much below."""
+    order = np.lexsort((n, group))
+    base, size, part = group[order].astype(np.int64) << 40, n[order], comp[order]
+    place = base + size
+    begin, end = np.searchsorted(place, place), np.searchsorted(place, place, "right")
+    high, low = np.searchsorted(place, base + size * LEAST[1] // LEAST[0], "right"), np.searchsorted(place, base - -size * LEAST[0] // LEAST[1])
+    edge = np.append(np.flatnonzero(np.diff(part)) + 1, len(part))
+    other = edge[np.searchsorted(edge, np.arange(len(part)), "right")]  # the next one of another part
+    up, down = np.zeros(len(part), bool), np.zeros(len(part), bool)
+    up[order] = (part[begin] != part) | (other[begin] < high)
+    down[order] = (part[low] != part) | (other[low] < end)
+    return up, down
+
+
+def met(rows: DataFrame) -> DataFrame:
+    """Of rows (key, comp, c, n, early in the lowest bit of n), sorted within partitions, those whose key another part has too, in
+    a set of about the same size; up: in one of the same size or a larger one."""
+
+    def judged(table: pa.Table, group: np.ndarray, edge: np.ndarray) -> pa.Table:
+        comp, n = table.column("comp").to_numpy(), table.column("n").to_numpy()
+        up, down = (x | edge[group] for x in near_sizes(group, comp, n >> 1))
+        out = table.set_column(table.schema.get_field_index("n"), "n", pa.array(n >> 1))
+        return out.append_column("early", pa.array(n % 2 == 1)).append_column("up", pa.array(up)).filter(pa.array(up | down))
+
+    return _by_key(rows, judged, "key long, comp long, c long, n long, early boolean, up boolean")
+
+
+def live(rows: DataFrame, tokens: int, most: int) -> DataFrame:
+    """Of rows (key, comp, c, n, need, have), sorted within partitions, those that may be in a link which is looked for at their
+    key, where it has two parts or more, and whether so many that they make a large bucket. have: keys below CUT that a set
+    shares. need: how many of them its links share, where it is the smaller set and the key comes early enough, NEVER elsewhere.
+    A partition's first and last key, which others may have too, are taken whole and as large."""
+
+    def judged(table: pa.Table, group: np.ndarray, edge: np.ndarray) -> pa.Table:
+        comp, n, need, have = (table.column(c).to_numpy() for c in ("comp", "n", "need", "have"))
+        band = np.floor(np.log(n) / BAND).astype(np.int64) + 1
+        code = group * (int(band.max()) + 1) + band
+        small = np.flatnonzero(need < NEVER)
+        codes, number = np.unique(code[small], return_inverse=True)
+        least = np.full(len(codes) + 1, NEVER)
+        np.minimum.at(least, number, need[small])
+        codes = np.append(codes, -1)
+
+        def lowest(x: np.ndarray) -> np.ndarray:
+            i = np.searchsorted(codes[:-1], x)
+            return np.where(codes[i] == x, least[i], NEVER)
+
+        keep = edge[group] | (need < NEVER) | (have >= np.minimum(lowest(code), lowest(code - 1)))
+        first = np.flatnonzero(np.diff(group, prepend=-1))
+        low, high = (f.reduceat(np.where(keep, comp, x), first) for f, x in ((np.minimum, 1 << 62), (np.maximum, -1)))
+        k, total = np.bincount(group, keep), np.bincount(group, n * keep)
+        large = (k > most) | (total > tokens) | edge
+        out = table.select(["key", "comp", "c", "n"]).append_column("large", pa.array(large[group]))
+        return out.filter(pa.array(keep & ((high > low) | edge)[group]))
+
+    return _by_key(rows, judged, "key long, comp long, c long, n long, large boolean")
 
 
 def bit_table(rows: DataFrame, column: str) -> DataFrame:
@@ -441,9 +505,24 @@ class Join:
         """c, comp: the part of each class that has a link."""
         return connected(links).select(F.col("node").alias("c"), F.col("label").alias("comp"))
 
-    def _buckets(self, keyed: DataFrame, parts: DataFrame, tokens: int, most: int) -> tuple[DataFrame, DataFrame]:
-        """Members key, band, c, comp, n of the buckets of two parts or more of keyed (c, keys), and a row for each of these. Large
-        buckets are cut by bands of size, into which members of the next band are taken too; others have no band."""
+    def _needed(self, keyed: DataFrame, table: np.ndarray | None) -> DataFrame:
+        """c and need, the keys below CUT that a set of keyed (c, keys) shares at least with a larger one that it is linked with."""
+        held = keyed.sparkSession.sparkContext.broadcast(np.zeros(BITS >> 6, np.uint64) if table is None else table)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys = batch.column("keys")
+                grams = keys.flatten().to_numpy().view(np.uint64)
+                upto = np.concatenate([[0], np.cumsum((grams < np.uint64(CUT)) & ~in_table(grams, held.value))])[np.cumsum([0, *keys.value_lengths().to_pylist()])]
+                yield pa.RecordBatch.from_arrays([batch.column("c"), pa.array(np.diff(upto))], ["c", "low"])
+
+        low = keyed.select("c", "keys").mapInArrow(tidy(run), "c long, low long").join(self.rows.filter("uid = c").select("c", "n"), "c")
+        return low.select("c", (F.col("low") - F.floor((LEAST[1] - LEAST[0]) * F.col("n") / (LEAST[0] + LEAST[1]))).alias("need"))
+
+    def _buckets(self, keyed: DataFrame, parts: DataFrame, tokens: int, most: int, table: np.ndarray | None = None) -> tuple[DataFrame, DataFrame]:
+        """Members key, band, c, comp, n of the buckets of two parts or more of keyed (c, keys, by the marks of table), and a row for
+        each of these. Large buckets are cut by bands of size, into which members of the next band are taken too; others have no
+        band."""
         spark = keyed.sparkSession
         own = saved(self.rows.filter("uid = c").select("c", "n").join(parts, "c", "left").select("c", "n", F.coalesce("comp", "c").alias("comp")), "jaccard-comps")
         each = keyed.join(own, "c").select(F.posexplode("keys").alias("at", "key"), "comp", "c", "n")
@@ -451,8 +530,14 @@ class Join:
         each = each.select("key", "comp", "c", (2 * F.col("n") + early.cast("long")).alias("n"))
         # by range, so that a key that very many share fills several partitions
         order = ["key", "comp", "c"]
-        found = each.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
-        shared = saved(live(found, tokens, most), "jaccard-shared")
+        by_key = lambda rows: rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+        found = saved(met(by_key(each)), "jaccard-met")
+        low, per = F.col("key").between(0, CUT - 1), Window.partitionBy("c")
+        have = lambda x: F.sum(x.cast("long")).over(per)
+        counted = found.join(self._needed(keyed, table), "c").select(*order, "n", "early", "up", "need", have(low).alias("have"), have(low & F.col("up")).alias("above"))
+        small = F.col("early") & F.col("up") & (F.col("above") >= F.col("need"))
+        judged = counted.select(*order, "n", F.when(small, F.col("need")).otherwise(F.lit(NEVER)).alias("need"), "have")
+        shared = saved(live(by_key(judged), tokens, most), "jaccard-shared")
         band = F.floor(F.log("n") / BAND)
         member = lambda x, home: F.struct(x.alias("band"), F.lit(home).alias("home"))
         split = F.when(F.col("large"), F.array(member(band, True), member(band - 1, False))).otherwise(F.array(member(F.lit(-9).cast("long"), True)))
@@ -486,8 +571,7 @@ class Join:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keys = batch.column("keys")
-                slot = keys.flatten().to_numpy().astype(np.int64) & (BITS - 1)
-                marked = (held.value[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+                marked = in_table(keys.flatten().to_numpy().view(np.uint64), held.value)
                 upto = np.concatenate([[0], np.cumsum(marked)])[np.cumsum([0, *keys.value_lengths().to_pylist()])]
                 yield batch.select(["c"]).filter(pa.array(np.diff(upto) > 0))
 
@@ -503,7 +587,7 @@ class Join:
             if not self._last(members, buckets, table, crowded * tokens, crowded * most):
                 break
             keyed = self._moved(keyed, table)
-            members, buckets = self._buckets(keyed, parts, tokens, most)
+            members, buckets = self._buckets(keyed, parts, tokens, most, table)
         # buckets of one band and the same members are searched once
         once = buckets.groupBy("band", "k", "f", "g").agg(F.min(F.struct("key", "sum", "top", "pivot")).alias("one")).select("band", "one.key", "k", "one.sum", "one.top", "one.pivot")
         blocks = [F.greatest(F.ceil(s / tokens), F.ceil(k / most)) for s, k in ((F.col("top.sum"), F.col("top.k")), (F.col("sum") - F.col("top.sum"), F.col("k") - F.col("top.k")))]

@@ -178,3 +178,43 @@ def test_late_keys_make_no_bucket(spark):
     members, _ = join._buckets(keyed, spark.createDataFrame([], "c long, comp long"), J.TOKENS, J.MEMBERS)
     keys = keyed.select(F.explode("keys").alias("key"), "c").groupBy("key").count().filter("count > 1").count()
     assert 0 < members.select("key").distinct().count() < 0.75 * keys
+
+
+def test_sizes_of_other_parts():
+    rng = np.random.default_rng(6)
+    group, comp, n = np.sort(rng.integers(0, 30, 400)), rng.integers(0, 4, 400), rng.integers(1, 60, 400)
+    up, down = J.near_sizes(group, comp, n)
+    for i in range(400):
+        other = n[(group == group[i]) & (comp != comp[i])]
+        assert up[i] == any(n[i] <= x and 4 * x <= 5 * n[i] for x in other) and down[i] == any(x <= n[i] and 4 * n[i] <= 5 * x for x in other)
+
+
+def test_a_passage_that_sets_share_makes_no_bucket(spark):
+    """Sets that share a seventh of their shingles have fewer keys in common than a link has; near-copies among them still meet."""
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(50_000)]
+    passage = rng.choices(words, k=150)
+    rows = [(i, " ".join(rng.choices(words, k=900) + passage)) for i in range(40)]
+    rows += [(100 + i, t.replace(t.split()[9], "edit")) for i, t in rows[:3]]
+    own = id_text(spark.createDataFrame(rows, "doc_id long, text string"))
+    join = J.Join(own.withColumn("row", F.xxhash64("doc_id", "text")))
+    keyed = join.made.select(F.col("uid").alias("c"), "keys")
+    members, _ = join._buckets(keyed, spark.createDataFrame([], "c long, comp long"), J.TOKENS, J.MEMBERS)
+    wide = lambda df: df.groupBy("key").agg(F.countDistinct("c").alias("k")).filter("k > 6").count()
+    # a partition's first and last key are taken whole; there are four
+    assert wide(keyed.select(F.explode("keys").alias("key"), "c")) > 15 and wide(members) <= 4
+    assert members.select("c").distinct().count() >= 6
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == slow(rows)
+
+
+def test_all_sets_give_the_keys_below_the_cut():
+    rng = np.random.default_rng(8)
+    for n in (1, 4, 5, 9, 60, 400):
+        grams = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+        table = np.zeros(J.BITS >> 6, np.uint64)
+        for x in (grams[: n // 3] & np.uint64(J.BITS - 1)).tolist():
+            table[x >> 6] |= np.uint64(1 << (x & 63))
+        for last in (None, table):
+            keys = J.first_keys(grams, last)
+            low = [x for x in grams.tolist() if x < J.CUT and (last is None or not J.in_table(np.array([x], np.uint64), last)[0])]
+            assert set(low) <= set(keys.tolist()) and len(keys) >= n - -(-4 * n // 5) + 1
